@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, packing, token_files
+from lodestone.llm import line_dedup, mixing, mtree, packing, simhash, token_files
 from lodestone.llm._common import new_path
 
 
@@ -12,11 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_digests(docs, min_docs=10, min_chars=1, keep_first=False)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, end_id=0)
 
@@ -27,9 +37,45 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_pack, op8_token_files)}
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op8_token_files, op9_mix)}
 
 ORACLES = {
+    "op1_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op9_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(1.0::DOUBLE / (1.0 + 8.0 * (length(text) - length(regexp_replace(text, '[#*$%&|<>!]+', '', 'g'))) / greatest(length(text), 1)), 1.0)::DOUBLE AS w
+  FROM documents),
+k AS (SELECT *, -ln((('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+r AS (
+  SELECT *, row_number() OVER o AS place, 3 * source_size AS lim, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+    sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+  FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
+l AS (SELECT rest::DOUBLE / weights AS level FROM r WHERE lim * weights >= rest * weight ORDER BY place LIMIT 1),
+t AS (
+  SELECT source, source_size, least(lim::DOUBLE, level * weight) AS target,
+    CASE WHEN source_size > 0 THEN floor(least(lim::DOUBLE, level * weight) / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM r, l),
+c AS (
+  SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN before + size / 2.0 < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op2_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
