@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, mixing, mtree, packing, simhash, token_files
+from lodestone.llm import line_dedup, mixing, mtree, packing, quality, simhash, token_files
 from lodestone.llm._common import new_path
 
 
@@ -31,6 +31,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, end_id=0)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality.RULES
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens.orc")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=2)
@@ -42,7 +48,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op8_token_files, op9_mix)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op5_quality, op8_token_files, op9_mix)}
 
 ORACLES = {
     "op1_top_k": """
