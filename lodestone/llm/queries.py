@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, mixing, mtree, packing, quality, simhash, token_files
+from lodestone.llm import archives, extraction, licenses, line_dedup, mixing, mtree, packing, quality, simhash, token_files
 from lodestone.llm._common import new_path
 
 
@@ -37,6 +37,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    archives.write_warc(_table(spark, sf_dir, "pages"), path)
+    return archives.read_warc(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens.orc")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end_id=2)
@@ -48,7 +58,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op5_quality, op8_token_files, op9_mix)}
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op5_quality, op6_warc, op7_licenses, op8_token_files, op9_mix, op10_extract)}
 
 ORACLES = {
     "op1_top_k": """
@@ -60,6 +74,13 @@ pairs AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""",
     "op9_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
