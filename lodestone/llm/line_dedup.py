@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm._common import WHITE, Staged, free_name, shuffle_partitions, text_bytes
+from lodestone.llm._common import WHITE, Staged, shuffle_partitions, text_bytes
 
 _BATCH_LINES = 100_000
 _LINES = "hi long, lo long, doc_id long, row long, pos int"
@@ -159,40 +160,41 @@ def _apply(with_text: bool):
         for batch in batches:
             rows = []
             for text, bitmap in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                kept = lines
+                kept = lines = (text or b"").split(b"\n")
                 if bitmap:
                     kept = [line for line, keep in zip(lines, keep_bits(bitmap, len(lines)).tolist(), strict=True) if keep]
-                rows.append((len(lines), len(lines) - len(kept), b"\n".join(kept)))
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
-            if with_text:
-                out.append(pa.array([None if t is None and not r[1] else r[2].decode() for r, t in zip(rows, batch.column(0).to_pylist(), strict=True)], pa.string()))
-            else:
-                out.append(pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string()))
-            keys = [batch.column(k) for k in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*keys, *out], names=[*batch.schema.names[2:], "n_lines", "n_dropped", "kept_text" if with_text else "kept_sha256"])
+                rest = b"\n".join(kept)
+                rows.append((len(lines), len(lines) - len(kept), (None if text is None else rest.decode()) if with_text else hashlib.sha256(rest).hexdigest()))
+            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *out], names=["doc", "n_lines", "n_dropped", "kept"])
 
     return run
 
 
-def _joined(docs: DataFrame, bitmaps: DataFrame, keep: list[str]) -> DataFrame:
-    """``text, bitmap`` and the columns ``keep`` of ``docs``; a document's bitmap is found by doc_id and the text's hash."""
-    left = docs.select(text_bytes().alias("__text"), *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("__id"), F.xxhash64("text").alias("__row"))
-    right = bitmaps.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__id"), F.col("row").alias("__row"), "keep_bitmap")
-    return left.join(right, ["__id", "__row"], "left").select("__text", "keep_bitmap", *[F.col(f"`{c}`") for c in keep])
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True) -> DataFrame:
+    """``doc`` (a struct of the columns of ``docs`` but text), ``n_lines, n_dropped`` and ``kept``, the text that stays or its SHA-256.
+
+    A document's bitmap is found by doc_id and the hash of its text; without one all lines stay. A null text stays null,
+    and counts as one empty line.
+    """
+    none = F.lit(-(1 << 63))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    left = docs.select(rest.alias("doc"), text_bytes().alias("text"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("row"))
+    right = bitmaps.select(F.coalesce("doc_id", none).alias("id"), "row", "keep_bitmap")
+    joined = left.join(right, ["id", "row"], "left").select("text", "keep_bitmap", "doc")
+    schema = T.StructType([joined.schema["doc"], *T._parse_datatype_string("n_lines long, n_dropped long, kept string").fields])
+    return joined.mapInArrow(_apply(with_text), schema)
 
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` for each row: the digest is of the text that ``keep_bitmaps(docs, **how)`` leaves."""
-    return _joined(docs, keep_bitmaps(docs, **how), ["doc_id"]).mapInArrow(_apply(False), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    docs = docs.select("doc_id", "text")
+    return apply_bitmaps(docs, keep_bitmaps(docs, **how), with_text=False).select("doc.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the text that ``keep_bitmaps(docs, **how)`` leaves; all other columns and all rows stay, a null text too."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    names = {free_name(docs, n): n for n in ("n_lines", "n_dropped", "kept_text")}
-    if list(names) != list(names.values()):
-        raise ValueError("docs already has a column n_lines, n_dropped or kept_text")
-    out = _joined(docs, keep_bitmaps(docs, **how), rest).mapInArrow(_apply(True), f"{schema}, n_lines long, n_dropped long, kept_text string")
-    return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with the text that ``keep_bitmaps(docs, **how)`` leaves; all rows and columns stay, n_chars follows the text if there is one."""
+    out = apply_bitmaps(docs, keep_bitmaps(docs, **how))
+    length = F.coalesce(F.length("kept"), F.lit(0)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("kept").alias("text"), "n_chars": length}
+    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"doc.`{c}`") for c in docs.columns])

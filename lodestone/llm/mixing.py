@@ -30,7 +30,7 @@ def quality_weight(text: Column) -> Column:
 
 
 def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / w: u in (0, 1) from 52 bits of the MD5 of seed and id, so that reruns agree."""
+    """-ln(u) / w: u in (0, 1) from 52 bits of the MD5 of seed and name, so that reruns agree."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"))), 1, 13), 16, 10).cast("long")
     return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / weight
 
@@ -57,30 +57,54 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return shared.select("source", "source_size", F.least(F.col("limit").cast("double"), level * F.col("weight")).alias("target"))
 
 
+def _sized(docs: DataFrame, size: Column, weight: Column, id_col: str, source_col: str, seed: str) -> DataFrame:
+    """``carried`` (a struct of all columns), and ``doc_id, source, size, key, bucket``."""
+    # null ids are told apart by their texts
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit(""))))) if "text" in docs.columns else F.col(id_col)
+    key = sample_key(name, weight, seed)
+    rows = docs.select(F.struct("*").alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    return rows.withColumn("bucket", F.floor(F.exp(-F.col("key")) * BUCKETS))
+
+
+_PLACE = ("key", "id", "size")
+
+
+def _decide(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """``rows`` with ``source_size, target`` and ``times``, how often the mix takes each; fitted on ``sized``, a written table of the same rows."""
+    targets = source_targets(sized, weights, cap).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    targets = Staged(targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets").df
+    same = F.col("source").eqNullSafe(F.col("of"))
+    down = Window.partitionBy("source").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(down), F.lit(0)))
+    ends = sums.join(targets.select(F.col("source").alias("of"), "budget"), same).filter((F.col("before") < F.col("budget")) & (F.col("before") + F.col("sum") > F.col("budget")))
+    ends = Staged(ends.select("of", F.col("bucket").alias("end"), "before", "budget"), "ends").df
+    # the rows of the bucket in which a budget ends, in order
+    run = Window.partitionBy("source").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size")
+    inside = sized.join(ends, same & (F.col("bucket") == F.col("end"))).withColumn("place", place).select("source", "before", "budget", "place.*", "place")
+    so_far = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    last = inside.withColumn("fits", so_far + F.col("size") / 2 < F.col("budget")).filter("fits").groupBy("source").agg(F.max("place").alias("last"))
+    limits = targets.withColumnRenamed("source", "of").join(ends.select(F.col("of").alias("source"), "end"), F.col("of").eqNullSafe(F.col("source")), "left").drop("source")
+    limits = Staged(limits.join(last, F.col("of").eqNullSafe(F.col("source")), "left").drop("source"), "limits").df
+    extra = F.when(F.col("end").isNull(), F.col("budget") >= F.col("source_size")).otherwise(
+        (F.col("bucket") > F.col("end")) | ((F.col("bucket") == F.col("end")) & F.coalesce(place <= F.col("last"), F.lit(False)))
+    )
+    return rows.join(limits, same).withColumn("times", F.col("epochs") + extra.cast("long"))
+
+
 def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for each row of ``docs``; taken is its size times the copies the mix takes.
 
     A document is taken whole: ``floor(target / source_size)`` times, and once more if the source's running sum over
-    ascending keys, half of the document included, is still below what the target leaves. Sizes of 0 take 0. Rows with the
-    same id have the same key and are taken one after the other; null ids are such rows too. An empty table gives no rows.
+    ascending keys, half of the document included, is still below what the target leaves. Sizes of 0 take 0. Repeated rows
+    have the same key and are taken together; rows with a null id have a key by their text. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), sample_key(F.col(id_col), weight, seed).alias("key"))
-    rows = Staged(rows, "sized").df
-    targets = Staged(source_targets(rows, weights, cap).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets").df
-    bucket = F.floor(F.exp(-F.col("key")) * BUCKETS)
-    per_bucket = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"))
-    down = Window.partitionBy("source").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("before", F.coalesce(F.sum("sum").over(down), F.lit(0)))
-    ends = per_bucket.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ends = Staged(ends.filter((F.col("before") < F.col("budget")) & (F.col("before") + F.col("sum") > F.col("budget"))).select(F.col("source").alias("s"), F.col("bucket").alias("end"), "before"), "ends").df
-    full = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    full = full.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("bucket", bucket)
-    # without an end bucket the budget is 0, or holds everything
-    extra = F.when(F.col("end").isNull(), (F.col("budget") >= F.col("source_size")).cast("long")).otherwise((F.col("bucket") > F.col("end")).cast("long"))
-    at_end = (F.col("bucket") == F.col("end")) & F.col("end").isNotNull()
-    cols = ["doc_id", "size", "source_size", "target"]
-    easy = full.filter(~at_end).select(*cols, (F.col("size") * (F.col("epochs") + extra)).alias("taken"))
-    run = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    fits = (so_far + F.col("size") / 2 < F.col("budget")).cast("long")
-    return easy.unionByName(full.filter(at_end).select(*cols, (F.col("size") * (F.col("epochs") + fits)).alias("taken")))
+    sized = Staged(_sized(docs, size, weight, id_col, source_col, seed).drop("carried"), "sized").df
+    return _decide(sized, sized, weights, cap).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it. Texts are read twice and never shuffled, unless there are too many sources to broadcast."""
+    rows = _sized(docs, size, weight, id_col, source_col, seed)
+    taken = _decide(rows, Staged(rows.drop("carried"), "sized").df, weights, cap).filter("times > 0")
+    return taken.select("carried", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("carried.*")

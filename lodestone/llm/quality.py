@@ -19,6 +19,7 @@ from itertools import repeat
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm._common import WHITE, Staged, text_bytes
 
@@ -87,18 +88,26 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
+MEASURES = ", ".join(f"{c} long" for c in (*COUNTS, *RULES))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "stratum", *COUNTS, *RULES]
+    names = ["carried", "stratum", *COUNTS, *RULES]
     for batch in batches:
         rows = [counts(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names) - 2))], names=names)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, stratum`` (lang; a null one as an empty one), ``COUNTS`` and ``RULES`` for each row; null and empty texts have no words. One pass over whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text")).mapInArrow(
-        _counts, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in (*COUNTS, *RULES))
-    )
+def measure(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """``doc_id`` (or the struct ``carried``), ``stratum``, ``COUNTS`` and ``RULES`` for each row, in one pass over whole texts.
+
+    The stratum is lang, a null one like an empty one. Null and empty texts have no words.
+    """
+    first = F.col("doc_id").cast("long") if carried is None else carried
+    rows = docs.select(first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"))
+    schema = T.StructType([rows.schema["carried"], *T._parse_datatype_string(f"stratum string, {MEASURES}").fields])
+    out = rows.mapInArrow(_counts, schema)
+    return out.withColumnRenamed("carried", "doc_id") if carried is None else out
 
 
 def base_failed() -> Column:
@@ -161,22 +170,31 @@ def fit_cutoffs(labelled: DataFrame, levels: tuple[float, ...] = LEVELS, risk: f
     return best.select("stratum", *[F.col(f"cut.{r}").alias(f"cut_{r}") for r in RULES])
 
 
-def judge(measured: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """``measured`` with ``base_failed``, ``rule_failed`` and ``kept``.
+def cutoffs(measured: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """``fit_cutoffs`` on those of ``measured`` that are labelled and pass the base rules, as a written table.
 
     ``labels``: ``doc_id, quality``; clean is quality 1. Of several labels of a document all must be 1; a null one is none.
-    Clean documents that already fail the base rules are no evidence on the others. A stratum may be null.
     """
-    measured = measured.withColumn("base_failed", base_failed())
     clean = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("clean"))
-    cutoffs = Staged(fit_cutoffs(measured.filter(~F.col("base_failed")).join(clean, "doc_id"), **how), "cutoffs").df
-    joined = measured.join(cutoffs.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
+    return Staged(fit_cutoffs(measured.filter(~base_failed()).join(clean, "doc_id"), **how), "cutoffs").df
+
+
+def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed``, ``rule_failed`` and ``kept``; a stratum without cutoffs keeps what passes the base rules."""
+    joined = measured.join(cuts, "stratum", "left")
     failed = F.lit(False)
     for r in RULES:
         failed = failed | F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("rule_failed", failed).withColumn("kept", ~(F.col("base_failed") | failed))
+    return joined.withColumn("base_failed", base_failed()).withColumn("rule_failed", failed).withColumn("kept", ~(F.col("base_failed") | F.col("rule_failed")))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """One row of measures and verdict for each row of ``docs``; rows with the same doc_id are judged each for itself."""
-    return judge(Staged(measure(docs), "measures").df, labels, **how)
+    """One row of measures and verdict for each row of ``docs``; rows with the same or a null doc_id are judged each for itself."""
+    measured = Staged(measure(docs), "measures").df
+    return judge(measured, cutoffs(measured, labels, **how))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the rules keep. Texts are measured twice, for the cutoffs and for the verdicts, and never shuffled."""
+    cuts = cutoffs(Staged(measure(docs), "measures").df, labels, **how)
+    return judge(measure(docs, F.struct("*")), cuts).filter("kept").select("carried.*")

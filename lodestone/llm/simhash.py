@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Staged, text_bytes
@@ -47,14 +47,15 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["doc_id", "row", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) for each row; a text without words has 0."""
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """``doc_id, row, fp`` for each row: the hash of its text, and the 64 bits as a signed long. A text without words has 0."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), F.xxhash64("text").alias("row"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, row long, fp long")
 
 
 _PAIRS = 0x5555555555555555  # the lower bit of each segment
@@ -146,6 +147,20 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+_LAST = (1 << 63) - 1  # in the place of a null doc_id
+
+
+def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and ``fp, least``: for each fingerprint the smallest (doc_id, row) of its component."""
+    prints = Staged(fingerprints(docs, shingle), "fingerprints").df
+    name = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "row")
+    points = Staged(prints.groupBy("fp").agg(F.min(name).alias("first")), "points").df
+    roots = components(links(points.select("fp"), radius))
+    owned = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = owned.groupBy("root").agg(F.min("first").alias("least"))
+    return prints, Staged(owned.join(smallest, "root").select("fp", "least"), "classes").df
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row: documents are linked when their fingerprints differ in at most ``radius`` bits.
 
@@ -153,11 +168,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataF
     all of them are null. Rows with the same or a null doc_id are separate documents. Null and empty texts have
     fingerprint 0 and link like any other.
     """
-    prints = Staged(fingerprints(docs, shingle), "fingerprints").df
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    points = Staged(points, "points").df
-    roots = components(links(points.select("fp"), radius))
-    owned = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = owned.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, classes = _classes(docs, shingle, radius)
+    component = F.when(F.col("least.id") < _LAST, F.col("least.id"))
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component (null last, ties by the text's hash), one of repeated rows."""
+    _, classes = _classes(docs, shingle, radius)
+    chosen = classes.select("least.id", "least.row").distinct()
+    named = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("row"))
+    one = F.row_number().over(Window.partitionBy("id", "row").orderBy(F.lit(0)))
+    return named.join(chosen, ["id", "row"], "left_semi").withColumn("n", one).filter("n = 1").select("doc.*")
