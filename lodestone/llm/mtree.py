@@ -205,7 +205,7 @@ class Index:
         block = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v"), F.element_at(per_cell, (F.col("cell") + 1).cast("int")))
         top, dims = self.top, self.dims
 
-        def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             tree = build_tree(pdf["vec_id"].to_numpy(np.int64), _lift(_matrix(pdf["v"].tolist(), dims), top))
             return pd.DataFrame({"block": [int(key[0])], "tree": [_pack(tree)]})
 

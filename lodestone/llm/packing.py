@@ -1,10 +1,10 @@
 """Best-fit packing with certified bin counts.
 
 Pieces are dealt into partitions of bounded size. Each partition runs best-fit decreasing and computes a lower bound on
-its own bins from dual-feasible functions. Where bins and bound agree, the partition is certified and its bins are final.
-The others have a gap: they keep their full bins, put the pieces of their open bins into a common pool, and the pool is
-dealt anew over half as many partitions, so that pieces of different partitions meet. This goes on until no gap is left,
-the whole pool meets the bound, or one partition holds it.
+its own bins from dual-feasible functions. Where bins and bound agree, the partition is certified: its bins are final, but
+for one that is far from full only because the partition ends there. The others have a gap and keep only their full bins.
+The pieces of all other bins go into a common pool, which is dealt anew over half as many partitions, so that pieces of
+different partitions meet. This goes on until the pool fills as few bins as its volume needs, or one partition holds it.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def bin_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def _pack_part(capacity: int, turn: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", ignore_index=True)
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offsets, room = pack_sizes(sizes, capacity)
@@ -87,7 +87,7 @@ def _pack_part(capacity: int, turn: int):
         part = int(key[0])
         return pd.DataFrame({
             "uid": pdf["uid"], "length": sizes, "part": part, "sequence_id": (turn << 56) | (part << 28) | bins, "offset": offsets,
-            "open": (len(room) > bound) & (room[bins] > 0), "head": offsets == 0, "gap": len(room) - bound,
+            "open": room[bins] > (0 if len(room) > bound else capacity // 8), "head": offsets == 0, "gap": len(room) - bound,
         })
 
     return run
