@@ -29,7 +29,7 @@ SAMPLE_ROWS = 4096  # the rows that the pivots are fitted on
 CELLS = 16
 BLOCK_ROWS = 4096
 CHUNK_QUERIES = 512
-PAGE = 64
+PAGE = 256
 FAN_OUT = 8
 MARGIN = 1e-6
 EXACT = 2.0**53
@@ -150,13 +150,16 @@ class Search:
             apart = np.abs(d - (t["to_pivot"][a : a + n] if t["leaf"][node] else t["up"][a : a + n]))
             if not t["leaf"][node]:
                 apart = apart - t["radius"][a : a + n]
-            near = np.arange(a, a + n)
+            near: slice | np.ndarray = slice(a, a + n)
             if worst is not None:  # the stored distances alone
                 low = np.maximum(0.0, apart * (1 - MARGIN) - MARGIN)
-                near = near[np.floor((base - low * low) / 2 + MARGIN * max(1.0, abs(base))) >= worst[0]]
-            self.computed += len(near)
-            if not len(near):
-                continue
+                may = np.floor((base - low * low) / 2 + MARGIN * max(1.0, abs(base))) >= worst[0]
+                count = int(np.count_nonzero(may))
+                if not count:
+                    continue
+                if count < n:
+                    near, n = a + np.flatnonzero(may), count
+            self.computed += n
             if t["leaf"][node]:
                 scores, ids = self.exact[near] @ whole, t["ids"][near]
                 good = ids != own
@@ -171,7 +174,8 @@ class Search:
                     worst = best[0]
             else:
                 away = _distance(t["pivot"][near], point)
-                for j, dj in zip(near.tolist(), away.tolist(), strict=True):
+                names = range(a, a + n) if isinstance(near, slice) else near.tolist()
+                for j, dj in zip(names, away.tolist(), strict=True):
                     heapq.heappush(heap, (-reach(dj - t["radius"][j]), int(t["least"][j]), j, dj))
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
