@@ -138,11 +138,12 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", **how) -> Dat
 
 def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, step = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        enc, step = encoder(tokenizer), 4 * capacity
+        end = np.array([end_id], dtype=enc.ids).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.frombuffer(x + end, enc.ids).astype("<u4").tobytes() for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 rows = [(d, i, at // 4, x[at : at + step]) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for i, at in enumerate(range(0, len(x), step))]
                 cols = [
                     pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),

@@ -21,7 +21,7 @@ from lodestone.llm.tokenizing import encoder
 SCHEMA = "doc_id long, part int, first long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CHUNK_ROWS = 256
+CHUNK_ROWS = 512
 
 
 def _encode(tokenizer: str, end_id: int):
@@ -29,14 +29,15 @@ def _encode(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         part, first = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
+        end, width = np.array([end_id], dtype=enc.ids).tobytes(), enc.ids.itemsize
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK_ROWS):
                 piece = batch.slice(k, CHUNK_ROWS)
                 ids = [x + end for x in enc.encode([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.fromiter((len(x) >> 2 for x in ids), dtype=np.int64, count=len(ids))
+                n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
                 ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                values = pa.array(np.frombuffer(b"".join(ids), dtype=enc.ids).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(first + ends - n), pa.array(n, pa.int32()), lists],
@@ -50,17 +51,24 @@ def _encode(tokenizer: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encodes each whole text (null: empty), appends ``end_id``, and writes the ids to ``path`` in ascending order of id.
 
-    Rows with the same id are separate documents, in the order of their texts' hashes; a null id comes first. An empty
-    table gives a folder without rows. Other columns, whatever their names, are left out.
+    Rows with the same id are separate documents, next to each other in any order; a null id comes first. An empty table gives a
+    folder without rows. Other columns, whatever their names, are left out.
     """
-    tie = F.xxhash64("text")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ordered.repartitionByRange(partitions or shuffle_partitions(docs.sparkSession), "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    n = partitions or shuffle_partitions(docs.sparkSession)
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    # the ranges come from the ids alone, so that texts are read once; a range's first id may also end the one before
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    bounds = F.lit(sorted(cuts or [])) if cuts else F.array().cast("array<long>")
+    low, high = (F.coalesce(F.size(F.filter(bounds, f)), F.lit(0)) for f in (lambda x: x < F.col("doc_id"), lambda x: x <= F.col("doc_id")))
+    # rows of one id that fill several ranges are spread over them by their numbers
+    part = low + F.pmod(F.xxhash64("nth"), high - low + 1).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("nth"))
+    ordered = rows.withColumn("range", part).repartitionById(n, "range").sortWithinPartitions("doc_id", "nth")
     (
-        ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+        ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("orc.compress", "ZSTD").orc(path)
+        .option("orc.compress", "NONE").orc(path)
     )
 
 
@@ -83,7 +91,7 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(2)
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        flat = lists.values.to_numpy(zero_copy_only=False).view("<u4")
         at = lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -15,8 +15,9 @@ import numpy as np
 
 from lodestone.llm._common import worker_cache
 
-CACHE_PIECES = 600_000  # distinct pieces kept by a worker; beyond that the cache starts anew
+CACHE_PIECES = 1_200_000  # distinct pieces kept by a worker, in two generations: the older half goes when the newer is full
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = ".,;:!?"  # after letters, each is a unit of its own
 _GROUP = 256  # new pieces that go to the library as one text
 _MARK = "\ue000"  # a private character between pieces; a piece that holds it goes alone
 
@@ -31,7 +32,7 @@ def resolve(tokenizer: str) -> str:
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives the ids of each text as little-endian unsigned integers of type ``ids``: 16 bits where the vocabulary fits."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -41,6 +42,7 @@ class PieceEncoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.ids = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
             self.cut = "space-led"
@@ -48,27 +50,28 @@ class PieceEncoder:
             self.cut = "words"
         else:
             self.cut = "none"
-        self.mark = np.array(self.library.encode(_MARK, add_special_tokens=False).ids, dtype="<u4")
+        self.mark = np.array(self.library.encode(_MARK, add_special_tokens=False).ids, dtype=self.ids)
         self.break_id = self.library.encode("\n", add_special_tokens=False).ids
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.marks = {c: self._ids([c])[0] for c in _MARKS}
+        self.newline = self._ids(["\n"])[0]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-
-    def _grouped(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """As ``_ids`` of ``lead`` + each piece, with many pieces in one call, divided again at the marks between them."""
-        alone = [p for p in pieces if _MARK in p]
-        pieces = [p for p in pieces if _MARK not in p] if alone else pieces
+        return [np.array(e.ids, dtype=self.ids).tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+
+    def _grouped(self, pieces: list[str], lead: str, into: dict[str, bytes | None]) -> None:
+        """Puts the ids of ``lead`` + each piece into ``into``: many pieces go in one call, and are divided again at the marks between them."""
+        words, alone = self.cut == "words", []
+        if words:
+            alone = [p for p in pieces if _MARK in p]
+            pieces = [p for p in pieces if _MARK not in p] if alone else pieces
         groups = [pieces[k : k + _GROUP] for k in range(0, len(pieces), _GROUP)]
-        if self.cut == "words":
-            texts = [f" {_MARK} ".join(g) for g in groups]
-        else:
-            texts = [lead + f"\n{lead}".join(g) for g in groups]
-        out: dict[str, bytes] = {}
-        for g, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            if self.cut == "words":
+        between = f" {_MARK} " if words else f"\n{lead}"
+        width = self.ids.itemsize
+        for g, e in zip(groups, self.library.encode_batch_fast([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.ids)
+            if words:
                 n = len(self.mark)
                 hit = ids[: len(ids) - n + 1] == self.mark[0]
                 for k in range(1, n):
@@ -79,53 +82,78 @@ class PieceEncoder:
             if len(at) != len(g) - 1:
                 alone += g
                 continue
-            raw, begin = ids.tobytes(), 0
-            for p, stop in zip(g, [*at.tolist(), len(ids)], strict=True):
-                out[p] = raw[4 * begin : 4 * stop]
-                begin = stop + n
-        out.update(zip(alone, self._ids([lead + p for p in alone]), strict=True))
-        return out
-
-    def _learn(self, cache: dict, pieces: set[str], lead: str) -> None:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = list(pieces.difference(cache))
-        if lead or self.cut == "space-led":  # an empty piece, or white space at an end: the border may not hold
-            odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-            cache.update(dict.fromkeys(odd))
-            new = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        if new:
-            cache.update(self._grouped(new, lead))
+            raw, begin, gap = ids.tobytes(), 0, width * n
+            for p, stop in zip(g, [*(width * at).tolist(), len(raw)], strict=True):
+                into[p] = raw[begin:stop]
+                begin = stop + gap
+        if alone:
+            into.update(zip(alone, self._ids([lead + p for p in alone]), strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Brings the ids of all ``pieces`` into ``known``; None for one whose borders may not hold."""
+        if len(self.known) > CACHE_PIECES // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = pieces.difference(known)
+        if older:
+            known.update([(p, older[p]) for p in new if p in older])
+            new.difference_update([p for p in new if p in older])
+        if not new:
+            return
+        stems: dict[str, str] = {}
+        after: list[str] = []  # after a line break
+        plain: set[str] = set()
+        for p in new:
+            if p.isalpha():
+                plain.add(p)
+                continue
+            q = p
+            if self.cut == "space-led":
+                if not p or p.isspace():
+                    known[p] = None
+                    continue
+                if p[0] == "\n":
+                    q = p[1:]
+                if q[0].isspace() or q[-1].isspace():
+                    known[p] = None
+                    continue
+            if len(p) > 1 and p[-1] in _MARKS and q[:-1].isalpha():
+                stems[p] = s = p[:-1]
+                if s not in known:
+                    after.append(s) if q is not p else plain.add(s)
+            elif q is not p:
+                after.append(p)
+            else:
+                plain.add(p)
+        if plain:
+            self._grouped(list(plain), " " if self.cut == "space-led" else "", known)
+        if after:
+            ids: dict[str, bytes | None] = {}
+            self._grouped(list({p[1:] for p in after}), "", ids)
+            known.update((p, self.newline + ids[p[1:]]) for p in after)
+        for p, s in stems.items():
+            known[p] = known[s] + self.marks[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut == "words":
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.first, {""}.union(*cut), "")
-            get = self.first.__getitem__
-            return [b"".join(map(get, pieces)) for pieces in cut]
         if self.cut == "none":
             return self._ids(texts)
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.first, {"\n"}.union(line[0] for lines in cut for line in lines), "")
-        self._learn(self.later, set().union(*(line[1:] for lines in cut for line in lines)), " ")
-        if not hasattr(self, "newline"):
-            self.newline = self._ids(["\n"])[0]
-        first, later, out, hard = self.first.__getitem__, self.later.__getitem__, [], []
-        for k, lines in enumerate(cut):
-            parts: list[bytes] = []
-            for line in lines:
-                parts.append(self.newline)
-                parts.append(first(line[0]))
-                parts.extend(map(later, line[1:]))
+        if self.cut == "words":
+            cut = [t.replace("\n", " ").split(" ") for t in texts]
+        else:  # a line break in front, whose id goes again, makes the first piece like those of other lines
+            cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        self._learn(set().union(*cut))
+        get, out, hard = self.known.__getitem__, [], []
+        for k, pieces in enumerate(cut):
             try:
-                out.append(b"".join(parts[1:]))
-            except TypeError:  # a None: a border that may not hold
+                out.append(b"".join(map(get, pieces)))
+            except TypeError:  # a None
                 out.append(b"")
                 hard.append(k)
+        if self.cut == "space-led":
+            out = [x[len(self.newline) :] for x in out]
         for k in hard:
             pieces = _BORDER.split(texts[k])
-            ids = self._ids([pieces[0], *(" " + p for p in pieces[1:])])
-            out[k] = b"".join(ids)
+            out[k] = b"".join(self._ids([pieces[0], *(" " + p for p in pieces[1:])]))
         return out
 
 
