@@ -96,14 +96,14 @@ def condensed(question: Column, rewritten: Column) -> Column:
 
 def sub_questions(question: Column, answer: Column, most: int = 4) -> Column:
     """The lines of ``answer``; fewer than two leave the question as it is."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(lines) < 2, F.array(question)).otherwise(F.slice(lines, 1, most))
 
 
 def judge_score(raw: Column) -> Column:
     """The score of the first JSON object in a judge's answer, between 0 and 10; 0 where there is none."""
     found = F.get_json_object(F.regexp_extract(raw, r"(?s)\{[^{}]+\}", 0), "$.score")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), found.try_cast("double"))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce(found.try_cast("double"), F.lit(0.0))))
 
 
 def judge_reason(raw: Column) -> Column:
