@@ -57,10 +57,15 @@ SELECT user_id, sum(n)::BIGINT AS n_visible FROM users JOIN d ON CASE visibility
   ELSE owner_id = user_id OR (kind = 'internal' AND role = 'admin') END GROUP BY user_id""",
 )
 def acl_counts_by_user(t):
-    # documents are counted per access class first: the join is by class, of which there are few, and not by document
-    classes = t.docs.groupBy("visibility", "owner_id", "group_id").agg(F.count("*").alias("n"))
-    seen = t.users.join(F.broadcast(classes), acl.can_view(F.col("visibility"), F.col("owner_id"), F.col("group_id"), F.col("kind"), F.col("user_id"), F.array(F.col("user_id") % 5), F.col("role")))
-    return seen.groupBy("user_id").agg(F.sum("n").alias("n_visible"))
+    # documents are counted per owner, group and in all first, so users meet counts by equal keys and no document
+    docs, vis = t.docs, F.col("visibility")
+    by_owner = docs.filter(vis.isin(acl.PRIVATE, acl.CLIENT)).groupBy(F.col("owner_id").alias("user_id")).agg(F.count_if(vis == acl.PRIVATE).alias("own"), F.count_if(vis == acl.CLIENT).alias("mine"))
+    by_group = docs.filter(vis == acl.GROUP).groupBy("group_id").agg(F.count("*").alias("shared"))
+    totals = docs.agg(F.count_if(vis == acl.PUBLIC).alias("public"), F.count_if(vis == acl.CLIENT).alias("clients"))
+    users = t.users.withColumn("group_id", F.col("user_id") % 5).join(by_owner, "user_id", "left").join(by_group, "group_id", "left").crossJoin(F.broadcast(totals))  # one row
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    internal = n("public") + n("own") + n("shared") + F.when(F.col("role") == "admin", n("clients")).otherwise(n("mine"))
+    return users.select("user_id", F.when(F.col("kind") == "client", n("mine")).otherwise(internal).alias("n_visible")).filter("n_visible > 0")
 
 
 @query("docs", " SELECT doc_id, coalesce(visibility = 'internal_public' OR (visibility = 'internal_group' AND group_id = 3) OR (visibility IN ('internal_private', 'client_private') AND owner_id = 8), false) AS can_view FROM docs")
@@ -731,3 +736,135 @@ def incremental_index(t):
 @query("logs", " SELECT user_id AS key, arg_max(question, (started_at, question)) AS value, max(started_at) AS ts FROM logs GROUP BY user_id")
 def config_latest(t):
     return streams.current_config(t.logs.select(F.col("user_id").alias("key"), F.col("question").alias("value"), F.col("started_at").alias("ts")))
+
+
+# ---- further reads
+
+
+@query(None, "SELECT count(*) AS files, sum(n)::BIGINT AS documents, sum(chars)::BIGINT AS chars FROM (SELECT source, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source)")
+def registry_totals(t):
+    sums = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return sums.agg(F.count("*").alias("files"), F.sum("n").alias("documents"), F.sum("chars").alias("chars"))
+
+
+@query(None, f"WITH {_FUSED} SELECT qid, max(score) AS best FROM cand GROUP BY qid")
+def best_source_score(t):
+    listed = answer.hybrid(t.documents, _asked(t)).groupBy("qid").agg(F.collect_list(F.struct("doc_id", "score")).alias("sources"))
+    return listed.select("qid", F.array_max(F.transform("sources", lambda x: x["score"])).alias("best"))
+
+
+@query(None, "SELECT source, round(100.0 * count(vec_id) / count(*), 6) AS percent FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source")
+def index_coverage(t):
+    both = t.documents.select("doc_id", "source").join(t.embeddings.select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left")
+    return both.groupBy("source").agg(F.round(100.0 * F.count("vec_id") / F.nullif(F.count("*"), F.lit(0)), 6).alias("percent"))
+
+
+@query("logs", " SELECT CASE WHEN latency / 100 >= 0.7 THEN 'good' WHEN latency / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM logs GROUP BY 1")
+def score_bands(t):
+    return t.logs.groupBy(policy.score_band(F.col("latency") / 100).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("logs", " SELECT question, ceil(0.5 * count(*))::BIGINT AS quick_minutes, ceil(0.5 * count(*))::BIGINT + 6 AS judged_minutes FROM logs GROUP BY question")
+def time_estimate(t):
+    quick = F.ceil(F.lit(0.5) * F.count("*"))
+    return t.logs.groupBy("question").agg(quick.alias("quick_minutes"), (quick + 2 * 3).alias("judged_minutes"))
+
+
+@query("logs", " SELECT id, round(latency * 1000, 1) AS ms, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS at FROM logs")
+def latency_ms(t):
+    return t.logs.select("id", F.round(F.col("latency") * 1000, 1).alias("ms"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+@query(None, "SELECT doc_id, list(sha256(chunk)[:16] ORDER BY i) AS hashes FROM (SELECT doc_id, start // 350 AS i, substr(text, start + 1, 550) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY doc_id")
+def nested_chunks(t):
+    chunks = chunking.stride_chunks(t.documents.select("doc_id", "text"), 550, 200).select("doc_id", F.struct("chunk_index", text.content_hash(F.col("chunk")).alias("hash")).alias("c"))
+    return chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["hash"]).alias("hashes"))
+
+
+@query("messages", " SELECT d.doc_id, CASE WHEN length(m.content) > 1.5 * length(d.text) THEN m.content ELSE d.text END AS text FROM documents d LEFT JOIN messages m ON m.id = d.doc_id")
+def ocr_override(t):
+    seen = t.documents.select("doc_id", "text").join(t.messages.select(F.col("id").alias("doc_id"), "content"), "doc_id", "left")
+    return seen.select("doc_id", text.better_text(F.col("text"), F.col("content")).alias("text"))
+
+
+@query(None, "SELECT user_id, list(event_id ORDER BY round(value / 10) * 10, event_id) AS blocks FROM events GROUP BY user_id")
+def block_order(t):
+    blocks = F.array_sort(F.collect_list(F.struct((F.round(F.col("value") / 10) * 10).alias("y"), "event_id")))
+    return t.events.groupBy("user_id").agg(F.transform(blocks, lambda b: b["event_id"]).alias("blocks"))
+
+
+@query(None, "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
+def point_lookup(t):
+    return t.customer.filter(F.col("c_custkey") == 7).select("c_custkey", "c_name")
+
+
+@query("users", " SELECT count(*) > 0 AS has_admin FROM (SELECT 1 FROM users WHERE role = 'admin' LIMIT 1)")
+def exists_admin(t):
+    return t.users.filter(F.col("role") == "admin").limit(1).agg((F.count("*") > 0).alias("has_admin"))
+
+
+@query("docs", " SELECT doc_id, source FROM docs WHERE source = 'src3' AND owner_id IS NULL AND group_id IS NOT DISTINCT FROM 3 ORDER BY doc_id DESC LIMIT 1")
+def active_slot(t):
+    slot = (F.col("source") == "src3") & F.col("owner_id").eqNullSafe(F.lit(None)) & F.col("group_id").eqNullSafe(F.lit(3))
+    return tables.page(t.docs.filter(slot), [F.desc("doc_id")], 1).select("doc_id", "source")
+
+
+@query("docs", " SELECT doc_id, visibility IN ('internal_private', 'client_private') AND owner_id IS NOT DISTINCT FROM 7 AS can_edit FROM docs")
+def edit_rights(t):
+    return t.docs.select("doc_id", acl.can_edit(F.col("visibility"), F.col("owner_id"), F.lit(7), F.lit("user")).alias("can_edit"))
+
+
+@query("docs", " SELECT owner_id, source, count(*) AS n FROM docs WHERE visibility <> 'internal_group' GROUP BY ALL HAVING count(*) > 1")
+def active_name_conflicts(t):
+    return tables.duplicates(t.docs.filter(F.col("visibility") != acl.GROUP), ["owner_id", "source"])
+
+
+@query("docs memberships", " SELECT doc_id FROM docs WHERE visibility = 'internal_group' AND group_id IN (SELECT group_id FROM memberships WHERE user_id % 100 = 1)")
+def group_documents(t):
+    mine = t.memberships.filter(F.col("user_id") % 100 == 1)
+    return t.docs.filter(F.col("visibility") == acl.GROUP).join(mine, "group_id", "left_semi").select("doc_id")
+
+
+@query(None, "SELECT DISTINCT source FROM documents WHERE source IN (SELECT 'src' || l_linenumber FROM lineitem)")
+def upload_conflicts(t):
+    new = t.lineitem.select(F.concat(F.lit("src"), F.col("l_linenumber").cast("string")).alias("source"))
+    return t.documents.select("source").distinct().join(new, "source", "left_semi")
+
+
+@query(
+    None,
+    """SELECT user_id, list_sort(list_intersect(k, ['click', 'error', 'other'])) AS expensive, list_sort(list_filter(['click', 'view', 'other'], lambda x: NOT list_contains(k, x))) AS missing, list_sort(k) AS keys
+FROM (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY user_id)""",
+)
+def config_keys(t):
+    known = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    want = lambda *v: F.array(*map(F.lit, v))
+    return known.select("user_id", F.array_sort(F.array_intersect("k", want("click", "error", "other"))).alias("expensive"), F.array_sort(F.array_except(want("click", "view", "other"), F.col("k"))).alias("missing"), F.array_sort("k").alias("keys"))
+
+
+@query(
+    None,
+    """WITH p(param, key) AS (VALUES ('view', 'retrieval.view'), ('click', 'retrieval.click'), ('error', 'retrieval.error'))
+SELECT key, event_type AS param, max(value)::VARCHAR IS NOT NULL AS applied, key IS NULL AS failed FROM (SELECT DISTINCT event_type, 1 AS value FROM events) e LEFT JOIN p ON event_type = param GROUP BY ALL""",
+)
+def apply_run_config(t):
+    names = t.spark.createDataFrame([(x, f"retrieval.{x}") for x in ("view", "click", "error")], "param string, key string")
+    config = t.events.select("event_type").distinct().agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.lit("1")))).alias("config"))
+    each = config.select(F.explode("config").alias("param", "value")).join(F.broadcast(names), "param", "left")  # three names
+    return each.select("key", "param", F.col("value").isNotNull().alias("applied"), F.col("key").isNull().alias("failed"))
+
+
+@query("logs", " SELECT user_id, arg_max(status, (started_at, id)) AS status, min(started_at) FILTER (WHERE status = 'running') AS first_run, count_if(status = 'failed')::BIGINT AS failures FROM logs GROUP BY user_id")
+def job_transitions(t):
+    last = F.max_by("status", F.struct("started_at", "id"))
+    return t.logs.groupBy("user_id").agg(last.alias("status"), F.min(F.when(F.col("status") == "running", F.col("started_at"))).alias("first_run"), F.count_if(F.col("status") == "failed").alias("failures"))
+
+
+@query("messages", " SELECT DISTINCT conv_id FROM messages WHERE contains(lower(content), 'the ') OR contains(lower(content), 'de ')")
+def conversation_search(t):
+    return t.messages.filter(tables.contains_text(F.col("content"), "the ") | tables.contains_text(F.col("content"), "de ")).select("conv_id").distinct()
+
+
+@query(None, "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\t[^\t]*\t|    ')))::INTEGER AS tabular FROM documents")
+def tabular_lines(t):
+    return t.documents.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), text.tabular_lines(F.col("text")).alias("tabular"))
