@@ -33,17 +33,19 @@ CLOSES_P = BLOCK - {"html", "body"}
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored sponsors promo promos promotion promotions sidebar sidebars aside menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer foot header masthead topbar toolbar comment comments commentlist respond replies reply disqus cookie cookies consent gdpr notice notices alert notification notifications popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations recirc widget widgets pagination pager tags tagcloud skip search form copyright disclaimer legal contentinfo complementary".split()
 )
-FUNCTION_WORDS = frozenset(
-    "a about after all also an and any are as at be been but by can could did do for from had has have he her him his how i if in into is it its more most my no not of on one or our out she so some than that the their them then there these they this to up us was we were what when where which who will with would you your "
-    "aber als am an auch auf aus bei bin bis das dass dem den der des die doch du durch ein eine einem einen einer er es für hat ich im in ist ja kann mit nach nicht noch nur oder sich sie sind so über um und unter vom von vor war was wenn wer wie wir wird zu zum zur "
-    "au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais me même ne nous on ou où par pas pour plus qu que qui sa se ses si son sont sur un une vous y "
-    "al algo como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()
-)
+#: function words by language
+FUNCTION_WORDS = {
+    "en": frozenset("a about after all also an and any are as at be been but by can could did do for from had has have he her him his how i if in into is it its more most my no not of on one or our out she so some than that the their them then there these they this to up us was we were what when where which who will with would you your".split()),
+    "de": frozenset("aber als am an auch auf aus bei bin bis das dass dem den der des die doch du durch ein eine einem einen einer er es für hat ich im in ist ja kann mit nach nicht noch nur oder sich sie sind so über um und unter vom von vor war was wenn wer wie wir wird zu zum zur".split()),
+    "fr": frozenset("au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais me même ne nous on ou où par pas pour plus qu que qui sa se ses si son sont sur un une vous y".split()),
+    "es": frozenset("al algo como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()),
+}
+ANY_FUNCTION_WORD = frozenset().union(*FUNCTION_WORDS.values())
 SHORT, LONG = 70, 200  # characters
 LINKED = 0.5  # link share from which a block is boilerplate
 DENSE, SPARSE = 0.25, 0.1  # function word shares
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+(?:>|$))", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -65,7 +67,7 @@ class Block:
         if linked > LINKED:
             return BAD
         words = _WORDS.findall(text.lower())
-        dense = sum(w in FUNCTION_WORDS for w in words) / len(words) if words else 0.0
+        dense = sum(w in ANY_FUNCTION_WORD for w in words) / len(words) if words else 0.0
         if len(text) < SHORT:
             return OPEN
         if dense >= DENSE:
@@ -159,7 +161,7 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), m[3].removesuffix(">")
         if m[1]:
             if tag in BLOCK:
                 flush()
@@ -199,13 +201,13 @@ def blocks(page: str) -> list[Block]:
                         while len(stack) > k:
                             pop()
                         break
-        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "path")):
+        if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        push(tag, m[3])
+        push(tag, attributes)
         if tag in SKIPPED:
             skipping += 1
         if tag == "a":

@@ -256,6 +256,8 @@ def test_extraction_of_other_pages():
     not the way to do it.</p></div><div class="user-comments"><p>I think that this is the best article of all and it was fun to read.</p></div>
     <div>Copyright 2020</div><script>if (a < b) "</p>"</script><!-- > --><form><p>Tell us what you think of the page and of all that is on it, if you will.</p></form>"""
     assert extraction.main_text(page).split("\n")[0::2] == ["A & B", "Short."] and len(extraction.main_text(page).split("\n")) == 4
+    assert extraction.main_text("<article><p title=it's>a</p><p>1 < 2 &lt; 3<br>b</p><p>c</p><img alt='>'><p>d <a href=\"x") == "a\n1 < 2 < 3 b\nc\nd"
+    assert extraction.main_text("<article>" * 3000 + "deep" + "<p class='" * 50) == "deep"
     main = "<main><header><h1>T</h1></header><p>a<p>b <a href=x>link</a><ul><li>one<li>two</ul><aside>no</aside><div class='cookie-notice'>x</div><section id=comments><p>hi</p></section><pre>x\n y</pre></main>"
     assert extraction.main_text(main).split("\n") == ["T", "a", "b link", "one", "two", "x y"]
 
