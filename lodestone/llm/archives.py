@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import Staged
 
 SHARD_BYTES = 8 << 20
+_READ_BYTES = 1 << 16
 REVISIT_BYTES = 100  # shorter payloads are always stored
 DATE = "20240101000000"
 # fixed values: the header fields of the two versions of the ARC format, and names of the WARC format
@@ -143,10 +144,16 @@ def convert(arc: bytes, originals: dict[int, int]) -> Iterator[bytes]:
 
 def read_members(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each WARC record in a file of gzip members, by the declared lengths."""
-    while raw:
-        unpack = zlib.decompressobj(31)
-        record = unpack.decompress(raw) + unpack.flush()
-        raw = unpack.unused_data
+    at = 0
+    while at < len(raw):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = raw[at : at + _READ_BYTES]
+            if not piece:
+                raise ValueError("an archive ends inside a record")
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):

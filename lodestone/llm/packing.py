@@ -4,7 +4,7 @@ Pieces are dealt into partitions of bounded size. Each partition runs best-fit d
 its own bins from dual-feasible functions. Where bins and bound agree, the partition is certified: its bins are final, but
 for one that is far from full only because the partition ends there. The others have a gap and keep only their full bins.
 The pieces of all other bins go into a common pool, which is dealt anew over half as many partitions, so that pieces of
-different partitions meet. This goes on until the pool fills as few bins as its volume needs, or one partition holds it.
+different partitions meet. This goes on until the pool's bins meet the bound over all of it, or one partition holds it.
 """
 
 from __future__ import annotations
@@ -108,14 +108,18 @@ def place(items: DataFrame, capacity: int, part_pieces: int = PART_PIECES, round
     for turn in range(rounds + 1):
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(max(1, parts))))
         placed = Staged(dealt.groupBy("part").applyInPandas(_pack_part(capacity, turn), PLACED), f"packed{turn}").df
-        left = placed.agg(F.count_if("open").alias("n"), F.count_if(F.col("open") & F.col("head")).alias("bins"), F.sum(F.when(F.col("open"), F.col("length"))).alias("size")).first()
-        # one partition cannot exchange, and open bins that hold what they must cannot be fewer
-        if not left["n"] or parts <= 1 or turn == rounds or left["bins"] <= -(-left["size"] // capacity):
+        lengths = placed.filter("open").groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity + 1 rows at most
+        counts = np.zeros(capacity + 1, np.int64)
+        for r in lengths:
+            counts[r["length"]] = r["n"]
+        bins = placed.filter(F.col("open") & F.col("head")).select("sequence_id").distinct().count() if lengths else 0
+        # a pool in as few bins as its bound is certified, and one partition cannot exchange
+        if parts <= 1 or turn == rounds or bins <= bin_bound(counts, capacity):
             done.append(placed)
             break
         done.append(placed.filter(~F.col("open")))
         pool = placed.filter("open").select("uid", "length")
-        parts = min(max(1, parts // 2), -(-left["n"] // part_pieces))
+        parts = min(max(1, parts // 2), -(-int(counts.sum()) // part_pieces))
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)

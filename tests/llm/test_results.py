@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from lodestone.llm import archives, extraction, licenses, mtree, packing, quality, queries, simhash, token_files
+from lodestone.llm import archives, extraction, licenses, line_dedup, mtree, packing, quality, queries, simhash, token_files
 from lodestone.llm._common import new_path, stage
 from lodestone.llm.tokenizing import PieceEncoder, resolve
 
@@ -38,6 +38,26 @@ def test_sql(spark, sf_dir, duck, name):
     assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[k] for k in at)) for r in cursor.fetchall())
 
 
+@pytest.mark.parametrize(("min_docs", "keep_first"), [(1, True), (2, True), (3, False), (3, True)])
+def test_line_dedup_keeps_the_first(spark, min_docs, keep_first):
+    """Few keys over many partitions, so that runs cross their borders."""
+    rng = np.random.default_rng(min_docs)
+    docs = {i: "\n".join(["A ", "b", " a", "c", "", "d e"][k] for k in rng.integers(0, 6, rng.integers(1, 9))) for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    lines = {i: [lower(x).strip() for x in t.split("\n")] for i, t in docs.items()}
+    found = collections.Counter(k for keys in lines.values() for k in set(keys) if k)
+    seen, want = set(), set()
+    for i in sorted(lines):
+        for pos, k in enumerate(lines[i]):
+            if k and found[k] >= min_docs and (k in seen or not keep_first):
+                want.add((i, pos))
+            seen.add(k)
+    how = {"min_docs": min_docs, "keep_first": keep_first}
+    assert {(r.doc_id, r.pos) for r in line_dedup.dropped_lines(df, **how).collect()} == want
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(df, **how).collect()}
+    assert kept == {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos) not in want) for i, t in docs.items()}
+
+
 def brute_components(fps, radius):
     ids = sorted(fps)
     root = {i: i for i in ids}
@@ -270,6 +290,8 @@ def test_archive_versions():
         assert [list(r.fields) for r in records] == [archives.ARC_FIELDS[version]] * 3 and records[1].content.endswith(b"\r\n\r\nbody")
         warc = [h for h, _ in archives.read_members(b"".join(archives.convert(raw, {7: 3})))]
         assert [h["warc-type"] for h in warc] == ["warcinfo", "revisit", "response"] and warc[1]["warc-date"] == "2024-01-01T00:00:00Z"
+        with pytest.raises(ValueError, match="ends inside"):
+            list(archives.read_members(b"".join(archives.convert(raw, {}))[:-3]))
         with pytest.raises(ValueError, match="declared length"):
             list(archives.read_arc(raw[:-3]))
     block = b"1 0 IA\nURL IP-address Archive-date Content-type Archive-length\n\n"
