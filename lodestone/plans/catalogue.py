@@ -720,6 +720,11 @@ def dedup_watermark(t):
     return t.events.groupBy("event_type").agg(F.min("ts").cast("timestamp").alias("first_ts"))
 
 
+@query(None, "SELECT event_type, time_bucket(INTERVAL 30 SECOND, ts) AS start, count(*) AS n, arg_max(value, (ts, value)) AS last, round(avg(value), 9) AS mean FROM events GROUP BY ALL")
+def gauge_windows(t):
+    return streams.gauges(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "value", "ts").withColumn("mean", F.round("mean", 9))
+
+
 @query("logs", " SELECT id FROM logs WHERE started_at + INTERVAL 7 DAY > TIMESTAMP '2024-01-30'")
 def ttl_expiry(t):
     return streams.alive(t.logs, F.lit("2024-01-30").cast("timestamp"), "started_at", 7 * 86_400).select("id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from lodestone.functions.tokens import tokenize
 from lodestone.operators.tables import latest
@@ -48,6 +50,43 @@ def current_config(changes: DataFrame) -> DataFrame:
     return latest(changes, ["key"], ["ts", "value"])
 
 
+def gauges(events: DataFrame, name: str, value: str, ts: str, seconds: int = 30, late: str | None = None) -> DataFrame:
+    """``name, start, n, last, mean``: one sample of each gauge per window, its last value by time (the larger one of a tie)."""
+    df = events.withWatermark(ts, late) if late else events
+    rows = df.groupBy(name, F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n"), F.max(F.struct(ts, value)).alias("last"), F.avg(value).alias("mean"))
+    return rows.select(name, F.col("w.start").alias("start"), "n", F.col(f"last.{value}").alias("last"), "mean")
+
+
+def orphan_alerts(changes: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
+    """``job_id, started_at`` of each job that runs for longer than ``minutes`` of event time, from a stream of ``job_id, status, ts``.
+
+    A job's state is when it began to run; any other status ends it, and a timer tells of those that nothing ended.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        late_alert = None
+        if state.hasTimedOut:
+            late_alert = state.get[0]
+            state.remove()
+        else:
+            last = max(((t, s) for b in batches for t, s in zip(b["ts"], b["status"], strict=True)), default=None)
+            if last is not None and last[1] != "running":
+                if state.exists:
+                    state.remove()
+            elif last is not None:
+                due = int(last[0].timestamp() * 1000) + minutes * 60_000
+                if due <= state.getCurrentWatermarkMs():
+                    late_alert = last[0]
+                else:
+                    state.update((last[0],))
+                    state.setTimeoutTimestamp(due)
+        if late_alert is not None:
+            yield pd.DataFrame({"job_id": [key[0]], "started_at": [late_alert]})
+
+    keyed = changes.withWatermark("ts", late).groupBy("job_id")
+    return keyed.applyInPandasWithState(follow, "job_id long, started_at timestamp", "started_at timestamp", "append", "EventTimeTimeout")
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Everything that has arrived, exactly once, into Parquet; ends when it has caught up."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

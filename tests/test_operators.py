@@ -223,3 +223,16 @@ def test_ingest_stream(spark, tmp_path):
 def test_cache(spark):
     cache = spark.createDataFrame([(1, [1, 2]), (2, [3]), (3, None)], "id int, document_ids array<int>")
     assert sorted(r.id for r in streams.invalidated(cache, 2).collect()) == [2, 3]
+
+
+def test_orphan_alerts(spark, tmp_path):
+    import datetime as dt
+
+    schema = T._parse_datatype_string("job_id long, status string, ts timestamp")
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    src = str(tmp_path / "jobs")
+    for batch in ([(1, "running", at(0, 0)), (2, "running", at(0, 0))], [(2, "done", at(0, 5)), (3, "running", at(1, 0))], [(4, "pending", at(3, 0))], [(5, "pending", at(4, 0))]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.run_once(streams.orphan_alerts(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(90)
+    assert {r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 3}
