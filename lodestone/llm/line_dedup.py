@@ -118,8 +118,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_f
     """
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text")).mapInArrow(_explode_lines(min_chars), _LINES)
     # written first: finding the ranges samples these rows, and would else hash all lines a second time
-    ordered = Staged(lines, "line-hashes").df.repartitionByRange(shuffle_partitions(docs.sparkSession), "hi", "lo", "doc_id", "row").sortWithinPartitions("hi", "lo", "doc_id", "row", "pos")
+    hashes = Staged(lines, "line-hashes")
+    ordered = hashes.df.repartitionByRange(shuffle_partitions(docs.sparkSession), "hi", "lo", "doc_id", "row").sortWithinPartitions("hi", "lo", "doc_id", "row", "pos")
     found = Staged(ordered.mapInArrow(_stream(min_docs, keep_first), _FOUND), "found-lines").df
+    hashes.drop()
     # two rows a partition at most
     edges = found.filter(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("n").alias("total"), F.min("part").alias("from_part")).filter(F.col("total") >= min_docs)
     settled = found.filter(F.col("kind") == OPEN).join(edges, ["hi", "lo"])

@@ -201,7 +201,8 @@ class Index:
             return
         sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
         self.pivots = _fit_pivots(_lift(_matrix([r["v"] for r in sample], self.dims), self.top), CELLS)
-        celled = Staged(self._with_cell(candidates), "cells").df
+        cells = Staged(self._with_cell(candidates), "cells")
+        celled = cells.df
         radii = {r["cell"]: (r["radius"], r["n"]) for r in celled.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
         self.radius = np.array([radii.get(c, (0.0, 0))[0] for c in range(len(self.pivots))])
         self.n_blocks = [-(-radii.get(c, (0.0, 0))[1] // BLOCK_ROWS) for c in range(len(self.pivots))]
@@ -215,6 +216,7 @@ class Index:
 
         trees = celled.select(block.cast("long").alias("block"), "vec_id", "v").groupBy("block").applyInPandas(build, "block long, tree binary")
         self.blocks = Staged(trees, "mtree").df
+        cells.drop()
 
     def _with_cell(self, rows: DataFrame) -> DataFrame:
         pivots, top, dims = self.pivots, self.top, self.dims

@@ -196,5 +196,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep. Texts are measured twice, for the cutoffs and for the verdicts, and never shuffled."""
-    cuts = cutoffs(Staged(measure(docs), "measures").df, labels, **how)
+    measures = Staged(measure(docs), "measures")
+    cuts = cutoffs(measures.df, labels, **how)
+    measures.drop()
     return judge(measure(docs, F.struct("*")), cuts).filter("kept").select("carried.*")

@@ -3,7 +3,9 @@
 import collections
 import html
 import math
+import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -236,6 +238,50 @@ def test_cutoffs_hold_their_risk(spark):
     assert all(getattr(cuts["x"], f"cut_{r}") > quality.GRID for r in quality.RULES[1:])
 
 
+def brute_cutoffs(rows, labels):
+    """Cutoffs by stratum, from measured rows that pass the base rules, by plain sorting and exact tails."""
+    part = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), 42) + 2**63) % 2**64 - 2**63
+    tuning, holdout, bad = (collections.defaultdict(list) for _ in range(3))
+    for r in rows:
+        scores = [r[x] for x in quality.RULES]
+        if r.doc_id in labels:
+            late = part(r.doc_id) % 1000 >= 700
+            (tuning if late else holdout)[r.stratum].append(scores) if labels[r.doc_id] else bad[r.stratum].append(scores) if late else None
+    out = {}
+    for stratum in holdout:
+        for level in quality.LEVELS:
+            cuts = []
+            for j in range(len(quality.RULES)):
+                clean = sorted((x[j] for x in tuning[stratum]), reverse=True)
+                spare = math.floor(level * len(clean))
+                low = clean[spare] + 1 if len(clean) > spare else 0
+                above = sorted(x[j] for x in bad[stratum] if x[j] >= low)
+                off = not above or len(above) < quality.MIN_CATCH * len(bad[stratum])
+                cuts.append(quality.GRID + 1 if off else math.ceil((low + above[max(0, math.ceil(quality.BAD_TAIL * len(above)) - 1)]) / 2))
+            n = len(holdout[stratum])
+            k = sum(any(a >= b for a, b in zip(x, cuts, strict=True)) for x in holdout[stratum])
+            if sum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(min(k, n) + 1)) > quality.DELTA / len(holdout):
+                break
+            out[stratum] = cuts
+    return out
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.apply_rules(docs, marks).collect()
+    labels = {r.doc_id: r.quality == 1 for r in marks.collect()}
+    cuts = brute_cutoffs([r for r in rows if not r.base_failed], labels)
+    assert cuts
+    for r in rows:
+        failed = any(r[x] >= c for x, c in zip(quality.RULES, cuts.get(r.stratum, []), strict=False))
+        assert r.kept == (not r.base_failed and not failed)
+    clean = [r for r in rows if labels.get(r.doc_id) and not r.base_failed]
+    assert sum(not r.kept for r in clean) <= quality.RISK * len(clean)
+
+
 def test_exact_binomial(spark):
     cases = [(0, 100), (1, 100), (5, 300), (50, 2000), (3, 3), (0, 0), (70, 3000)]
     for r in spark.createDataFrame(cases, "k long, n long").withColumn("p", quality.binomial_tail(F.col("k"), F.col("n"), 0.02)).collect():
