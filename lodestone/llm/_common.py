@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import sys
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``kernel`` for mapInArrow, giving back the memory of its batches when it ends: workers live on, and stages follow each other."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over tasks."""
     return sys.__dict__.setdefault("_lodestone_cache", {})

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import WHITE, Staged, shuffle_partitions, text_bytes
+from lodestone.llm._common import WHITE, Staged, shuffle_partitions, text_bytes, tidy
 
 _BATCH_LINES = 100_000
 _LINES = "hi long, lo long, doc_id long, row long, pos int"
@@ -116,11 +116,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_f
     A line goes if its key (white space stripped, A-Z lower-cased) has ``min_chars`` code points or more and is found in
     ``min_docs`` documents or more; ``keep_first`` spares its first occurrence by doc_id, text hash and position.
     """
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text")).mapInArrow(_explode_lines(min_chars), _LINES)
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text")).mapInArrow(tidy(_explode_lines(min_chars)), _LINES)
     # written first: finding the ranges samples these rows, and would else hash all lines a second time
     hashes = Staged(lines, "line-hashes")
     ordered = hashes.df.repartitionByRange(shuffle_partitions(docs.sparkSession), "hi", "lo", "doc_id", "row").sortWithinPartitions("hi", "lo", "doc_id", "row", "pos")
-    found = Staged(ordered.mapInArrow(_stream(min_docs, keep_first), _FOUND), "found-lines").df
+    found = Staged(ordered.mapInArrow(tidy(_stream(min_docs, keep_first)), _FOUND), "found-lines").df
     hashes.drop()
     # two rows a partition at most
     edges = found.filter(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("n").alias("total"), F.min("part").alias("from_part")).filter(F.col("total") >= min_docs)
@@ -155,7 +155,7 @@ def _to_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True) -> DataFrame:
     """``doc_id, row, keep_bitmap`` for each document that loses a line: zlib over packed bits, 1 for a line that stays, up to the last that goes."""
     lists = dropped_lines(docs, min_docs, min_chars, keep_first).groupBy("doc_id", "row").agg(F.collect_list("pos").alias("pos"))
-    return lists.mapInArrow(_to_bitmaps, "doc_id long, row long, keep_bitmap binary")
+    return lists.mapInArrow(tidy(_to_bitmaps), "doc_id long, row long, keep_bitmap binary")
 
 
 def _apply(with_text: bool):
@@ -186,7 +186,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True) -
     right = bitmaps.select(F.coalesce("doc_id", none).alias("id"), "row", "keep_bitmap")
     joined = left.join(right, ["id", "row"], "left").select("text", "keep_bitmap", "doc")
     schema = T.StructType([joined.schema["doc"], *T._parse_datatype_string("n_lines long, n_dropped long, kept string").fields])
-    return joined.mapInArrow(_apply(with_text), schema)
+    return joined.mapInArrow(tidy(_apply(with_text)), schema)
 
 
 def line_digests(docs: DataFrame, **how) -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Staged, free_name
-from lodestone.llm.tokenizing import encoder
+from lodestone.llm._common import Staged, free_name, tidy
+from lodestone.llm.tokenizing import CACHE_PIECES, encoder
 
 PART_PIECES = 40_000  # pieces that a partition packs at a time
 ROUNDS = 6  # exchanges at most; what is open then stays as packed last
@@ -140,9 +140,9 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", **how) -> Dat
     return rows.join(places.withColumnRenamed("uid", uid), uid).drop(uid)
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step = encoder(tokenizer), 4 * capacity
+        enc, step = encoder(tokenizer, cache_pieces), 4 * capacity
         end = np.array([end_id], dtype=enc.ids).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -162,15 +162,15 @@ def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): each text's ids and ``end_id``, cut where longer than ``capacity``.
 
     A null or empty text is the end id alone. Rows with the same doc_id, or a null one, are separate documents.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer, end_id, capacity, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_cut(tokenizer, end_id, capacity, with_ids, cache_pieces)), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """The pieces of ``docs`` with their ``sequence_id`` and ``offset``. The result of an empty table is empty."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids, cache_pieces), capacity)

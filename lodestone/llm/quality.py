@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import WHITE, Staged, text_bytes
+from lodestone.llm._common import WHITE, Staged, text_bytes, tidy
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -106,7 +106,7 @@ def measure(docs: DataFrame, carried: Column | None = None) -> DataFrame:
     first = F.col("doc_id").cast("long") if carried is None else carried
     rows = docs.select(first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"))
     schema = T.StructType([rows.schema["carried"], *T._parse_datatype_string(f"stratum string, {MEASURES}").fields])
-    out = rows.mapInArrow(_counts, schema)
+    out = rows.mapInArrow(tidy(_counts), schema)
     return out.withColumnRenamed("carried", "doc_id") if carried is None else out
 
 

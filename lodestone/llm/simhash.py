@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Staged, text_bytes
+from lodestone.llm._common import Staged, text_bytes, tidy
 
 SEGMENT_BITS = 2
 
@@ -55,7 +55,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``doc_id, row, fp`` for each row: the hash of its text, and the 64 bits as a signed long. A text without words has 0."""
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), F.xxhash64("text").alias("row"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, row long, fp long")
+    return rows.mapInArrow(tidy(_fingerprints(shingle)), "doc_id long, row long, fp long")
 
 
 _PAIRS = 0x5555555555555555  # the lower bit of each segment

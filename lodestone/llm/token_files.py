@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import shuffle_partitions
+from lodestone.llm._common import shuffle_partitions, tidy
 from lodestone.llm.tokenizing import encoder
 
 SCHEMA = "doc_id long, part int, first long, n_tokens int, ids array<int>"
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("nth"))
     ordered = rows.withColumn("range", part).repartitionById(n, "range").sortWithinPartitions("doc_id", "nth")
     (
-        ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+        ordered.select("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, end_id)), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.compress", "NONE").orc(path)
@@ -99,4 +99,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the ids that were read."""
-    return tokens.select("doc_id", "start", "ids").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(tidy(_digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

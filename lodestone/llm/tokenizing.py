@@ -34,9 +34,10 @@ def resolve(tokenizer: str) -> str:
 class PieceEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned integers of type ``ids``: 16 bits where the vocabulary fits."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self.cache_pieces = cache_pieces
         path = resolve(tokenizer)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -91,7 +92,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Brings the ids of all ``pieces`` into ``known``; None for one whose borders may not hold."""
-        if len(self.known) > CACHE_PIECES // 2:
+        if len(self.known) > self.cache_pieces // 2:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         new = pieces.difference(known)
@@ -157,10 +158,10 @@ class PieceEncoder:
         return out
 
 
-def encoder(tokenizer: str) -> PieceEncoder:
-    """The worker's encoder; it is loaded once."""
+def encoder(tokenizer: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """The worker's encoder, loaded once; a worker keeps the last one it used. A piece takes about 200 bytes of memory."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    cache = worker_cache()
-    if (key := ("encoder", tokenizer)) not in cache:
-        cache[key] = PieceEncoder(tokenizer)
-    return cache[key]
+    cache, key = worker_cache(), (tokenizer, cache_pieces)
+    if cache.get("encoder", (None,))[0] != key:
+        cache["encoder"] = (key, PieceEncoder(tokenizer, cache_pieces))
+    return cache["encoder"][1]
