@@ -15,6 +15,7 @@ from lodestone.llm._common import stage
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
 LINE_DOCS = 10
+CACHE_PIECES = 200_000  # of each worker's encoder: the workers of all stages share the executor's memory
 SHINGLE_WORDS = 5
 RADIUS = 3
 
@@ -41,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most ``SEQUENCE`` tokens; a document that comes twice is packed twice."""
-    return packing.pack_documents(docs, TOKENIZER, SEQUENCE, end_id=0)
+    return packing.pack_documents(docs, TOKENIZER, SEQUENCE, end_id=0, cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
