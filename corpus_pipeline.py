@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose key is in ``LINE_DOCS`` documents or more go from every document; the documents stay, and n_chars follows."""
-    return line_dedup.drop_lines(docs, min_docs=LINE_DOCS, min_chars=1, keep_first=False)
+    """Lines whose key is in ``LINE_DOCS`` documents or more stay at their first occurrence only; the documents stay, and n_chars follows."""
+    return line_dedup.drop_lines(docs, min_docs=LINE_DOCS, min_chars=1, keep_first=True)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
