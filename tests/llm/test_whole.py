@@ -1,5 +1,11 @@
 """Cases where an operator once did less than the whole job."""
 
+import collections
+import os
+import re
+
+import pytest
+
 import corpus_pipeline
 
 
@@ -13,3 +19,63 @@ def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
     assert len(after) == len(rows)
     assert [after[100 * a] for a in range(3)] == articles and not any(after[100 * a + k] for a in range(3) for k in range(1, 12))
     assert [i for i, t in after.items() if "shared footer" in t] == [1000]
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_near(texts):
+    """The pairs of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by counting common shingles."""
+    sets, holders, common = {i: shingles(t) for i, t in texts.items()}, collections.defaultdict(list), collections.Counter()
+    for i, s in sets.items():
+        for x in s or [None]:
+            holders[x].append(i)
+    for ids in holders.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    size = {i: max(1, len(s)) for i, s in sets.items()}
+    return {(a, b) for (a, b), n in common.items() if 5 * n >= 4 * (size[a] + size[b] - n)}
+
+
+def smallest_of_each(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i for i in ids if find(i) == i}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_near_dedup_finds_every_similar_pair(spark, folder):
+    folder = f"/root/testdata/{folder}"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    pairs = brute_near(texts)
+    assert pairs
+    kept = [r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, folder).collect()]
+    assert sorted(kept) == sorted(smallest_of_each(texts, pairs))
+
+
+def test_near_dedup_of_chains_and_threshold(spark):
+    """Copies with some words replaced by new ones, near 0.8 from both sides, and chains that only neighbours link."""
+    texts, at = {}, 0
+    for group in range(12):
+        words = [f"g{group}w{k}" for k in range(120)]
+        for step in range(8):
+            texts[at], at = " ".join(words), at + 1
+            for j in range(1 + group // 4):
+                words[(step * 31 + j * 12) % 115] = f"g{group}s{step}j{j}"
+    pairs = brute_near(texts)
+    assert len(pairs) > 60 and smallest_of_each(texts, pairs) != set(range(0, at, 8))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = [r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()]
+    assert sorted(kept) == sorted(smallest_of_each(texts, pairs))
