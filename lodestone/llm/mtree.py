@@ -201,7 +201,8 @@ class Index:
             return
         sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
         self.pivots = _fit_pivots(_lift(_matrix([r["v"] for r in sample], self.dims), self.top), CELLS)
-        cells = Staged(self._with_cell(candidates), "cells")
+        # a repeated row would take a second place among the k best of its block
+        cells = Staged(self._with_cell(candidates.select("vec_id", "v").distinct()), "cells")
         celled = cells.df
         radii = {r["cell"]: (r["radius"], r["n"]) for r in celled.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
         self.radius = np.array([radii.get(c, (0.0, 0))[0] for c in range(len(self.pivots))])
@@ -264,7 +265,7 @@ class Index:
         floors = ranked.filter(F.col("rank") == k).select("query_id", "score", "vec_id")
         bounded = queries.withColumn("home", home).join(floors, "query_id", "left")
         visits = self._visits(bounded)
-        found = first.unionByName(self._search(visits, n, k)).dropDuplicates(["query_id", "vec_id", "score"])
+        found = first.unionByName(self._search(visits, n, k))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -4,9 +4,11 @@ import collections
 import os
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from lodestone.llm import mtree
 
 
 def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
@@ -79,3 +81,18 @@ def test_near_dedup_of_chains_and_threshold(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     kept = [r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()]
     assert sorted(kept) == sorted(smallest_of_each(texts, pairs))
+
+
+def test_repeated_candidates_fill_one_place(spark):
+    """The best candidates stand k times in the table; an id's two vectors of equal score are two candidates."""
+    rng = np.random.default_rng(4)
+    data = [(k, [float(x) for x in rng.integers(-3, 4, 3)]) for k in range(300)]
+    data += [(900, [9.0, 9.0, 9.0])] * 5 + [(901, [8.0, 8.0, 8.0])] * 7 + [(902, [5.0, 5.0, -5.0]), (902, [5.0, -5.0, 5.0])]
+    vectors = mtree.quantised(spark.createDataFrame(data, "id long, v array<float>").repartition(3), "id", "v", scale=1.0)
+    rows = sorted({(i, tuple(map(int, v))) for i, v in data})
+    got = collections.defaultdict(list)
+    for r in mtree.top_k(vectors.filter("vec_id < 300 and vec_id % 10 = 0"), vectors, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for i, q in rows[:300:10]:
+        want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:5]
+        assert got[i] == [(j, -s) for s, j in want]
