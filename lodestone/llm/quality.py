@@ -26,6 +26,7 @@ from lodestone.llm._common import WHITE, Staged, text_bytes, tidy
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
+SAME_WORDS = 500  # the words of a window in which distinct ones are counted, as their share of a text falls with its length
 RISK = 0.02
 DELTA = 0.05
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005)  # the share of clean tuning documents that a rule's cutoff may reach
@@ -57,12 +58,20 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     if n == 0:
         return (0, 0, 0, n_dup, 0, *repeat(0, len(RULES)))
     letters, upper = len(_LETTER.findall(plain)), len(_UPPER.findall(plain))
-    distinct = len(set(words))
     stutter = sum(map(bytes.__eq__, words, words[1:]))
-    shares = (n_symbols / n, upper / max(1, letters), solid.count(b"!") / n, n_repeat / n, max(stutter / n, 1 - distinct / n if n < 2000 else 0.0))
+    shares = (n_symbols / n, upper / max(1, letters), solid.count(b"!") / n, n_repeat / n, max(stutter / n, same_words(words)))
     return (n, len(plain), n_symbols, n_dup, n_repeat, *(min(GRID, int(GRID * s)) for s in shares))
 
 
+def same_words(words: list[bytes]) -> float:
+    """The share of words that their window has before, over consecutive windows of ``SAME_WORDS``; the last ends with the text."""
+    n = len(words)
+    if n <= SAME_WORDS:
+        return 1 - len(set(words)) / n
+    starts = [*range(0, n - SAME_WORDS, SAME_WORDS), n - SAME_WORDS]
+    return 1 - sum(len(set(words[a : a + SAME_WORDS])) for a in starts) / (SAME_WORDS * len(starts))
+
+
 def repeated_words(words: list[bytes]) -> int:
     """The words that stand in a window of ``WINDOW`` words which the text has twice or more."""
     n = len(words) - WINDOW + 1

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import mtree
+from lodestone.llm import mtree, quality
 
 
 def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
@@ -96,3 +96,12 @@ def test_repeated_candidates_fill_one_place(spark):
     for i, q in rows[:300:10]:
         want = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:5]
         assert got[i] == [(j, -s) for s, j in want]
+
+
+def test_same_words_of_long_texts():
+    """Few words in random order score alike at any length, and so does prose of more words."""
+    rng = np.random.default_rng(6)
+    for n_words, least in ((40, 850), (2000, 50)):
+        words = rng.integers(0, n_words, 60_000)
+        scores = [quality.counts(" ".join(f"w{k}" for k in words[:n]).encode())[-1] for n in (1999, 2000, 2001, 7777, 60_000)]
+        assert min(scores) >= least and max(scores) - min(scores) <= 30
