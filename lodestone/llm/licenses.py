@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
-A block of lines that may be a license is compressed alone and with each template as zstandard raw dictionary. The
-templates are ranked by how much they shorten the block, and the first ``FINALISTS`` are compared with it word by word; the
-one with the fewest different words wins, if they are at most ``MAX_DIFFERENT`` of the longer text.
+In a text with a license hint every template is aligned with every stretch of words, over line ends and inside lines; a
+stretch is a license if at most ``MAX_DIFFERENT`` of the longer text's words differ. A count of common words in windows of
+the template's greatest length rules out most of a text without loss. Each stretch is then compressed alone and with each
+template as zstandard raw dictionary; every template of fitting length is compared with it word by word, the fewest
+different words win, then the smaller size.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +43,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
 ]
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+TEMPLATES += [(n, f"{t}\n{_ISC_END if n == 'ISC' else _BSD_END}") for n, t in TEMPLATES if n in ("BSD-2-Clause", "BSD-3-Clause", "ISC")]
 _HINT = re.compile(rb"licen[sc]e|copyright|\xc2\xa9|spdx|warrant|redistribut|permission|merchantab|creative commons|public domain", re.I)
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 GAP_LINES = 2  # lines without a hint that a block may span
 LEVEL = 3
-FINALISTS = 3
 MAX_DIFFERENT = 0.25
 SCHEMA = "doc_id long, first_line int, last_line int, license_id string, size_alone int, size_given int, words int, different_words int, exact boolean"
 
@@ -71,9 +75,21 @@ def candidate_blocks(text: bytes) -> list[tuple[int, int, bytes]]:
     return blocks
 
 
+def _distances(ids: np.ndarray, template: np.ndarray, anywhere: bool) -> np.ndarray:
+    """The fewest words to change between the template and ids[:j] for each j, or, anywhere, the best ids[i:j] that ends at j."""
+    at = np.arange(len(ids) + 1)
+    d = np.zeros_like(at) if anywhere else at
+    for w in template:
+        e = d + 1
+        np.minimum(e[1:], d[:-1] + (ids != w), out=e[1:])
+        d = np.minimum.accumulate(e - at) + at
+    return d
+
+
 def different_words(a: list[str], b: list[str]) -> int:
     """The words to insert, delete or replace to make one text of the other."""
-    return sum(max(i2 - i1, j2 - j1) for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal")
+    known = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    return int(_distances(np.array([known[w] for w in a], np.int64), np.array([known[w] for w in b], np.int64), False)[-1])
 
 
 class Scanner:
@@ -85,6 +101,11 @@ class Scanner:
         self.given = [z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.names = [n for n, _ in templates]
         self.words = [_WORD.findall(t.lower()) for _, t in templates]
+        self.known = {w: k for k, w in enumerate(dict.fromkeys(w for t in self.words for w in t), 1)}
+        self.ids = [np.array([self.known[w] for w in t], np.int64) for t in self.words]
+        self.has = np.zeros((len(self.known) + 1, len(templates)), np.int32)
+        for k, t in enumerate(self.ids):
+            self.has[t, k] = 1
 
     def best(self, block: bytes) -> tuple | None:
         """license_id, the two sizes, words, different words, exact; None if no template's wording is near."""
@@ -92,7 +113,7 @@ class Scanner:
         sizes = [len(c.compress(block)) for c in self.given]
         words = _WORD.findall(block.decode("utf-8", "replace").lower())
         found = None
-        for k in sorted(range(len(sizes)), key=lambda k: (sizes[k], k))[:FINALISTS]:
+        for k in sorted(range(len(sizes)), key=lambda k: (sizes[k], k)):
             if abs(len(words) - len(self.words[k])) > MAX_DIFFERENT * max(len(words), len(self.words[k])):
                 continue
             d = different_words(words, self.words[k])
@@ -100,6 +121,74 @@ class Scanner:
                 found = (self.names[k], size, sizes[k], len(words), d, d == 0)
         return found
 
+    def _near(self, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(score, start, end) of stretches of ``ids`` near template k that do not overlap; a closer one goes before others."""
+        t, m = self.ids[k], len(self.ids[k])
+        d = _distances(ids, t, True)
+        ends = np.flatnonzero(d <= m * MAX_DIFFERENT / (1 - MAX_DIFFERENT))
+        free, out = np.ones(len(d), bool), []
+        for end in ends[np.argsort(d[ends], kind="stable")].tolist():
+            if not free[end]:
+                continue
+            lengths = _distances(ids[max(0, end - 2 * m) : end][::-1], t[::-1], False)
+            size = min(np.flatnonzero(lengths == lengths.min()).tolist(), key=lambda n: (abs(n - m), n))
+            if lengths[size] <= MAX_DIFFERENT * max(m, size):
+                out.append((m - 2 * int(lengths[size]), end - size, end))
+                free[end - size + 1 : end + int(m * (1 - MAX_DIFFERENT))] = False  # stretches that end there overlap
+        return out
+
+    def stretches(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the stretches of words that are licenses, in order; of those that overlap the one with more common words stays."""
+        gaps, taken = [(0, len(ids))], []
+        while gaps:
+            found = []
+            for lo, hi in gaps:
+                sums = np.concatenate([np.zeros((1, len(self.ids)), np.int32), np.cumsum(self.has[ids[lo:hi]], axis=0, dtype=np.int32)])
+                for k, t in enumerate(self.ids):
+                    width = min(hi - lo, int(len(t) / (1 - MAX_DIFFERENT)) + 1)
+                    full = np.flatnonzero(sums[width:, k] - sums[: len(sums) - width, k] >= (1 - MAX_DIFFERENT) * len(t))
+                    if len(full):
+                        for run in np.split(full, np.flatnonzero(np.diff(full) > width) + 1):
+                            a, b = lo + int(run[0]), lo + int(run[-1]) + width
+                            found += [(-score, k, a + i, a + j) for score, i, j in self._near(ids[a:b], k)]
+            new = []
+            used = np.zeros(len(ids), bool)
+            for _, _, i, j in sorted(found):
+                if not used[i:j].any():
+                    used[i:j] = True
+                    new.append((i, j))
+            # what overlapped a better stretch may stand beside it too
+            cut, rest = sorted(new), []
+            for lo, hi in gaps if new else []:
+                inside = [x for x in cut if lo <= x[0] < hi]
+                if inside:
+                    rest += zip([lo, *(j for _, j in inside)], [*(i for i, _ in inside), hi], strict=True)
+            gaps = [(i, j) for i, j in rest if i < j]
+            taken += new
+        return sorted(taken)
+
+    def hits(self, text: bytes, seen: dict) -> list[tuple]:
+        """first line, last line and what ``best`` says, for each license in the text."""
+        if not _HINT.search(text):
+            return []
+        whole = text.decode("utf-8", "replace")
+        ids = np.array([self.known.get(w.lower(), 0) for w in _WORD.findall(whole)], np.int64)
+        found = self.stretches(ids)
+        if not found:
+            return []
+        spans, out, at, line = [m.span() for m in _WORD.finditer(whole)], [], 0, 0
+        for i, j in found:
+            a, b = spans[i][0], spans[j - 1][1]
+            line += whole.count("\n", at, a)
+            at, block = a, whole[a:b].encode("utf-8", "replace")
+            if len(seen) > 10_000:
+                seen.clear()
+            if block not in seen:
+                seen[block] = self.best(block)
+            if seen[block]:
+                out.append((line, line + whole.count("\n", a, b), *seen[block]))
+        return out
+
 
 def _scan(templates: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,25 +198,16 @@ def _scan(templates: list[tuple[str, str]]):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = []
-                for a, b, block in candidate_blocks(text or b""):
-                    if len(seen) > 10_000:
-                        seen.clear()
-                    if block not in seen:
-                        seen[block] = scanner.best(block)
-                    if seen[block]:
-                        hits.append((a, b, *seen[block]))
-                whole = [h for h in hits if h[1] > h[0]]  # a run that is a license stands for its lines
-                rows += [(doc, *h) for h in hits if h[1] > h[0] or not any(w[0] <= h[0] <= w[1] for w in whole)]
+                rows += [(doc, *h) for h in scanner.hits(text or b"", seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row for each block of a document that is a license: its lines, the winner, compressed sizes and wording differences.
+    """One row for each stretch of a document that is a license: its lines, the winner, compressed sizes and wording differences.
 
     One pass over whole texts without a shuffle. Null and empty texts have no rows, rows with the same or a null doc_id have
-    each their own. Equal sizes go to the earlier template, equal differences to the smaller size.
+    each their own. Equal sizes go to the earlier template, equal differences to the smaller size. Texts without a hint word have no rows.
     """
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(_scan(templates or TEMPLATES), SCHEMA)

@@ -3,12 +3,13 @@
 import collections
 import os
 import re
+import textwrap
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import mtree, quality
+from lodestone.llm import licenses, mtree, quality
 
 
 def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
@@ -105,3 +106,18 @@ def test_same_words_of_long_texts():
         words = rng.integers(0, n_words, 60_000)
         scores = [quality.counts(" ".join(f"w{k}" for k in words[:n]).encode())[-1] for n in (1999, 2000, 2001, 7777, 60_000)]
         assert min(scores) >= least and max(scores) - min(scores) <= 30
+
+
+def test_licenses_in_their_usual_layout(spark):
+    """Texts wrapped at 78 characters under a title, and statements inside a paragraph, each found once and apart from their neighbours."""
+    full = {n: t for n, t in sorted(licenses.TEMPLATES, key=lambda x: len(x[1])) if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}
+    rows = [(k, "The Name License\n\nCopyright (c) 2020 Example\n\n" + "\n\n".join(textwrap.fill(p, 78) for p in t.split("\n")) + "\n\nint main;") for k, t in enumerate(full.values())]
+    rows += [(10, "A story.\n(c) 2020 Example Media Ltd. Licensed under CC BY 4.0. Contact the editors for more. Licensed under CC BY-SA 4.0. The end.")]
+    rows += [(11, "\n".join(["Licensed under the MIT License."] * 300)), (12, "The license of the editor was lost, and permission to print it was not given.")]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.first_line, r.last_line, r.license_id, r.different_words))
+    for k, name in enumerate(full):
+        assert got[k] == [(4, rows[k][1].count("\n") - 2, name, 0)]
+    assert got[10] == [(1, 1, "CC-BY-4.0", 0), (1, 1, "CC-BY-SA-4.0", 0)]
+    assert got[11] == [(k, k, "MIT", 0) for k in range(300)] and got[12] == []
