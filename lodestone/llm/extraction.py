@@ -4,7 +4,9 @@ A tolerant scanner turns a page into blocks: text between block-level tags, with
 text, the share of its words that are function words, and what encloses it. Pass one decides: what stands in navigation,
 headers, footers, asides, forms, or in elements whose class, id or role name such parts, is boilerplate; so are blocks
 that are mostly links. In an article (article, main, or itemprop articleBody) the other blocks are text. Elsewhere long
-blocks with enough function words are text, long ones with almost none are boilerplate, and short ones stay open. Pass
+blocks with enough function words are text, long ones with almost none are boilerplate, and short ones stay open. On a
+page whose blocks have almost no function words of a known language, long blocks are text by length and links alone. A
+form around an article does not make it boilerplate. Pass
 two lets open blocks inherit: between two decided neighbours of one kind that kind, otherwise the nearer one's, headings
 the next one's.
 """
@@ -54,26 +56,27 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 
 class Block:
-    __slots__ = ("text", "label", "heading", "region")
+    __slots__ = ("text", "label", "heading", "region", "words", "known", "sparse")
 
     def __init__(self, text: str, linked: int, beside: bool, article: int, heading: bool):
-        self.text, self.heading, self.region = text, heading, article
+        self.text, self.heading, self.region, self.sparse = text, heading, article, False
+        words = _WORDS.findall(text.lower())
+        self.words, self.known = len(words), sum(w in ANY_FUNCTION_WORD for w in words)
         self.label = BAD if beside else self._judge(text, linked / max(1, len(text)), article)
 
-    @staticmethod
-    def _judge(text: str, linked: float, article: int) -> int:
+    def _judge(self, text: str, linked: float, article: int) -> int:
         if article:
             return BAD if linked > LINKED and len(text) < SHORT and linked > 0.9 and len(text.split()) < 3 else GOOD
         if linked > LINKED:
             return BAD
-        words = _WORDS.findall(text.lower())
-        dense = sum(w in ANY_FUNCTION_WORD for w in words) / len(words) if words else 0.0
+        dense = self.known / self.words if self.words else 0.0
         if len(text) < SHORT:
             return OPEN
         if dense >= DENSE:
             return GOOD
         if len(text) >= LONG:
-            return GOOD if dense >= SPARSE else BAD
+            self.sparse = dense < SPARSE
+            return BAD if self.sparse else GOOD
         return OPEN
 
 
@@ -120,6 +123,11 @@ def blocks(page: str) -> list[Block]:
         apart, body = _marks(attributes) if attributes.strip() else (False, False)
         is_article = tag in ("article", "main") or body
         apart = (apart and tag not in ("html", "body") and not is_article) or tag in BOILERPLATE or (tag == "header" and not article)
+        if is_article:
+            for k, (t, away, inner) in enumerate(stack):
+                if t == "form" and away:
+                    stack[k] = (t, False, inner)
+                    beside -= 1
         if is_article and not article:
             articles += 1
             article = articles
@@ -218,6 +226,10 @@ def blocks(page: str) -> list[Block]:
 
 def settle(found: list[Block]) -> list[Block]:
     """Pass two: open blocks take the kind of decided neighbours."""
+    if any(b.sparse for b in found) and sum(b.known for b in found) < SPARSE * sum(b.words for b in found):
+        for b in found:  # the page's language has no list
+            if b.sparse and b.words:
+                b.label = GOOD
     labels = [b.label for b in found]
     before: list[int | None] = []
     last: int | None = None

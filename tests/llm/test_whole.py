@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import licenses, mtree, quality
+from lodestone.llm import extraction, licenses, mtree, quality
 
 
 def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
@@ -121,3 +121,16 @@ def test_licenses_in_their_usual_layout(spark):
         assert got[k] == [(4, rows[k][1].count("\n") - 2, name, 0)]
     assert got[10] == [(1, 1, "CC-BY-4.0", 0), (1, 1, "CC-BY-SA-4.0", 0)]
     assert got[11] == [(k, k, "MIT", 0) for k in range(300)] and got[12] == []
+
+
+def test_pages_of_other_languages_and_page_wide_forms():
+    """A language without a list of function words is judged by length and links, and a form around the article does not hide it."""
+    for line in ("Вчера вечером жители города собрались возле старой площади. ", "Wczoraj wieczorem mieszkańcy zebrali się przy starym rynku. ", "昨天晚上居民们聚集在古老的广场附近。"):
+        body = (line * 20).strip()
+        page = f"<body><nav>x</nav><div>{body}</div><div>{line}</div><div>{body}</div><footer>y</footer></body>"
+        assert extraction.main_text(page).split("\n") == [body, line.strip(), body]
+    english = "It was the day that they had to be at the house with all of us. " * 5
+    codes = "alpha beta gamma delta " * 10
+    assert extraction.main_text(f"<div>{english}</div><div>{english}</div><div>{codes}</div>").split("\n") == [english.strip()] * 2
+    page = f"<form><nav>menu</nav><input><article><p>{english}</p><form>sign up</form></article></form>"
+    assert extraction.main_text(page) == english.strip()
