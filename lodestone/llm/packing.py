@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Staged, free_name, tidy
-from lodestone.llm.tokenizing import CACHE_PIECES, encoder
+from lodestone.llm.tokenizing import STORE_PIECES, encoder
 
+CHUNK_ROWS = 2048  # documents that are encoded at a time
 PART_PIECES = 40_000  # pieces that a partition packs at a time
 ROUNDS = 6  # exchanges at most; what is open then stays as packed last
 
@@ -140,37 +141,39 @@ def pack(df: DataFrame, capacity: int, length_col: str = "length", **how) -> Dat
     return rows.join(places.withColumnRenamed("uid", uid), uid).drop(uid)
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool, cache_pieces: int):
+def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool, store_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step = encoder(tokenizer, cache_pieces), 4 * capacity
-        end = np.array([end_id], dtype=enc.ids).tobytes()
+        enc = encoder(tokenizer, store_pieces)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [np.frombuffer(x + end, enc.ids).astype("<u4").tobytes() for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                rows = [(d, i, at // 4, x[at : at + step]) for d, x in zip(part.column(0).to_pylist(), ids, strict=True) for i, at in enumerate(range(0, len(x), step))]
-                cols = [
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([len(r[3]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[3]) for r in rows], pa.int64()),
-                ]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    cols.append(pa.array([np.frombuffer(r[3], "<i4") for r in rows], pa.list_(pa.int32())))
-                    names.append("ids")
+            for k in range(0, batch.num_rows, CHUNK_ROWS):
+                rows = batch.slice(k, CHUNK_ROWS)
+                offsets, ids = enc.encode(rows.column(1), end_id)
+                flat, n = ids.astype("<u4"), np.diff(offsets)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, n[doc] - start)
+                at = offsets[doc] + start
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                cols = [rows.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:  # the pieces lie one behind the other
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False, store_pieces: int = STORE_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): each text's ids and ``end_id``, cut where longer than ``capacity``.
 
     A null or empty text is the end id alone. Rows with the same doc_id, or a null one, are separate documents.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_cut(tokenizer, end_id, capacity, with_ids, cache_pieces)), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_cut(tokenizer, end_id, capacity, with_ids, store_pieces)), schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, store_pieces: int = STORE_PIECES) -> DataFrame:
     """The pieces of ``docs`` with their ``sequence_id`` and ``offset``. The result of an empty table is empty."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids, cache_pieces), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, with_ids, store_pieces), capacity)

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import shuffle_partitions
+from lodestone.llm._common import shuffle_partitions, tidy
 from lodestone.llm.tokenizing import encoder
 
 SCHEMA = "doc_id long, part int, first long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CHUNK_ROWS = 512
+CHUNK_ROWS = 2048  # documents whose ids make one batch
 
 
 def _encode(tokenizer: str, end_id: int):
@@ -30,20 +30,16 @@ def _encode(tokenizer: str, end_id: int):
 
         part, first = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
-        end, width = np.array([end_id], dtype=enc.ids).tobytes(), enc.ids.itemsize
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK_ROWS):
                 piece = batch.slice(k, CHUNK_ROWS)
-                ids = [x + end for x in enc.encode([t or "" for t in piece.column(1).to_pylist()])]
-                n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // width
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype=enc.ids).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+                offsets, ids = enc.encode(piece.column(1), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(first + ends - n), pa.array(n, pa.int32()), lists],
+                    [piece.column(0), pa.array(np.full(len(lists), part, np.int32)), pa.array(first + offsets[:-1]), pa.array(np.diff(offsets), pa.int32()), lists],
                     names=["doc_id", "part", "first", "n_tokens", "ids"],
                 )
-                first += int(ends[-1])
+                first += len(ids)
 
     return run
 
@@ -65,7 +61,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("nth"))
     ordered = rows.withColumn("range", part).repartitionById(n, "range").sortWithinPartitions("doc_id", "nth")
     (
-        ordered.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+        ordered.select("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, end_id)), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(INDEX_ROWS)).option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.compress", "NONE").orc(path)

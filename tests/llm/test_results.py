@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -113,8 +114,11 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_encoder_gives_the_librarys_ids(texts, name):
     odd = ["", "a", "a  b", " a\n\nb ", "x\n", "\n", "a\tb c", "it's  <|endoftext|> ok", "a \nb", "Σ ΑΣ x", "\x1c a \x1d", "don't 'S x's", "a\r\nb", "　x", "a.", "The. x, y!", "a\nb.", "b.. c.,", " 1.5, ok?", " x y"]
     enc = PieceEncoder(name)
-    for batch in (odd, [t or "" for t in texts.values()], odd):
-        assert enc.encode(batch) == enc._ids(batch)
+    for batch in (odd, list(texts.values()), odd, []):
+        offsets, ids = enc.encode(pa.array(batch, pa.string()))
+        assert [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == enc._ids([t or "" for t in batch])
+        offsets, ids = enc.encode(pa.array(batch, pa.string()), 7)
+        assert [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x + np.array([7], enc.ids).tobytes() for x in enc._ids([t or "" for t in batch])]
 
 
 def library_ids(name, texts):
