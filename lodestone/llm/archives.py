@@ -4,6 +4,8 @@
 that it announces and the declared lengths. ``convert`` makes the equivalent WARC records: identifiers from the content,
 timestamps in ISO form, types by URL scheme, digests, and revisits for payloads that another record has. ``write_warc`` and
 ``read_warc`` do this over tables; an archive is a file of gzip members in the shared folder, at most about ``SHARD_BYTES``.
+A task names its archives by its attempt and lists them in a manifest that Spark commits with the task, and archives are read
+by the manifest: what a lost or repeated attempt has written is never read.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Staged
+from lodestone.llm._common import Staged, shuffle_partitions, tidy
 
 SHARD_BYTES = 8 << 20
 _READ_BYTES = 1 << 16
@@ -115,8 +117,8 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def convert(arc: bytes, originals: dict[int, int]) -> Iterator[bytes]:
-    """The WARC record, as a gzip member, of each ARC record. ``originals``: the page that a page with an equal payload revisits."""
+def convert(arc: bytes, originals: dict[tuple[int, str], int]) -> Iterator[bytes]:
+    """The WARC record, as a gzip member, of each ARC record. ``originals``: by page and payload digest, the page that it revisits."""
     for fields, content in read_arc(arc):
         uri, date = fields["URL"], _date(fields["Archive-date"])
         if uri.startswith("filedesc://"):
@@ -130,7 +132,7 @@ def convert(arc: bytes, originals: dict[int, int]) -> Iterator[bytes]:
         head, http, payload = _http(content)
         digest, page = hashlib.sha256(payload).hexdigest(), http.get("x-page-id")
         source = page if page is not None else uri
-        original = originals.get(int(page)) if page is not None else None
+        original = originals.get((int(page), digest)) if page is not None else None
         block = content if original is None else head
         headers = [
             ("WARC-Type", "response" if original is None else "revisit"), ("WARC-Record-ID", record_id(source, digest)), ("WARC-Date", date),
@@ -142,27 +144,29 @@ def convert(arc: bytes, originals: dict[int, int]) -> Iterator[bytes]:
         yield _record(headers, block)
 
 
-def read_members(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each WARC record in a file of gzip members, by the declared lengths."""
-    at = 0
-    while at < len(raw):
+def read_members(read: Callable[[int], bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each WARC record in a stream of gzip members, by the declared lengths."""
+    rest = read(_READ_BYTES)
+    while rest:
         unpack, parts = zlib.decompressobj(31), []
         while not unpack.eof:
-            piece = raw[at : at + _READ_BYTES]
-            if not piece:
+            if not rest:
                 raise ValueError("an archive ends inside a record")
-            parts.append(unpack.decompress(piece))
-            at += len(piece) - len(unpack.unused_data)
-        record = b"".join(parts)
-        head, _, rest = record.partition(b"\r\n\r\n")
+            parts.append(unpack.decompress(rest))
+            rest = unpack.unused_data if unpack.eof else read(_READ_BYTES)
+        rest = rest or read(_READ_BYTES)
+        head, _, block = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        yield headers, rest[: int(headers["content-length"])]
+        yield headers, block[: int(headers["content-length"])]
+
+
+MANIFEST = "manifest.parquet"  # file string, records long, bytes long
 
 
-def _write(path: str, arc_version: int):
+def _write(path: str, arc_version: int, run_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -170,28 +174,28 @@ def _write(path: str, arc_version: int):
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(path)
         held: list[Page] = []
-        originals: dict[int, int] = {}
+        originals: dict[tuple[int, str], int] = {}
         size = k = 0
 
         def close() -> pa.RecordBatch:
             nonlocal size, k
-            name = f"part-{task.partitionId():06d}-{k:05d}"
-            data = b"".join(convert(arc_archive(held, f"{name}.arc", arc_version), originals))
-            draft = f"{base}/.{name}-{task.taskAttemptId()}"
-            with store.open_output_stream(draft) as f:
-                f.write(data)
-            store.move(draft, f"{base}/{name}.warc.gz")  # a second attempt writes the same bytes
-            row = pa.RecordBatch.from_pydict({"file": [f"{name}.warc.gz"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+            name = f"part-{run_id}-{task.partitionId():06d}-{task.taskAttemptId()}-{k:05d}"
+            n = 0
+            with store.open_output_stream(f"{base}/{name}.warc.gz") as f:
+                for member in convert(arc_archive(held, f"{name}.arc", arc_version), originals):
+                    f.write(member)
+                    n += len(member)
+            row = pa.RecordBatch.from_pydict({"file": [f"{name}.warc.gz"], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([n], pa.int64())})
             held.clear()
             originals.clear()
             size, k = 0, k + 1
             return row
 
         for batch in batches:
-            for page_id, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(Page(page_id, url, payload))
                 if first is not None and first != page_id and page_id is not None:
-                    originals[page_id] = first
+                    originals[page_id, digest] = first
                 size += len(payload)
                 if size >= SHARD_BYTES:
                     yield close()
@@ -202,11 +206,12 @@ def _write(path: str, arc_version: int):
 
 
 def write_warc(pages: DataFrame, path: str, arc_version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes one WARC record per row under ``path`` (a URI that pyarrow can write) and returns ``file, records, bytes``.
+    """Writes one WARC record per row under ``path`` (a URI that pyarrow can write) and returns its manifest, ``file, records, bytes``.
 
     Of rows with equal payloads of ``REVISIT_BYTES`` or more, those with the smallest page_id are responses and the others
     revisits of it. Null html is an empty payload. Rows with a null page_id, and repeated rows of the smallest, are responses.
-    Rows with one page_id and different payloads go by the digest of each. An empty table writes no file.
+    Rows with one page_id and different payloads go by the digest of each. An empty table writes no archive. A second
+    write to one path adds to its archives.
     """
     from pyarrow import fs
 
@@ -217,31 +222,39 @@ def write_warc(pages: DataFrame, path: str, arc_version: int = 1, id_col: str =
     groups = rows.filter(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # written, so that Spark knows its size when it picks the join
     groups = Staged(groups.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "equal-payloads").df
-    joined = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "first")
-    return Staged(joined.mapInArrow(_write(path, arc_version), "file string, records long, bytes long"), "manifest").df
+    joined = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    manifest = joined.mapInArrow(tidy(_write(path, arc_version, uuid.uuid4().hex[:8])), "file string, records long, bytes long")
+    manifest.write.mode("append").parquet(f"{path}/{MANIFEST}")
+    return pages.sparkSession.read.schema(manifest.schema).parquet(f"{path}/{MANIFEST}")
 
 
 READ = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
-def _read(with_payload: bool):
+def _read(path: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
         names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
         types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
                 rows = []
-                for headers, block in read_members(content.as_py()):
-                    kind = headers["warc-type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    _, http, payload = _http(block)
-                    digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"the payload of {headers['warc-record-id']} does not have its digest")
-                    page, refers = http.get("x-page-id"), headers.get("x-refers-to-page")
-                    # a revisit keeps the response's HTTP headers, whose length is that of the full payload
-                    rows.append((None if page is None else int(page), headers["warc-target-uri"], kind, payload if with_payload else None, int(http["content-length"]), digest, None if refers is None else int(refers)))
+                with store.open_input_stream(f"{base}/{name}") as f:
+                    for headers, block in read_members(f.read):
+                        kind = headers["warc-type"]
+                        if kind not in ("response", "revisit"):
+                            continue
+                        _, http, payload = _http(block)
+                        digest = headers["warc-payload-digest"].removeprefix("sha256:")
+                        if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"the payload of {headers['warc-record-id']} does not have its digest")
+                        page, refers = http.get("x-page-id"), headers.get("x-refers-to-page")
+                        # a revisit keeps the response's HTTP headers, whose length is that of the full payload
+                        rows.append(
+                            (None if page is None else int(page), headers["warc-target-uri"], kind, payload if with_payload else None, int(http["content-length"]), digest, None if refers is None else int(refers))
+                        )
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return run
@@ -249,10 +262,6 @@ def _read(with_payload: bool):
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The responses and revisits under ``path``, archive by archive in parallel; a revisit has no payload, but its size and digest."""
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(path)
-    if not any(f.path.endswith(".warc.gz") for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True))):
-        return spark.createDataFrame([], READ)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select("content").mapInArrow(_read(with_payload), READ)
+    manifest = spark.read.schema("file string").parquet(f"{path}/{MANIFEST}")
+    files = manifest.repartition(shuffle_partitions(spark), "file")
+    return files.mapInArrow(tidy(_read(path, with_payload)), READ)

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing column names."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,24 @@ def test_warc(spark):
                 assert {r.record_type for r in rows if r.page_id != 2} == {"response"} and {r.payload_bytes for r in rows if r.page_id in (3, 4)} == {0}
 
 
+def test_warc_of_one_page_id_with_several_payloads(spark):
+    a, b, c = "<p>" + "a" * 200, "<p>" + "b" * 250, "<p>" + "c" * 1_000_000
+    rows = [(1, "u", a), (5, "u", a), (5, "u", b), (5, "u", c), (9, "v", c), (9, "v", "<p>tiny"), (None, None, c)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for version in (1, 2):
+        path = new_path(spark, "several")
+        archives.write_warc(pages, path, version)
+        # an archive of an attempt that was lost is not in the manifest
+        with open(f"{path.removeprefix('file://')}/part-lost.warc.gz", "wb") as f:
+            f.write(b"half")
+        got = archives.read_warc(spark, path).collect()
+        want = [(p, h.encode(), "revisit" if (p, h) in ((5, a), (9, c)) else "response") for p, _, h in rows]
+        assert sorted((str(r.page_id), r.record_type, r.payload_digest, r.payload) for r in got) == sorted(
+            (str(p), t, hashlib.sha256(h).hexdigest(), h if t == "response" else b"") for p, h, t in want
+        )
+        assert {(r.page_id, r.refers_to) for r in got if r.refers_to} == {(5, 1), (9, 5)}
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = extraction.extract(pages).collect()
