@@ -356,9 +356,9 @@ def test_archive_versions():
 def test_search_skips_and_stays_exact(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(-200, 200, (20, 8))
-    x = np.vstack([centres[k % 20] + rng.integers(-3, 4, 8) for k in range(6000)] + [centres[0]] * 400).astype(float)
+    x = np.vstack([centres[k % 20] + rng.integers(-3, 4, 8) for k in range(6000)] + [centres[0]] * 400)
     top = float((x * x).sum(axis=1).max())
-    tree = mtree.build_tree(np.arange(len(x)), mtree._lift(x, top))
+    tree = mtree.build_tree(np.arange(len(x)), x, top)
     search = mtree.Search(tree, top)
     for k in range(0, 60, 3):
         scores = x @ x[k]

@@ -7,6 +7,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import extraction, licenses, mtree, quality
@@ -99,6 +100,28 @@ def test_repeated_candidates_fill_one_place(spark):
         assert got[i] == [(j, -s) for s, j in want]
 
 
+@pytest.mark.parametrize("bits", [20, 27, 40, 52])
+def test_scores_of_large_values_are_exact(spark, bits):
+    """Whole numbers beyond what a double holds, small candidates and large queries, ids above 2^53, and several blocks to search."""
+    rng = np.random.default_rng(bits)
+    ids = [(1 << 53) + k for k in range(400)]
+    rows = [(i, [int(x) for x in (rng.integers(-4, 5, 3) if k % 2 else rng.integers(-(1 << bits), 1 << bits, 3))]) for k, i in enumerate(ids)]
+    rows += [((1 << 54) + k, rows[0][1]) for k in range(300)]  # one vector under many ids
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    df = df.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    most = (1 << 63) - 1
+    score = lambda q, v: max(-most - 1, min(most, sum(a * b for a, b in zip(q, v, strict=True))))
+    want = {i: sorted((-score(q, v), j) for j, v in rows if j != i)[:5] for i, q in rows[:400:20]}
+    old, mtree.BLOCK_ROWS = mtree.BLOCK_ROWS, 64
+    try:
+        got = collections.defaultdict(list)
+        for r in mtree.top_k(df.filter(F.col("vec_id").isin(list(want))), df, k=5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((-r.score, r.vec_id))
+    finally:
+        mtree.BLOCK_ROWS = old
+    assert dict(got) == want
+
+
 def test_same_words_of_long_texts():
     """Few words in random order score alike at any length, and so does prose of more words."""
     rng = np.random.default_rng(6)
