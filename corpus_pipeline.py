@@ -32,7 +32,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, of repeated rows one.
 
-    Fingerprints of 64 bits cannot find these pairs: at similarity 0.8 and more they differ in up to 17 bits.
+    SimHash proposes the pairs within its radius of 3 bits; those of similarity 0.8 that differ in more, up to 17, MinHash does.
+    Whole shingle sets decide.
     """
     return jaccard.one_of_each(docs, shingle=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Staged, text_bytes, tidy
@@ -37,7 +37,16 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     begins = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_digest
     raw = b"".join([digest(joined[a:b], 42) for a, b in zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
-    counts, rows = np.zeros(64, np.int64), np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    return _majority(np.frombuffer(raw, np.uint8).reshape(-1, 8))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes, repeats included; 0 for none."""
+    return _majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
+def _majority(rows: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
     for k in range(0, len(rows), 65_536):
         counts += np.unpackbits(rows[k : k + 65_536], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big")
@@ -176,7 +185,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataF
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each component (null last, ties by the text's hash), one of repeated rows."""
     _, classes = _classes(docs, shingle, radius)
-    chosen = classes.select("least.id", "least.row").distinct()
+    return pick(docs, classes.select("least.id", "least.row").distinct())
+
+
+def pick(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``chosen(id, row)``: doc_id, ``_LAST`` for null, and the hash of the text.
+
+    Repeated rows are made one before the shuffle, so a row that fills a third of the table is no single task.
+    """
     named = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("row"))
-    one = F.row_number().over(Window.partitionBy("id", "row").orderBy(F.lit(0)))
-    return named.join(chosen, ["id", "row"], "left_semi").withColumn("n", one).filter("n = 1").select("doc.*")
+    return named.dropDuplicates(["id", "row"]).join(chosen, ["id", "row"], "left_semi").select("doc.*")

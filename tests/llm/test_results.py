@@ -21,6 +21,7 @@ import corpus_pipeline
 from lodestone.llm import archives, extraction, licenses, line_dedup, mtree, packing, quality, queries, simhash, token_files
 from lodestone.llm._common import new_path, stage
 from lodestone.llm.tokenizing import PieceEncoder, resolve
+from tests.llm.test_whole import brute_near, smallest_of_each
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -373,10 +374,19 @@ def test_pipeline_against_brute_force(spark, sf_dir, texts, duck):
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect()}
     assert kept == {r.doc_id for r in queries.op5_quality(spark, sf_dir).collect() if r.kept}
     now = {i: texts[i] for i in kept}
-    found = collections.Counter(k for t in now.values() for k in {lower(line).strip(" \t\n\x0b\x0c\r") for line in (t or "").split("\n")} if k)
-    now = {i: t if t is None else "\n".join(x for x in t.split("\n") if found[lower(x).strip(" \t\n\x0b\x0c\r")] < 10) for i, t in now.items()}
-    comps = brute_components({i: brute_print(t, 5) for i, t in now.items()}, 3)
-    now = {i: t for i, t in now.items() if comps[i] == i}
+    key = lambda line: lower(line).strip(" \t\n\x0b\x0c\r")
+    found = collections.Counter(k for t in now.values() for k in {key(line) for line in (t or "").split("\n")} if k)
+    seen = set()
+    for i in sorted(now):
+        if now[i] is not None:
+            lines = [(x, key(x)) for x in now[i].split("\n")]
+            stays = []
+            for x, k in lines:
+                if found[k] < corpus_pipeline.LINE_DOCS or k not in seen:
+                    stays.append(x)
+                seen.add(k)
+            now[i] = "\n".join(stays)
+    now = {i: now[i] for i in smallest_of_each(now, brute_near(now))}
     con = duck.cursor()
     con.execute("CREATE TEMP TABLE chosen (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO chosen VALUES (?, ?)", list(now.items()))
