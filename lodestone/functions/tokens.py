@@ -17,8 +17,13 @@ LEAST_RUSSIAN = 5
 
 
 def _without(token: Column, endings: list[str]) -> Column:
-    # the lazy stem leaves as much as it can to the ending, so the longest one goes
-    return F.regexp_replace(token, f"^(.{{{LEAST_STEM},}}?)({'|'.join(endings)})$", "$1")
+    """The token without the longest of the endings that leaves ``LEAST_STEM`` letters; comparisons of bytes, no regular expression."""
+    out, length = None, F.length(token)
+    for e in sorted(endings, key=len, reverse=True):
+        fits = F.endswith(token, F.lit(e)) & (length >= len(e) + LEAST_STEM)
+        shorter = F.left(token, length - len(e))
+        out = F.when(fits, shorter) if out is None else out.when(fits, shorter)
+    return out.otherwise(token)
 
 
 def tokenize_raw(text: Column) -> Column:
@@ -27,8 +32,9 @@ def tokenize_raw(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    latin = token.rlike(r"^[\x00-\x7F]*$")
-    russian = token.rlike("^[а-яё]") & (F.length(token) >= LEAST_RUSSIAN)
+    latin = F.octet_length(token) == F.length(token)
+    first = F.left(token, F.lit(1))
+    russian = (first.between("а", "я") | (first == "ё")) & (F.length(token) >= LEAST_RUSSIAN)
     return F.when(latin, _without(token, LATIN_ENDINGS)).when(russian, _without(token, RUSSIAN_ENDINGS)).otherwise(token)
 
 

@@ -1,10 +1,11 @@
-"""BM25 over postings: one row per document and token, with exact document frequencies."""
+"""BM25 over postings: one row per document and token, with exact document frequencies; and a stored index of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import content_hash
 from lodestone.functions.tokens import stem, tokenize_raw
 
 K1, B = 1.5, 0.75
@@ -35,19 +36,80 @@ def term_score(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Column
     return idf(n_docs, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def asked(questions: DataFrame, qkey: str = "qid", question: str = "question") -> DataFrame:
+    """``qkey, token, times``: a repeated word of a question counts again."""
+    return tokens(questions, qkey, question).groupBy(qkey, "token").agg(F.count("*").alias("times"))
+
+
+def matches(found: DataFrame, terms: DataFrame, n_docs: Column, avgdl: Column, key: str = "doc_id", qkey: str = "qid", digits: int = 6) -> DataFrame:
+    """``qkey, key, score, n``: the BM25 score and the number of distinct tokens in common, from postings and ``terms(qkey, token, times, df)``."""
+    one = F.col("times") * term_score(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl)
+    return found.join(terms, "token").groupBy(qkey, key).agg(F.round(F.sum(one), digits).alias("score"), F.count("*").alias("n"))
+
+
+def best(scores: DataFrame, k: int, key: str = "doc_id", qkey: str = "qid") -> DataFrame:
+    """``qkey, key, score, rank``: the k best of each question, ties to the smaller key."""
+    rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), key))
+    return scores.select(qkey, key, "score").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def search(texts: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", text: str = "text", qkey: str = "qid", question: str = "question", digits: int = 6) -> DataFrame:
-    """``qkey, key, score, rank``: the k best documents of each question. A repeated word of a question counts again.
+    """``qkey, key, score, rank`` without an index, for texts that are searched once.
 
     Only the questions' own tokens are aggregated into postings: the join with their distinct tokens comes before the
     group-by, and is a broadcast while Spark finds them small enough.
     """
-    asked = tokens(questions, qkey, question).groupBy(qkey, "token").agg(F.count("*").alias("times"))
-    found = tokens(texts, key, text).join(asked.select("token").distinct(), "token", "left_semi")
+    terms = asked(questions, qkey, question)
+    found = tokens(texts, key, text).join(terms.select("token").distinct(), "token", "left_semi")
     found = found.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(texts, text))  # one row
-    scored = found.join(df, "token").join(asked, "token").crossJoin(stats)
-    one = F.col("times") * term_score(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))
-    sums = scored.groupBy(qkey, key).agg(F.round(F.sum(one), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("score"), key))
-    return sums.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best(matches(found.crossJoin(stats), terms.join(df, "token"), F.col("n_docs"), F.col("avgdl"), key, qkey, digits), k, key, qkey)
+
+
+class Index:
+    """Stored postings that searches read: ``postings`` in ranges of tokens, ``terms`` with document frequencies, ``stats``, and ``docs`` with each text's hash.
+
+    A search reads one scan of the postings, pruned to its own tokens where files and row groups allow, and no text.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
+        self.spark, self.path, self.key = spark, path, key
+        self.postings, self.terms, self.docs = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs"))
+        self.n_docs, self.avgdl = spark.read.parquet(f"{path}/stats").select("n_docs", "avgdl").first()
+
+    @classmethod
+    def build(cls, texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
+        """Writes an index of ``texts``; the keys differ. ``stats`` comes last, so a path that has it is whole."""
+        spark = texts.sparkSession
+        rows = postings(texts, key, text)
+        # a token that fills several ranges is split by key
+        rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        texts.select(key, content_hash(F.col(text)).alias("hash")).write.mode("overwrite").parquet(f"{path}/docs")
+        total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        n = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"))
+        mean = F.coalesce(F.nullif(F.col("total") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)), F.lit(1.0))
+        n.crossJoin(total).select("n_docs", mean.alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")  # one row by one row
+        return cls(spark, path, key)
+
+    def matches(self, questions: DataFrame, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
+        """``qid, key, score, n, share``: every document with a token of the question; share is of its distinct tokens. ``allowed(key)`` narrows what is found, statistics stay those of the whole index."""
+        terms = asked(questions)
+        sizes = terms.groupBy("qid").agg(F.count("*").alias("size"))
+        found = self.postings if allowed is None else self.postings.join(allowed, self.key, "left_semi")
+        scores = matches(found, terms.join(self.terms, "token"), F.lit(self.n_docs), F.lit(self.avgdl), self.key, "qid", digits)
+        return scores.join(sizes, "qid").withColumn("share", F.round(F.col("n") / F.col("size"), digits)).drop("size")
+
+    def search(self, questions: DataFrame, k: int, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
+        """``qid, key, score, rank``: the k best documents of each question."""
+        return best(self.matches(questions, allowed, digits), k, self.key)
+
+    def lists(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """``qid, key, sparse, dense``: places in the BM25 list and in that of the shares, null beyond k; rows with a place in one of them."""
+        scores = self.matches(questions, allowed)
+        place = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), self.key))
+        placed = scores.withColumn("sparse", place("score")).withColumn("dense", place("share"))
+        cut = [F.when(F.col(c) <= k, F.col(c)).alias(c) for c in ("sparse", "dense")]
+        return placed.filter((F.col("sparse") <= k) | (F.col("dense") <= k)).select("qid", self.key, *cut)

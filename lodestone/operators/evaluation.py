@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.operators.rank import fuse, top
+from lodestone.functions.policy import judge_reason, judge_score
 
 # fixed values: metrics that judges give out of ten, and the falls that fail a run
 OUT_OF_TEN = {"faithfulness", "relevancy", "correctness"}
@@ -55,6 +58,8 @@ def axis(spec: dict) -> list[float]:
     """The values of a parameter: a list, or from min to max by step, the end included."""
     if "values" in spec:
         return list(spec["values"])
+    if "min" not in spec:
+        return [spec["default"]]
     n = int((spec["max"] - spec["min"]) / spec["step"] + 1e-9)
     return [round(spec["min"] + k * spec["step"], 6) for k in range(n + 1)]
 
@@ -91,25 +96,92 @@ def halved(scored: DataFrame, score: str, rounds: int) -> DataFrame:
     return scored.withColumn("_place", F.percent_rank().over(w)).filter(F.col("_place") < F.lit(0.5) ** rounds).drop("_place")
 
 
-def sweep(lists: dict[str, DataFrame], configs: DataFrame, questions: DataFrame, sources: DataFrame, skip_unhinted: bool = True) -> DataFrame:
+def sweep(places: DataFrame, lists: list[str], configs: DataFrame, questions: DataFrame, sources: DataFrame, skip_unhinted: bool = True) -> DataFrame:
     """``config_id, hit_rate, mrr``: every configuration (fetch_k, top_k, rrf_k and a weight per list) over the same candidates, in one job.
 
-    ``lists``: name to ``qid, key, rank``; the weight of a list is the configuration's column ``<name>_weight``. The grid is
-    small and is broadcast; candidates are trimmed, fused and cut for each configuration.
+    ``places``: ``qid, key`` and for each list a column with the key's place in it, null if it has none, up to the largest
+    fetch_k; the weight of a list is the configuration's column ``<list>_weight``. The grid is small and is broadcast.
     """
-    small = F.broadcast(configs)
-    parts = []
-    for name, df in lists.items():
-        rows = df.crossJoin(small).filter(F.col("rank") <= F.col("fetch_k")).withColumn("part", F.col(f"{name}_weight") / (F.col("rrf_k") + F.col("rank")))
-        parts.append(rows.select("config_id", "top_k", "qid", "key", "part"))
-    fused = reduce(DataFrame.unionByName, parts).groupBy("config_id", "top_k", "qid", "key").agg(F.round(F.sum("part"), 9).alias("score"))
+    rows = places.crossJoin(F.broadcast(configs))
+    taken = [F.when(F.col(n) <= F.col("fetch_k"), F.col(f"{n}_weight") / (F.col("rrf_k") + F.col(n))) for n in lists]
+    score = F.round(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in taken]), 9)
+    listed = reduce(lambda a, b: a | b, [x.isNotNull() for x in taken])
     w = Window.partitionBy("config_id", "qid").orderBy(F.desc("score"), "key")
-    kept = fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("top_k"))
+    kept = rows.filter(listed).withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("top_k"))
     hinted = questions.filter(F.col("source_hint").isNotNull()) if skip_unhinted else questions
-    hits = kept.join(sources, "key").join(hinted.select("qid", "source_hint"), "qid")
-    first = hits.groupBy("config_id", "qid").agg(F.min(F.when(F.contains(F.lower("source"), F.lower("source_hint")), F.col("rank"))).alias("first"))
-    every = hinted.select("qid").crossJoin(F.broadcast(configs.select("config_id"))).join(first, ["config_id", "qid"], "left")
-    return every.groupBy("config_id").agg(F.round(F.avg(F.col("first").isNotNull().cast("int")), 3).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
+    hits = kept.join(sources, "key").join(hinted.select("qid", "source_hint"), "qid").filter(F.contains(F.lower("source"), F.lower("source_hint")))
+    first = hits.groupBy("config_id", "qid").agg(F.min("rank").alias("first"))
+    sums = first.groupBy("config_id").agg(F.count("*").alias("found"), F.sum(1 / F.col("first")).alias("mrr"))
+    asked = F.broadcast(hinted.agg(F.nullif(F.count("*"), F.lit(0)).alias("asked")))  # one row
+    out = configs.select("config_id").join(sums, "config_id", "left").crossJoin(asked)
+    share = lambda c, digits: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("asked"), digits)
+    return out.select("config_id", share("found", 3).alias("hit_rate"), share("mrr", 4).alias("mrr"))
+
+
+def two_phases(scored: DataFrame, weights: dict[str, float], top_n: int, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Phase A ranks every configuration by its retrieval metrics, phase B judges the ``top_n`` best and ranks those by all metrics.
+
+    ``scored``: ``config_id, hit_rate, mrr``; ``judge`` adds ``faithfulness`` and ``relevancy`` to the rows that it gets.
+    ``config_id, composite, judged, place``: judged configurations come first.
+    """
+    unjudged = scored.withColumns({m: F.lit(None).cast("double") for m in OUT_OF_TEN if m not in scored.columns})
+    first = unjudged.withColumn("composite", composite(weights)).orderBy(F.desc("composite"), "config_id").limit(top_n).select("config_id")
+    final = judge(scored.join(F.broadcast(first), "config_id", "left_semi")).withColumn("composite", composite(weights))  # top_n rows
+    rest = unjudged.join(F.broadcast(first), "config_id", "left_anti").withColumn("composite", composite(weights))
+    both = final.select("config_id", "composite", F.lit(True).alias("judged")).unionByName(rest.select("config_id", "composite", F.lit(False).alias("judged")))
+    return both.withColumn("place", F.row_number().over(Window.orderBy(F.desc("judged"), F.desc("composite"), "config_id")))  # a row for each configuration
+
+
+def search_rerank(found: DataFrame, params: DataFrame, questions: DataFrame) -> DataFrame:
+    """``param_id, hit_rate, mrr``: reranked lists under every setting of ``params(param_id, top_k, min_score, gap_ratio)``.
+
+    ``found``: ``qid, key, source, score``, reranked. Thresholds come before the cut, the gap only where the best score is
+    positive. Questions without a hint are left out.
+    """
+    best = F.max("score").over(Window.partitionBy("qid"))
+    rows = found.withColumn("best", best).crossJoin(F.broadcast(params))
+    good = (F.col("score") >= F.col("min_score")) & ((F.col("best") <= 0) | (F.col("score") >= F.col("best") * F.col("gap_ratio")))
+    w = Window.partitionBy("param_id", "qid").orderBy(F.desc("score"), "key")
+    kept = rows.filter(good).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("top_k"))
+    hinted = questions.filter(F.col("source_hint").isNotNull()).select("qid", "source_hint")
+    hits = kept.join(hinted, "qid").filter(F.contains(F.lower("source"), F.lower("source_hint")))
+    sums = hits.groupBy("param_id", "qid").agg(F.min("rank").alias("first")).groupBy("param_id").agg(F.count("*").alias("found"), F.sum(1 / F.col("first")).alias("mrr"))
+    asked = F.broadcast(hinted.agg(F.nullif(F.count("*"), F.lit(0)).alias("asked")))  # one row
+    out = params.select("param_id").join(sums, "param_id", "left").crossJoin(asked)
+    share = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("asked"), 4)
+    return out.select("param_id", share("found").alias("hit_rate"), share("mrr").alias("mrr"))
+
+
+def judged(answers: DataFrame, judge: Callable[[str, dict], str], retries: int = 3) -> DataFrame:
+    """``answers`` with a score and a reason for each of ``faithfulness, relevancy, correctness``; ``judge(metric, row)`` gives a model's reply.
+
+    A call that fails is tried ``retries`` times in all, and then the task fails. Correctness is null without an
+    ``expected_answer``. The port is called in the tasks, a batch of rows at a time; replies are parsed as columns.
+    """
+    metrics = [m for m in METRICS if m in OUT_OF_TEN]
+
+    def reply(metric: str, row: dict) -> str | None:
+        if metric == "correctness" and not row.get("expected_answer"):
+            return None
+        for attempt in range(1, retries + 1):
+            try:
+                return judge(metric, row)
+            except Exception:
+                if attempt == retries:
+                    raise
+        return None
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf.to_dict("records")
+            yield pdf.assign(**{f"_{m}": pd.Series([reply(m, r) for r in rows], dtype="object", index=pdf.index) for m in metrics})
+
+    schema = T.StructType([*answers.schema.fields, *[T.StructField(f"_{m}", T.StringType()) for m in metrics]])
+    raw = answers.mapInPandas(ask, schema)
+    for m in metrics:
+        said = F.col(f"_{m}")
+        raw = raw.withColumn(m, F.when(said.isNotNull(), judge_score(said))).withColumn(f"{m}_reason", F.when(said.isNotNull(), judge_reason(said)))
+    return raw.drop(*[f"_{m}" for m in metrics])
 
 
 def compare(current: DataFrame, baseline: DataFrame, spark: SparkSession, thresholds: dict[str, float] | None = None) -> DataFrame:
@@ -138,5 +210,3 @@ def trend(runs: DataFrame, by: str, order: str, metric: str, digits: int = 4) ->
 def problems(results: DataFrame, below: float = PROBLEM_BELOW) -> DataFrame:
     return results.filter((F.col("faithfulness") < below) | (F.col("relevancy") < below))
 
-
-__all__ = ["fuse", "top"]

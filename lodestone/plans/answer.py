@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.policy import SPARSE_BOOST, has_exact_reference, question_breadth
@@ -23,23 +23,45 @@ def overlap_list(texts: DataFrame, questions: DataFrame, k: int, key: str = "doc
     return rank.top(scores.select("qid", key, "score"), "qid", k, F.desc("score"), F.col(key))
 
 
-def hybrid(texts: DataFrame, questions: DataFrame, fetch_k: int = 25, dense: DataFrame | None = None) -> DataFrame:
-    """``qid, doc_id, score, rank``: the two lists fused; ``texts`` must already be what the user may see.
+def fused_lists(index: bm25.Index, questions: DataFrame, fetch_k: int, weights: tuple[float, Column | float], rrf_k: int = RRF_K, allowed: DataFrame | None = None) -> DataFrame:
+    """``qid, doc_id, score``: the index's two lists fused. A row has its places in both, so no union or join is needed."""
+    lists = index.lists(questions, fetch_k, allowed)
+    boost = questions.select("qid", (weights[1] if isinstance(weights[1], Column) else F.lit(weights[1])).alias("weight"))
+    part = lambda w, place: F.coalesce(w / (F.lit(rrf_k) + F.col(place)), F.lit(0.0))
+    return lists.join(boost, "qid").select("qid", "doc_id", F.round(part(F.lit(weights[0]), "dense") + part(F.col("weight"), "sparse"), 6).alias("score"))
 
-    A question with an exact reference weighs its BM25 list more. Equal texts count once, at the better place.
-    """
-    sparse = bm25.search(texts, questions, fetch_k)
-    dense = overlap_list(texts, questions, fetch_k) if dense is None else dense
-    boost = questions.select("qid", F.when(has_exact_reference(F.col("question")), SPARSE_WEIGHT * SPARSE_BOOST).otherwise(SPARSE_WEIGHT).alias("weight"))
-    fused = rank.fuse([(dense, DENSE_WEIGHT), (sparse.join(boost, "qid"), F.col("weight"))], "qid", "doc_id", RRF_K)
-    named = fused.join(texts.select("doc_id", content_hash(F.col("text")).alias("hash")), "doc_id")
-    best = rank.keep_first(named, "qid", "hash", order=[F.desc("score"), F.col("doc_id")])
+
+def sparse_weight() -> Column:
+    """The weight of the BM25 list: more for a question with an exact reference."""
+    return F.when(has_exact_reference(F.col("question")), SPARSE_WEIGHT * SPARSE_BOOST).otherwise(F.lit(SPARSE_WEIGHT))
+
+
+def _one_of_equal_texts(fused: DataFrame, hashes: DataFrame) -> DataFrame:
+    best = rank.keep_first(fused.join(hashes, "doc_id"), "qid", "hash", order=[F.desc("score"), F.col("doc_id")])
     return rank.ranked(best.select("qid", "doc_id", "score"), "qid", F.desc("score"), F.col("doc_id"))
 
 
-def answer_context(texts: DataFrame, questions: DataFrame, top_k: int = 4, tokens: int = CONTEXT_TOKENS) -> DataFrame:
-    """``qid, breadth, context, n_parts, max_score``: candidates, rerank by BM25 share, thresholds, and the context under its budget."""
-    candidates = hybrid(texts, questions)
+def hybrid(index: bm25.Index, questions: DataFrame, fetch_k: int = 25, dense: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """``qid, doc_id, score, rank``: two lists fused from a stored index; ``allowed(doc_id)`` is what the user may see.
+
+    ``dense(qid, doc_id, rank)`` is a list from vectors; without one the share of the question's tokens takes its place.
+    Equal texts count once, at the better place.
+    """
+    if dense is None:
+        fused = fused_lists(index, questions, fetch_k, (DENSE_WEIGHT, sparse_weight()), allowed=allowed)
+    else:
+        sparse = index.search(questions, fetch_k, allowed).join(questions.select("qid", sparse_weight().alias("weight")), "qid")
+        seen = dense if allowed is None else dense.join(allowed, "doc_id", "left_semi")
+        fused = rank.fuse([(seen, DENSE_WEIGHT), (sparse, F.col("weight"))], "qid", "doc_id", RRF_K)
+    return _one_of_equal_texts(fused, index.docs)
+
+
+def answer_context(index: bm25.Index, texts: DataFrame, questions: DataFrame, top_k: int = 4, tokens: int = CONTEXT_TOKENS) -> DataFrame:
+    """``qid, breadth, context, n_parts, max_score``: candidates, rerank by BM25 share, thresholds, and the context under its budget.
+
+    ``texts`` is what the user may see of the indexed documents.
+    """
+    candidates = hybrid(index, questions, allowed=texts.select("doc_id"))
     best = rank.threshold(candidates.filter(F.col("rank") <= top_k), "qid", 0.0, GAP_RATIO)
     null = F.lit(None)
     rows = best.join(texts.select("doc_id", "text", "source"), "doc_id")

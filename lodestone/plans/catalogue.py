@@ -102,11 +102,11 @@ def question_hints(t):
     return t.questions
 
 
-@query(None, "SELECT item_id AS qid, doc_id, source FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
+@query(None, "SELECT item_id AS qid, doc_id, source FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def trigram_prefilter(t):
     from lodestone.plans.derived import phrase_join
 
-    return phrase_join(t.documents.select("doc_id", "text", "source"), t.benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("probe")))
+    return phrase_join(t.index, t.documents.select("doc_id", "text", "source"), t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("probe")))
 
 
 @query(None, "SELECT doc_id, regexp_replace(text, '(?i)(ing)', '<mark>\\1</mark>', 'g') AS marked FROM documents WHERE contains(lower(text), 'ing')")
@@ -477,13 +477,13 @@ def _asked(t: Tables) -> DataFrame:
 
 @query(None, f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM sparse WHERE rank <= 10")
 def bm25_batch(t):
-    return bm25.search(t.documents, _asked(t), 10)
+    return t.index.search(_asked(t), 10)
 
 
 @query(None, f"WITH {_BM25.replace('FROM benchmark)', 'FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))')} SELECT qid, doc_id, score, rank FROM sparse WHERE rank <= 10")
 def bm25_topk(t):
     first = t.benchmark.agg(F.min("item_id").alias("qid"))
-    return bm25.search(t.documents, _asked(t).join(F.broadcast(first), "qid", "left_semi"), 10)
+    return t.index.search(_asked(t).join(F.broadcast(first), "qid", "left_semi"), 10)
 
 
 _COSINE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS score, q.label AS ql, c.label AS cl FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id {0}),
@@ -512,32 +512,32 @@ def label_hit_rate(t):
 
 @query(None, f"WITH {_BM25}{_OVERLAP} SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.0 / (60 + rank) AS part FROM dense WHERE rank <= 25 UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL")
 def rrf_fusion(t):
-    return rank.fuse([(answer.overlap_list(t.documents, _asked(t), 25), 1.0), (bm25.search(t.documents, _asked(t), 25), 1.0)], "qid", "doc_id")
+    return answer.fused_lists(t.index, _asked(t), 25, (1.0, 1.0), rank.RRF_K)
 
 
 @query(None, f"WITH {_FUSED} SELECT qid, doc_id, score FROM fused")
 def weighted_rrf(t):
-    return rank.fuse([(answer.overlap_list(t.documents, _asked(t), 25), 1.5), (bm25.search(t.documents, _asked(t), 25), 0.5)], "qid", "doc_id", 30)
+    return answer.fused_lists(t.index, _asked(t), 25, (1.5, 0.5), 30)
 
 
 @query(None, f"WITH {_FUSED} SELECT qid, doc_id, score, rank FROM cand")
 def hybrid_candidates(t):
-    return answer.hybrid(t.documents, _asked(t))
+    return answer.hybrid(t.index, _asked(t))
 
 
 @query(None, f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 10 AND score >= 5) WHERE best <= 0 OR score >= best * 0.6")
 def rerank_filters(t):
-    return rank.threshold(bm25.search(t.documents, _asked(t), 10), "qid", 5.0, 0.6)
+    return rank.threshold(t.index.search(_asked(t), 10), "qid", 5.0, 0.6)
 
 
 @query(None, f"WITH {_BM25} SELECT qid, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 25) WHERE score >= best * 0.9")
 def gap_filter(t):
-    return rank.threshold(bm25.search(t.documents, _asked(t), 25), "qid", 0.0, 0.9).select("qid", "doc_id", "score")
+    return rank.threshold(t.index.search(_asked(t), 25), "qid", 0.0, 0.9).select("qid", "doc_id", "score")
 
 
 @query(None, f"WITH {_FUSED}, r AS (SELECT qid, source, list(DISTINCT doc_id ORDER BY doc_id) AS pages, round(max(score), 6) AS max_score, count(*) AS n FROM cand JOIN documents USING (doc_id) GROUP BY ALL) SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY max_score DESC, source))::INTEGER AS rank FROM r")
 def source_rollup(t):
-    rows = answer.hybrid(t.documents, _asked(t)).join(t.documents.select("doc_id", "source"), "doc_id")
+    rows = answer.hybrid(t.index, _asked(t)).join(t.documents.select("doc_id", "source"), "doc_id")
     return rank.by_source(rows.withColumnRenamed("doc_id", "page").drop("rank"), "qid", digits=6)
 
 
@@ -556,31 +556,31 @@ SELECT qid, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) O
 )
 def context_budget(t):
     null = F.lit(None).cast("string")
-    rows = answer.hybrid(t.documents, _asked(t)).join(t.documents.select("doc_id", "text", "source"), "doc_id")
+    rows = answer.hybrid(t.index, _asked(t)).join(t.documents.select("doc_id", "text", "source"), "doc_id")
     rows = rows.withColumn("part", F.concat(context.header(F.col("rank"), F.col("source"), null, null, null, null, null, null), F.lit("\n"), F.col("text")))
     return context.joined(context.within_budget(rows, "qid", F.length("part"), 3000 * context.CHARS_PER_TOKEN), "qid", "part")
 
 
 @query(None, f"WITH {_FUSED} SELECT qid, least(1.0, greatest(0.0, round(avg(score), 6))) AS confidence FROM cand GROUP BY qid")
 def answer_confidence(t):
-    return rank.confidence(answer.hybrid(t.documents, _asked(t)), "qid").withColumn("confidence", F.round("confidence", 6))
+    return rank.confidence(answer.hybrid(t.index, _asked(t)), "qid").withColumn("confidence", F.round("confidence", 6))
 
 
 @query()
 def answer_context(t):
     docs = t.docs.filter(acl.visible("internal", 2, [1, 2], for_list=False))
-    return answer.answer_context(docs, _asked(t))
+    return answer.answer_context(t.index, docs, _asked(t))
 
 
 @query()
 def rerank_lexical(t):
-    found = answer.hybrid(t.documents, _asked(t)).join(t.documents.select("doc_id", "text"), "doc_id").join(_asked(t), "qid")
+    found = answer.hybrid(t.index, _asked(t)).join(t.documents.select("doc_id", "text"), "doc_id").join(_asked(t), "qid")
     return rank.rerank(found, "qid", F.round(vector.lexical_rerank(F.col("question"), F.col("text")), 6), 4, F.col("doc_id")).select("qid", "doc_id", "score", "rank")
 
 
 # ---- evaluation
 
-_EVAL = f"WITH {_FUSED}, h AS (SELECT item_id AS qid, arg_min(d.source, d.doc_id) AS source_hint FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY item_id)"
+_EVAL = f"WITH {_FUSED}, h AS (SELECT item_id AS qid, arg_min(d.source, d.doc_id) AS source_hint FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)"
 
 
 @query(
@@ -591,7 +591,7 @@ SELECT h.qid, CASE WHEN any_value(source_hint) IS NOT NULL THEN coalesce(max(con
 FROM h LEFT JOIN k ON h.qid = k.qid GROUP BY h.qid""",
 )
 def hit_rate_mrr(t):
-    found = answer.hybrid(t.documents, _asked(t)).filter("rank <= 10").join(t.documents.select("doc_id", "source"), "doc_id")
+    found = answer.hybrid(t.index, _asked(t)).filter("rank <= 10").join(t.documents.select("doc_id", "source"), "doc_id")
     return evaluation.retrieval_metrics(found, t.questions)
 
 
@@ -606,9 +606,8 @@ m AS (SELECT g.config_id, round(avg((first IS NOT NULL)::INT), 3) AS hit_rate, r
 
 
 def _swept(t: Tables) -> DataFrame:
-    lists = {"dense": answer.overlap_list(t.documents, _asked(t), 25), "sparse": bm25.search(t.documents, _asked(t), 25)}
-    lists = {n: df.withColumnRenamed("doc_id", "key") for n, df in lists.items()}
-    return evaluation.sweep(lists, evaluation.grid(t.spark, _SPACE), t.questions, t.documents.select(F.col("doc_id").alias("key"), "source"))
+    places = t.index.lists(_asked(t), 25).withColumnRenamed("doc_id", "key")
+    return evaluation.sweep(places, ["dense", "sparse"], evaluation.grid(t.spark, _SPACE), t.questions, t.documents.select(F.col("doc_id").alias("key"), "source"))
 
 
 @query(None, _SWEEP + " SELECT * FROM m")
@@ -754,7 +753,7 @@ def registry_totals(t):
 
 @query(None, f"WITH {_FUSED} SELECT qid, max(score) AS best FROM cand GROUP BY qid")
 def best_source_score(t):
-    listed = answer.hybrid(t.documents, _asked(t)).groupBy("qid").agg(F.collect_list(F.struct("doc_id", "score")).alias("sources"))
+    listed = answer.hybrid(t.index, _asked(t)).groupBy("qid").agg(F.collect_list(F.struct("doc_id", "score")).alias("sources"))
     return listed.select("qid", F.array_max(F.transform("sources", lambda x: x["score"])).alias("best"))
 
 

@@ -7,9 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.tokens import tokenize_raw
+from lodestone.functions.tokens import stem
+from lodestone.operators import bm25
+from lodestone.sources.staging import exists, new_path
 
-PROBE_CHARS = 60
+_INDEXES: dict[tuple[str, str], str] = {}  # the path of the index of each session and folder of tables
 
 
 class Tables:
@@ -45,29 +47,43 @@ class Tables:
         status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "running").otherwise("pending")
         return self.events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("question"), F.col("value").alias("latency"), status.alias("status"), F.col("ts").cast("timestamp").alias("started_at"), "props")
 
+    @cached_property
+    def index(self) -> bm25.Index:
+        """The stored BM25 index of the documents: built by the first query of a session that needs it, read by all."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        path = _INDEXES.get(key)
+        if path is None or not exists(self.spark, f"{path}/stats"):
+            path = new_path(self.spark, "bm25")
+            index = bm25.Index.build(self.documents.select("doc_id", "text"), path)
+            _INDEXES[key] = path
+            return index
+        return bm25.Index(self.spark, path)
+
     @cached_property
     def questions(self) -> DataFrame:
-        """``qid, question, source_hint``: the hint is the source of the lowest doc_id that has the item's opening characters."""
-        items = self.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.substring("text", 1, PROBE_CHARS).alias("probe"))
-        hits = phrase_join(self.documents.select("doc_id", "text", "source"), items.select("qid", "probe"))
+        """``qid, question, source_hint``: the hint is the source of the lowest doc_id that has the whole item."""
+        items = self.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+        hits = phrase_join(self.index, self.documents.select("doc_id", "text", "source"), items.select("qid", F.col("question").alias("probe")))
         hints = hits.groupBy("qid").agg(F.min_by("source", "doc_id").alias("source_hint"))
         return items.join(hints, "qid", "left").select("qid", "question", "source_hint")
 
 
-def phrase_join(docs: DataFrame, probes: DataFrame) -> DataFrame:
+def phrase_join(index: bm25.Index, docs: DataFrame, probes: DataFrame) -> DataFrame:
     """``qid, doc_id, source`` where a document has a probe verbatim.
 
-    A probe's inner words are whole tokens of any text that has it, so its longest inner word is looked up first, and the
-    phrase is tested only on documents with that word. Probes without an inner word are tested on all documents.
+    A probe's inner words are whole tokens of any text that has it, so its rarest one is looked up in the index, and the
+    phrase is tested only on documents with that token. Probes without an inner word are tested on all documents.
     """
     inner = F.regexp_extract_all(F.lower("probe"), F.lit("(?<=[^a-zа-яё0-9])[a-zа-яё0-9]{2,}(?=[^a-zа-яё0-9])"), F.lit(0))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = probes.withColumn("token", longest["w"])
-    words = keyed.select("token").distinct()
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(tokenize_raw(F.col("text")))).alias("token"))
-    pairs = tokens.join(words, "token", "left_semi").join(keyed.filter("token IS NOT NULL"), "token").select("doc_id", "qid", "probe")
+    words = probes.select("qid", "probe", F.explode_outer(F.array_distinct(inner)).alias("word")).withColumn("token", stem(F.col("word")))
+    weighed = words.join(index.terms, "token", "left").groupBy("qid").agg(
+        F.first("probe").alias("probe"), F.count("token").alias("inner"), F.count("df").alias("known"), F.min_by("token", F.struct("df", "token")).alias("token")
+    )
+    # a token that no document has rules its probe out
+    keyed = weighed.filter((F.col("inner") > 0) & (F.col("known") == F.col("inner")))
+    pairs = index.postings.select("doc_id", "token").join(keyed.select("token", "qid", "probe"), "token").select("doc_id", "qid", "probe")
     hits = docs.join(pairs, "doc_id").filter(F.contains("text", F.col("probe")))
-    rest = docs.join(keyed.filter("token IS NULL"), F.contains("text", F.col("probe")))
+    rest = docs.join(weighed.filter("inner = 0").select("qid", "probe"), F.contains("text", F.col("probe")))
     cols = ["qid", "doc_id", "source"]
     return hits.select(*cols).unionByName(rest.select(*cols))
 
@@ -82,7 +98,7 @@ SQL = {
     "logs": """logs AS (SELECT event_id AS id, user_id, event_type AS question, value AS latency,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'running' ELSE 'pending' END AS status, ts AS started_at, props FROM events)""",
     "questions": """questions AS (SELECT item_id AS qid, any_value(b.text) AS question, arg_min(d.source, d.doc_id) AS source_hint
-  FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY item_id)""",
+  FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)""",
 }
 
 
