@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,12 +58,16 @@ def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     """``kernel`` for mapInArrow, giving back the memory of its batches when it ends: workers live on, and stages follow each other."""
 
     def run(batches: Iterator) -> Iterator:
+        import ctypes
+
         import pyarrow as pa
 
         try:
             yield from kernel(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     return run
 

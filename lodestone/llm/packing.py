@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import Staged, free_name, tidy
 from lodestone.llm.tokenizing import STORE_PIECES, encoder
 
-CHUNK_ROWS = 2048  # documents that are encoded at a time
+CHUNK_ROWS = 1024  # documents that are encoded at a time
 PART_PIECES = 40_000  # pieces that a partition packs at a time
 ROUNDS = 6  # exchanges at most; what is open then stays as packed last
 

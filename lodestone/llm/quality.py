@@ -204,8 +204,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Texts are measured twice, for the cutoffs and for the verdicts, and never shuffled."""
-    measures = Staged(measure(docs), "measures")
-    cuts = cutoffs(measures.df, labels, **how)
-    measures.drop()
-    return judge(measure(docs, F.struct("*")), cuts).filter("kept").select("carried.*")
+    """The rows of ``docs`` that the rules keep. They are measured once, written with their measures, and never shuffled."""
+    measured = Staged(measure(docs, F.struct("*")), "measured").df
+    cuts = cutoffs(measured.withColumn("doc_id", F.col("carried.doc_id").cast("long")).drop("carried"), labels, **how)
+    return judge(measured, cuts).filter("kept").select("carried.*")

@@ -21,7 +21,7 @@ from lodestone.llm.tokenizing import encoder
 SCHEMA = "doc_id long, part int, first long, n_tokens int, ids array<int>"
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CHUNK_ROWS = 2048  # documents whose ids make one batch
+CHUNK_ROWS = 1024  # documents whose ids make one batch
 
 
 def _encode(tokenizer: str, end_id: int):

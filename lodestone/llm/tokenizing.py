@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 
 from lodestone.llm._common import worker_cache
 
-STORE_PIECES = 2_000_000  # pieces whose ids a worker keeps, about 40 bytes each; the half that was not used for longest goes
+STORE_PIECES = 1_000_000  # pieces whose ids a worker keeps, about 40 bytes each; the half that was not used for longest goes
 STORED_BYTES = 48  # longer pieces are not kept
-CHUNK_BYTES = 8 << 20  # texts that are cut at a time; a longer text is a chunk of its own
+CHUNK_BYTES = 4 << 20  # texts that are cut at a time; a longer text is a chunk of its own
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"  # after letters, each is a unit of its own
 _GROUP = 256  # new pieces that go to the library as one text
