@@ -60,3 +60,8 @@ def group_for(visibility: Column, group: Column) -> Column:
 def can_edit(visibility: Column, owner: Column, user_id: Column, role: Column) -> Column:
     """Administrators edit everything, others what is their own."""
     return F.coalesce((role == "admin") | (visibility.isin(PRIVATE, CLIENT) & (owner == user_id)), F.lit(False))
+
+
+def in_domain(access: Column, domain: str, column: str = "doc_domain") -> Column:
+    """``access``, and of one domain; a document without a domain is in none."""
+    return access & F.coalesce(F.col(column) == domain, F.lit(False))

@@ -153,3 +153,44 @@ def page_advice(total: Column, bad: Column, scans: Column, garbled: Column, firs
 
 def score_band(share: Column) -> Column:
     return F.when(share >= 0.7, "good").when(share >= 0.4, "fair").otherwise("poor")
+
+
+KEY_PREFIX = "tks_"
+
+
+def storage_key(owner: Column, group: Column, document_id: Column, filename: Column) -> Column:
+    """Where an uploaded file is kept: below its owner, else its group, else what is public; folders in the name are dropped."""
+    name = F.concat(document_id.cast("string"), F.lit("_"), F.regexp_extract(filename, r"([^/]*)/*$", 1))
+    user, shared = F.concat(F.lit("uploads/users/"), owner.cast("string"), F.lit("/"), name), F.concat(F.lit("uploads/groups/"), group.cast("string"), F.lit("/"), name)
+    return F.when(owner.isNotNull(), user).when(group.isNotNull(), shared).otherwise(F.concat(F.lit("uploads/public/"), name))
+
+
+def same_config(current: Column, stored: Column) -> Column:
+    """Whether two configuration values are the same: as JSON where both are, whatever the spacing, the order of keys or how a number is written; else as text. Null equals null."""
+    a, b = F.to_json(F.try_parse_json(current)), F.to_json(F.try_parse_json(stored))
+    # a text that is no JSON stands for itself, as the stored JSON string of it does
+    text = F.coalesce(F.get_json_object(F.concat(F.lit("["), stored, F.lit("]")), "$[0]"), stored)
+    number = lambda j: F.when(j.rlike(r"^-?[0-9]"), j.try_cast("double"))
+    same = F.when(a.isNotNull() & b.isNotNull(), F.coalesce(a == b, F.lit(False)) | F.coalesce(number(a) == number(b), F.lit(False))).otherwise(current == F.when(b.isNotNull(), text).otherwise(stored))
+    return F.when(current.isNull() | stored.isNull(), current.isNull() & stored.isNull()).otherwise(same)
+
+
+def chat_role(role: Column) -> Column:
+    """A stored message's role as a model's: the user's own is human, every other is the model's."""
+    return F.when(role == "user", "human").otherwise("ai")
+
+
+def key_hash(raw: Column) -> Column:
+    return F.sha2(raw, 256)
+
+
+def key_display(raw: Column, prefix: str = KEY_PREFIX) -> Column:
+    """What is shown of an API key: its prefix and six characters."""
+    return F.substring(raw, 1, len(prefix) + 6)
+
+
+def extraction_quality(total: Column, extracted: Column, garbled: Column, tables: Column, low: float = 0.3) -> Column:
+    """``n_missing, n_garbled, bad_ratio, is_low`` of a document's pages; pages with tables do not count as garbled."""
+    missing, odd = F.greatest(total - extracted, F.lit(0)), F.greatest(garbled - tables, F.lit(0))
+    ratio = F.coalesce((missing + odd) / F.nullif(total, F.lit(0)), F.lit(0.0))
+    return F.struct(missing.alias("n_missing"), odd.alias("n_garbled"), ratio.alias("bad_ratio"), ((total > 0) & (ratio > low)).alias("is_low"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,22 +79,26 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str])
     return out
 
 
-_CHUNKS = T.ArrayType(T.StringType())
-
-
 def recursive_chunks(df: DataFrame, domain: str = "general", text: str = "text", size: int | None = None, overlap: int | None = None) -> DataFrame:
-    """``df`` with ``chunk_index, chunk``; rows whose ``content_type`` is table stay one chunk in the general domain."""
+    """``df`` with ``chunk_index, chunk``; rows whose ``content_type`` is table stay one chunk in the general domain.
+
+    Splitting at the first separator that fits, and again inside what is still too long, is no built-in operation; texts go
+    through it in Arrow batches, and the other columns are repeated without passing through Python objects.
+    """
     size, overlap = size or SIZES[domain][0], SIZES[domain][1] if overlap is None else overlap
     separators = LEGAL if domain == "legal" else GENERAL
-
-    @F.udf(_CHUNKS, useArrow=True)
-    def chunks(value: str | None) -> list[str]:
-        return split_recursively(value or "", size, overlap, separators)
-
-    found = chunks(F.col(text))
-    if domain != "legal" and "content_type" in df.columns:
-        found = F.when(F.col("content_type").eqNullSafe("table"), F.array(F.col(text))).otherwise(found)
-    return df.select("*", F.posexplode(found).alias("chunk_index", "chunk"))
+    names, whole = df.columns, domain != "legal" and "content_type" in df.columns
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            kinds = batch.column("content_type").to_pylist() if whole else [None] * len(texts)
+            found = [[t] if k == "table" else split_recursively(t or "", size, overlap, separators) for t, k in zip(texts, kinds, strict=True)]
+            rows = batch.take(pa.array([k for k, parts in enumerate(found) for _ in parts], pa.int64()))
+            index, chunk = pa.array([i for parts in found for i in range(len(parts))], pa.int32()), pa.array([p for parts in found for p in parts], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, index, chunk], names=[*names, "chunk_index", "chunk"])
+
+    return df.mapInArrow(split, T.StructType([*df.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())]))
 
 
 def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:

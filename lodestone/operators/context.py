@@ -49,6 +49,13 @@ def recent_turns(messages: DataFrame, by: str, order: str, n: int, least_chars:
     return said.filter(F.col("_nth") <= n).withColumn("position", F.row_number().over(w.orderBy(order))).drop("_nth")
 
 
+def older_turns(messages: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The messages before the last n of each conversation, with their ``position``: what a rolling summary takes in."""
+    w = Window.partitionBy(by)
+    placed = messages.withColumn("_nth", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("position", F.row_number().over(w.orderBy(order)))
+    return placed.filter(F.col("_nth") > n).drop("_nth")
+
+
 def transcript(turns: DataFrame, by: str, most_chars: int = 200) -> DataFrame:
     line = F.concat(F.initcap("role"), F.lit(": "), F.substring("content", 1, most_chars))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"])

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text, tokens
 from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector
 from lodestone.plans import answer
-from lodestone.plans.derived import Tables, with_tables
+from lodestone.plans.derived import Tables
+from lodestone.plans.registry import ORACLES, QUERIES, query
+from lodestone.sources.staging import new_path
 from lodestone.streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(tables_used: str | None = None, sql: str | None = None) -> Callable:
-    """Registers a function of ``Tables``; ``sql`` follows the derived tables that it uses."""
-
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[f.__name__] = with_tables(tables_used, sql) if tables_used else sql
-        return f
-
-    return register
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- who sees what
 
@@ -255,7 +241,7 @@ def duplicate_check(t):
 @query(None, "SELECT doc_id, CASE WHEN nth = 0 THEN source || '.txt' ELSE source || ' (' || nth || ').txt' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents)")
 def unique_filenames(t):
     named = t.documents.select("doc_id", F.concat("source", F.lit(".txt")).alias("filename"))
-    return tables.unique_names(named, [], "filename", [F.col("doc_id")]).select("doc_id", "unique_name")
+    return tables.unique_names(named, "filename", "doc_id").select("doc_id", "unique_name")
 
 
 @query(None, "SELECT source, count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(max(doc_id), -1) AS last_id FROM documents GROUP BY source")
@@ -714,9 +700,14 @@ def session_windows(t):
     return streams.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours")
 
 
-@query(None, "SELECT event_type, min(ts) AS first_ts FROM events GROUP BY event_type")
+@query(None, "SELECT event_type, date_trunc('day', ts) AS day FROM events GROUP BY ALL")
 def dedup_watermark(t):
-    return t.events.groupBy("event_type").agg(F.min("ts").cast("timestamp").alias("first_ts"))
+    """A stream of the events, each a key of type and day; what the stream wrote is read back."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(t.dir, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed = events.withColumn("day", F.date_trunc("day", "ts")).withColumn("key", F.concat_ws("/", "event_type", "day"))
+    out = new_path(t.spark, "dedup")
+    streams.run_once(streams.first_seen(keyed, "key", "ts", "2 days").select("event_type", "day"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.schema("event_type string, day timestamp").parquet(f"{out}/rows")
 
 
 @query(None, "SELECT event_type, time_bucket(INTERVAL 30 SECOND, ts) AS start, count(*) AS n, arg_max(value, (ts, value)) AS last, round(avg(value), 9) AS mean FROM events GROUP BY ALL")
@@ -731,10 +722,13 @@ def ttl_expiry(t):
 
 @query(None, f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY token")
 def incremental_index(t):
-    """What is left of the index when the documents labelled as bad are removed: their counts are taken away from the whole."""
-    whole = bm25.postings(t.documents).groupBy("token").agg(F.count("*").alias("df"))
-    gone = bm25.postings(t.documents.join(t.labels.filter("quality = 0"), "doc_id", "left_semi")).groupBy("token").agg(F.count("*").alias("less"))
-    return whole.join(gone, "token", "left").select("token", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df")).filter("df > 0")
+    """A live index of all documents from which those labelled as bad are removed by a second batch."""
+    index = streams.LiveIndex(t.spark, new_path(t.spark, "live"))
+    docs = t.documents.select("doc_id", "text", F.lit(False).alias("deleted"), F.lit(0).alias("seq"))
+    bad = t.labels.filter("quality = 0").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"), F.lit(1).alias("seq"))
+    index.apply(docs)
+    index.apply(bad)
+    return index.stats()
 
 
 @query("logs", " SELECT user_id AS key, arg_max(question, (started_at, question)) AS value, max(started_at) AS ts FROM logs GROUP BY user_id")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from lodestone.functions.tokens import tokenize
+from lodestone.functions.policy import same_config
+from lodestone.operators import bm25
 from lodestone.operators.tables import latest
+from lodestone.sources.staging import children, exists, remove
 
 # fixed values: how many requests a user has in a minute
 LIMITS = {"chat": 20, "upload": 10, "ingest": 10}
@@ -102,30 +104,65 @@ def ingest_files(spark: SparkSession, path: str, out: str, checkpoint: str, pars
 class LiveIndex:
     """Postings and statistics under additions, replacements and removals, exact at every step.
 
-    ``apply`` takes a batch of changes (``doc_id, text, deleted``): what the changed documents had is taken away and what
-    they have now is put in their place. Each version is a written table, so that readers and retries see whole ones.
+    ``apply`` takes a batch of changes (``doc_id, text, deleted`` and an order, ``seq``): of a document's changes the last
+    counts, what it had is taken away and what it has now is put in its place. Documents are dealt into ``buckets``; a
+    version writes the buckets that its batch touches and names for every bucket the version that has it, so readers and
+    retries see whole versions, and a new instance goes on from the last one. Versions that none of the last two name go.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, 0
+    SCHEMA = "doc_id long, token string, tf long, dl int"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        done = [int(n.removeprefix("manifest-")) for n in children(spark, path) if n.startswith("manifest-")]
+        self.version = max([v for v in done if exists(spark, f"{path}/manifest-{v}/_SUCCESS")], default=0)
 
-    def _at(self, version: int) -> str:
-        return f"{self.path}/v{version}"
+    def _manifest(self, version: int) -> dict[int, int]:
+        """The version that has each bucket; at most ``buckets`` rows."""
+        if not version:
+            return {}
+        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.path}/manifest-{version}").collect()}
+
+    def _rows(self, manifest: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(manifest.items())]
+        paths = [p for p in paths if exists(self.spark, p)]  # an empty bucket has no folder
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def postings(self) -> DataFrame:
-        schema = "doc_id long, token string, tf long, dl int"
-        return self.spark.read.schema(schema).parquet(self._at(self.version)) if self.version else self.spark.createDataFrame([], schema)
+        return self._rows(self._manifest(self.version))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
 
     def apply(self, changes: DataFrame, epoch: int | None = None) -> None:
         """One batch; with an ``epoch`` it is idempotent, as a stream's foreachBatch needs."""
         if epoch is not None:  # a retried batch starts from the version before it
             self.version = epoch
+        base, new = self._manifest(self.version), self.version + 1
+        last = latest(changes.select("doc_id", "text", "deleted", "seq"), ["doc_id"], ["seq"]).withColumn("bucket", self._bucket())
+        touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        now = last.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("doc_id", "text")
+        old = self._rows({b: v for b, v in base.items() if b in touched}).join(last.select("doc_id"), "doc_id", "left_anti")
+        rows = old.select("doc_id", "token", "tf", "dl").unionByName(bm25.postings(now).select("doc_id", "token", "tf", "dl"))
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{new}")
+        self._commit(new, base | dict.fromkeys(touched, new))
+
+    def rebuild(self, texts: DataFrame) -> None:
+        """A version from all of ``texts(doc_id, text)``, whatever was there."""
         new = self.version + 1
-        now = changes.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-        added = now.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        kept = self.postings().join(changes.select("doc_id").distinct(), "doc_id", "left_anti")
-        kept.select("doc_id", "token", "tf", "dl").unionByName(added.select("doc_id", "token", "tf", "dl")).write.mode("overwrite").parquet(self._at(new))
-        self.version = new
+        rows = bm25.postings(texts).select("doc_id", "token", "tf", "dl").withColumn("bucket", self._bucket())
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{new}")
+        self._commit(new, dict.fromkeys(range(self.buckets), new))
+
+    def _commit(self, version: int, manifest: dict[int, int]) -> None:
+        before = self._manifest(self.version)
+        rows = [(int(b), int(v)) for b, v in manifest.items()]
+        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{version}")
+        self.version, used = version, {*manifest.values(), *before.values()}
+        for name in children(self.spark, self.path):
+            at = int(name.rpartition("-")[2].lstrip("v"))
+            if (name.startswith("v") and at < version and at not in used) or (name.startswith("manifest-") and at < version - 1):
+                remove(self.spark, f"{self.path}/{name}")
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -133,3 +170,77 @@ class LiveIndex:
     def stats(self) -> DataFrame:
         """``token, df``, exact."""
         return self.postings().groupBy("token").agg(F.count("*").alias("df"))
+
+
+def rebuild_due(last_build: Column, now: Column, hour: int = 3) -> Column:
+    """Whether a build at ``hour`` of every day has been missed since the last one; a first one is due."""
+    today = F.date_trunc("day", now) + F.make_interval(hours=F.lit(hour))
+    slot = F.when(now >= today, today).otherwise(today - F.make_interval(days=F.lit(1)))
+    return last_build.isNull() | (last_build < slot)
+
+
+def refetched(changes: DataFrame, table: DataFrame) -> DataFrame:
+    """``key, value, ts``: changes that were too large to be sent (``oversize``) get their value from the table, those of unknown keys go."""
+    now = table.select("key", F.col("value").alias("_now"))
+    found = changes.join(now, "key", "left").withColumn("value", F.when(F.col("oversize"), F.col("_now")).otherwise(F.col("value")))
+    return found.filter(~F.col("oversize") | F.col("_now").isNotNull()).select("key", "value", "ts")
+
+
+def out_of_step(applied: DataFrame, table: DataFrame) -> DataFrame:
+    """``key, value``: what a full resync has to apply, where the applied value is not the table's, as JSON; a null value takes the key away."""
+    both = applied.select("key", F.col("value").alias("_have"), F.lit(True).alias("_known")).join(table.select("key", "value", F.lit(True).alias("_there")), "key", "full_outer")
+    same = F.col("_known").isNotNull() & F.col("_there").isNotNull() & same_config(F.col("_have"), F.col("value"))
+    return both.filter(~same).select("key", "value")
+
+
+class LiveConfig:
+    """The configuration that a stream of changes leaves, as a table per version; ``resync`` makes it equal to the source table."""
+
+    SCHEMA = "key string, value string, ts timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        done = [int(n[1:]) for n in children(spark, path) if n.startswith("v")]
+        self.version = max([v for v in done if exists(spark, f"{path}/v{v}/_SUCCESS")], default=0)
+
+    def current(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{self.version}") if self.version else self.spark.createDataFrame([], self.SCHEMA)
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        rows.select("key", "value", "ts").write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        self.version = version
+        remove(self.spark, f"{self.path}/v{version - 2}")
+
+    def apply(self, changes: DataFrame, table: DataFrame, epoch: int | None = None) -> None:
+        if epoch is not None:
+            self.version = epoch
+        self._write(current_config(self.current().unionByName(refetched(changes, table))), self.version + 1)
+
+    def follow(self, changes: DataFrame, table: DataFrame, checkpoint: str) -> StreamingQuery:
+        go = lambda batch, epoch: self.apply(batch, table, epoch)
+        return changes.writeStream.foreachBatch(go).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def resync(self, table: DataFrame, now: Column) -> None:
+        fixed = out_of_step(self.current(), table)
+        kept = self.current().join(fixed.select("key"), "key", "left_anti")
+        self._write(kept.unionByName(fixed.filter(F.col("value").isNotNull()).withColumn("ts", now)), self.version + 1)
+
+
+def sweep_progress(done: DataFrame, total: int) -> DataFrame:
+    """``finished, percent, best, done`` of a sweep, a row that a listener reads until ``done``; works on a stream in complete mode as well."""
+    n = F.count("*")
+    return done.agg(n.alias("finished"), F.round(100.0 * n / max(1, total), 1).alias("percent"), F.max("composite").alias("best")).withColumn("done", F.col("finished") >= total)
+
+
+def renewed(entries: DataFrame, hits: DataFrame, key: str, written: str, at: str, ttl_seconds: int) -> DataFrame:
+    """``key, hits, expires_at``: each hit before an entry's end counts and renews its time to live.
+
+    An entry ends at the first gap longer than the time to live; later hits do not bring it back.
+    """
+    ttl = F.make_interval(secs=F.lit(ttl_seconds))
+    uses = hits.select(key, F.col(at).alias("_at")).join(entries.select(key, F.col(written).alias("_from")), key).filter(F.col("_at") >= F.col("_from"))
+    marks = entries.select(key, F.col(written).alias("_at"), F.lit(0).alias("_hit")).unionByName(uses.select(key, "_at", F.lit(1).alias("_hit")))
+    w = Window.partitionBy(key).orderBy("_at", "_hit")
+    late = F.coalesce(F.col("_at") >= F.lag("_at").over(w) + ttl, F.lit(False))
+    alive_ = marks.withColumn("_late", late.cast("int")).withColumn("_dead", F.max("_late").over(w)).filter("_dead = 0")
+    return alive_.groupBy(key).agg(F.sum("_hit").alias("hits"), (F.max("_at") + ttl).alias("expires_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector
-from lodestone.sources import files, sinks
+from lodestone.sources import files, sinks, staging
 from lodestone.streaming import streams
 
 
@@ -183,18 +183,62 @@ def test_json_sources_and_sinks(spark, tmp_path):
 
 
 def test_live_index(spark, tmp_path):
-    schema = T._parse_datatype_string("doc_id long, text string, deleted boolean")
-    index = streams.LiveIndex(spark, str(tmp_path / "index"))
-    index.apply(spark.createDataFrame([(1, "aa bb aa", False), (2, "bb cc", False), (3, "cc", False)], schema))
-    index.apply(spark.createDataFrame([(1, "dd", False), (3, None, True), (9, None, True)], schema))
-    assert {r.token: r.df for r in index.stats().collect()} == {"bb": 1, "cc": 1, "dd": 1}
+    schema = T._parse_datatype_string("doc_id long, text string, deleted boolean, seq int")
+    path = str(tmp_path / "index")
+    index = streams.LiveIndex(spark, path, buckets=4)
+    index.apply(spark.createDataFrame([(1, "aa bb aa", False, 1), (2, "bb cc", False, 1), (3, "cc", False, 1), (4, "alpha beta", False, 1), (4, "gamma delta", False, 2)], schema))
+    assert {r.token: r.df for r in index.stats().collect()} == {"aa": 1, "bb": 2, "cc": 2, "gamma": 1, "delta": 1}
+    index.apply(spark.createDataFrame([(1, "dd", False, 1), (3, None, True, 1), (9, None, True, 1), (4, "x", True, 2), (4, "late one", False, 1)], schema))
+    want = {"bb": 1, "cc": 1, "dd": 1}
+    assert {r.token: r.df for r in index.stats().collect()} == want
+    again = streams.LiveIndex(spark, path, buckets=4)  # goes on from the stored version
+    assert again.version == 2 and {r.token: r.df for r in again.stats().collect()} == want
+    batch = spark.createDataFrame([(7, "ee", False, 1)], schema)
+    for _ in range(2):  # a batch that is retried
+        again.apply(batch, 2)
+        assert {r.token: r.df for r in again.stats().collect()} == want | {"ee": 1}
+    again.apply(spark.createDataFrame([(k, None, True, 1) for k in (1, 2, 7)], schema))
+    assert again.stats().count() == 0
+    again.rebuild(spark.createDataFrame([(1, "new start")], "doc_id long, text string"))
+    assert {r.token: r.df for r in again.stats().collect()} == {"new": 1, "start": 1}
+    assert sum(n.startswith("manifest-") for n in staging.children(spark, path)) == 2
     src = tmp_path / "changes"
-    spark.createDataFrame([(4, "ee ee", False)], schema).write.parquet(str(src))
+    spark.createDataFrame([(4, "ee ee", False, 1)], schema).write.parquet(str(src))
     follower = streams.LiveIndex(spark, str(tmp_path / "followed"))
     follower.follow(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.token, r.tf) for r in follower.postings().collect()] == [("ee", 2)]
 
 
+def test_live_config(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    table = spark.createDataFrame([("a", '["x", "y"]'), ("b", "7"), ("c", "big")], "key string, value string")
+    src, schema = str(tmp_path / "log"), "key string, value string, ts timestamp, oversize boolean"
+    spark.createDataFrame([("a", '["x","y"]', at(1), False), ("b", "5", at(2), False), ("b", "6", at(1), False), ("c", None, at(1), True), ("gone", None, at(1), True)], schema).write.parquet(src)
+    config = streams.LiveConfig(spark, str(tmp_path / "config"))
+    config.follow(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "cp")).awaitTermination(60)
+    assert {r.key: r.value for r in config.current().collect()} == {"a": '["x","y"]', "b": "5", "c": "big"}
+    assert [(r.key, r.value) for r in streams.out_of_step(config.current(), table).collect()] == [("b", "7")]
+    config.resync(table.filter("key != 'c'"), F.lit("2024-01-02").cast("timestamp"))
+    assert {r.key: r.value for r in streams.LiveConfig(spark, str(tmp_path / "config")).current().collect()} == {"a": '["x","y"]', "b": "7"}
+
+
+def test_rebuilds_progress_and_renewal(spark):
+    import datetime as dt
+
+    now = F.lit("2024-01-02 02:00:00").cast("timestamp")
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 3, 0),), (dt.datetime(2024, 1, 1, 2, 59),), (None,)], "t timestamp")
+    assert [r[0] for r in rows.select(streams.rebuild_due(F.col("t"), now)).collect()] == [False, True, True]
+    done = spark.createDataFrame([(1, 0.4), (2, 0.6)], "config_id int, composite double")
+    assert streams.sweep_progress(done, 3).first()[:] == (2, 66.7, 0.6, False) and streams.sweep_progress(done, 2).first().done
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    entries = spark.createDataFrame([("a", at(0)), ("b", at(0))], "key string, written timestamp")
+    hits = spark.createDataFrame([("a", at(4)), ("a", at(8)), ("a", at(20)), ("b", at(5)), ("c", at(1))], "key string, ts timestamp")
+    got = {r.key: (r.hits, r.expires_at) for r in streams.renewed(entries, hits, "key", "written", "ts", 300).collect()}
+    assert got == {"a": (2, at(13)), "b": (0, at(5))}
+
+
 def test_streams_equal_batches(spark, tmp_path, sf_dir):
     src = str(tmp_path / "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
