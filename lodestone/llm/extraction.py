@@ -1,18 +1,22 @@
 """Main text of HTML pages by two passes over blocks.
 
 A tolerant scanner turns a page into blocks: text between block-level tags, with its length, the share of it that is link
-text, the share of its words that are function words, and what encloses it. Pass one decides: what stands in navigation,
+text, the share of its words that are function words, and what encloses it. Pass one decides. What stands in navigation,
 headers, footers, asides, forms, or in elements whose class, id or role name such parts, is boilerplate; so are blocks
-that are mostly links. In an article (article, main, or itemprop articleBody) the other blocks are text. Elsewhere long
-blocks with enough function words are text, long ones with almost none are boilerplate, and short ones stay open. On a
-page whose blocks have almost no function words of a known language, long blocks are text by length and links alone. A
-form around an article does not make it boilerplate. Pass
-two lets open blocks inherit: between two decided neighbours of one kind that kind, otherwise the nearer one's, headings
-the next one's.
+that are mostly links. Long blocks with enough function words are text. Short blocks, and long ones with almost no function
+words, stay open. In an article (article, main, or itemprop articleBody) fewer function words are enough.
+
+In pass two open blocks inherit from the nearest decided blocks before and after. Of two that differ the one counts that
+shares the deeper enclosing element, then the one with fewer blocks between, then the one before; headings go with what follows. A
+long block with almost no function words needs text on both sides, or beside it in the same element. In an article an open
+block is text unless both neighbours there are not. On a page whose blocks have almost no function words of a known
+language, long blocks are text by length and links alone; where no block is decided to be text, long ones are, or paragraphs
+if there are none. If a page marks an article that has text, nothing outside counts.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -43,9 +47,10 @@ FUNCTION_WORDS = {
     "es": frozenset("al algo como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()),
 }
 ANY_FUNCTION_WORD = frozenset().union(*FUNCTION_WORDS.values())
+PARAGRAPH = HEADINGS | frozenset("p li dt dd pre blockquote td th figcaption caption summary".split())
 SHORT, LONG = 70, 200  # characters
 LINKED = 0.5  # link share from which a block is boilerplate
-DENSE, SPARSE = 0.25, 0.1  # function word shares
+DENSE, SPARSE = 0.25, 0.1  # function word shares; long blocks and those of an article need the smaller one
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+(?:>|$))", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -56,27 +61,28 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 
 class Block:
-    __slots__ = ("text", "label", "heading", "region", "words", "known", "sparse")
+    __slots__ = ("text", "label", "heading", "region", "words", "known", "sparse", "depth", "low", "paragraph")
 
-    def __init__(self, text: str, linked: int, beside: bool, article: int, heading: bool):
+    def __init__(self, text: str, linked: int, beside: bool, article: int, heading: bool, depth: int, low: int, paragraph: bool):
+        """``depth``: of the enclosing block elements; ``low``: the least depth since the block before; ``paragraph``: whether the innermost is one."""
         self.text, self.heading, self.region, self.sparse = text, heading, article, False
+        self.depth, self.low, self.paragraph = depth, low, paragraph
         words = _WORDS.findall(text.lower())
         self.words, self.known = len(words), sum(w in ANY_FUNCTION_WORD for w in words)
         self.label = BAD if beside else self._judge(text, linked / max(1, len(text)), article)
 
     def _judge(self, text: str, linked: float, article: int) -> int:
         if article:
-            return BAD if linked > LINKED and len(text) < SHORT and linked > 0.9 and len(text.split()) < 3 else GOOD
-        if linked > LINKED:
+            if linked > 0.9 and len(text) < SHORT and self.words < 3:
+                return BAD
+        elif linked > LINKED:
             return BAD
-        dense = self.known / self.words if self.words else 0.0
         if len(text) < SHORT:
             return OPEN
-        if dense >= DENSE:
+        dense = self.known / self.words if self.words else 0.0
+        if dense >= (SPARSE if article or len(text) >= LONG else DENSE):
             return GOOD
-        if len(text) >= LONG:
-            self.sparse = dense < SPARSE
-            return BAD if self.sparse else GOOD
+        self.sparse = dense < SPARSE and len(text) >= LONG
         return OPEN
 
 
@@ -101,163 +107,207 @@ def _marks(attributes: str) -> tuple[bool, bool]:
     return beside, body
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order. Unclosed tags end where their parents end; a lone < is text."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, beside, article
-    article, articles, beside, skipping, linked_in = 0, 0, 0, 0, 0
-    buffer: list[str] = []
-    linked, heading = 0, False
-
-    def flush() -> None:
-        nonlocal linked, heading
-        if buffer:
-            text = " ".join("".join(buffer).split())
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "beside", "article", "blocks")
+
+    def __init__(self, tag: str, beside: bool, article: bool, blocks: int):
+        self.tag, self.beside, self.article, self.blocks = tag, beside, article, blocks
+
+
+class _Scanner:
+    """Reads a page once. The open elements are a stack, with the places of each tag in it, so that no step goes through the stack."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.forms: list[_Open] = []  # open forms that count as beside the article
+        self.article = self.articles = self.beside = self.skipping = self.linked_in = self.depth = self.low = 0
+        self.buffer: list[str] = []
+        self.linked, self.heading = 0, False
+
+    def flush(self) -> None:
+        if self.buffer:
+            text = " ".join("".join(self.buffer).split())
             if text:
-                out.append(Block(text, linked, beside > 0, article if beside == 0 else 0, heading))
-            buffer.clear()
-        linked = 0
+                inner = self.stack[-1].tag if self.stack else ""
+                paragraph = inner in PARAGRAPH or (inner not in BLOCK and any(self.places.get(t) for t in ("p", "li", "pre")))
+                self.out.append(Block(text, self.linked, self.beside > 0, self.article if self.beside == 0 else 0, self.heading, self.depth, min(self.low, self.depth), paragraph))
+                self.low = self.depth
+            self.buffer.clear()
+        self.linked = 0
 
-    def push(tag: str, attributes: str) -> None:
-        nonlocal article, articles, beside, heading
+    def push(self, tag: str, attributes: str) -> None:
         apart, body = _marks(attributes) if attributes.strip() else (False, False)
         is_article = tag in ("article", "main") or body
-        apart = (apart and tag not in ("html", "body") and not is_article) or tag in BOILERPLATE or (tag == "header" and not article)
+        apart = (apart and tag not in ("html", "body") and not is_article) or tag in BOILERPLATE or (tag == "header" and not self.article)
         if is_article:
-            for k, (t, away, inner) in enumerate(stack):
-                if t == "form" and away:
-                    stack[k] = (t, False, inner)
-                    beside -= 1
-        if is_article and not article:
-            articles += 1
-            article = articles
-            stack.append((tag, apart, True))
-        else:
-            stack.append((tag, apart, False))
-        beside += apart
+            for form in self.forms:  # a form around an article does not hide it
+                form.beside = False
+                self.beside -= 1
+            self.forms.clear()
+        block = tag in BLOCK
+        self.depth += block
+        element = _Open(tag, apart, is_article and not self.article, self.depth)
+        if element.article:
+            self.articles += 1
+            self.article = self.articles
+        if apart and tag == "form":
+            self.forms.append(element)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(element)
+        self.beside += apart
+        self.skipping += tag in SKIPPED
+        self.linked_in += tag == "a"
 
-    def pop() -> str:
-        nonlocal article, beside, skipping, linked_in, heading
-        tag, apart, is_article = stack.pop()
-        beside -= apart
-        if is_article:
-            article = 0
-        if tag in SKIPPED:
-            skipping -= 1
-        if tag == "a":
-            linked_in -= 1
-        return tag
-
-    def text(s: str) -> None:
-        nonlocal linked
-        if skipping or not s:
+    def pop(self) -> None:
+        element = self.stack.pop()
+        if self.places.get(element.tag):
+            self.places[element.tag].pop()
+        self.beside -= element.beside
+        if element.beside and self.forms and self.forms[-1] is element:
+            self.forms.pop()
+        if element.article:
+            self.article = 0
+        if element.tag in BLOCK:
+            self.depth -= 1
+            self.low = min(self.low, self.depth)
+        self.skipping -= element.tag in SKIPPED
+        self.linked_in -= element.tag == "a"
+
+    def close_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+        at = self.places.get(tag)
+        if at:
+            place = at[-1]
+            inside = self.stack[-1].blocks > self.stack[place].blocks
+            if tag in BLOCK or tag in SKIPPED or not inside:
+                self.close_to(place)
+            elif tag == "a":  # an inline end tag does not close blocks around it, but the link ends
+                at.pop()
+                self.stack[place].tag = "a-closed"
+                self.linked_in -= 1
+        if tag in HEADINGS:
+            self.heading = False
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            self.flush()
+            self.heading = tag in HEADINGS
+            if tag in CLOSES_P and self.places.get("p"):
+                self.close_to(self.places["p"][-1])
+            elif tag in ("li", "dt", "dd", "tr", "td", "th") and self.places.get(tag):
+                place = self.places[tag][-1]
+                if not any(at and at[-1] > place for at in map(self.places.get, ("ul", "ol", "dl", "table", "tbody", "menu"))):
+                    self.close_to(place)
+        if tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path")):
+            self.push(tag, attributes)
+
+    def text(self, s: str) -> None:
+        if self.skipping or not s:
             return
         s = html.unescape(s)
-        buffer.append(s)
-        if linked_in:
-            linked += len("".join(s.split()))
+        self.buffer.append(s)
+        if self.linked_in:
+            self.linked += len("".join(s.split()))
+
 
-    at, n = 0, len(page)
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text in order. Unclosed tags end where their parents end; a lone < is text."""
+    scan, at, n = _Scanner(), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:])
+            scan.text(page[at:])
             break
         if m.start() > at:
-            text(page[at : m.start()])
+            scan.text(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             continue
-        tag, attributes = tag.lower(), m[3].removesuffix(">")
+        tag, attributes = m[2].lower(), m[3].removesuffix(">")
         if m[1]:
-            if tag in BLOCK:
-                flush()
-            if any(t == tag for t, _, _ in stack):
-                # an inline end tag does not close blocks around it
-                if tag not in BLOCK and tag not in SKIPPED:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            if not any(t in BLOCK for t, _, _ in stack[k + 1 :]):
-                                while pop() != tag:
-                                    pass
-                            elif tag == "a":
-                                linked_in -= 1
-                                stack[k] = ("a-closed", stack[k][1], stack[k][2])
-                            break
-                    continue
-                while pop() != tag:
-                    pass
-            if tag in HEADINGS:
-                heading = False
-            continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                text(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            heading = tag in HEADINGS
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
-                while pop() != "p":
-                    pass
-            elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "menu"):
-                        break
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-        if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path")):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            scan.end(tag)
+        elif tag == "br":
+            scan.text(" ")
+        elif tag in RAW:
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else n
-            continue
-        push(tag, attributes)
-        if tag in SKIPPED:
-            skipping += 1
-        if tag == "a":
-            linked_in += 1
-    flush()
+        elif tag != "wbr":
+            scan.begin(tag, attributes)
+    scan.flush()
+    return scan.out
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+def _nearest(found: list[Block], labels: list[int], step: int) -> list[tuple[int, int, int] | None]:
+    """For each block the label of the nearest decided one on one side, the depth of what encloses both, and how far it is."""
+    out: list[tuple[int, int, int] | None] = [None] * len(found)
+    last = shared = far = None
+    order = range(len(found)) if step > 0 else range(len(found) - 1, -1, -1)
+    for k in order:
+        if last is not None:
+            # the elements that enclose two blocks are those of the lowest place between them
+            low = found[k].low if step > 0 else found[k + 1].low
+            shared, far = min(shared, low), far + 1
+            out[k] = (last, shared, far)
+        if labels[k] != OPEN:
+            last, shared, far = labels[k], found[k].depth, 0
     return out
 
 
+def _inherited(b: Block, left: tuple[int, int, int] | None, right: tuple[int, int, int] | None) -> int:
+    beside = [x for x in (left, right) if x is not None]
+    if b.region:
+        return BAD if len(beside) == 2 and left[0] == right[0] == BAD else GOOD
+    if not beside:
+        return BAD
+    # in the same element as a paragraph or list item beside it
+    close = [x for x in beside if x[1] >= b.depth - b.paragraph]
+    if b.sparse:
+        return GOOD if (len(beside) == 2 and left[0] == right[0] == GOOD) or any(x[0] == GOOD and b.paragraph for x in close) else BAD
+    if b.heading:
+        return GOOD if right is not None and right[0] == GOOD and (right[2] <= 2 or right in close) else BAD
+    if len(beside) == 1:
+        x = beside[0]
+        return x[0] if x[2] == 1 or (b.paragraph and x in close) else BAD
+    return min(beside, key=lambda x: (-x[1], x[2]))[0]
+
+
 def settle(found: list[Block]) -> list[Block]:
     """Pass two: open blocks take the kind of decided neighbours."""
     if any(b.sparse for b in found) and sum(b.known for b in found) < SPARSE * sum(b.words for b in found):
         for b in found:  # the page's language has no list
-            if b.sparse and b.words:
+            if b.sparse and b.label == OPEN and b.words:
+                b.label = GOOD
+    if not any(b.label == GOOD for b in found):  # code or names, else short paragraphs: no more is there to decide by
+        long_ones = [b for b in found if b.label == OPEN and b.sparse]
+        for b in long_ones or found:
+            if b.label == OPEN and (b.sparse or b.paragraph):
                 b.label = GOOD
     labels = [b.label for b in found]
-    before: list[int | None] = []
-    last: int | None = None
-    for k, b in enumerate(labels):
-        before.append(last)
-        if b != OPEN:
-            last = k
-    after: list[int | None] = [None] * len(labels)
-    last = None
-    for k in range(len(labels) - 1, -1, -1):
-        after[k] = last
-        if labels[k] != OPEN:
-            last = k
-    for k, b in enumerate(found):
-        if labels[k] != OPEN:
-            continue
-        left, right = before[k], after[k]
-        if left is None and right is None:
-            b.label = BAD
-        elif b.heading:
-            b.label = found[right].label if right is not None and labels[right] == GOOD and right - k <= 2 else BAD
-        elif left is None or right is None:
-            near = left if right is None else right
-            b.label = labels[near] if abs(near - k) == 1 else BAD
-        elif labels[left] == labels[right]:
-            b.label = labels[left]
-        else:
-            b.label = labels[left] if k - left <= right - k else labels[right]
+    inside = [label if b.region else BAD for b, label in zip(found, labels, strict=True)]
+    before, after = _nearest(found, labels, 1), _nearest(found, labels, -1)
+    if any(b.region for b in found):  # neighbours in the article alone
+        kept = [k for k, b in enumerate(found) if b.region]
+        part = [found[k] for k in kept]
+        own = [inside[k] for k in kept]
+        for k, x, y in zip(kept, _nearest(part, own, 1), _nearest(part, own, -1), strict=True):
+            before[k], after[k] = x, y
+    for b, label, left, right in zip(found, labels, before, after, strict=True):
+        if label == OPEN:
+            b.label = _inherited(b, left, right)
     return found
 
 

@@ -323,6 +323,47 @@ def test_extraction(spark, sf_dir, duck):
     assert {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op10_extract(spark, sf_dir).collect()} == {i: (u, t, len(t)) for i, (u, t) in pages.items()}
 
 
+def test_extraction_without_article_elements():
+    """The article in a plain div: density, links and neighbours decide. Nearly all pages come out exactly, and no boilerplate does."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    import pyarrow.parquet as pq
+
+    exact = missed = n = extra = 0
+    pages = pq.read_table(f"{folder}/pages.parquet")["html"].to_pylist()
+    for page in pages:
+        want = extraction.main_text(page).split("\n")
+        got = extraction.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")).split("\n")
+        left = collections.Counter(want)
+        left.subtract(got)
+        exact, n = exact + (got == want), n + len(want)
+        missed, extra = missed + sum(v for v in left.values() if v > 0), extra - sum(v for k, v in left.items() if v < 0 and k)
+    assert exact >= 0.95 * len(pages) and missed <= 0.02 * n and extra <= 0.005 * n
+
+
+def test_extraction_is_linear_in_nesting():
+    import time
+
+    def seconds(k):
+        page = "<b>" + "<div>" * k + "deep</b>" + "<li>x</b></div>" * k + "<form><article>" * k + "<a><div>" * k + "</a>" * k
+        began = time.process_time()
+        extraction.main_text(page)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.01)
+
+
+def test_code_and_short_pages():
+    code = "def f(x):\n  return x\n" + "foo(bar, baz)\n" * 30
+    assert extraction.main_text(f"<nav>menu</nav><div><pre>{code}</pre></div><footer>x</footer>") == " ".join(code.split())
+    assert extraction.main_text("<nav><p>menu</p></nav><div><p>One short line.</p><p>Another.</p></div><footer>x</footer>") == "One short line.\nAnother."
+    assert extraction.main_text("<div>menu</div>") == ""
+    long = "It was the day that they had to be at the house with all of us. " * 300_000
+    assert extraction.main_text(f"<p>{long}</p>") == long.strip()
+
+
 def test_extraction_of_other_pages():
     page = """<body><div id=top>Menu <a href=x>Home</a></div><div><h2>A &amp; B</h2><p>The quick brown fox is in the house and it was
     a long day for all of them, as we said before.</p><p>Short.</p><p>It is what it is, and there was no one who could say that this is
