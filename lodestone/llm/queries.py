@@ -104,13 +104,14 @@ c AS (
   FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN before + size / 2.0 < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op2_line_dedup": r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, hash(text) AS text_hash FROM documents),
+lines AS (
+  SELECT rid, doc_id, text_hash, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows),
 keyed AS (
-  SELECT doc_id, pos, line, translate(trim(line, chr(9) || chr(11) || chr(12) || chr(13) || chr(32)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-heavy AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+  SELECT *, translate(trim(line, chr(9) || chr(11) || chr(12) || chr(13) || chr(32)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+-- rows of one doc_id with different texts are documents of their own, repeated rows are one
+heavy AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT (doc_id, text_hash)) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(h.k)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN heavy h ON keyed.k = h.k GROUP BY doc_id""",
+FROM keyed LEFT JOIN heavy h ON keyed.k = h.k GROUP BY rid, doc_id""",
 }
