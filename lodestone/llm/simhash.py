@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint is cut into 32 segments of 2 bits. The bit counts of its segments are a point in a grid, and the
 Manhattan distance of two points is never above the Hamming distance of the fingerprints. If that is at most r, then in
-one half of the segments the Manhattan distance is at most r // 2. So each half is a grid of 16 axes: a fingerprint
-stands in its own cell and visits the cells up to r // 2 steps away, of every two neighbours one visits the other, a
-join on the cell brings them together, the Manhattan distance over all segments drops most pairs, and the exact bit
-difference decides. Equal fingerprints are one point, so the size of a group of copies plays no part.
+one half of the segments at most h = r // 2 bits differ. So each half is a grid of 16 axes: a fingerprint stands in its own
+cell and visits the cells up to h steps away, of every two neighbours one visits the other, a join on the cell brings them
+together, the Manhattan distance over all segments drops most pairs, and the exact bit difference decides. For h of 0 or 1
+one quarter of the bits, of the two in that half, does not differ at all: its bits are part of the cell's name, and only the
+other quarter is a grid, of 8 axes, so cells are smaller. Equal fingerprints are one point, so the size of a group of copies
+plays no part.
 """
 
 from __future__ import annotations
@@ -88,41 +90,54 @@ def _unary(p: Column) -> Column:
     return p.bitwiseOR(F.shiftrightunsigned(p, 1).bitwiseAND(F.lit(_PAIRS)))
 
 
-def _half(point: Column, half: int) -> Column:
-    return F.shiftrightunsigned(point, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+def _bits(x: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1)) if at else x.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _moves(axes: int, steps: int) -> list[int]:
+    """What to add to a cell for the cells up to ``steps`` unit steps away, itself first; from each pair of opposite moves, one."""
+    moves = {0: None}
+    for k in range(1, steps + 1):
+        for along in itertools.combinations_with_replacement(range(axes), k):
+            for signs in itertools.product((1, -1), repeat=k):
+                move = sum(s << (2 * a) for a, s in zip(along, signs, strict=True))
+                if -move not in moves:
+                    moves[move] = None
+    return list(moves)
 
 
 def links(points: DataFrame, radius: int = 3) -> DataFrame:
     """``a, b``: the pairs of different fingerprints in ``points(fp long)``, all distinct, that differ in at most ``radius`` bits.
 
-    A pair may come twice, once for each half. Cells with many points are split by Spark's skew join.
+    A pair may come once for each half and quarter. Cells with many points are split by Spark's skew join.
     """
     steps = radius // 2
-    # the cells that are 1..steps unit steps up or down along up to that many axes; from each pair of opposite moves, one
-    moves: set[int] = {0}
-    for k in range(1, steps + 1):
-        for axes in itertools.combinations_with_replacement(range(16), k):
-            for signs in itertools.product((1, -1), repeat=k):
-                move = sum(s << (2 * a) for a, s in zip(axes, signs, strict=True))
-                if -move not in moves:
-                    moves.add(move)
+    # (exact bits or None, grid): each a bit to begin at; the grid's width follows
+    parts = [(32 * half + 16 * q, 32 * half + 16 * (1 - q)) for half in (0, 1) for q in (0, 1)] if steps < 2 else [(None, 0), (None, 32)]
+    width = 16 if steps < 2 else 32
     base = points.select("fp", popcounts(F.col("fp")).alias("point"))
-    out = []
-    for half in (0, 1):
-        here = _half(F.col("point"), half)
-        home = base.select(here.alias("cell"), F.col("fp").alias("a"), F.col("point").alias("pa"))
-        reach = F.transform(F.array(*[F.lit(m).cast("long") for m in sorted(moves)]), lambda m: F.struct((here + m).alias("cell"), (m == 0).alias("own")))
-        # a move that leaves the grid would carry into the next axis: a count of 2 cannot grow, and one of 0 cannot shrink
-        visits = base.select("fp", "point", here.alias("from"), F.explode(reach).alias("to")).filter(
-            (F.col("to.cell") >= 0)
-            & (F.bit_count(_unary(F.col("from")).bitwiseXOR(_unary(F.col("to.cell")))) <= steps)
-            & (F.col("to.cell").bitwiseAND(F.shiftrightunsigned(F.col("to.cell"), 1)).bitwiseAND(F.lit(_PAIRS)) == 0)
-        ).select(F.col("to.cell").alias("cell"), F.col("fp").alias("b"), F.col("point").alias("pb"), F.col("to.own").alias("own"))
-        close = (manhattan(F.col("pa"), F.col("pb")) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-        ordered = (~F.col("own")) | (F.col("a") < F.col("b"))
-        joined = home.hint("merge").join(visits, (home["cell"] == visits["cell"]) & ordered & close)
-        out.append(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return out[0].unionByName(out[1])
+
+    def named(part: int, cell: Column) -> Column:
+        """The cell's name in the join: the part, its exact bits, the grid cell."""
+        exact = parts[part][0]
+        name = cell.bitwiseOR(F.lit(part << 48))
+        return name if exact is None else name.bitwiseOR(F.shiftleft(_bits(F.col("fp"), exact, 16), 32))
+
+    cells = [_bits(F.col("point"), grid, width) for _, grid in parts]
+    home = base.select(F.col("fp").alias("a"), F.col("point").alias("pa"), F.explode(F.array(*[named(k, c) for k, c in enumerate(cells)])).alias("cell"))
+    # a move that leaves the grid would carry into the next axis: a count of 2 cannot grow, and one of 0 cannot shrink
+    moves = F.array(*[F.lit(m).cast("long") for m in _moves(width // 2, steps)])
+
+    def reach(k: int, here: Column) -> Column:
+        in_grid = lambda to: (to >= 0) & (to < (1 << width)) & (F.bit_count(_unary(here).bitwiseXOR(_unary(to))) <= steps) & (to.bitwiseAND(F.shiftrightunsigned(to, 1)).bitwiseAND(F.lit(_PAIRS)) == 0)
+        return F.transform(F.filter(moves, lambda m: in_grid(here + m)), lambda m: F.struct(named(k, here + m).alias("cell"), (m == 0).alias("own")))
+
+    visits = base.select(F.col("fp").alias("b"), F.col("point").alias("pb"), F.explode(F.concat(*[reach(k, c) for k, c in enumerate(cells)])).alias("to"))
+    visits = visits.select("b", "pb", F.col("to.cell").alias("cell"), F.col("to.own").alias("own"))
+    close = (manhattan(F.col("pa"), F.col("pb")) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    ordered = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.lit(True))
+    joined = home.hint("merge").join(visits, (home["cell"] == visits["cell"]) & ordered & close)
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
