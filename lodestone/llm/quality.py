@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs limit the false rejections of each stratum.
 
-Every document gets whole-text counts and five scores. A labelled document is either in the tuning part or in the holdout
-part, by a hash of its id. For each stratum (language) and each level of strictness, the tuning part gives each rule a
+Every document gets whole-text counts and five scores. A labelled text is either in the tuning part or in the holdout
+part, by its hash; exact copies are one, labelled clean if all are, so none is on both sides or counts twice. For each stratum (language) and each level of strictness, the tuning part gives each rule a
 lower limit that at most that share of its clean documents reach; the cutoff lies half-way from there to the scores of the
 bad documents above, so that a rule leaves clean documents room. The levels are tested on the holdout part from the mildest:
 level l is certified if the exact binomial probability of so few false rejections, were the risk ``RISK``, is at most
@@ -12,10 +12,12 @@ fails, so no further correction is needed). The strictest certified level sets t
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
 from collections.abc import Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +39,7 @@ BAD_TAIL = 0.05  # of the bad documents above a lower limit, those nearest to it
 RULES = ("symbol_share", "upper_share", "shout_share", "repeat_share", "same_word_share")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = b"#*$%&|<>"
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я]")
-_LETTER = re.compile(r"[^\W\d_]")
+_ODD = np.int64(0x2545F4914F6CDD1D)
 
 
 def counts(text: bytes | None) -> tuple[int, ...]:
@@ -52,15 +53,24 @@ def counts(text: bytes | None) -> tuple[int, ...]:
         elif line.strip(WHITE):
             seen.add(line)
     solid = b"".join(words)
-    plain = solid.decode()
+    points = np.frombuffer(solid.decode().encode("utf-32-le"), np.uint32)
     n_symbols = len(solid) - len(solid.translate(None, _SYMBOLS))
-    n_repeat = repeated_words(words)
     if n == 0:
         return (0, 0, 0, n_dup, 0, *repeat(0, len(RULES)))
-    letters, upper = len(_LETTER.findall(plain)), len(_UPPER.findall(plain))
-    stutter = sum(map(bytes.__eq__, words, words[1:]))
+    hashes = np.fromiter(map(hash, words), np.int64, n)
+    n_repeat = repeated_words(words, hashes)
+    letters, upper = (int(np.count_nonzero(kind[points])) for kind in _letters())
+    alike = np.flatnonzero(hashes[1:] == hashes[:-1]).tolist()
+    stutter = sum(words[k] == words[k + 1] for k in alike)
     shares = (n_symbols / n, upper / max(1, letters), solid.count(b"!") / n, n_repeat / n, max(stutter / n, same_words(words)))
-    return (n, len(plain), n_symbols, n_dup, n_repeat, *(min(GRID, int(GRID * s)) for s in shares))
+    return (n, len(points), n_symbols, n_dup, n_repeat, *(min(GRID, int(GRID * s)) for s in shares))
+
+
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters of any script, and which of these are capitals."""
+    every = [chr(k) for k in range(sys.maxunicode + 1)]
+    return np.array([c.isalpha() for c in every]), np.array([c.isupper() and c.isalpha() for c in every])
 
 
 def same_words(words: list[bytes]) -> float:
@@ -72,21 +82,26 @@ def same_words(words: list[bytes]) -> float:
     return 1 - sum(len(set(words[a : a + SAME_WORDS])) for a in starts) / (SAME_WORDS * len(starts))
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """The words that stand in a window of ``WINDOW`` words which the text has twice or more."""
+def repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
+    """The words that stand in a window of ``WINDOW`` words which the text has twice or more.
+
+    ``hashes`` has one of each word. Windows whose combined hash is unique are no other's; the rest are compared as they are.
+    """
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    joined, at, begins = b" ".join(words), 0, []
-    for w in words:
-        begins.append(at)
-        at += len(w) + 1
-    windows = [joined[a : b - 1] for a, b in zip(begins, [*begins[WINDOW:], at], strict=False)]
-    if len(set(windows)) == n:
+    mixed = np.zeros(n, np.int64)
+    for k in range(WINDOW):
+        mixed = mixed * _ODD + hashes[k : k + n]
+    order = np.argsort(mixed, kind="stable")
+    same = mixed[order[1:]] == mixed[order[:-1]]
+    if not same.any():
         return 0
+    twice_by_hash = np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]).tolist()
     first: dict[bytes, int] = {}
     twice = set()
-    for k, w in enumerate(windows):
+    for k in twice_by_hash:
+        w = b" ".join(words[k : k + WINDOW])
         if first.setdefault(w, k) != k:
             twice.add(k)
             twice.add(first[w])
@@ -101,20 +116,20 @@ MEASURES = ", ".join(f"{c} long" for c in (*COUNTS, *RULES))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["carried", "stratum", *COUNTS, *RULES]
+    names = ["carried", "stratum", "text_hash", *COUNTS, *RULES]
     for batch in batches:
         rows = [counts(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names) - 2))], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names) - 3))], names=names)
 
 
 def measure(docs: DataFrame, carried: Column | None = None) -> DataFrame:
-    """``doc_id`` (or the struct ``carried``), ``stratum``, ``COUNTS`` and ``RULES`` for each row, in one pass over whole texts.
+    """``doc_id`` (or the struct ``carried``), ``stratum, text_hash``, ``COUNTS`` and ``RULES`` for each row, in one pass over whole texts.
 
     The stratum is lang, a null one like an empty one. Null and empty texts have no words.
     """
     first = F.col("doc_id").cast("long") if carried is None else carried
-    rows = docs.select(first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"))
-    schema = T.StructType([rows.schema["carried"], *T._parse_datatype_string(f"stratum string, {MEASURES}").fields])
+    rows = docs.select(first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"), F.xxhash64("text").alias("text_hash"))
+    schema = T.StructType([rows.schema["carried"], *T._parse_datatype_string(f"stratum string, text_hash long, {MEASURES}").fields])
     out = rows.mapInArrow(tidy(_counts), schema)
     return out.withColumnRenamed("carried", "doc_id") if carried is None else out
 
@@ -143,12 +158,13 @@ def _add_log(acc: Column, term: Column) -> Column:
 
 
 def fit_cutoffs(labelled: DataFrame, levels: tuple[float, ...] = LEVELS, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and a cutoff for each rule (``cut_<rule>``), from ``labelled(doc_id, stratum, clean, RULES)``; certified strata only.
+    """``stratum`` and a cutoff for each rule (``cut_<rule>``), from ``labelled(text_hash, stratum, clean, RULES)``; certified strata only.
 
     A document that a rule's score puts at or above the cutoff is rejected. Counts cover all labelled rows; what moves is
     at most ``GRID`` + 1 counts for each stratum and rule, and one row per stratum and level.
     """
-    tuning = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) >= int(1000 * HOLDOUT)
+    labelled = labelled.groupBy("stratum", "text_hash").agg(F.min("clean").alias("clean"), *[F.first(r).alias(r) for r in RULES])
+    tuning = F.pmod(F.xxhash64("text_hash"), F.lit(1000)) >= int(1000 * HOLDOUT)
     good = labelled.filter("clean")
     scores = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(r).alias("score")) for k, r in enumerate(RULES)]))
     histogram = labelled.filter(tuning).select("stratum", "clean", scores.alias("x")).groupBy("stratum", "x.rule", "x.score").agg(F.count_if("clean").alias("n"), F.count_if(~F.col("clean")).alias("bad"))
@@ -171,8 +187,8 @@ def fit_cutoffs(labelled: DataFrame, levels: tuple[float, ...] = LEVELS, risk: f
     for r in RULES:
         rejected = rejected | (F.col(r) >= F.col(f"cut.{r}"))
     results = tested.groupBy("stratum", "level", "cut").agg(F.count("*").alias("n"), F.count_if(rejected).alias("k"))
-    strata = results.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    sure = results.join(strata).withColumn("sure", binomial_tail(F.col("k"), F.col("n"), risk) <= F.lit(delta) / F.col("strata"))
+    strata = F.broadcast(results.select("stratum").distinct().agg(F.count("*").alias("strata")))  # one row
+    sure = results.crossJoin(strata).withColumn("sure", binomial_tail(F.col("k"), F.col("n"), risk) <= F.lit(delta) / F.col("strata"))
     up_to = Window.partitionBy("stratum").orderBy("level")
     sure = sure.withColumn("sure", F.min("sure").over(up_to)).filter("sure")
     best = sure.groupBy("stratum").agg(F.max_by("cut", "level").alias("cut"))

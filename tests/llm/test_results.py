@@ -237,7 +237,7 @@ def test_cutoffs_hold_their_risk(spark):
         score = np.where(bad, rng.integers(300, 900, n), rng.integers(0, 100, n))
         return [(start + k, stratum, not b, *(int(s) if j == 0 else 0 for j in range(len(quality.RULES)))) for k, (b, s) in enumerate(zip(bad, score, strict=True))]
 
-    schema = "doc_id long, stratum string, clean boolean, " + ", ".join(f"{r} long" for r in quality.RULES)
+    schema = "text_hash long, stratum string, clean boolean, " + ", ".join(f"{r} long" for r in quality.RULES)
     cuts = {r.stratum: r for r in quality.fit_cutoffs(spark.createDataFrame(draw(4000, "x", 0) + draw(60, "y", 10_000), schema)).collect()}
     assert set(cuts) == {"x"} and 100 < cuts["x"].cut_symbol_share < 320
     again = draw(4000, "x", 50_000)
@@ -246,14 +246,16 @@ def test_cutoffs_hold_their_risk(spark):
 
 
 def brute_cutoffs(rows, labels):
-    """Cutoffs by stratum, from measured rows that pass the base rules, by plain sorting and exact tails."""
+    """Cutoffs by stratum, from measured rows that pass the base rules, by plain sorting and exact tails; equal texts are one."""
     part = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), 42) + 2**63) % 2**64 - 2**63
     tuning, holdout, bad = (collections.defaultdict(list) for _ in range(3))
+    texts = {}
     for r in rows:
-        scores = [r[x] for x in quality.RULES]
         if r.doc_id in labels:
-            late = part(r.doc_id) % 1000 >= 700
-            (tuning if late else holdout)[r.stratum].append(scores) if labels[r.doc_id] else bad[r.stratum].append(scores) if late else None
+            texts.setdefault((r.stratum, r.text_hash), [[r[x] for x in quality.RULES], True])[1] &= labels[r.doc_id]
+    for (stratum, name), (scores, clean) in texts.items():
+        late = part(name) % 1000 >= 700
+        (tuning if late else holdout)[stratum].append(scores) if clean else bad[stratum].append(scores) if late else None
     out = {}
     for stratum in holdout:
         for level in quality.LEVELS:
