@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = b" \t\n\x0b\x0c\r"  # [\x20\x09-\x0D], which is also what bytes.split() and bytes.strip() take as white space
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or spark.conf.get("spark.sql.warehouse.dir") + "/_stages").rstrip("/")
-
+from lodestone.sources.staging import new_path, remove
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex[:12]}-{name}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a staged table; a stopped session leaves it to the folder's owner."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session or its gateway has gone
-        return
+WHITE = b" \t\n\x0b\x0c\r"  # [\x20\x09-\x0D], which is also what bytes.split() and bytes.strip() take as white space
 
 
 class Staged:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import shuffle_partitions, tidy
@@ -75,13 +75,11 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
     """
     rows = spark.read.schema(SCHEMA).orc(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = F.expr("aggregate(filter(files, f -> f.part < part), 0L, (n, f) -> n + f.total)")
-    files = totals.agg(F.collect_list(F.struct("part", "total")).alias("files"))
-    # one row for each written file, however many documents there are
-    bases = totals.select("part").crossJoin(F.broadcast(files)).select("part", before.alias("base"))
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     if ids is not None:
         rows = rows.filter(F.col("doc_id").isin(ids))
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
