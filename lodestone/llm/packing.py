@@ -9,6 +9,7 @@ different partitions meet. This goes on until the pool's bins meet the bound ove
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,6 @@ from lodestone.llm.tokenizing import STORE_PIECES, encoder
 
 CHUNK_ROWS = 1024  # documents that are encoded at a time
 PART_PIECES = 40_000  # pieces that a partition packs at a time
-ROUNDS = 6  # exchanges at most; what is open then stays as packed last
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,16 +97,16 @@ def _pack_part(capacity: int, turn: int):
 PLACED = "uid long, length long, part long, sequence_id long, offset long, open boolean, head boolean, gap long"
 
 
-def place(items: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def place(items: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds: int | None = None) -> DataFrame:
     """``uid, sequence_id, offset`` for each row of ``items(uid long, length long)``; uids differ, lengths are 0 to ``capacity``.
 
-    The shuffles carry 16 bytes a piece. The uid decides the partition, so equal lengths and one hot source spread evenly.
+    Partitions halve with every exchange, so there are few; ``rounds`` ends them earlier. The shuffles carry 16 bytes a piece. The uid decides the partition, so equal lengths and one hot source spread evenly.
     """
     spark, done = items.sparkSession, []
     n = items.count()
     parts = -(-n // part_pieces)
     pool = items
-    for turn in range(rounds + 1):
+    for turn in itertools.count():
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(max(1, parts))))
         placed = Staged(dealt.groupBy("part").applyInPandas(_pack_part(capacity, turn), PLACED), f"packed{turn}").df
         lengths = placed.filter("open").groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity + 1 rows at most
