@@ -48,33 +48,11 @@ _ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARR
 TEMPLATES += [(n, f"{t}\n{_ISC_END if n == 'ISC' else _BSD_END}") for n, t in TEMPLATES if n in ("BSD-2-Clause", "BSD-3-Clause", "ISC")]
 _HINT = re.compile(rb"licen[sc]e|copyright|\xc2\xa9|spdx|warrant|redistribut|permission|merchantab|creative commons|public domain", re.I)
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
-GAP_LINES = 2  # lines without a hint that a block may span
 LEVEL = 3
 MAX_DIFFERENT = 0.25
 SCHEMA = "doc_id long, first_line int, last_line int, license_id string, size_alone int, size_given int, words int, different_words int, exact boolean"
 
 
-def candidate_blocks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, last line, text) of each maximal run of lines with a license hint, over gaps of up to ``GAP_LINES`` lines."""
-    if not _HINT.search(text):
-        return []
-    out: list[list[int]] = []
-    lines = text.split(b"\n")
-    for k, line in enumerate(lines):
-        if _HINT.search(line):
-            if out and k - out[-1][1] <= GAP_LINES + 1:
-                out[-1][1] = k
-            else:
-                out.append([k, k])
-    blocks = []
-    for a, b in out:
-        # a run may join separate statements: the lines with a hint also stand for themselves
-        blocks.append((a, b, b"\n".join(lines[a : b + 1])))
-        if b > a:
-            blocks += [(k, k, lines[k]) for k in range(a, b + 1) if _HINT.search(lines[k])]
-    return blocks
-
-
 def _distances(ids: np.ndarray, template: np.ndarray, anywhere: bool) -> np.ndarray:
     """The fewest words to change between the template and ids[:j] for each j, or, anywhere, the best ids[i:j] that ends at j."""
     at = np.arange(len(ids) + 1)

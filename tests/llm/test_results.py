@@ -311,8 +311,53 @@ def test_license_wording():
     assert scanner.best(mit.upper().encode())[4:] == (0, True)
     assert scanner.best(mit.replace("WITHOUT WARRANTY", "WITH NO WARRANTY").encode())[0::5] == ("MIT", False)
     assert scanner.best(b"Permission to enter the copyright office was denied without any warranty of a later answer.") is None
-    text = "intro\n" + mit + "\nend"
-    assert [b[:2] for b in licenses.candidate_blocks(text.encode())][0] == (1, 3)
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_licenses_by_brute_force(spark):
+    """Statements with words changed, put in or left out, over line ends in other text: every stretch against every template, and the sizes again."""
+    rng = np.random.default_rng(11)
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) < 40]
+    words = lambda t: licenses._WORD.findall(t.lower())
+    docs = []
+    for k in range(60):
+        parts = short[k % len(short)][1].split()
+        for _ in range(rng.integers(0, 1 + len(parts) // 5)):
+            at = int(rng.integers(0, len(parts)))
+            parts[at : at + int(rng.integers(0, 2))] = [f"odd{k}"] * int(rng.integers(0, 2))
+        text = ["aa"] * int(rng.integers(0, 9)) + parts + ["zz"] * int(rng.integers(0, 9))
+        docs.append((k, "".join(w + ("\n" if rng.random() < 0.2 else " ") for w in text) + "license"))
+    rows = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        rows[r.doc_id].append(r)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = 0
+    for k, text in docs:
+        w, best = words(text), None
+        for name, t in short:
+            tw = words(t)
+            for i in range(len(w)):
+                for j in range(i + max(1, len(tw) * 3 // 4), min(len(w), i + len(tw) * 4 // 3) + 1):
+                    d = word_distance(w[i:j], tw)
+                    if d <= 0.25 * max(j - i, len(tw)):
+                        score = (2 * d - len(tw), d, name)
+                        best = score if best is None or score < best else best
+        assert (best is None) == (not rows[k])
+        if best is not None:
+            found += 1
+            assert len(rows[k]) == 1 and rows[k][0].different_words == best[1]
+            r = rows[k][0]
+            assert r.exact == (best[1] == 0) and 0 < r.size_given <= r.size_alone + 16 and r.words <= len(w)
+            assert r.license_id in {n for n, t in licenses.TEMPLATES} and scanner.best(short[k % len(short)][1].encode())[4] == 0
+    assert found > 40
 
 
 def test_extraction(spark, sf_dir, duck):
