@@ -31,8 +31,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """The batches in smaller ones, so that a kernel holds few rows as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``kernel`` for mapInArrow, giving back the memory of its batches when it ends: workers live on, and stages follow each other."""
+    """``kernel`` for mapInArrow, with few rows at a time, giving back their memory when it ends: workers live on, and stages follow each other."""
 
     def run(batches: Iterator) -> Iterator:
         import ctypes
@@ -40,7 +47,7 @@ def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         import pyarrow as pa
 
         try:
-            yield from kernel(batches)
+            yield from kernel(slices(batches))
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # not every C library has it

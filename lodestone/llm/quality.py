@@ -69,8 +69,9 @@ def counts(text: bytes | None) -> tuple[int, ...]:
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Which code points are letters of any script, and which of these are capitals."""
-    every = [chr(k) for k in range(sys.maxunicode + 1)]
-    return np.array([c.isalpha() for c in every]), np.array([c.isupper() and c.isalpha() for c in every])
+    n = sys.maxunicode + 1
+    letters = np.fromiter((chr(k).isalpha() for k in range(n)), bool, n)
+    return letters, letters & np.fromiter((chr(k).isupper() for k in range(n)), bool, n)
 
 
 def same_words(words: list[bytes]) -> float:

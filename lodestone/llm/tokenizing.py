@@ -23,7 +23,7 @@ from lodestone.llm._common import worker_cache
 
 STORE_PIECES = 1_000_000  # pieces whose ids a worker keeps, about 40 bytes each; the half that was not used for longest goes
 STORED_BYTES = 48  # longer pieces are not kept
-CHUNK_BYTES = 4 << 20  # texts that are cut at a time; a longer text is a chunk of its own
+CHUNK_BYTES = 2 << 20  # texts that are cut at a time; a longer text is a chunk of its own
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?"  # after letters, each is a unit of its own
 _GROUP = 256  # new pieces that go to the library as one text
@@ -129,7 +129,9 @@ class PieceEncoder:
         groups = [pieces[k : k + _GROUP] for k in range(0, len(pieces), _GROUP)]
         between = f" {_MARK} " if words else f"\n{lead}"
         width = self.ids.itemsize
-        for g, e in zip(groups, self.library.encode_batch_fast([lead + between.join(g) for g in groups], add_special_tokens=False), strict=True):
+        # a call at a time: the library's results take far more memory than the ids
+        for g in groups:
+            e = self.library.encode_batch_fast([lead + between.join(g)], add_special_tokens=False)[0]
             ids, n = np.array(e.ids, dtype=self.ids), len(self.mark)
             at = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == self.mark[k] for k in range(n)]))
             if len(at) != len(g) - 1:
