@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _packed(df: DataFrame, key: str, vector: str, name: str, block: int) -> DataFrame:
-    """Rows of up to about ``block`` vectors each; a null or empty vector is left out."""
+def _blocks(df: DataFrame, block: int) -> int:
+    return max(1, -(-df.count() // block))
+
+
+def _packed(df: DataFrame, key: str, vector: str, name: str, blocks: int) -> DataFrame:
+    """A row of vectors for each block; a null or empty vector is left out."""
     df = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0))
-    n = max(1, -(-df.count() // block))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))).alias(name))
+    row = F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(row).alias(name))
 
 
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +34,10 @@ def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "
 
     A query is no candidate of its own. Scores are rounded, ties go to the smaller key. Vectors have one length; zero vectors score 0.
     """
-    pairs = _packed(queries, key, vector, "q", block).crossJoin(_packed(candidates, key, vector, "c", block))
+    n = _blocks(candidates, block)
+    # every block of queries is sent to each block of candidates by its number; no side is broadcast for its growth
+    asked = _packed(queries, key, vector, "q", _blocks(queries, block)).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    pairs = asked.join(_packed(candidates, key, vector, "c", n), "c_block")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

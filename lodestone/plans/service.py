@@ -9,6 +9,7 @@ from lodestone.operators import chunking, context, evaluation, rank, tables, vec
 from lodestone.plans import answer
 from lodestone.plans.catalogue import _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
+from lodestone.sources import pages, sinks
 from lodestone.streaming import streams
 
 # ---- filters
@@ -270,6 +271,40 @@ def dry_run_summary(t):
     return t.documents.agg(share(size >= 40).alias("ok_percent"), F.round(F.avg(size), 1).alias("mean_chars"), F.sum(F.ceil(size / 1500.0)).alias("chunks"), share(size < 40).alias("bad_percent"))
 
 
+_BLOCKS = "b AS (SELECT user_id AS path, event_id % 4 AS page, event_id % 7 AS x, value AS y, event_type || ' ' || event_id AS text FROM events)"
+
+
+@query(None, f"WITH {_BLOCKS} SELECT path, page, string_agg(text, chr(10) ORDER BY round(y / 10) * 10, x, text) AS text FROM b GROUP BY ALL")
+def page_texts(t):
+    return pages.page_texts(_placed(t))
+
+
+def _placed(t):
+    i = F.col("event_id")
+    return t.events.select(F.col("user_id").alias("path"), (i % 4).alias("page"), (i % 7).alias("x"), F.col("value").alias("y"), F.concat("event_type", F.lit(" "), i.cast("string")).alias("text"))
+
+
+@query(
+    None,
+    f"""WITH {_BLOCKS}, t AS (SELECT path, page, string_agg(text, chr(10) ORDER BY round(y / 10) * 10, x, text) AS text FROM b GROUP BY ALL),
+g AS (SELECT user_id AS path, 1 AS page, '| ' || event_type || ' | a\\|b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || count(*) || ' |  |' AS text FROM events WHERE user_id % 2 = 0 GROUP BY user_id, event_type)
+SELECT path, page, 'text' AS content_type, text FROM t WHERE page <> 1 OR path NOT IN (SELECT path FROM g) UNION ALL SELECT path, page, 'table', text FROM g""",
+)
+def page_documents(t):
+    grids = t.events.filter("user_id % 2 = 0").groupBy(F.col("user_id").alias("path"), F.col("event_type").alias("nth")).agg(F.count("*").alias("n"))
+    cells = F.array(F.array("nth", F.lit("a|b")), F.array(F.col("n").cast("string")))
+    found = grids.select("path", F.lit(1).cast("long").alias("page"), "nth", cells.alias("cells"))
+    return pages.assembled(pages.page_texts(_placed(t)), found)
+
+
+@query(None, _QUESTIONS + """, n AS (SELECT text AS question, 'new' AS dataset FROM benchmark WHERE item_id < 5)
+SELECT id, question, dataset FROM q UNION ALL SELECT (SELECT max(id) FROM q) + row_number() OVER (ORDER BY question), question, dataset FROM n""")
+def question_import(t):
+    new = t.benchmark.filter("item_id < 5").select(F.col("text").alias("question"), F.lit("new").alias("dataset"))
+    new = new.unionByName(t.spark.createDataFrame([("  ", "new")], "question string, dataset string"))
+    return sinks.import_questions(_bank(t), new).select("id", "question", "dataset")
+
+
 # ---- conversations and caches
 
 

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -56,50 +57,68 @@ def registry_entries(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}docPr"
 
 
-def docx_blocks(content: bytes) -> list[tuple[str | None, str, bool]]:
-    """(style, text, is table) of the paragraphs and tables of a DOCX file in order; tables as Markdown."""
+class DocxBlock(NamedTuple):
+    style: str | None
+    text: str
+    table: bool
+    page: int  # from 1, by manual page breaks
+
+
+def _docx_run(node: ElementTree.Element) -> str:
+    marks = {f"{_W}tab": "\t", f"{_W}br": "\n"}
+    return "".join((x.text or "") if x.tag == f"{_W}t" else "" if x.get(f"{_W}type") == "page" else marks.get(x.tag, "") for x in node.iter())
+
+
+def docx_blocks(content: bytes) -> list[DocxBlock]:
+    """The paragraphs and tables of a DOCX file in order, tables as Markdown, list items with their indent, and last the descriptions of images."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")  # noqa: S314  the parser resolves no external entities
-
-    def text(node: ElementTree.Element) -> str:
-        parts = []
-        for x in node.iter():
-            if x.tag == f"{_W}t":
-                parts.append(x.text or "")
-            elif x.tag == f"{_W}tab":
-                parts.append("\t")
-            elif x.tag == f"{_W}br":
-                parts.append("\f" if x.get(f"{_W}type") == "page" else "\n")
-        return "".join(parts)
-
-    out: list[tuple[str | None, str, bool]] = []
+    out: list[DocxBlock] = []
+    images: list[DocxBlock] = []
+    page = 1
     for node in body if body is not None else []:
         if node.tag == f"{_W}p":
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            item = node.find(f"{_W}pPr/{_W}numPr") is not None
-            out.append((style.get(f"{_W}val") if style is not None else None, ("- " if item else "") + text(node), False))
+            page += any(x.get(f"{_W}type") == "page" for x in node.iter(f"{_W}br"))
+            style, item = node.find(f"{_W}pPr/{_W}pStyle"), node.find(f"{_W}pPr/{_W}numPr")
+            level = None if item is None else item.find(f"{_W}ilvl")
+            prefix = "" if item is None else "  " * int(level.get(f"{_W}val", "0") if level is not None else 0) + "- "
+            text = _docx_run(node)
+            out.append(DocxBlock(None if style is None else style.get(f"{_W}val"), prefix + text if text.strip() else "", False, page))
+            images += [DocxBlock(None, f"[image: {x.get('descr').strip()}]", False, page) for x in node.iter(_DRAWING) if (x.get("descr") or "").strip()]
         elif node.tag == f"{_W}tbl":
-            rows = [[" ".join(text(c).split()).replace("|", "\\|") for c in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
-            width = max(map(len, rows), default=0)
-            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-            if lines:
-                out.append((None, "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]), True))
-    return out
+            rows = [[" ".join(_docx_run(c).split()).replace("|", "\\|") for c in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
+            if rows:
+                out.append(DocxBlock(None, markdown_table(rows), True, page))
+    return out + images
+
+
+def markdown_table(rows: list[list[str]]) -> str:
+    """Rows of escaped cells as a Markdown table; shorter rows end in empty cells."""
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines else ""
+
+
+def docx_pages(content: bytes) -> tuple[int | None, int | None, list[int]]:
+    """First page, last page and all pages that have text."""
+    pages = sorted({b.page for b in docx_blocks(content) if b.text.strip() and not b.table and not b.text.startswith("[image: ")})
+    return (pages[0], pages[-1], pages) if pages else (None, None, [])
 
 
 def docx_text(content: bytes) -> str:
     """Paragraphs, then tables."""
     blocks = docx_blocks(content)
-    return "\n".join(t for _, t, table in blocks if not table) + "".join("\n\n" + t for _, t, table in blocks if table)
+    return "\n".join(b.text for b in blocks if not b.table) + "".join("\n\n" + b.text for b in blocks if b.table)
 
 
 def docx_sections(content: bytes) -> list[tuple[str | None, str]]:
     """(heading, text) at each heading or title style; the tables come last, without a heading."""
     out: list[tuple[str | None, list[str]]] = [(None, [])]
     tables = []
-    for style, text, table in docx_blocks(content):
+    for style, text, table, _ in docx_blocks(content):
         if table:
             tables.append(text)
         elif style and re.match(r"heading|title", style, re.I):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_hash
 from lodestone.operators.bm25 import postings
+from lodestone.sources.staging import exists, remove, rename
 
 
 def write_chunks(chunks: DataFrame, path: str, embed: Column, append: bool = False) -> None:
@@ -41,3 +42,74 @@ def write_report(results: DataFrame, path: str) -> None:
 
 def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+class Collection:
+    """A folder of chunks with vectors of one length, parted by domain and visibility so that filters on them skip folders."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def ensure(self, dims: int, reset: bool = False) -> None:
+        """Creates the collection; one that is there must have the same length of vectors, unless it is reset."""
+        if reset:
+            remove(self.spark, self.path)
+        known = self.dims()
+        if known is None:
+            self.spark.createDataFrame([(dims,)], "dims int").write.mode("overwrite").parquet(f"{self.path}/about")
+        elif known != dims:
+            raise ValueError(f"the collection's vectors have {known} numbers, not {dims}")
+
+    def dims(self) -> int | None:
+        return self.spark.read.parquet(f"{self.path}/about").first().dims if exists(self.spark, f"{self.path}/about/_SUCCESS") else None
+
+    def upsert(self, chunks: DataFrame, embed: Column) -> None:
+        """Adds ``chunks(document_id, content, doc_domain, visibility, ...)``; what is there is not read."""
+        size = F.size("vector")
+        checked = F.when(size == self.dims(), F.col("vector")).otherwise(F.raise_error(F.lit("a vector has another length than the collection")).cast("array<float>"))
+        out = chunks.withColumn("content_hash", content_hash(F.col("content"))).withColumn("vector", embed).withColumn("vector", checked)
+        out.write.mode("append").partitionBy("doc_domain", "visibility").parquet(f"{self.path}/chunks")
+
+    def read(self) -> DataFrame:
+        """Each hash once."""
+        rows = self.spark.read.parquet(f"{self.path}/chunks")
+        return rows.dropDuplicates(["document_id", "content_hash"])
+
+    def document_ids(self) -> DataFrame:
+        """All ids of documents, from that column alone."""
+        return self.spark.read.parquet(f"{self.path}/chunks").select("document_id").distinct()
+
+    def delete(self, documents: DataFrame) -> None:
+        """Takes the chunks of ``documents(document_id)`` out: the rest is written beside and put in the place of the whole."""
+        rest = self.read().join(documents.select("document_id").distinct(), "document_id", "left_anti")
+        rest.write.mode("overwrite").partitionBy("doc_domain", "visibility").parquet(f"{self.path}/next")
+        remove(self.spark, f"{self.path}/chunks")
+        rename(self.spark, f"{self.path}/next", f"{self.path}/chunks")
+
+
+QUESTION = ["question", "expected_answer", "source_hint", "dataset", "tags", "notes", "is_active"]
+
+
+def export_questions(questions: DataFrame, path: str) -> None:
+    """The questions' own columns as JSON lines, without ids."""
+    questions.select(*[c for c in QUESTION if c in questions.columns]).write.mode("overwrite").json(path)
+
+
+def import_questions(bank: DataFrame, new: DataFrame, dataset: str = "main", only_if_empty: bool = False) -> DataFrame:
+    """``bank`` and those of ``new`` that are not blank, with the next ids in the order of their texts; a missing dataset is ``dataset``.
+
+    ``only_if_empty``: a bank that has questions stays as it is.
+    """
+    if only_if_empty and not bank.isEmpty():
+        return bank
+    rows = new.filter(F.length(F.trim("question")) > 0)
+    rows = rows.withColumn("dataset", F.coalesce("dataset", F.lit(dataset)) if "dataset" in new.columns else F.lit(dataset))
+    last = F.broadcast(bank.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")))  # one row
+    missing = {c: F.lit(None).cast(t) for c, t in bank.dtypes if c not in rows.columns and c != "id"}
+    numbered = rows.withColumns(missing).withColumn("_nth", F.row_number().over(Window.orderBy("question")))  # a list that people wrote
+    return bank.unionByName(numbered.crossJoin(last).withColumn("id", (F.col("_last") + F.col("_nth")).cast(dict(bank.dtypes)["id"])).select(*bank.columns))
+
+
+def write_grid(results: DataFrame, path: str) -> None:
+    """The settings of a sweep, best first, a JSON object a line."""
+    results.orderBy(F.desc("composite"), "config_id").coalesce(1).write.mode("overwrite").json(path)  # a row for each setting

@@ -43,6 +43,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, source = _path(spark, path)
+    fs.rename(source, _path(spark, to)[1])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex[:12]}-{name}"
