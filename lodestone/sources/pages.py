@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import better_text
+from lodestone.functions.text import better_text, markdown_table
 
 LEAST_CHARS = 40  # a page with fewer is recognised from its image
 
@@ -17,20 +17,6 @@ def page_texts(blocks: DataFrame, line_height: int = 10) -> DataFrame:
     return blocks.groupBy("path", "page").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def table_markdown(cells: Column) -> Column:
-    """An array of rows of cells as a Markdown table: the first row is the header, short rows are filled up, pipes and line breaks in cells escaped."""
-    width = F.array_max(F.transform(cells, lambda r: F.size(r)))
-    clean = lambda c: F.replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
-
-    def line(row: Column) -> Column:
-        full = F.concat(F.transform(row, clean), F.array_repeat(F.lit(""), width - F.size(row)))
-        return F.concat(F.lit("| "), F.array_join(full, " | "), F.lit(" |"))
-
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    lines = F.transform(cells, line)
-    return F.when(F.size(cells) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1 << 30)), "\n"))
-
-
 def assembled(texts: DataFrame, tables: DataFrame, recognised: DataFrame | None = None, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``path, page, content_type, text``: a document for each page and for each of its tables; a page with tables has no text of its own.
 
@@ -43,7 +29,7 @@ def assembled(texts: DataFrame, tables: DataFrame, recognised: DataFrame | None
         short = F.length(F.trim(F.coalesce("text", F.lit("")))) < least_chars
         texts = both.select("path", "page", F.when(short & F.col("_seen").isNotNull(), better_text(F.coalesce("text", F.lit("")), F.col("_seen"))).otherwise(F.col("text")).alias("text"))
     plain = texts.join(tables.select("path", "page").distinct(), ["path", "page"], "left_anti").filter(F.length(F.trim("text")) > 0)
-    grids = tables.filter(F.size("cells") > 0).select("path", "page", F.lit("table").alias("content_type"), table_markdown(F.col("cells")).alias("text"))
+    grids = tables.filter(F.size("cells") > 0).select("path", "page", F.lit("table").alias("content_type"), markdown_table(F.col("cells")).alias("text"))
     return plain.select("path", "page", F.lit("text").alias("content_type"), "text").unionByName(grids)
 
 
