@@ -51,7 +51,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_deduplication),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
