@@ -54,7 +54,8 @@ def acl_counts_by_user(t):
     return users.select("user_id", F.when(F.col("kind") == "client", n("mine")).otherwise(internal).alias("n_visible")).filter("n_visible > 0")
 
 
-@query("docs", " SELECT doc_id, coalesce(visibility = 'internal_public' OR (visibility = 'internal_group' AND group_id = 3) OR (visibility IN ('internal_private', 'client_private') AND owner_id = 8), false) AS can_view FROM docs")
+@query("docs", """ SELECT doc_id, coalesce(visibility = 'internal_public' OR (visibility = 'internal_group' AND group_id = 3) OR (visibility IN
+  ('internal_private', 'client_private') AND owner_id = 8), false) AS can_view FROM docs""")
 def acl_row_check(t):
     return t.docs.select("doc_id", acl.can_view(F.col("visibility"), F.col("owner_id"), F.col("group_id"), F.lit("internal"), F.lit(8), F.array(F.lit(3)), F.lit("user")).alias("can_view"))
 
@@ -73,7 +74,7 @@ def acl_placement(t):
 # ---- search in text
 
 
-@query("docs", f" SELECT doc_id FROM docs WHERE ({_VISIBLE.format(u=2)}) AND regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ])for the(?:$|[^0-9A-Za-z_À-ÿ])')")
+@query("docs", f""" SELECT doc_id FROM docs WHERE ({_VISIBLE.format(u=2)}) AND regexp_matches(text, '(?i)(^|[^0-9A-Za-z_À-ÿ])for the(?:$|[^0-9A-Za-z_À-ÿ])')""")
 def exact_phrase_search(t):
     return t.docs.filter(acl.visible("internal", 2, [1, 2]) & tables.phrase(F.col("text"), "for the")).select("doc_id")
 
@@ -103,7 +104,8 @@ def search_highlight(t):
 # ---- conversations, logs, jobs
 
 
-@query("messages", " SELECT conv_id, arg_min(content, id) FILTER (WHERE role = 'user') AS first_question, count(*) AS n_messages, max(id) AS last_id FROM messages GROUP BY conv_id")
+@query("messages", """ SELECT conv_id, arg_min(content, id) FILTER (WHERE role = 'user') AS first_question, count(*) AS n_messages, max(id) AS last_id FROM
+  messages GROUP BY conv_id""")
 def conversation_list(t):
     return tables.conversations(t.messages)
 
@@ -112,12 +114,13 @@ _TURNS = """, said AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER B
 kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS back FROM said WHERE NOT (nth = 1 AND role = 'user'))"""
 
 
-@query("messages", _TURNS + " SELECT conv_id, id, role, content, (row_number() OVER (PARTITION BY conv_id ORDER BY id))::INTEGER AS position FROM kept WHERE back <= 8")
+@query("messages", _TURNS + """ SELECT conv_id, id, role, content, (row_number() OVER (PARTITION BY conv_id ORDER BY id))::INTEGER AS position FROM kept WHERE back <= 8""")
 def history_window(t):
     return context.recent_turns(t.messages, "conv_id", "id", 8).select("conv_id", "id", "role", "content", "position")
 
 
-@query("messages", _TURNS + " SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 200), chr(10) ORDER BY id) AS transcript FROM kept WHERE back <= 8 GROUP BY conv_id")
+@query("messages", _TURNS + """ SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 200), chr(10) ORDER BY id) AS transcript FROM kept WHERE
+  back <= 8 GROUP BY conv_id""")
 def history_transcript(t):
     return context.transcript(context.recent_turns(t.messages, "conv_id", "id", 8), "conv_id")
 
@@ -132,7 +135,8 @@ def summary_due(t):
     return t.messages.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n >= 8")
 
 
-@query("logs", " SELECT id, question, latency FROM logs WHERE question LIKE '%i%' AND started_at BETWEEN '2024-01-05' AND '2024-01-20 12:00:00' AND user_id IN (7, 8, 9)")
+@query("logs", """ SELECT id, question, latency FROM logs WHERE question LIKE '%i%' AND started_at BETWEEN '2024-01-05' AND '2024-01-20 12:00:00' AND user_id
+  IN (7, 8, 9)""")
 def chat_log_filter(t):
     when = F.col("started_at").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20 12:00:00").cast("timestamp"))
     return t.logs.filter(tables.matching([tables.contains_text(F.col("question"), "i"), when, F.col("user_id").isin(7, 8, 9), None])).select("id", "question", "latency")
@@ -143,7 +147,8 @@ def job_status_counts(t):
     return t.logs.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("logs", " SELECT count(*) AS total, count_if(status IN ('pending', 'running'))::BIGINT AS active, count_if(status = 'done')::BIGINT AS done, count_if(status = 'failed')::BIGINT AS failed FROM logs")
+@query("logs", """ SELECT count(*) AS total, count_if(status IN ('pending', 'running'))::BIGINT AS active, count_if(status = 'done')::BIGINT AS done,
+  count_if(status = 'failed')::BIGINT AS failed FROM logs""")
 def active_count(t):
     return t.logs.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("pending", "running")).alias("active"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"))
 
@@ -191,18 +196,20 @@ def group_members(t):
     return t.memberships.join(t.users, "user_id").select("group_id", "user_id", "name")
 
 
-@query("users", " SELECT o_orderkey AS key_id, user_id FROM orders JOIN users ON o_custkey = user_id WHERE o_orderstatus <> 'F' AND kind = 'internal'")
+@query("users", """ SELECT o_orderkey AS key_id, user_id FROM orders JOIN users ON o_custkey = user_id WHERE o_orderstatus <> 'F' AND kind = 'internal'""")
 def api_key_lookup(t):
     return t.orders.filter(F.col("o_orderstatus") != "F").join(t.users.filter(F.col("kind") == "internal"), F.col("o_custkey") == F.col("user_id")).select(F.col("o_orderkey").alias("key_id"), "user_id")
 
 
-@query(None, "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query(None, """SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON
+  c_nationkey = n_nationkey GROUP BY n_name""")
 def order_customer_join(t):
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(None, "SELECT doc_id, 'right' AS missing_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'left' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query(None, """SELECT doc_id, 'right' AS missing_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'left' FROM
+  labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def reconcile_both(t):
     return tables.differences(t.documents, t.labels, "doc_id")
 
@@ -217,7 +224,8 @@ def reconcile_missing(t):
     return t.documents.select("doc_id").exceptAll(t.embeddings.select(F.col("vec_id").alias("doc_id")))
 
 
-@query(None, "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality, -1)::INTEGER AS quality, d.source FROM (SELECT doc_id, source FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query(None, """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality, -1)::INTEGER AS quality, d.source FROM (SELECT doc_id, source FROM
+  documents) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def full_outer_sync(t):
     base = t.documents.select("doc_id", F.lit(-1).alias("quality"), "source")
     return tables.upsert(base, t.labels.select("doc_id", "quality", F.lit(None).cast("string").alias("source")), ["doc_id"])
@@ -238,24 +246,28 @@ def duplicate_check(t):
     return tables.duplicates(t.documents.select("source", "lang", text.content_hash(F.col("text")).alias("hash")), ["source", "lang", "hash"])
 
 
-@query(None, "SELECT doc_id, CASE WHEN nth = 0 THEN source || '.txt' ELSE source || ' (' || nth || ').txt' END AS unique_name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents)")
+@query(None, """SELECT doc_id, CASE WHEN nth = 0 THEN source || '.txt' ELSE source || ' (' || nth || ').txt' END AS unique_name FROM (SELECT doc_id, source,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth FROM documents)""")
 def unique_filenames(t):
     named = t.documents.select("doc_id", F.concat("source", F.lit(".txt")).alias("filename"))
     return tables.unique_names(named, "filename", "doc_id").select("doc_id", "unique_name")
 
 
-@query(None, "SELECT source, count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(max(doc_id), -1) AS last_id FROM documents GROUP BY source")
+@query(None, """SELECT source, count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(max(doc_id), -1) AS last_id FROM documents GROUP BY
+  source""")
 def source_stats(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max("doc_id"), F.lit(-1)).alias("last_id"))
 
 
-@query(None, "SELECT r_name, n_name, count(*) AS n, round(avg(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+@query(None, """SELECT r_name, n_name, count(*) AS n, round(avg(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region
+  ON n_regionkey = r_regionkey GROUP BY ALL""")
 def dimension_rollup(t):
     j = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 2).alias("balance"))
 
 
-@query(None, "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")
+@query(None, """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+  FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
 def pricing_summary(t):
     lines = t.lineitem.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
@@ -286,7 +298,8 @@ def html_to_text(t):
     return t.pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace(gone, "<[^>]*>", " "), r"\s+", " ")).alias("plain"))
 
 
-@query(None, "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zа-яё0-9]{2,}'))::BIGINT AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-zа-яё0-9]{2,}')))::BIGINT AS n_distinct FROM documents")
+@query(None, """SELECT doc_id, len(regexp_extract_all(lower(text), '[a-zа-яё0-9]{2,}'))::BIGINT AS n_tokens,
+  len(list_distinct(regexp_extract_all(lower(text), '[a-zа-яё0-9]{2,}')))::BIGINT AS n_distinct FROM documents""")
 def tokenize_counts(t):
     raw = t.documents.select("doc_id", tokens.tokenize_raw(F.col("text")).alias("raw"))
     return raw.select("doc_id", F.size("raw").cast("long").alias("n_tokens"), F.size(F.array_distinct("raw")).cast("long").alias("n_distinct"))
@@ -310,12 +323,15 @@ def doc_len_stats(t):
 _READABLE = r"""length(regexp_replace(text, '[^\p{L}\p{N} .,;:!?\-—\n\t()\[\]«»"'']', '', 'g'))"""
 
 
-@query(None, f"SELECT doc_id, round({_READABLE} / nullif(length(text), 0), 6) AS readable, NOT (contains(text, '|') AND contains(text, '---')) AND coalesce({_READABLE} / nullif(length(text), 0) < 0.6, false) AS garbled FROM documents")
+@query(None, f"""SELECT doc_id, round({_READABLE} / nullif(length(text), 0), 6) AS readable, NOT (contains(text, '|') AND contains(text, '---')) AND
+  coalesce({_READABLE} / nullif(length(text), 0) < 0.6, false) AS garbled FROM documents""")
 def garbled_ratio(t):
     return t.documents.select("doc_id", F.round(text.readable_share(F.col("text")), 6).alias("readable"), text.is_garbled(F.col("text")).alias("garbled"))
 
 
-@query(None, f"SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 50 THEN 'scan' WHEN NOT (contains(text, '|') AND contains(text, '---')) AND {_READABLE} / length(text) < 0.6 THEN 'garbled' ELSE 'text' END AS page_class, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+@query(None, f"""SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 50 THEN 'scan' WHEN NOT (contains(text, '|') AND contains(text, '---'))
+  AND {_READABLE} / length(text) < 0.6 THEN 'garbled' ELSE 'text' END AS page_class, count(*) AS n, sum(length(text))::BIGINT AS chars FROM
+  documents GROUP BY 1""")
 def page_class_counts(t):
     return t.documents.groupBy(text.page_class(F.col("text")).alias("page_class")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -340,7 +356,8 @@ def _hits(patterns: list[str]) -> str:
     return " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in patterns)
 
 
-@query(None, f"SELECT doc_id, round(({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0), 6) AS density, CASE WHEN ({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0) >= 1 THEN 'legal' ELSE 'general' END AS domain FROM documents")
+@query(None, f"""SELECT doc_id, round(({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0), 6) AS density, CASE WHEN
+  ({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0) >= 1 THEN 'legal' ELSE 'general' END AS domain FROM documents""")
 def domain_density(t):
     return t.documents.select("doc_id", F.round(policy.marker_density(F.col("text")), 6).alias("density"), policy.document_domain(F.col("text")).alias("domain"))
 
@@ -359,7 +376,8 @@ def question_breadth(t):
     return t.messages.select("id", policy.question_breadth(q).alias("breadth"), policy.needs_decomposition(q).alias("compound"), policy.question_domain(q).alias("domain"))
 
 
-@query("messages", f" SELECT id, regexp_matches(content, '(?i){policy.EXACT_REFERENCE}') AS exact, CASE WHEN regexp_matches(content, '(?i){policy.EXACT_REFERENCE}') THEN 1.25 ELSE 0.5 END::DOUBLE AS weight FROM messages")
+@query("messages", f""" SELECT id, regexp_matches(content, '(?i){policy.EXACT_REFERENCE}') AS exact, CASE WHEN regexp_matches(content,
+  '(?i){policy.EXACT_REFERENCE}') THEN 1.25 ELSE 0.5 END::DOUBLE AS weight FROM messages""")
 def exact_ref_flag(t):
     return t.messages.select("id", policy.has_exact_reference(F.col("content")).alias("exact"), policy.sparse_weight(F.col("content"), 0.5).alias("weight"))
 
@@ -391,7 +409,8 @@ def config_cast_validate(t):
     return t.events.select("event_id", policy.config_error(v, F.lit("int"), F.lit(3.0), F.lit(60.0), allowed).alias("error"))
 
 
-@query("messages", " SELECT id, CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN length(content) < 165 THEN 'too_short' WHEN length(content) > 1100 THEN 'too_long' END AS error FROM messages")
+@query("messages", """ SELECT id, CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN length(content) < 165 THEN 'too_short' WHEN length(content) >
+  1100 THEN 'too_long' END AS error FROM messages""")
 def chunk_validation(t):
     return t.messages.select("id", policy.chunk_error(F.col("content"), 550).alias("error"))
 
@@ -411,7 +430,8 @@ def table_text_islands(t):
     return chunking.islands(t.documents.select("doc_id", "text"), "doc_id")
 
 
-@query(None, "SELECT doc_id, (start // 350)::INTEGER AS chunk_index, substr(text, start + 1, 550) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS start FROM documents)")
+@query(None, """SELECT doc_id, (start // 350)::INTEGER AS chunk_index, substr(text, start + 1, 550) AS chunk FROM (SELECT doc_id, text, unnest(range(0,
+  length(text), 350)) AS start FROM documents)""")
 def stride_chunks(t):
     return chunking.stride_chunks(t.documents.select("doc_id", "text"), 550, 200).select("doc_id", "chunk_index", "chunk")
 
@@ -426,12 +446,14 @@ def legal_chunks(t):
     return chunking.recursive_chunks(t.documents.select("doc_id", "text"), "legal").select("doc_id", "chunk_index", "chunk")
 
 
-@query("messages", " SELECT conv_id, string_agg(content, chr(10) || chr(10) ORDER BY turn) AS content, min(turn) AS page_start, max(turn) AS page_end, list(turn ORDER BY turn) AS pages FROM messages GROUP BY conv_id")
+@query("messages", """ SELECT conv_id, string_agg(content, chr(10) || chr(10) ORDER BY turn) AS content, min(turn) AS page_start, max(turn) AS page_end, list(turn
+  ORDER BY turn) AS pages FROM messages GROUP BY conv_id""")
 def merge_pages(t):
     return chunking.merge_pages(t.messages, "conv_id", "turn", "content")
 
 
-@query(None, "SELECT source, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM (SELECT source, substr(text, start + 1, 550) AS chunk FROM (SELECT source, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY source")
+@query(None, """SELECT source, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM (SELECT source, substr(text, start + 1, 550) AS chunk FROM
+  (SELECT source, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY source""")
 def chunk_stats(t):
     return chunking.stride_chunks(t.documents.select("source", "text"), 550, 200).groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
@@ -466,7 +488,8 @@ def bm25_batch(t):
     return t.index.search(_asked(t), 10)
 
 
-@query(None, f"WITH {_BM25.replace('FROM benchmark)', 'FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))')} SELECT qid, doc_id, score, rank FROM sparse WHERE rank <= 10")
+@query(None, f"""WITH {_BM25.replace('FROM benchmark)', 'FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))')} SELECT qid, doc_id, score,
+  rank FROM sparse WHERE rank <= 10""")
 def bm25_topk(t):
     first = t.benchmark.agg(F.min("item_id").alias("qid"))
     return t.index.search(_asked(t).join(F.broadcast(first), "qid", "left_semi"), 10)
@@ -496,7 +519,8 @@ def label_hit_rate(t):
     return per.agg(F.round(F.avg("hit"), 4).alias("hit_rate"), F.round(F.avg("mrr"), 4).alias("mrr"))
 
 
-@query(None, f"WITH {_BM25}{_OVERLAP} SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.0 / (60 + rank) AS part FROM dense WHERE rank <= 25 UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL")
+@query(None, f"""WITH {_BM25}{_OVERLAP} SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.0 / (60 + rank) AS part FROM dense WHERE
+  rank <= 25 UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL""")
 def rrf_fusion(t):
     return answer.fused_lists(t.index, _asked(t), 25, (1.0, 1.0), rank.RRF_K)
 
@@ -511,17 +535,21 @@ def hybrid_candidates(t):
     return answer.hybrid(t.index, _asked(t))
 
 
-@query(None, f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 10 AND score >= 5) WHERE best <= 0 OR score >= best * 0.6")
+@query(None, f"""WITH {_BM25} SELECT qid, doc_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 10 AND
+  score >= 5) WHERE best <= 0 OR score >= best * 0.6""")
 def rerank_filters(t):
     return rank.threshold(t.index.search(_asked(t), 10), "qid", 5.0, 0.6)
 
 
-@query(None, f"WITH {_BM25} SELECT qid, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 25) WHERE score >= best * 0.9")
+@query(None, f"""WITH {_BM25} SELECT qid, doc_id, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sparse WHERE rank <= 25) WHERE score
+  >= best * 0.9""")
 def gap_filter(t):
     return rank.threshold(t.index.search(_asked(t), 25), "qid", 0.0, 0.9).select("qid", "doc_id", "score")
 
 
-@query(None, f"WITH {_FUSED}, r AS (SELECT qid, source, list(DISTINCT doc_id ORDER BY doc_id) AS pages, round(max(score), 6) AS max_score, count(*) AS n FROM cand JOIN documents USING (doc_id) GROUP BY ALL) SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY max_score DESC, source))::INTEGER AS rank FROM r")
+@query(None, f"""WITH {_FUSED}, r AS (SELECT qid, source, list(DISTINCT doc_id ORDER BY doc_id) AS pages, round(max(score), 6) AS max_score, count(*) AS n
+  FROM cand JOIN documents USING (doc_id) GROUP BY ALL) SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY max_score DESC,
+  source))::INTEGER AS rank FROM r""")
 def source_rollup(t):
     rows = answer.hybrid(t.index, _asked(t)).join(t.documents.select("doc_id", "source"), "doc_id")
     return rank.by_source(rows.withColumnRenamed("doc_id", "page").drop("rank"), "qid", digits=6)
@@ -613,12 +641,13 @@ def _runs(t: Tables) -> DataFrame:
     return t.logs.groupBy(F.date_trunc("day", "started_at").alias("day"), F.col("question").alias("dataset")).agg(F.avg("latency").alias("mrr"), F.max("latency").alias("faithfulness"), F.min("latency").alias("relevancy"), F.count("*").alias("n"))
 
 
-@query("logs", _RUNS + " SELECT dataset, count(*) AS n, round(avg(mrr), 3) AS mrr, round(avg(faithfulness), 1) AS faithfulness, round(avg(relevancy), 1) AS relevancy FROM runs GROUP BY dataset")
+@query("logs", _RUNS + """ SELECT dataset, count(*) AS n, round(avg(mrr), 3) AS mrr, round(avg(faithfulness), 1) AS faithfulness, round(avg(relevancy), 1) AS relevancy
+  FROM runs GROUP BY dataset""")
 def summary_metrics(t):
     return evaluation.summary(_runs(t), ["dataset"], {"mrr": 3, "faithfulness": 1, "relevancy": 1})
 
 
-@query("logs", _RUNS + " SELECT round(avg(m), 4) AS mrr, max(r) AS runs FROM (SELECT dataset, avg(mrr) AS m, count(DISTINCT day) AS r FROM runs GROUP BY dataset)")
+@query("logs", _RUNS + """ SELECT round(avg(m), 4) AS mrr, max(r) AS runs FROM (SELECT dataset, avg(mrr) AS m, count(DISTINCT day) AS r FROM runs GROUP BY dataset)""")
 def multi_run_average(t):
     return evaluation.over_runs(_runs(t), "dataset", "day", ["mrr"])
 
@@ -666,13 +695,14 @@ def latency_histogram(t):
     return tables.histogram(t.logs, ["question"], "latency", _BOUNDS)
 
 
-@query("logs", " SELECT user_id, count(*) AS n, round(sum(latency) / count(*), 4) AS mean FROM logs GROUP BY user_id ORDER BY n DESC, user_id LIMIT 6")
+@query("logs", """ SELECT user_id, count(*) AS n, round(sum(latency) / count(*), 4) AS mean FROM logs GROUP BY user_id ORDER BY n DESC, user_id LIMIT 6""")
 def endpoint_topk(t):
     sums = t.logs.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("latency") / F.count("*"), 4).alias("mean"))
     return tables.page(sums, [F.desc("n"), F.col("user_id")], 6)
 
 
-@query("logs", " SELECT question, status, count(*) AS n, round(avg(latency), 4) AS mean, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM logs GROUP BY ALL")
+@query("logs", """ SELECT question, status, count(*) AS n, round(avg(latency), 4) AS mean, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM
+  logs GROUP BY ALL""")
 def metric_rollup(t):
     sums = t.logs.groupBy("question", "status").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 4).alias("mean"))
     return sums.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
@@ -710,7 +740,8 @@ def dedup_watermark(t):
     return t.spark.read.schema("event_type string, day timestamp").parquet(f"{out}/rows")
 
 
-@query(None, "SELECT event_type, time_bucket(INTERVAL 30 SECOND, ts) AS start, count(*) AS n, arg_max(value, (ts, value)) AS last, round(avg(value), 9) AS mean FROM events GROUP BY ALL")
+@query(None, """SELECT event_type, time_bucket(INTERVAL 30 SECOND, ts) AS start, count(*) AS n, arg_max(value, (ts, value)) AS last, round(avg(value), 9) AS
+  mean FROM events GROUP BY ALL""")
 def gauge_windows(t):
     return streams.gauges(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "value", "ts").withColumn("mean", F.round("mean", 9))
 
@@ -720,7 +751,8 @@ def ttl_expiry(t):
     return streams.alive(t.logs, F.lit("2024-01-30").cast("timestamp"), "started_at", 7 * 86_400).select("id")
 
 
-@query(None, f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY token")
+@query(None, f"""WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM tok WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP
+  BY token""")
 def incremental_index(t):
     """A live index of all documents from which those labelled as bad are removed by a second batch."""
     index = streams.LiveIndex(t.spark, new_path(t.spark, "live"))
@@ -739,7 +771,8 @@ def config_latest(t):
 # ---- further reads
 
 
-@query(None, "SELECT count(*) AS files, sum(n)::BIGINT AS documents, sum(chars)::BIGINT AS chars FROM (SELECT source, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source)")
+@query(None, """SELECT count(*) AS files, sum(n)::BIGINT AS documents, sum(chars)::BIGINT AS chars FROM (SELECT source, count(*) AS n, sum(length(text)) AS
+  chars FROM documents GROUP BY source)""")
 def registry_totals(t):
     sums = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     return sums.agg(F.count("*").alias("files"), F.sum("n").alias("documents"), F.sum("chars").alias("chars"))
@@ -751,18 +784,20 @@ def best_source_score(t):
     return listed.select("qid", F.array_max(F.transform("sources", lambda x: x["score"])).alias("best"))
 
 
-@query(None, "SELECT source, round(100.0 * count(vec_id) / count(*), 6) AS percent FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source")
+@query(None, """SELECT source, round(100.0 * count(vec_id) / count(*), 6) AS percent FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source""")
 def index_coverage(t):
     both = t.documents.select("doc_id", "source").join(t.embeddings.select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left")
     return both.groupBy("source").agg(F.round(100.0 * F.count("vec_id") / F.nullif(F.count("*"), F.lit(0)), 6).alias("percent"))
 
 
-@query("logs", " SELECT CASE WHEN latency / 100 >= 0.7 THEN 'good' WHEN latency / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM logs GROUP BY 1")
+@query("logs", """ SELECT CASE WHEN latency / 100 >= 0.7 THEN 'good' WHEN latency / 100 >= 0.4 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM logs
+  GROUP BY 1""")
 def score_bands(t):
     return t.logs.groupBy(policy.score_band(F.col("latency") / 100).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("logs", " SELECT question, ceil(0.5 * count(*))::BIGINT AS quick_minutes, ceil(0.5 * count(*))::BIGINT + 6 AS judged_minutes FROM logs GROUP BY question")
+@query("logs", """ SELECT question, ceil(0.5 * count(*))::BIGINT AS quick_minutes, ceil(0.5 * count(*))::BIGINT + 6 AS judged_minutes FROM logs GROUP BY
+  question""")
 def time_estimate(t):
     quick = F.ceil(F.lit(0.5) * F.count("*"))
     return t.logs.groupBy("question").agg(quick.alias("quick_minutes"), (quick + 2 * 3).alias("judged_minutes"))
@@ -773,13 +808,15 @@ def latency_ms(t):
     return t.logs.select("id", F.round(F.col("latency") * 1000, 1).alias("ms"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
-@query(None, "SELECT doc_id, list(sha256(chunk)[:16] ORDER BY i) AS hashes FROM (SELECT doc_id, start // 350 AS i, substr(text, start + 1, 550) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY doc_id")
+@query(None, """SELECT doc_id, list(sha256(chunk)[:16] ORDER BY i) AS hashes FROM (SELECT doc_id, start // 350 AS i, substr(text, start + 1, 550) AS chunk
+  FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY doc_id""")
 def nested_chunks(t):
     chunks = chunking.stride_chunks(t.documents.select("doc_id", "text"), 550, 200).select("doc_id", F.struct("chunk_index", text.content_hash(F.col("chunk")).alias("hash")).alias("c"))
     return chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["hash"]).alias("hashes"))
 
 
-@query("messages", " SELECT d.doc_id, CASE WHEN length(m.content) > 1.5 * length(d.text) THEN m.content ELSE d.text END AS text FROM documents d LEFT JOIN messages m ON m.id = d.doc_id")
+@query("messages", """ SELECT d.doc_id, CASE WHEN length(m.content) > 1.5 * length(d.text) THEN m.content ELSE d.text END AS text FROM documents d LEFT JOIN
+  messages m ON m.id = d.doc_id""")
 def ocr_override(t):
     seen = t.documents.select("doc_id", "text").join(t.messages.select(F.col("id").alias("doc_id"), "content"), "doc_id", "left")
     return seen.select("doc_id", text.better_text(F.col("text"), F.col("content")).alias("text"))
@@ -801,7 +838,7 @@ def exists_admin(t):
     return t.users.filter(F.col("role") == "admin").limit(1).agg((F.count("*") > 0).alias("has_admin"))
 
 
-@query("docs", " SELECT doc_id, source FROM docs WHERE source = 'src3' AND owner_id IS NULL AND group_id IS NOT DISTINCT FROM 3 ORDER BY doc_id DESC LIMIT 1")
+@query("docs", """ SELECT doc_id, source FROM docs WHERE source = 'src3' AND owner_id IS NULL AND group_id IS NOT DISTINCT FROM 3 ORDER BY doc_id DESC LIMIT 1""")
 def active_slot(t):
     slot = (F.col("source") == "src3") & F.col("owner_id").eqNullSafe(F.lit(None)) & F.col("group_id").eqNullSafe(F.lit(3))
     return tables.page(t.docs.filter(slot), [F.desc("doc_id")], 1).select("doc_id", "source")
@@ -817,7 +854,8 @@ def active_name_conflicts(t):
     return tables.duplicates(t.docs.filter(F.col("visibility") != acl.GROUP), ["owner_id", "source"])
 
 
-@query("docs users memberships", " SELECT doc_id FROM docs WHERE visibility = 'internal_group' AND group_id IN (SELECT group_id FROM memberships JOIN users USING (user_id) WHERE kind = 'client')")
+@query("docs users memberships", """ SELECT doc_id FROM docs WHERE visibility = 'internal_group' AND group_id IN (SELECT group_id FROM memberships JOIN users USING (user_id)
+  WHERE kind = 'client')""")
 def group_documents(t):
     mine = t.memberships.join(t.users.filter(F.col("kind") == "client"), "user_id")
     return t.docs.filter(F.col("visibility") == acl.GROUP).join(mine, "group_id", "left_semi").select("doc_id")
@@ -852,7 +890,8 @@ def apply_run_config(t):
     return each.select("key", "param", F.col("value").isNotNull().alias("applied"), F.col("key").isNull().alias("failed"))
 
 
-@query("logs", " SELECT user_id, arg_max(status, (started_at, id)) AS status, min(started_at) FILTER (WHERE status = 'running') AS first_run, count_if(status = 'failed')::BIGINT AS failures FROM logs GROUP BY user_id")
+@query("logs", """ SELECT user_id, arg_max(status, (started_at, id)) AS status, min(started_at) FILTER (WHERE status = 'running') AS first_run, count_if(status
+  = 'failed')::BIGINT AS failures FROM logs GROUP BY user_id""")
 def job_transitions(t):
     last = F.max_by("status", F.struct("started_at", "id"))
     return t.logs.groupBy("user_id").agg(last.alias("status"), F.min(F.when(F.col("status") == "running", F.col("started_at"))).alias("first_run"), F.count_if(F.col("status") == "failed").alias("failures"))
@@ -863,6 +902,7 @@ def conversation_search(t):
     return t.messages.filter(tables.contains_text(F.col("content"), "the ") | tables.contains_text(F.col("content"), "de ")).select("conv_id").distinct()
 
 
-@query(None, "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\t[^\t]*\t|    ')))::INTEGER AS tabular FROM documents")
+@query(None, """SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, len(list_filter(string_split(text, chr(10)), lambda l:
+  regexp_matches(l, '\t[^\t]*\t|    ')))::INTEGER AS tabular FROM documents""")
 def tabular_lines(t):
     return t.documents.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), text.tabular_lines(F.col("text")).alias("tabular"))

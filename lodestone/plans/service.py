@@ -36,7 +36,8 @@ def _bank(t):
     )
 
 
-@query(None, _QUESTIONS + " SELECT id FROM q WHERE dataset = 'main' AND list_contains(tags, 'all') AND is_active AND (contains(lower(question), 'th') OR contains(lower(expected_answer), 'th') OR contains(notes, 'th'))")
+@query(None, _QUESTIONS + """ SELECT id FROM q WHERE dataset = 'main' AND list_contains(tags, 'all') AND is_active AND (contains(lower(question), 'th') OR
+  contains(lower(expected_answer), 'th') OR contains(notes, 'th'))""")
 def question_filters(t):
     return _bank(t).filter(tables.question_filter("main", "all", "TH", True)).select("id")
 
@@ -46,14 +47,16 @@ def question_datasets(t):
     return _bank(t).groupBy("dataset").agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"))
 
 
-@query(None, "SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 0.9 ELSE doc_id % 10 / 10.0 END::DOUBLE AS score FROM labels WHERE quality = 0 OR CASE WHEN toxic = 1 THEN 0.9 ELSE doc_id % 10 / 10.0 END > 0.3 ORDER BY score DESC")
+@query(None, """SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 0.9 ELSE doc_id % 10 / 10.0 END::DOUBLE AS score FROM labels WHERE quality = 0 OR CASE WHEN
+  toxic = 1 THEN 0.9 ELSE doc_id % 10 / 10.0 END > 0.3 ORDER BY score DESC""")
 def quality_warnings(t):
     scored = t.labels.withColumn("score", F.when(F.col("toxic") == 1, 0.9).otherwise((F.col("doc_id") % 10) / 10.0))
     found = scored.filter((F.col("quality") == 0) | (F.col("score") > 0.3))
     return found.select("doc_id", "quality", "score").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "doc_id")
 
 
-@query("docs", " SELECT DISTINCT source AS filename FROM docs JOIN labels USING (doc_id) WHERE quality = 1 AND contains(lower(source), '1') ORDER BY filename LIMIT 100")
+@query("docs", """ SELECT DISTINCT source AS filename FROM docs JOIN labels USING (doc_id) WHERE quality = 1 AND contains(lower(source), '1') ORDER BY filename
+  LIMIT 100""")
 def filename_picker(t):
     done = t.docs.join(t.labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     return done.filter(tables.contains_text(F.col("source"), "1")).select(F.col("source").alias("filename")).distinct().orderBy("filename").limit(100)
@@ -83,7 +86,8 @@ def chat_roles(t):
     return t.messages.select("id", policy.chat_role(F.col("role")).alias("role"), "content")
 
 
-@query(None, "SELECT o_orderkey AS key_id, sha256('tks_' || o_clerk || o_orderkey) AS key_hash, substr('tks_' || o_clerk || o_orderkey, 1, 10) AS shown FROM (SELECT o_orderkey, o_orderpriority AS o_clerk FROM orders)")
+@query(None, """SELECT o_orderkey AS key_id, sha256('tks_' || o_clerk || o_orderkey) AS key_hash, substr('tks_' || o_clerk || o_orderkey, 1, 10) AS shown
+  FROM (SELECT o_orderkey, o_orderpriority AS o_clerk FROM orders)""")
 def api_key_hashes(t):
     raw = F.concat(F.lit(policy.KEY_PREFIX), "o_orderpriority", F.col("o_orderkey").cast("string"))
     return t.orders.select(F.col("o_orderkey").alias("key_id"), policy.key_hash(raw).alias("key_hash"), policy.key_display(raw).alias("shown"))
@@ -114,7 +118,8 @@ def column_updates(t):
     return tables.patch(t.docs.select("doc_id", "source", "lang"), changes, "doc_id", "seq")
 
 
-@query(None, "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'good' FROM labels WHERE quality = 1")
+@query(None, """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'good' FROM labels WHERE
+  quality = 1""")
 def change_log(t):
     log = t.labels.select("doc_id", F.lit("good").alias("source"), (F.col("quality") == 0).alias("deleted"), F.lit(1).alias("seq"))
     return tables.apply_log(t.documents.select("doc_id", "source"), log, "doc_id", "seq")
@@ -141,12 +146,13 @@ def config_resync(t):
     return streams.out_of_step(streams.current_config(rows), table)
 
 
-@query("messages", " , r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id) - 1 AS chunk_index FROM messages) SELECT conv_id, id, (chunk_index + 100)::INTEGER AS chunk_index FROM r")
+@query("messages", """ , r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id) - 1 AS chunk_index FROM messages) SELECT conv_id, id, (chunk_index +
+  100)::INTEGER AS chunk_index FROM r""")
 def next_chunk_index(t):
     return chunking.numbered(t.messages, "conv_id", [F.col("id")], 100).select("conv_id", "id", "chunk_index")
 
 
-@query(None, "SELECT doc_id, source FROM documents UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+@query(None, """SELECT doc_id, source FROM documents UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")
 def append_missing(t):
     return tables.append_new(t.documents.select("doc_id", "source"), t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("source")), "doc_id")
 
@@ -160,7 +166,8 @@ vf AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id
 vo AS (SELECT f.*, row_number() OVER (PARTITION BY qid, sha256(text)[:16] ORDER BY score DESC, doc_id) AS nth FROM vf f JOIN documents USING (doc_id))"""
 
 
-@query(None, f"WITH {_FUSED}{_VECTOR} SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM vo WHERE nth = 1")
+@query(None, f"""WITH {_FUSED}{_VECTOR} SELECT qid, doc_id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM
+  vo WHERE nth = 1""")
 def vector_hybrid(t):
     """The dense list from stored vectors: a question's vector is that of the same number, a document's too."""
     asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
@@ -176,7 +183,8 @@ def dense_only_hybrid(t):
     return fused.join(dense, ["qid", "doc_id"], "left_semi")
 
 
-@query(None, f"WITH {_FUSED}, b AS (SELECT item_id AS qid, length(text) AS n FROM benchmark) SELECT qid, doc_id, score FROM cand JOIN b USING (qid) WHERE rank <= CASE WHEN n > 200 THEN 15 ELSE 5 END")
+@query(None, f"""WITH {_FUSED}, b AS (SELECT item_id AS qid, length(text) AS n FROM benchmark) SELECT qid, doc_id, score FROM cand JOIN b USING (qid) WHERE
+  rank <= CASE WHEN n > 200 THEN 15 ELSE 5 END""")
 def breadth_cut(t):
     """How many candidates a question keeps follows its breadth: here that of its length."""
     sizes = _asked(t).select("qid", policy.fetch_sizes(F.when(F.length("question") > 200, "broad").otherwise("narrow")).alias("s"))
@@ -256,7 +264,9 @@ def extraction_quality(t):
     return sums.select("source", policy.extraction_quality(F.lit(50).cast("long"), F.col("n"), F.col("g"), F.col("t")).alias("q")).select("source", "q.*")
 
 
-@query(None, f"WITH {_PAGES}, f AS (SELECT source, count_if(chars < 500) AS scans, count_if(garbled) AS bad, sum(chars) AS chars FROM p GROUP BY source) SELECT count_if(scans = 0 AND bad = 0)::BIGINT AS ok, count_if(scans > 0)::BIGINT AS with_scans, count_if(bad > 0)::BIGINT AS garbled, count(*) AS files, sum(chars)::BIGINT AS chars FROM f")
+@query(None, f"""WITH {_PAGES}, f AS (SELECT source, count_if(chars < 500) AS scans, count_if(garbled) AS bad, sum(chars) AS chars FROM p GROUP BY source)
+  SELECT count_if(scans = 0 AND bad = 0)::BIGINT AS ok, count_if(scans > 0)::BIGINT AS with_scans, count_if(bad > 0)::BIGINT AS garbled,
+  count(*) AS files, sum(chars)::BIGINT AS chars FROM f""")
 def folder_summary(t):
     pages = t.documents.groupBy("source", (F.col("doc_id") % 50).alias("page")).agg(F.sum(F.length("text")).alias("chars"), F.bool_or(F.length("text") < 40).alias("garbled"))
     files = pages.groupBy("source").agg(F.count_if(F.col("chars") < 500).alias("scans"), F.count_if("garbled").alias("bad"), F.sum("chars").alias("chars"))
@@ -264,7 +274,8 @@ def folder_summary(t):
     return files.agg(ok.alias("ok"), F.count_if(F.col("scans") > 0).alias("with_scans"), F.count_if(F.col("bad") > 0).alias("garbled"), F.count("*").alias("files"), F.sum("chars").alias("chars"))
 
 
-@query(None, "SELECT round(100.0 * count_if(length(text) >= 40) / count(*), 1) AS ok_percent, round(avg(length(text)), 1) AS mean_chars, sum(ceil(length(text) / 1500.0))::BIGINT AS chunks, round(100.0 * count_if(length(text) < 40) / count(*), 1) AS bad_percent FROM documents")
+@query(None, """SELECT round(100.0 * count_if(length(text) >= 40) / count(*), 1) AS ok_percent, round(avg(length(text)), 1) AS mean_chars,
+  sum(ceil(length(text) / 1500.0))::BIGINT AS chunks, round(100.0 * count_if(length(text) < 40) / count(*), 1) AS bad_percent FROM documents""")
 def dry_run_summary(t):
     n, size = F.nullif(F.count("*"), F.lit(0)), F.length("text")
     share = lambda c: F.round(100.0 * F.count_if(c) / n, 1)
