@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import acl, policy
+from lodestone.functions import acl, policy, text
 from lodestone.operators import chunking, context, evaluation, rank, tables, vector
 from lodestone.plans import answer
 from lodestone.plans.catalogue import _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
@@ -370,6 +370,43 @@ def headed_chunks(t):
     return t.messages.select("id", chunking.with_heading(F.when(F.col("turn") % 3 != 0, F.col("role")), F.col("content")).alias("content"))
 
 
+@query(None, "SELECT doc_id, doc_id || '.3' AS article, '2024-05-0' || (doc_id % 9 + 1) AS doc_date FROM documents")
+def articles_and_dates(t):
+    i = F.col("doc_id").cast("string")
+    heading = F.concat(F.lit("см. Статья "), i, F.lit(".3 далее"))
+    name = F.concat(F.lit("acts/2024-05-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("_x.pdf"))
+    return t.documents.select("doc_id", text.article_number(heading).alias("article"), text.date_in_name(name).alias("doc_date"))
+
+
+@query(
+    "messages",
+    """ SELECT id, 'Answer.' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'At length.' ELSE 'In short.' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Cite articles.' ELSE chr(10) END AS prompt
+FROM messages""",
+)
+def system_prompts(t):
+    breadth = F.when(F.col("turn") % 2 == 0, "broad").otherwise("narrow")
+    rules = {"broad": "At length.", "narrow": "In short."}
+    prompt = policy.system_prompt("Answer.\nRULE\n", breadth, "RULE", rules, F.col("conv_id") % 3 == 0, "Cite articles.")
+    return t.messages.select("id", F.regexp_replace(prompt, "\n\nCite", "\nCite").alias("prompt"))
+
+
+_GRID = {"a": {"values": [1, 2, 5]}, "b": {"min": 0.1, "max": 0.5, "step": 0.2}, "c": {"default": 7}}
+
+
+@query(
+    None,
+    """SELECT (a.i * 3 + b.i)::INTEGER AS config_id, a.v::DOUBLE AS a, b.v::DOUBLE AS b, 7.0::DOUBLE AS c FROM (VALUES (0, 1), (1, 2), (2, 5)) a(i, v),
+  (VALUES (0, 0.1), (1, 0.3), (2, 0.5)) b(i, v)""",
+)
+def grid_points(t):
+    return evaluation.grid(t.spark, _GRID)
+
+
+@query(None, _SWEEP + " SELECT config_id FROM (SELECT config_id, percent_rank() OVER (ORDER BY mrr DESC, config_id) AS place FROM m) WHERE place < 0.25")
+def halved_settings(t):
+    return evaluation.halved(_swept(t), "mrr", 2).select("config_id")
+
+
 @query("docs", " SELECT doc_id, source FROM docs WHERE source IN (SELECT min(source) FROM docs)")
 def database_first(t):
     first = t.docs.agg(F.min("source").alias("source"))

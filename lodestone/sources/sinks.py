@@ -113,3 +113,20 @@ def import_questions(bank: DataFrame, new: DataFrame, dataset: str = "main", onl
 def write_grid(results: DataFrame, path: str) -> None:
     """The settings of a sweep, best first, a JSON object a line."""
     results.orderBy(F.desc("composite"), "config_id").coalesce(1).write.mode("overwrite").json(path)  # a row for each setting
+
+
+def append_together(parts: dict[str, DataFrame], path: str) -> None:
+    """Rows of several kinds in one commit, a folder ``kind=...`` for each: an answer and its log are both there or neither is.
+
+    A kind is read back with its own columns by ``read_kind``.
+    """
+    packed = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")) for kind, df in parts.items()]
+    rows = packed[0]
+    for df in packed[1:]:
+        rows = rows.unionByName(df)
+    rows.write.mode("append").partitionBy("kind").parquet(path)
+
+
+def read_kind(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    rows = spark.read.schema("row string, kind string").parquet(path).filter(F.col("kind") == kind)
+    return rows.select(F.from_json("row", schema).alias("row")).select("row.*")

@@ -178,6 +178,20 @@ def test_older_turns_and_ordered_articles(spark):
     assert streams.refetched(config, spark.createDataFrame([("b", "1")], "key string, value string")).count() == 0
 
 
+def test_pairs_and_appends(spark, tmp_path):
+    said, log = spark.createDataFrame([(1, "answer", None)], "id long, content string, at timestamp"), spark.createDataFrame([(1, 0.5)], "id long, latency double")
+    for _ in range(2):
+        sinks.append_together({"message": said, "log": log}, str(tmp_path / "both"))
+    got = sinks.read_kind(spark, str(tmp_path / "both"), "message", "id long, content string, at timestamp")
+    assert [r[:] for r in got.collect()] == [(1, "answer", None)] * 2 and sinks.read_kind(spark, str(tmp_path / "both"), "log", "id long, latency double").count() == 2
+    sinks.append_rows(log, str(tmp_path / "rows"))
+    sinks.append_rows(log, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
+    summary = spark.createDataFrame([("main", {"mrr": 0.5})], "dataset string, metrics map<string,double>").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    sinks.append_history(summary, str(tmp_path / "history"))
+    assert files.history(spark, str(tmp_path / "history")).first().metrics == {"mrr": 0.5}
+
+
 def brute_split(text, size, overlap, separators):
     """The splitter by its rule: cut at the first separator that the text has, join pieces up to ``size`` with ``overlap`` kept, go into longer ones."""
     if not text:
