@@ -20,7 +20,11 @@ SIMILAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go."""
+    """Documents that the base rules or a certified cutoff reject go.
+
+    Null and empty texts have no words and go; a null language is a stratum of its own; a null or repeated doc_id is judged by
+    its own text. Without labels the base rules alone decide.
+    """
     return quality.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -39,7 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it, from 0 to 3 times."""
+    """Each document comes as often as the mix takes it, from 0 to 3 times.
+
+    A null source is a source of its own; texts without words weigh nothing and come with their source's whole epochs;
+    repeated rows are taken together; null ids have a key by their text.
+    """
     return mixing.mixed(docs, mixing.word_count(F.col("text")), mixing.quality_weight(F.col("text")))
 
 

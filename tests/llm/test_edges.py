@@ -1,12 +1,14 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing column names."""
 
+import collections
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import archives, extraction, licenses, line_dedup, mixing, mtree, packing, quality, simhash, token_files
-from lodestone.llm._common import new_path
+from lodestone.llm._common import new_path, stage
 
 LONG = "word " * 50_000 + "end\nlast line"
 ROWS = [
@@ -80,6 +82,24 @@ def test_pack(docs, empty):
         packing.pack(docs.select(F.lit(9).alias("length")), 8).collect()
 
 
+def test_pipeline_stages(spark, sf_dir):
+    """Nulls in every column, repeated rows, one id with two texts and a very long text go through all stages."""
+    prose = lambda tag: " ".join(f"{tag}{k} in the word" for k in range(12))
+    rows = [(1, prose("a"), "en", "s", 1), (1, prose("a"), "en", "s", 1), (1, prose("b"), "en", "s", 1), (None, prose("c"), None, None, None), (None, prose("c"), None, None, None)]
+    rows += [(2, None, "en", "s", 0), (3, "", None, "s", 0), (4, " ".join(f"w{k}" for k in range(60_000)), "en", None, 9), (5, prose("a") + "\nshared", "en", "t", 2)]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("stratum", F.lit("mine"))
+    seen = []
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        now = stage(f(spark, now, sf_dir), "edge-stage")
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars", "stratum"]
+        seen.append((name, collections.Counter((r.doc_id, (r.text or "")[:2]) for r in now.collect())))
+    assert seen[0][1] == {(1, "a0"): 2, (1, "b0"): 1, (None, "c0"): 2, (4, "w0"): 1, (5, "a0"): 1} == seen[1][1]
+    assert seen[2][1] == {(1, "a0"): 1, (1, "b0"): 1, (None, "c0"): 1, (4, "w0"): 1}
+    assert set(seen[3][1]) <= set(seen[2][1]) and max(seen[3][1].values()) <= 3
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()
+    assert {(r.doc_id, r.piece) for r in packed if r.piece == 0} == {(d, 0) for d, _ in seen[3][1]}
+
+
 def test_token_files(spark, docs, empty):
     def run(d):
         path = new_path(spark, "edge-tokens")
