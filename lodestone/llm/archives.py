@@ -218,7 +218,10 @@ def write_warc(pages: DataFrame, path: str, arc_version: int = 1, id_col: str =
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = (
+        pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+        .withColumn("digest", F.sha2("payload", 256))
+    )
     groups = rows.filter(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # written, so that Spark knows its size when it picks the join
     groups = Staged(groups.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "equal-payloads").df

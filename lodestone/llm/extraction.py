@@ -52,7 +52,10 @@ SHORT, LONG = 70, 200  # characters
 LINKED = 0.5  # link share from which a block is boilerplate
 DENSE, SPARSE = 0.25, 0.1  # function word shares; long blocks and those of an article need the smaller one
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+(?:>|$))", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+(?:>|$))",
+    re.S,
+)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WORDS = re.compile(r"[^\W\d_]+")

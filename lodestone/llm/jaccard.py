@@ -148,7 +148,11 @@ def _bounded(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = held.groupBy("hash").agg(F.count("*").alias("n"))
     rare = held.join(counts.filter(F.col("n").between(2, RARE_SETS)).select("hash"), "hash")
     often = Staged(held.join(counts.filter(F.col("n") > RARE_SETS).select("hash"), "hash").groupBy("node").agg(F.count("*").alias("often")), "frequent").df
-    sized = nodes.join(held.groupBy("node").agg(F.first("size").alias("size")), "node").join(often, "node", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    sized = (
+        nodes.join(held.groupBy("node").agg(F.first("size").alias("size")), "node")
+        .join(often, "node", "left")
+        .withColumn("often", F.coalesce("often", F.lit(0)))
+    )
     sized = Staged(sized, "weighed").df
 
     def reach(common, sizes):
@@ -156,7 +160,10 @@ def _bounded(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return (100 + percent) * common >= percent * sizes
 
     def of(df: DataFrame, c: str, *more: str) -> DataFrame:
-        return df.select(*more, *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "often")], *([F.col("keys").alias(f"keys_{c}")] if "keys" in df.columns else []))
+        return df.select(
+            *more, *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "size", "often")],
+            *([F.col("keys").alias(f"keys_{c}")] if "keys" in df.columns else []),
+        )
 
     # a set whose frequent shingles are too few even for the best partner has none without a rare one in common
     worth = sized.filter(100 * F.col("often") >= percent * F.col("size")).withColumn("key", F.explode("keys"))
@@ -165,7 +172,10 @@ def _bounded(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
     under_keys = left.join(right, "key").filter((F.col("root_a") < F.col("root_b")) & fits & once).select(*_pair("node_a", "node_b"))
     holders = rare.select("hash", "node", "root")
-    shared = holders.select("hash", F.col("node").alias("a"), F.col("root").alias("ra")).join(holders.select("hash", F.col("node").alias("b"), F.col("root").alias("rb")), "hash")
+    shared = (
+        holders.select("hash", F.col("node").alias("a"), F.col("root").alias("ra"))
+        .join(holders.select("hash", F.col("node").alias("b"), F.col("root").alias("rb")), "hash")
+    )
     shared = shared.filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("rare"))
     sides = [sized.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("often").alias(f"often_{c}")) for c in "ab"]
     weighed = shared.join(sides[0], "a").join(sides[1], "b").filter(reach(F.col("rare") + F.least("often_a", "often_b"), F.col("size_a") + F.col("size_b")))

@@ -42,7 +42,10 @@ def _explode_lines(min_chars: int):
             docs = pa.array([o[1] for o in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), n)))
             rows = np.repeat(np.array([o[2] for o in out], np.int64), n)
             pos = np.array([p for o in out for p in o[3]], np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), docs, pa.array(rows), pa.array(pos)], names=["hi", "lo", "doc_id", "row", "pos"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), docs, pa.array(rows), pa.array(pos)],
+                names=["hi", "lo", "doc_id", "row", "pos"],
+            )
 
         held = 0
         for batch in batches:
@@ -73,7 +76,10 @@ def _stream(min_docs: int, keep_first: bool):
 
         def to_batch(rows: list[tuple]) -> pa.RecordBatch:
             types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["kind", "hi", "lo", "part", "n", "head", "doc_id", "row", "pos"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
+                names=["kind", "hi", "lo", "part", "n", "head", "doc_id", "row", "pos"],
+            )
 
         def close(edge: bool) -> None:
             """The run of ``key`` ends; at an edge of the partition, other partitions may have more of it."""
@@ -116,14 +122,23 @@ def dropped_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_f
     A line goes if its key (white space stripped, A-Z lower-cased) has ``min_chars`` code points or more and is found in
     ``min_docs`` documents or more; ``keep_first`` spares its first occurrence by doc_id, text hash and position.
     """
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text")).mapInArrow(tidy(_explode_lines(min_chars)), _LINES)
+    lines = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), text_bytes().alias("text"))
+        .mapInArrow(tidy(_explode_lines(min_chars)), _LINES)
+    )
     # written first: finding the ranges samples these rows, and would else hash all lines a second time
     hashes = Staged(lines, "line-hashes")
-    ordered = hashes.df.repartitionByRange(shuffle_partitions(docs.sparkSession), "hi", "lo", "doc_id", "row").sortWithinPartitions("hi", "lo", "doc_id", "row", "pos")
+    ordered = (
+        hashes.df.repartitionByRange(shuffle_partitions(docs.sparkSession), "hi", "lo", "doc_id", "row")
+        .sortWithinPartitions("hi", "lo", "doc_id", "row", "pos")
+    )
     found = Staged(ordered.mapInArrow(tidy(_stream(min_docs, keep_first)), _FOUND), "found-lines").df
     hashes.drop()
     # two rows a partition at most
-    edges = found.filter(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("n").alias("total"), F.min("part").alias("from_part")).filter(F.col("total") >= min_docs)
+    edges = (
+        found.filter(F.col("kind") == EDGE).groupBy("hi", "lo").agg(F.sum("n").alias("total"), F.min("part").alias("from_part"))
+        .filter(F.col("total") >= min_docs)
+    )
     settled = found.filter(F.col("kind") == OPEN).join(edges, ["hi", "lo"])
     if keep_first:
         settled = settled.filter(~(F.col("head") & (F.col("part") == F.col("from_part"))))
@@ -182,7 +197,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, with_text: bool = True) -
     """
     none = F.lit(-(1 << 63))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    left = docs.select(rest.alias("doc"), text_bytes().alias("text"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("row"))
+    left = docs.select(
+        rest.alias("doc"), text_bytes().alias("text"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"),
+        F.xxhash64("text").alias("row"),
+    )
     right = bitmaps.select(F.coalesce("doc_id", none).alias("id"), "row", "keep_bitmap")
     joined = left.join(right, ["id", "row"], "left").select("text", "keep_bitmap", "doc")
     schema = T.StructType([joined.schema["doc"], *T._parse_datatype_string("n_lines long, n_dropped long, kept string").fields])

@@ -62,7 +62,10 @@ def _sized(docs: DataFrame, size: Column, weight: Column, id_col: str, source_co
     # null ids are told apart by their texts
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit(""))))) if "text" in docs.columns else F.col(id_col)
     key = sample_key(name, weight, seed)
-    rows = docs.select(F.struct("*").alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(
+        F.struct("*").alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        size.alias("size"), key.alias("key"),
+    )
     return rows.withColumn("bucket", F.floor(F.exp(-F.col("key")) * BUCKETS))
 
 
@@ -71,12 +74,18 @@ _PLACE = ("key", "id", "size")
 
 def _decide(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """``rows`` with ``source_size, target`` and ``times``, how often the mix takes each; fitted on ``sized``, a written table of the same rows."""
-    targets = source_targets(sized, weights, cap).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    targets = (
+        source_targets(sized, weights, cap)
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    )
     targets = Staged(targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "targets").df
     same = F.col("source").eqNullSafe(F.col("of"))
     down = Window.partitionBy("source").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(down), F.lit(0)))
-    ends = sums.join(targets.select(F.col("source").alias("of"), "budget"), same).filter((F.col("before") < F.col("budget")) & (F.col("before") + F.col("sum") > F.col("budget")))
+    ends = (
+        sums.join(targets.select(F.col("source").alias("of"), "budget"), same)
+        .filter((F.col("before") < F.col("budget")) & (F.col("before") + F.col("sum") > F.col("budget")))
+    )
     ends = Staged(ends.select("of", F.col("bucket").alias("end"), "before", "budget"), "ends").df
     # the rows of the bucket in which a budget ends, in order
     run = Window.partitionBy("source").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +93,11 @@ def _decide(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], cap: in
     inside = sized.join(ends, same & (F.col("bucket") == F.col("end"))).withColumn("place", place).select("source", "before", "budget", "place.*", "place")
     so_far = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
     last = inside.withColumn("fits", so_far + F.col("size") / 2 < F.col("budget")).filter("fits").groupBy("source").agg(F.max("place").alias("last"))
-    limits = targets.withColumnRenamed("source", "of").join(ends.select(F.col("of").alias("source"), "end"), F.col("of").eqNullSafe(F.col("source")), "left").drop("source")
+    limits = (
+        targets.withColumnRenamed("source", "of")
+        .join(ends.select(F.col("of").alias("source"), "end"), F.col("of").eqNullSafe(F.col("source")), "left")
+        .drop("source")
+    )
     limits = Staged(limits.join(last, F.col("of").eqNullSafe(F.col("source")), "left").drop("source"), "limits").df
     extra = F.when(F.col("end").isNull(), F.col("budget") >= F.col("source_size")).otherwise(
         (F.col("bucket") > F.col("end")) | ((F.col("bucket") == F.col("end")) & F.coalesce(place <= F.col("last"), F.lit(False)))

@@ -300,7 +300,10 @@ class Index:
                 found = Staged(best, "found").df.select("query_id", "vec_id", "score", "rank")
                 floors = found.filter(F.col("rank") == k).select("query_id", "score", "vec_id")
                 bounded = unknown.drop("floored", "score", "vec_id").join(floors, "query_id", "left")
-                bounded = bounded.select("query_id", "v", F.col("score").isNotNull().alias("floored"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("vec_id", F.lit(0)).alias("vec_id"))
+                bounded = bounded.select(
+                    "query_id", "v", F.col("score").isNotNull().alias("floored"), F.coalesce("score", F.lit(0)).alias("score"),
+                    F.coalesce("vec_id", F.lit(0)).alias("vec_id"),
+                )
                 found = found.drop("rank")
         return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -129,7 +129,10 @@ def measure(docs: DataFrame, carried: Column | None = None) -> DataFrame:
     The stratum is lang, a null one like an empty one. Null and empty texts have no words.
     """
     first = F.col("doc_id").cast("long") if carried is None else carried
-    rows = docs.select(first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(
+        first.alias("carried"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text_bytes().alias("text"),
+        F.xxhash64("text").alias("text_hash"),
+    )
     schema = T.StructType([rows.schema["carried"], *T._parse_datatype_string(f"stratum string, text_hash long, {MEASURES}").fields])
     out = rows.mapInArrow(tidy(_counts), schema)
     return out.withColumnRenamed("carried", "doc_id") if carried is None else out
@@ -168,21 +171,36 @@ def fit_cutoffs(labelled: DataFrame, levels: tuple[float, ...] = LEVELS, risk: f
     tuning = F.pmod(F.xxhash64("text_hash"), F.lit(1000)) >= int(1000 * HOLDOUT)
     good = labelled.filter("clean")
     scores = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(r).alias("score")) for k, r in enumerate(RULES)]))
-    histogram = labelled.filter(tuning).select("stratum", "clean", scores.alias("x")).groupBy("stratum", "x.rule", "x.score").agg(F.count_if("clean").alias("n"), F.count_if(~F.col("clean")).alias("bad"))
+    histogram = (
+        labelled.filter(tuning).select("stratum", "clean", scores.alias("x"))
+        .groupBy("stratum", "x.rule", "x.score")
+        .agg(F.count_if("clean").alias("n"), F.count_if(~F.col("clean")).alias("bad"))
+    )
     histogram = Staged(histogram, "score-counts").df
     per_rule = Window.partitionBy("stratum", "rule")
     above = histogram.withColumn("above", F.sum("n").over(per_rule.orderBy(F.desc("score")))).withColumn("all", F.sum("n").over(per_rule))
     # the smallest limit above every score that more than the level's share of clean documents reach
     limit = [F.coalesce(F.max(F.when(F.col("above") > F.floor(F.lit(level) * F.col("all")), F.col("score"))), F.lit(-1)) + 1 for level in levels]
-    limits = above.groupBy("stratum", "rule").agg(F.array(*limit).alias("limits"), F.sum("bad").alias("all_bad")).select("stratum", "rule", "all_bad", F.posexplode("limits").alias("level", "low"))
+    limits = (
+        above.groupBy("stratum", "rule").agg(F.array(*limit).alias("limits"), F.sum("bad").alias("all_bad"))
+        .select("stratum", "rule", "all_bad", F.posexplode("limits").alias("level", "low"))
+    )
     per_level = Window.partitionBy("stratum", "rule", "level")
     bad = limits.join(histogram.filter("bad > 0"), ["stratum", "rule"]).filter(F.col("score") >= F.col("low"))
     bad = bad.withColumn("upto", F.sum("bad").over(per_level.orderBy("score"))).withColumn("total", F.sum("bad").over(per_level))
-    high = bad.filter(F.col("total") >= F.lit(MIN_CATCH) * F.col("all_bad")).filter(F.col("upto") >= F.lit(BAD_TAIL) * F.col("total")).groupBy("stratum", "rule", "level").agg(F.min("score").alias("high"))
+    high = (
+        bad.filter(F.col("total") >= F.lit(MIN_CATCH) * F.col("all_bad"))
+        .filter(F.col("upto") >= F.lit(BAD_TAIL) * F.col("total"))
+        .groupBy("stratum", "rule", "level")
+        .agg(F.min("score").alias("high"))
+    )
     # a rule with too few bad documents above its limit is off
     cut = F.coalesce(F.ceil((F.col("low") + F.col("high")) / 2), F.lit(GRID + 1))
     rule_cuts = limits.join(high, ["stratum", "rule", "level"], "left").withColumn("at", cut)
-    cuts = rule_cuts.groupBy("stratum", "level").agg(F.struct(*[F.max(F.when(F.col("rule") == k, F.col("at"))).alias(r) for k, r in enumerate(RULES)]).alias("cut"))
+    cuts = (
+        rule_cuts.groupBy("stratum", "level")
+        .agg(F.struct(*[F.max(F.when(F.col("rule") == k, F.col("at"))).alias(r) for k, r in enumerate(RULES)]).alias("cut"))
+    )
     tested = good.filter(~tuning).join(cuts.withColumnRenamed("stratum", "s"), F.col("stratum").eqNullSafe(F.col("s")))
     rejected = F.lit(False)
     for r in RULES:

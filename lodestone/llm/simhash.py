@@ -167,7 +167,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         seen = now.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if mark == seen:
-            return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return (
+                now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+                .unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            )
         mark = seen
 
 
