@@ -78,7 +78,10 @@ def sparse_weight(q: Column, weight: float, boost: float = SPARSE_BOOST) -> Colu
 def fetch_sizes(breadth: Column) -> Column:
     """``fetch_k, top_k`` of a breadth."""
     broad, narrow = FETCH["broad"], FETCH["narrow"]
-    return F.when(breadth == "broad", F.struct(F.lit(broad[0]).alias("fetch_k"), F.lit(broad[1]).alias("top_k"))).otherwise(F.struct(F.lit(narrow[0]).alias("fetch_k"), F.lit(narrow[1]).alias("top_k")))
+    return (
+        F.when(breadth == "broad", F.struct(F.lit(broad[0]).alias("fetch_k"), F.lit(broad[1]).alias("top_k")))
+        .otherwise(F.struct(F.lit(narrow[0]).alias("fetch_k"), F.lit(narrow[1]).alias("top_k")))
+    )
 
 
 def is_not_found(answer: Column) -> Column:
@@ -148,7 +151,12 @@ def page_advice(total: Column, bad: Column, scans: Column, garbled: Column, firs
     """What to do about a document's bad pages: none, ok, encoding, tail (a scanned end), pages, or reconvert."""
     share = bad / total
     tail = (first_bad >= last_bad - bad + 1) & (share <= 0.5)
-    return F.when(total == 0, "none").when(share <= 0.1, "ok").when((garbled > scans) & (garbled > 0), "encoding").when(tail, "tail").when(share <= 0.15, "pages").otherwise("reconvert")
+    return (
+        F.when(total == 0, "none").when(share <= 0.1, "ok").when((garbled > scans) & (garbled > 0), "encoding")
+        .when(tail, "tail")
+        .when(share <= 0.15, "pages")
+        .otherwise("reconvert")
+    )
 
 
 def score_band(share: Column) -> Column:
@@ -161,7 +169,8 @@ KEY_PREFIX = "tks_"
 def storage_key(owner: Column, group: Column, document_id: Column, filename: Column) -> Column:
     """Where an uploaded file is kept: below its owner, else its group, else what is public; folders in the name are dropped."""
     name = F.concat(document_id.cast("string"), F.lit("_"), F.regexp_extract(filename, r"([^/]*)/*$", 1))
-    user, shared = F.concat(F.lit("uploads/users/"), owner.cast("string"), F.lit("/"), name), F.concat(F.lit("uploads/groups/"), group.cast("string"), F.lit("/"), name)
+    user = F.concat(F.lit("uploads/users/"), owner.cast("string"), F.lit("/"), name)
+    shared = F.concat(F.lit("uploads/groups/"), group.cast("string"), F.lit("/"), name)
     return F.when(owner.isNotNull(), user).when(group.isNotNull(), shared).otherwise(F.concat(F.lit("uploads/public/"), name))
 
 
@@ -171,7 +180,10 @@ def same_config(current: Column, stored: Column) -> Column:
     # a text that is no JSON stands for itself, as the stored JSON string of it does
     text = F.coalesce(F.get_json_object(F.concat(F.lit("["), stored, F.lit("]")), "$[0]"), stored)
     number = lambda j: F.when(j.rlike(r"^-?[0-9]"), j.try_cast("double"))
-    same = F.when(a.isNotNull() & b.isNotNull(), F.coalesce(a == b, F.lit(False)) | F.coalesce(number(a) == number(b), F.lit(False))).otherwise(current == F.when(b.isNotNull(), text).otherwise(stored))
+    same = (
+        F.when(a.isNotNull() & b.isNotNull(), F.coalesce(a == b, F.lit(False)) | F.coalesce(number(a) == number(b), F.lit(False)))
+        .otherwise(current == F.when(b.isNotNull(), text).otherwise(stored))
+    )
     return F.when(current.isNull() | stored.isNull(), current.isNull() & stored.isNull()).otherwise(same)
 
 

@@ -108,7 +108,11 @@ def markdown_table(rows: Column) -> Column:
 
     def line(cells: Column) -> Column:
         full = F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells)))
-        return F.concat(F.lit("| "), F.array_join(F.transform(full, lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))), " | "), F.lit(" |"))
+        return F.concat(
+            F.lit("| "),
+            F.array_join(F.transform(full, lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))), " | "),
+            F.lit(" |"),
+        )
 
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     body = F.transform(rows, line)

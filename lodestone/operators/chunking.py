@@ -120,7 +120,11 @@ def islands(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     change = (F.col("is_table") != F.lag("is_table").over(w)).cast("int")
     lines = lines.withColumn("island", F.coalesce(F.sum(change).over(w), F.lit(0)))
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    runs = lines.groupBy(key, "island").agg(F.when(F.first("is_table"), "table").otherwise("text").alias("kind"), strip(content).alias("content")).filter(F.length("content") > 0)
+    runs = (
+        lines.groupBy(key, "island")
+        .agg(F.when(F.first("is_table"), "table").otherwise("text").alias("kind"), strip(content).alias("content"))
+        .filter(F.length("content") > 0)
+    )
     return runs.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1).alias("segment"), "kind", "content")
 
 

@@ -145,7 +145,11 @@ def search_rerank(found: DataFrame, params: DataFrame, questions: DataFrame) ->
     kept = rows.filter(good).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("top_k"))
     hinted = questions.filter(F.col("source_hint").isNotNull()).select("qid", "source_hint")
     hits = kept.join(hinted, "qid").filter(F.contains(F.lower("source"), F.lower("source_hint")))
-    sums = hits.groupBy("param_id", "qid").agg(F.min("rank").alias("first")).groupBy("param_id").agg(F.count("*").alias("found"), F.sum(1 / F.col("first")).alias("mrr"))
+    sums = (
+        hits.groupBy("param_id", "qid").agg(F.min("rank").alias("first"))
+        .groupBy("param_id")
+        .agg(F.count("*").alias("found"), F.sum(1 / F.col("first")).alias("mrr"))
+    )
     asked = F.broadcast(hinted.agg(F.nullif(F.count("*"), F.lit(0)).alias("asked")))  # one row
     out = params.select("param_id").join(sums, "param_id", "left").crossJoin(asked)
     share = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("asked"), 4)
@@ -189,7 +193,10 @@ def compare(current: DataFrame, baseline: DataFrame, spark: SparkSession, thresh
     limits = spark.createDataFrame(list((thresholds or THRESHOLDS).items()), "metric string, threshold double")
     rows = limits.join(current.withColumnRenamed("value", "current"), "metric", "left").join(baseline.withColumnRenamed("value", "baseline"), "metric", "left")
     delta = F.col("current") - F.col("baseline")
-    return rows.select("metric", F.round("baseline", 4).alias("baseline"), F.round("current", 4).alias("current"), F.round(delta, 4).alias("delta"), "threshold", F.coalesce(delta < F.col("threshold"), F.lit(False)).alias("failed"))
+    return rows.select(
+        "metric", F.round("baseline", 4).alias("baseline"), F.round("current", 4).alias("current"), F.round(delta, 4).alias("delta"),
+        "threshold", F.coalesce(delta < F.col("threshold"), F.lit(False)).alias("failed"),
+    )
 
 
 def passed(comparison: DataFrame) -> DataFrame:

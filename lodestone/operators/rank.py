@@ -39,7 +39,11 @@ def fuse(lists: list[tuple[DataFrame, float | Column]], by: str, key: str, k: in
 def threshold(df: DataFrame, by: str, min_score: float = 0.0, gap_ratio: float = 0.0, score: str = "score") -> DataFrame:
     """Rows of at least ``min_score``, and of these at least ``gap_ratio`` of the question's best, where that is positive."""
     best = F.max(score).over(Window.partitionBy(by))
-    return df.filter(F.col(score) >= min_score).withColumn("_best", best).filter((F.col("_best") <= 0) | (F.col(score) >= F.col("_best") * gap_ratio)).drop("_best")
+    return (
+        df.filter(F.col(score) >= min_score).withColumn("_best", best)
+        .filter((F.col("_best") <= 0) | (F.col(score) >= F.col("_best") * gap_ratio))
+        .drop("_best")
+    )
 
 
 def rerank(df: DataFrame, by: str, score: Column, k: int, *ties: Column, min_score: float | None = None, gap_ratio: float = 0.0) -> DataFrame:
@@ -50,7 +54,12 @@ def rerank(df: DataFrame, by: str, score: Column, k: int, *ties: Column, min_sco
 
 def by_source(df: DataFrame, by: str, digits: int = 4) -> DataFrame:
     """``by, source, pages, max_score, n``: sorted distinct pages and the best score of each source; rank 1 is the best source."""
-    rolled = df.groupBy(by, "source").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.round(F.max("score"), digits).alias("max_score"), F.count("*").alias("n"))
+    rolled = (
+        df.groupBy(by, "source")
+        .agg(
+            F.array_sort(F.collect_set("page")).alias("pages"), F.round(F.max("score"), digits).alias("max_score"), F.count("*").alias("n"),
+        )
+    )
     return ranked(rolled, by, F.desc_nulls_last("max_score"), F.col("source"))
 
 

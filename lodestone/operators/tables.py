@@ -118,7 +118,13 @@ def apply_log(table: DataFrame, log: DataFrame, key: str, order: str, deleted: s
 def lifecycle(events: DataFrame, key: str, kind: str, ts: str) -> DataFrame:
     """``key, created_at, last_used_at, revoked_at, is_active`` from events ``create, use, revoke``; a later creation takes a revocation back."""
     when = lambda k: F.when(F.col(kind) == k, F.col(ts))
-    out = events.groupBy(key).agg(F.min(when("create")).alias("created_at"), F.max(when("create")).alias("_again"), F.max(when("use")).alias("last_used_at"), F.max(when("revoke")).alias("revoked_at"))
+    out = (
+        events.groupBy(key)
+        .agg(
+            F.min(when("create")).alias("created_at"), F.max(when("create")).alias("_again"), F.max(when("use")).alias("last_used_at"),
+            F.max(when("revoke")).alias("revoked_at"),
+        )
+    )
     active = F.col("created_at").isNotNull() & (F.col("revoked_at").isNull() | (F.col("_again") > F.col("revoked_at")))
     return out.withColumn("is_active", active).drop("_again")
 

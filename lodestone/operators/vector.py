@@ -36,7 +36,10 @@ def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "
     """
     n = _blocks(candidates, block)
     # every block of queries is sent to each block of candidates by its number; no side is broadcast for its growth
-    asked = _packed(queries, key, vector, "q", _blocks(queries, block)).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    asked = (
+        _packed(queries, key, vector, "q", _blocks(queries, block))
+        .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    )
     pairs = asked.join(_packed(candidates, key, vector, "c", n), "c_block")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,11 @@ def overlap_list(texts: DataFrame, questions: DataFrame, k: int, key: str = "doc
     asked = bm25.tokens(questions, "qid", "question").select("qid", "token").distinct()
     size = asked.groupBy("qid").agg(F.count("*").alias("size"))
     found = bm25.tokens(texts, key).join(asked.select("token").distinct(), "token", "left_semi").select(key, "token").distinct()
-    scores = found.join(asked, "token").groupBy("qid", key).agg(F.count("*").alias("n")).join(size, "qid").withColumn("score", F.round(F.col("n") / F.col("size"), 6))
+    scores = (
+        found.join(asked, "token").groupBy("qid", key).agg(F.count("*").alias("n"))
+        .join(size, "qid")
+        .withColumn("score", F.round(F.col("n") / F.col("size"), 6))
+    )
     return rank.top(scores.select("qid", key, "score"), "qid", k, F.desc("score"), F.col(key))
 
 
@@ -70,4 +74,8 @@ def answer_context(index: bm25.Index, texts: DataFrame, questions: DataFrame, to
     kept = context.within_budget(rows, "qid", F.length("part"), tokens * context.CHARS_PER_TOKEN)
     scores = kept.groupBy("qid").agg(F.max("score").alias("max_score"))
     out = context.joined(kept, "qid", "part").join(scores, "qid")
-    return questions.select("qid", question_breadth(F.col("question")).alias("breadth")).join(out, "qid", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(0)))
+    return (
+        questions.select("qid", question_breadth(F.col("question")).alias("breadth"))
+        .join(out, "qid", "left")
+        .withColumn("n_parts", F.coalesce("n_parts", F.lit(0)))
+    )

@@ -45,7 +45,10 @@ SELECT user_id, sum(n)::BIGINT AS n_visible FROM users JOIN d ON CASE visibility
 def acl_counts_by_user(t):
     # documents are counted per owner, group and in all first, so users meet counts by equal keys and no document
     docs, vis = t.docs, F.col("visibility")
-    by_owner = docs.filter(vis.isin(acl.PRIVATE, acl.CLIENT)).groupBy(F.col("owner_id").alias("user_id")).agg(F.count_if(vis == acl.PRIVATE).alias("own"), F.count_if(vis == acl.CLIENT).alias("mine"))
+    by_owner = (
+        docs.filter(vis.isin(acl.PRIVATE, acl.CLIENT)).groupBy(F.col("owner_id").alias("user_id"))
+        .agg(F.count_if(vis == acl.PRIVATE).alias("own"), F.count_if(vis == acl.CLIENT).alias("mine"))
+    )
     by_group = docs.filter(vis == acl.GROUP).groupBy("group_id").agg(F.count("*").alias("shared"))
     totals = docs.agg(F.count_if(vis == acl.PUBLIC).alias("public"), F.count_if(vis == acl.CLIENT).alias("clients"))
     users = t.users.withColumn("group_id", F.col("user_id") % 5).join(by_owner, "user_id", "left").join(by_group, "group_id", "left").crossJoin(F.broadcast(totals))  # one row
@@ -57,7 +60,10 @@ def acl_counts_by_user(t):
 @query("docs", """ SELECT doc_id, coalesce(visibility = 'internal_public' OR (visibility = 'internal_group' AND group_id = 3) OR (visibility IN
   ('internal_private', 'client_private') AND owner_id = 8), false) AS can_view FROM docs""")
 def acl_row_check(t):
-    return t.docs.select("doc_id", acl.can_view(F.col("visibility"), F.col("owner_id"), F.col("group_id"), F.lit("internal"), F.lit(8), F.array(F.lit(3)), F.lit("user")).alias("can_view"))
+    return t.docs.select(
+        "doc_id",
+        acl.can_view(F.col("visibility"), F.col("owner_id"), F.col("group_id"), F.lit("internal"), F.lit(8), F.array(F.lit(3)), F.lit("user")).alias("can_view"),
+    )
 
 
 @query(
@@ -68,7 +74,10 @@ def acl_row_check(t):
 )
 def acl_placement(t):
     error = acl.placement_error(F.col("visibility"), F.col("group_id"), F.lit("internal"), F.lit("user"), F.array(F.lit(1), F.lit(2)))
-    return t.docs.select("doc_id", error.alias("error"), acl.owner_for(F.col("visibility"), F.lit(7).cast("long")).alias("owner"), acl.group_for(F.col("visibility"), F.col("group_id")).alias("grp"))
+    return t.docs.select(
+        "doc_id", error.alias("error"), acl.owner_for(F.col("visibility"), F.lit(7).cast("long")).alias("owner"),
+        acl.group_for(F.col("visibility"), F.col("group_id")).alias("grp"),
+    )
 
 
 # ---- search in text
@@ -139,7 +148,10 @@ def summary_due(t):
   IN (7, 8, 9)""")
 def chat_log_filter(t):
     when = F.col("started_at").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20 12:00:00").cast("timestamp"))
-    return t.logs.filter(tables.matching([tables.contains_text(F.col("question"), "i"), when, F.col("user_id").isin(7, 8, 9), None])).select("id", "question", "latency")
+    return (
+        t.logs.filter(tables.matching([tables.contains_text(F.col("question"), "i"), when, F.col("user_id").isin(7, 8, 9), None]))
+        .select("id", "question", "latency")
+    )
 
 
 @query("logs", " SELECT status, count(*) AS n FROM logs GROUP BY status")
@@ -150,7 +162,10 @@ def job_status_counts(t):
 @query("logs", """ SELECT count(*) AS total, count_if(status IN ('pending', 'running'))::BIGINT AS active, count_if(status = 'done')::BIGINT AS done,
   count_if(status = 'failed')::BIGINT AS failed FROM logs""")
 def active_count(t):
-    return t.logs.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("pending", "running")).alias("active"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return t.logs.agg(
+        F.count("*").alias("total"), F.count_if(F.col("status").isin("pending", "running")).alias("active"),
+        F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
+    )
 
 
 @query("logs", " SELECT id FROM logs WHERE status = 'running' AND started_at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 15 MINUTE")
@@ -165,7 +180,10 @@ def old_job_cleanup(t):
 
 @query("logs", " SELECT user_id, arg_max(status, (started_at, id)) AS status, max(started_at) AS at FROM logs GROUP BY user_id")
 def latest_per_key(t):
-    return tables.latest(t.logs.select("user_id", "started_at", "id", "status"), ["user_id"], ["started_at", "id"]).select("user_id", "status", F.col("started_at").alias("at"))
+    return (
+        tables.latest(t.logs.select("user_id", "started_at", "id", "status"), ["user_id"], ["started_at", "id"])
+        .select("user_id", "status", F.col("started_at").alias("at"))
+    )
 
 
 @query("logs", " SELECT id, started_at FROM logs ORDER BY started_at DESC, id LIMIT 20 OFFSET 40")
@@ -175,7 +193,12 @@ def pagination(t):
 
 @query("logs", " SELECT id, question FROM logs WHERE status = 'failed' AND contains(question, 'err') ORDER BY started_at DESC, id LIMIT 200")
 def recent_log_lines(t):
-    return tables.page(t.logs.filter((F.col("status") == "failed") & F.contains("question", F.lit("err"))), [F.desc("started_at"), F.col("id")], 200).select("id", "question")
+    return (
+        tables.page(
+            t.logs.filter((F.col("status") == "failed") & F.contains("question", F.lit("err"))), [F.desc("started_at"), F.col("id")], 200,
+        )
+        .select("id", "question")
+    )
 
 
 # ---- documents and relations
@@ -198,7 +221,11 @@ def group_members(t):
 
 @query("users", """ SELECT o_orderkey AS key_id, user_id FROM orders JOIN users ON o_custkey = user_id WHERE o_orderstatus <> 'F' AND kind = 'internal'""")
 def api_key_lookup(t):
-    return t.orders.filter(F.col("o_orderstatus") != "F").join(t.users.filter(F.col("kind") == "internal"), F.col("o_custkey") == F.col("user_id")).select(F.col("o_orderkey").alias("key_id"), "user_id")
+    return (
+        t.orders.filter(F.col("o_orderstatus") != "F")
+        .join(t.users.filter(F.col("kind") == "internal"), F.col("o_custkey") == F.col("user_id"))
+        .select(F.col("o_orderkey").alias("key_id"), "user_id")
+    )
 
 
 @query(None, """SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON
@@ -256,7 +283,13 @@ def unique_filenames(t):
 @query(None, """SELECT source, count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars, coalesce(max(doc_id), -1) AS last_id FROM documents GROUP BY
   source""")
 def source_stats(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max("doc_id"), F.lit(-1)).alias("last_id"))
+    return (
+        t.documents.groupBy("source")
+        .agg(
+            F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"),
+            F.coalesce(F.max("doc_id"), F.lit(-1)).alias("last_id"),
+        )
+    )
 
 
 @query(None, """SELECT r_name, n_name, count(*) AS n, round(avg(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region
@@ -270,7 +303,13 @@ def dimension_rollup(t):
   FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
 def pricing_summary(t):
     lines = t.lineitem.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+    return (
+        lines.groupBy("l_returnflag", "l_linestatus")
+        .agg(
+            F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+            F.count("*").alias("n"),
+        )
+    )
 
 
 # ---- text
@@ -337,8 +376,10 @@ def page_class_counts(t):
 
 
 _ADVICE = f""", p AS (SELECT *, doc_id // 10 AS page, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 50 THEN 'scan' WHEN NOT (contains(text, '|') AND contains(text, '---')) AND {_READABLE} / length(text) < 0.6 THEN 'garbled' ELSE 'text' END AS c FROM documents),
-a AS (SELECT source, count(*) AS total, count_if(c <> 'text') AS bad, count_if(c = 'scan') AS scans, count_if(c = 'garbled') AS garbled, min(page) FILTER (WHERE c <> 'text') AS f, max(page) FILTER (WHERE c <> 'text') AS l FROM p GROUP BY source)
-SELECT source, total, bad::BIGINT AS bad, CASE WHEN bad / total <= 0.1 THEN 'ok' WHEN garbled > scans AND garbled > 0 THEN 'encoding' WHEN f >= l - bad + 1 AND bad / total <= 0.5 THEN 'tail' WHEN bad / total <= 0.15 THEN 'pages' ELSE 'reconvert' END AS advice FROM a"""
+a AS (SELECT source, count(*) AS total, count_if(c <> 'text') AS bad, count_if(c = 'scan') AS scans, count_if(c = 'garbled') AS garbled,
+  min(page) FILTER (WHERE c <> 'text') AS f, max(page) FILTER (WHERE c <> 'text') AS l FROM p GROUP BY source)
+SELECT source, total, bad::BIGINT AS bad, CASE WHEN bad / total <= 0.1 THEN 'ok' WHEN garbled > scans AND garbled > 0 THEN 'encoding' WHEN f
+  >= l - bad + 1 AND bad / total <= 0.5 THEN 'tail' WHEN bad / total <= 0.15 THEN 'pages' ELSE 'reconvert' END AS advice FROM a"""
 
 
 @query(None, "WITH x AS (SELECT 1)" + _ADVICE)
@@ -349,7 +390,10 @@ def page_advice(t):
         F.count("*").alias("total"), F.count_if(bad).alias("bad"), F.count_if(F.col("c") == "scan").alias("scans"), F.count_if(F.col("c") == "garbled").alias("garbled"),
         F.min(F.when(bad, F.col("page"))).alias("first_bad"), F.max(F.when(bad, F.col("page"))).alias("last_bad"),
     )
-    return sums.select("source", "total", "bad", policy.page_advice(*[F.col(c) for c in ("total", "bad", "scans", "garbled", "first_bad", "last_bad")]).alias("advice"))
+    return sums.select(
+        "source", "total", "bad",
+        policy.page_advice(*[F.col(c) for c in ("total", "bad", "scans", "garbled", "first_bad", "last_bad")]).alias("advice"),
+    )
 
 
 def _hits(patterns: list[str]) -> str:
@@ -359,7 +403,9 @@ def _hits(patterns: list[str]) -> str:
 @query(None, f"""SELECT doc_id, round(({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0), 6) AS density, CASE WHEN
   ({_hits(policy.LEGAL_MARKERS)}) / greatest(length(text) / 1000, 1.0) >= 1 THEN 'legal' ELSE 'general' END AS domain FROM documents""")
 def domain_density(t):
-    return t.documents.select("doc_id", F.round(policy.marker_density(F.col("text")), 6).alias("density"), policy.document_domain(F.col("text")).alias("domain"))
+    return t.documents.select(
+        "doc_id", F.round(policy.marker_density(F.col("text")), 6).alias("density"), policy.document_domain(F.col("text")).alias("domain"),
+    )
 
 
 def _any(c: str, patterns: list[str]) -> str:
@@ -368,12 +414,17 @@ def _any(c: str, patterns: list[str]) -> str:
 
 @query(
     "messages",
-    f""" SELECT id, CASE WHEN {_any("lower(content)", policy.NARROW)} THEN 'narrow' WHEN {_any("lower(content)", policy.BROAD)} THEN 'broad' ELSE 'narrow' END AS breadth,
-  {_any("lower(content)", policy.COMPOUND)} AS compound, CASE WHEN {_any("lower(content)", policy.LEGAL_QUESTION)} THEN 'legal' ELSE 'general' END AS domain FROM messages""",
+    f""" SELECT id, CASE WHEN {_any("lower(content)", policy.NARROW)} THEN 'narrow' WHEN {_any("lower(content)", policy.BROAD)} THEN 'broad' ELSE
+  'narrow' END AS breadth,
+  {_any("lower(content)", policy.COMPOUND)} AS compound, CASE WHEN {_any("lower(content)", policy.LEGAL_QUESTION)} THEN 'legal' ELSE
+  'general' END AS domain FROM messages""",
 )
 def question_breadth(t):
     q = F.col("content")
-    return t.messages.select("id", policy.question_breadth(q).alias("breadth"), policy.needs_decomposition(q).alias("compound"), policy.question_domain(q).alias("domain"))
+    return t.messages.select(
+        "id", policy.question_breadth(q).alias("breadth"), policy.needs_decomposition(q).alias("compound"),
+        policy.question_domain(q).alias("domain"),
+    )
 
 
 @query("messages", f""" SELECT id, regexp_matches(content, '(?i){policy.EXACT_REFERENCE}') AS exact, CASE WHEN regexp_matches(content,
@@ -389,7 +440,10 @@ def not_found_rate(t):
 
 @query("messages", " SELECT id, sha256(trim(lower(content), ' ')) AS question_key, sha256('internal:[1, 3, 7]') AS scope_key FROM messages")
 def cache_keys(t):
-    return t.messages.select("id", policy.question_key(F.col("content")).alias("question_key"), policy.scope_key(F.lit("internal"), F.array(F.lit(7), F.lit(1), F.lit(3))).alias("scope_key"))
+    return t.messages.select(
+        "id", policy.question_key(F.col("content")).alias("question_key"),
+        policy.scope_key(F.lit("internal"), F.array(F.lit(7), F.lit(1), F.lit(3))).alias("scope_key"),
+    )
 
 
 @query(None, "SELECT event_id, greatest(0.0, least(10.0, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0))) AS score FROM events")
@@ -400,8 +454,10 @@ def judge_parse(t):
 
 @query(
     None,
-    """SELECT event_id, CASE WHEN v IS NULL OR NOT regexp_matches(v, '^\\s*[+-]?\\d+\\s*$') THEN 'type' WHEN v NOT IN ('1', '2', '5', '40', '77') AND event_type = 'view' THEN 'allowed'
-  WHEN v::DOUBLE < 3 THEN 'min' WHEN v::DOUBLE > 60 THEN 'max' END AS error FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS v FROM events)""",
+    """SELECT event_id, CASE WHEN v IS NULL OR NOT regexp_matches(v, '^\\s*[+-]?\\d+\\s*$') THEN 'type' WHEN v NOT IN ('1', '2', '5', '40', '77')
+  AND event_type = 'view' THEN 'allowed'
+  WHEN v::DOUBLE < 3 THEN 'min' WHEN v::DOUBLE > 60 THEN 'max' END AS error FROM (SELECT event_id, event_type, json_extract_string(props,
+  '$.k') AS v FROM events)""",
 )
 def config_cast_validate(t):
     v = F.get_json_object("props", "$.k")
@@ -418,10 +474,13 @@ def chunk_validation(t):
 # ---- chunks
 
 
-_ISLANDS = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-f AS (SELECT *, regexp_matches(line, '^\|.+\|\s*$') AS tab FROM l), c AS (SELECT *, coalesce((tab <> lag(tab) OVER w)::INT, 0) AS change FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+_ISLANDS = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM
+  documents),
+f AS (SELECT *, regexp_matches(line, '^\|.+\|\s*$') AS tab FROM l), c AS (SELECT *, coalesce((tab <> lag(tab) OVER w)::INT, 0) AS change
+  FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 i AS (SELECT *, sum(change) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM c),
-g AS (SELECT doc_id, island, CASE WHEN any_value(tab) THEN 'table' ELSE 'text' END AS kind, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS content FROM i GROUP BY ALL)
+g AS (SELECT doc_id, island, CASE WHEN any_value(tab) THEN 'table' ELSE 'text' END AS kind, regexp_replace(string_agg(line, chr(10) ORDER BY
+  pos), '^\s+|\s+$', '', 'g') AS content FROM i GROUP BY ALL)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1)::INTEGER AS segment, kind, content FROM g WHERE content <> ''"""
 
 
@@ -455,7 +514,11 @@ def merge_pages(t):
 @query(None, """SELECT source, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM (SELECT source, substr(text, start + 1, 550) AS chunk FROM
   (SELECT source, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY source""")
 def chunk_stats(t):
-    return chunking.stride_chunks(t.documents.select("source", "text"), 550, 200).groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    return (
+        chunking.stride_chunks(t.documents.select("source", "text"), 550, 200)
+        .groupBy("source")
+        .agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+    )
 
 
 @query()
@@ -465,12 +528,16 @@ def markdown_sections(t):
 
 # ---- ranking
 
-_BM25 = f"""{_TOKENS}, q AS (SELECT qid, {_STEM} AS token, count(*) AS times FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-zа-яё0-9]{{2,}}')) AS raw FROM benchmark) GROUP BY ALL),
-p AS (SELECT doc_id, token, count(*) AS tf, any_value(dl) AS dl FROM tok WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+_BM25 = f"""{_TOKENS}, q AS (SELECT qid, {_STEM} AS token, count(*) AS times FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text),
+  '[a-zа-яё0-9]{{2,}}')) AS raw FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, token, count(*) AS tf, any_value(dl) AS dl FROM tok WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT
+  token, count(*) AS df FROM p GROUP BY token),
 s AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[a-zа-яё0-9]{{2,}}'))) AS avgdl FROM documents),
-sc AS (SELECT qid, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN df USING (token) JOIN q USING (token), s GROUP BY ALL),
+sc AS (SELECT qid, doc_id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6)
+  AS score FROM p JOIN df USING (token) JOIN q USING (token), s GROUP BY ALL),
 sparse AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM sc)"""
-_OVERLAP = """, dq AS (SELECT DISTINCT qid, token FROM q), dsz AS (SELECT qid, count(*) AS size FROM dq GROUP BY qid), dsc AS (SELECT qid, doc_id, round(count(*) / any_value(size), 6) AS score FROM p JOIN dq USING (token) JOIN dsz USING (qid) GROUP BY ALL),
+_OVERLAP = """, dq AS (SELECT DISTINCT qid, token FROM q), dsz AS (SELECT qid, count(*) AS size FROM dq GROUP BY qid), dsc AS (SELECT qid, doc_id,
+  round(count(*) / any_value(size), 6) AS score FROM p JOIN dq USING (token) JOIN dsz USING (qid) GROUP BY ALL),
 dense AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank FROM dsc)"""
 _FUSED = _BM25 + _OVERLAP + """, fused AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.5 / (30 + rank) AS part FROM dense WHERE rank <= 25
   UNION ALL SELECT qid, doc_id, 0.5 / (30 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL),
@@ -495,7 +562,9 @@ def bm25_topk(t):
     return t.index.search(_asked(t).join(F.broadcast(first), "qid", "left_semi"), 10)
 
 
-_COSINE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS score, q.label AS ql, c.label AS cl FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id {0}),
+_COSINE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, c.vec_id,
+  round(list_cosine_similarity(q.v, c.v), 6) AS score, q.label AS ql, c.label AS cl FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <>
+  q.vec_id {0}),
 r AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)"""
 
 
@@ -513,7 +582,10 @@ def cosine_filtered(t):
 def label_hit_rate(t):
     found = vector.cosine_top_k(t.embeddings.filter(F.col("vec_id") % 20 == 0), t.embeddings, 10)
     labels = t.embeddings.select("vec_id", "label")
-    both = found.join(labels.select("vec_id", F.col("label").alias("cl")), "vec_id").join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid")
+    both = (
+        found.join(labels.select("vec_id", F.col("label").alias("cl")), "vec_id")
+        .join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid")
+    )
     first = F.min(F.when(F.col("cl") == F.col("ql"), F.col("rank")))
     per = both.groupBy("qid").agg(first.isNotNull().cast("int").alias("hit"), F.coalesce(1 / first, F.lit(0.0)).alias("mrr"))
     return per.agg(F.round(F.avg("hit"), 4).alias("hit_rate"), F.round(F.avg("mrr"), 4).alias("mrr"))
@@ -556,7 +628,8 @@ def source_rollup(t):
 
 
 @query("messages", r""" , s AS (SELECT *, list_transform(list_distinct(regexp_extract_all(content, '\[(\d{1,9})\]', 1)), lambda x: x::INT) AS named FROM messages)
-SELECT id, CASE WHEN len(list_intersect(named, [1, 2, 3])) = 0 THEN ['a', 'b', 'c'] ELSE list_filter(['a', 'b', 'c'], lambda x, i: list_contains(named, i)) END AS sources FROM s""")
+SELECT id, CASE WHEN len(list_intersect(named, [1, 2, 3])) = 0 THEN ['a', 'b', 'c'] ELSE list_filter(['a', 'b', 'c'], lambda x, i:
+  list_contains(named, i)) END AS sources FROM s""")
 def citation_filter(t):
     return t.messages.select("id", rank.cited(F.col("content"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("sources"))
 
@@ -589,7 +662,10 @@ def answer_context(t):
 @query()
 def rerank_lexical(t):
     found = answer.hybrid(t.index, _asked(t)).join(t.documents.select("doc_id", "text"), "doc_id").join(_asked(t), "qid")
-    return rank.rerank(found, "qid", F.round(vector.lexical_rerank(F.col("question"), F.col("text")), 6), 4, F.col("doc_id")).select("qid", "doc_id", "score", "rank")
+    return (
+        rank.rerank(found, "qid", F.round(vector.lexical_rerank(F.col("question"), F.col("text")), 6), 4, F.col("doc_id"))
+        .select("qid", "doc_id", "score", "rank")
+    )
 
 
 # ---- evaluation
@@ -601,7 +677,8 @@ _EVAL = f"WITH {_FUSED}, h AS (SELECT item_id AS qid, arg_min(d.source, d.doc_id
     None,
     _EVAL + """, k AS (SELECT c.*, source FROM cand c JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT h.qid, CASE WHEN any_value(source_hint) IS NOT NULL THEN coalesce(max(contains(lower(source), lower(source_hint))::INT), 0) END::INTEGER AS hit_rate,
-  CASE WHEN any_value(source_hint) IS NOT NULL THEN round(coalesce(1.0 / min(rank) FILTER (WHERE contains(lower(source), lower(source_hint))), 0.0), 4) END AS mrr, round(avg(score), 4) AS avg_similarity
+  CASE WHEN any_value(source_hint) IS NOT NULL THEN round(coalesce(1.0 / min(rank) FILTER (WHERE contains(lower(source), lower(source_hint))),
+  0.0), 4) END AS mrr, round(avg(score), 4) AS avg_similarity
 FROM h LEFT JOIN k ON h.qid = k.qid GROUP BY h.qid""",
 )
 def hit_rate_mrr(t):
@@ -612,16 +689,23 @@ def hit_rate_mrr(t):
 _SPACE = {"fetch_k": {"values": [10, 25]}, "top_k": {"values": [1, 4, 10]}, "rrf_k": {"min": 30, "max": 60, "step": 30}, "dense_weight": {"values": [0.5, 1.5]}, "sparse_weight": {"values": [1.0]}}
 _SWEEP = _EVAL + """, g AS (SELECT (((a.i * 3 + b.i) * 2 + c.i) * 2 + d.i)::INTEGER AS config_id, a.v AS fetch_k, b.v AS top_k, c.v AS rrf_k, d.v AS dw
   FROM (VALUES (0, 10), (1, 25)) a(i, v), (VALUES (0, 1), (1, 4), (2, 10)) b(i, v), (VALUES (0, 30), (1, 60)) c(i, v), (VALUES (0, 0.5), (1, 1.5)) d(i, v)),
-u AS (SELECT config_id, top_k, qid, doc_id, round(sum(part), 9) AS score FROM (SELECT config_id, top_k, qid, doc_id, dw::DOUBLE / (rrf_k + rank) AS part FROM dense, g WHERE rank <= fetch_k
+u AS (SELECT config_id, top_k, qid, doc_id, round(sum(part), 9) AS score FROM (SELECT config_id, top_k, qid, doc_id, dw::DOUBLE / (rrf_k +
+  rank) AS part FROM dense, g WHERE rank <= fetch_k
   UNION ALL SELECT config_id, top_k, qid, doc_id, 1.0::DOUBLE / (rrf_k + rank) FROM sparse, g WHERE rank <= fetch_k) GROUP BY ALL),
-t AS (SELECT *, row_number() OVER (PARTITION BY config_id, qid ORDER BY score DESC, doc_id) AS rank FROM u), hh AS (SELECT * FROM h WHERE source_hint IS NOT NULL),
-f AS (SELECT config_id, qid, min(rank) AS first FROM t JOIN documents USING (doc_id) JOIN hh USING (qid) WHERE rank <= top_k AND contains(lower(source), lower(source_hint)) GROUP BY ALL),
-m AS (SELECT g.config_id, round(avg((first IS NOT NULL)::INT), 3) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM g CROSS JOIN hh LEFT JOIN f ON f.config_id = g.config_id AND f.qid = hh.qid GROUP BY g.config_id)"""
+t AS (SELECT *, row_number() OVER (PARTITION BY config_id, qid ORDER BY score DESC, doc_id) AS rank FROM u), hh AS (SELECT * FROM h WHERE
+  source_hint IS NOT NULL),
+f AS (SELECT config_id, qid, min(rank) AS first FROM t JOIN documents USING (doc_id) JOIN hh USING (qid) WHERE rank <= top_k AND
+  contains(lower(source), lower(source_hint)) GROUP BY ALL),
+m AS (SELECT g.config_id, round(avg((first IS NOT NULL)::INT), 3) AS hit_rate, round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM g CROSS
+  JOIN hh LEFT JOIN f ON f.config_id = g.config_id AND f.qid = hh.qid GROUP BY g.config_id)"""
 
 
 def _swept(t: Tables) -> DataFrame:
     places = t.index.lists(_asked(t), 25).withColumnRenamed("doc_id", "key")
-    return evaluation.sweep(places, ["dense", "sparse"], evaluation.grid(t.spark, _SPACE), t.questions, t.documents.select(F.col("doc_id").alias("key"), "source"))
+    return evaluation.sweep(
+        places, ["dense", "sparse"], evaluation.grid(t.spark, _SPACE), t.questions,
+        t.documents.select(F.col("doc_id").alias("key"), "source"),
+    )
 
 
 @query(None, _SWEEP + " SELECT * FROM m")
@@ -631,14 +715,23 @@ def grid_sweep(t):
 
 @query(None, _SWEEP + " SELECT config_id, round((0.6 * hit_rate + 0.4 * mrr) / (0.6 + 0.4), 4) AS composite FROM m")
 def composite_rank(t):
-    return _swept(t).withColumn("faithfulness", F.lit(None).cast("double")).select("config_id", evaluation.composite({"hit_rate": 0.6, "mrr": 0.4, "faithfulness": 0.5, "relevancy": 0.0}).alias("composite"))
+    return (
+        _swept(t).withColumn("faithfulness", F.lit(None).cast("double"))
+        .select("config_id", evaluation.composite({"hit_rate": 0.6, "mrr": 0.4, "faithfulness": 0.5, "relevancy": 0.0}).alias("composite"))
+    )
 
 
 _RUNS = " , runs AS (SELECT date_trunc('day', started_at) AS day, question AS dataset, avg(latency) AS mrr, max(latency) AS faithfulness, min(latency) AS relevancy, count(*) AS n FROM logs GROUP BY ALL)"
 
 
 def _runs(t: Tables) -> DataFrame:
-    return t.logs.groupBy(F.date_trunc("day", "started_at").alias("day"), F.col("question").alias("dataset")).agg(F.avg("latency").alias("mrr"), F.max("latency").alias("faithfulness"), F.min("latency").alias("relevancy"), F.count("*").alias("n"))
+    return (
+        t.logs.groupBy(F.date_trunc("day", "started_at").alias("day"), F.col("question").alias("dataset"))
+        .agg(
+            F.avg("latency").alias("mrr"), F.max("latency").alias("faithfulness"), F.min("latency").alias("relevancy"),
+            F.count("*").alias("n"),
+        )
+    )
 
 
 @query("logs", _RUNS + """ SELECT dataset, count(*) AS n, round(avg(mrr), 3) AS mrr, round(avg(faithfulness), 1) AS faithfulness, round(avg(relevancy), 1) AS relevancy
@@ -654,9 +747,11 @@ def multi_run_average(t):
 
 @query(
     "logs",
-    _RUNS + """, v AS (SELECT dataset AS metric, avg(mrr) FILTER (WHERE day >= TIMESTAMP '2024-01-16') AS c, avg(mrr) FILTER (WHERE day < TIMESTAMP '2024-01-16') AS b FROM runs GROUP BY dataset),
+    _RUNS + """, v AS (SELECT dataset AS metric, avg(mrr) FILTER (WHERE day >= TIMESTAMP '2024-01-16') AS c, avg(mrr) FILTER (WHERE day < TIMESTAMP
+  '2024-01-16') AS b FROM runs GROUP BY dataset),
 t AS (SELECT * FROM (VALUES ('click', -0.05::DOUBLE), ('view', -1.0::DOUBLE), ('purchase', 100.0::DOUBLE), ('absent', -1.0::DOUBLE)) t(metric, threshold))
-SELECT metric, round(b, 4) AS baseline, round(c, 4) AS current, round(c - b, 4) AS delta, threshold, coalesce(c - b < threshold, false) AS failed FROM t LEFT JOIN v USING (metric)""",
+SELECT metric, round(b, 4) AS baseline, round(c, 4) AS current, round(c - b, 4) AS delta, threshold, coalesce(c - b < threshold, false) AS
+  failed FROM t LEFT JOIN v USING (metric)""",
 )
 def regression_check(t):
     side = lambda late: _runs(t).filter((F.col("day") >= F.lit("2024-01-16").cast("timestamp")) == late).groupBy(F.col("dataset").alias("metric")).agg(F.avg("mrr").alias("value"))
@@ -723,8 +818,10 @@ def rate_limit_windows(t):
 
 @query(
     None,
-    """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
+    """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM
+  events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS
+  "end", count(*) AS n FROM s GROUP BY user_id, s""",
 )
 def session_windows(t):
     return streams.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours")
@@ -811,7 +908,10 @@ def latency_ms(t):
 @query(None, """SELECT doc_id, list(sha256(chunk)[:16] ORDER BY i) AS hashes FROM (SELECT doc_id, start // 350 AS i, substr(text, start + 1, 550) AS chunk
   FROM (SELECT doc_id, text, unnest(range(0, length(text), 350)) AS start FROM documents)) GROUP BY doc_id""")
 def nested_chunks(t):
-    chunks = chunking.stride_chunks(t.documents.select("doc_id", "text"), 550, 200).select("doc_id", F.struct("chunk_index", text.content_hash(F.col("chunk")).alias("hash")).alias("c"))
+    chunks = (
+        chunking.stride_chunks(t.documents.select("doc_id", "text"), 550, 200)
+        .select("doc_id", F.struct("chunk_index", text.content_hash(F.col("chunk")).alias("hash")).alias("c"))
+    )
     return chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["hash"]).alias("hashes"))
 
 
@@ -869,19 +969,24 @@ def upload_conflicts(t):
 
 @query(
     None,
-    """SELECT user_id, list_sort(list_intersect(k, ['click', 'error', 'other'])) AS expensive, list_sort(list_filter(['click', 'view', 'other'], lambda x: NOT list_contains(k, x))) AS missing, list_sort(k) AS keys
+    """SELECT user_id, list_sort(list_intersect(k, ['click', 'error', 'other'])) AS expensive, list_sort(list_filter(['click', 'view', 'other'],
+  lambda x: NOT list_contains(k, x))) AS missing, list_sort(k) AS keys
 FROM (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY user_id)""",
 )
 def config_keys(t):
     known = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
     want = lambda *v: F.array(*map(F.lit, v))
-    return known.select("user_id", F.array_sort(F.array_intersect("k", want("click", "error", "other"))).alias("expensive"), F.array_sort(F.array_except(want("click", "view", "other"), F.col("k"))).alias("missing"), F.array_sort("k").alias("keys"))
+    return known.select(
+        "user_id", F.array_sort(F.array_intersect("k", want("click", "error", "other"))).alias("expensive"),
+        F.array_sort(F.array_except(want("click", "view", "other"), F.col("k"))).alias("missing"), F.array_sort("k").alias("keys"),
+    )
 
 
 @query(
     None,
     """WITH p(param, key) AS (VALUES ('view', 'retrieval.view'), ('click', 'retrieval.click'), ('error', 'retrieval.error'))
-SELECT key, event_type AS param, max(value)::VARCHAR IS NOT NULL AS applied, key IS NULL AS failed FROM (SELECT DISTINCT event_type, 1 AS value FROM events) e LEFT JOIN p ON event_type = param GROUP BY ALL""",
+SELECT key, event_type AS param, max(value)::VARCHAR IS NOT NULL AS applied, key IS NULL AS failed FROM (SELECT DISTINCT event_type, 1 AS
+  value FROM events) e LEFT JOIN p ON event_type = param GROUP BY ALL""",
 )
 def apply_run_config(t):
     names = t.spark.createDataFrame([(x, f"retrieval.{x}") for x in ("view", "click", "error")], "param string, key string")
@@ -894,7 +999,13 @@ def apply_run_config(t):
   = 'failed')::BIGINT AS failures FROM logs GROUP BY user_id""")
 def job_transitions(t):
     last = F.max_by("status", F.struct("started_at", "id"))
-    return t.logs.groupBy("user_id").agg(last.alias("status"), F.min(F.when(F.col("status") == "running", F.col("started_at"))).alias("first_run"), F.count_if(F.col("status") == "failed").alias("failures"))
+    return (
+        t.logs.groupBy("user_id")
+        .agg(
+            last.alias("status"), F.min(F.when(F.col("status") == "running", F.col("started_at"))).alias("first_run"),
+            F.count_if(F.col("status") == "failed").alias("failures"),
+        )
+    )
 
 
 @query("messages", " SELECT DISTINCT conv_id FROM messages WHERE contains(lower(content), 'the ') OR contains(lower(content), 'de ')")

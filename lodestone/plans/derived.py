@@ -32,7 +32,10 @@ class Tables:
     @cached_property
     def users(self) -> DataFrame:
         u = F.col("c_custkey")
-        return self.customer.select(u.alias("user_id"), F.when(u % 3 == 0, "client").otherwise("internal").alias("kind"), F.when(u == 1, "admin").otherwise("user").alias("role"), F.col("c_name").alias("name"))
+        return self.customer.select(
+            u.alias("user_id"), F.when(u % 3 == 0, "client").otherwise("internal").alias("kind"),
+            F.when(u == 1, "admin").otherwise("user").alias("role"), F.col("c_name").alias("name"),
+        )
 
     @cached_property
     def memberships(self) -> DataFrame:
@@ -44,8 +47,15 @@ class Tables:
 
     @cached_property
     def logs(self) -> DataFrame:
-        status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "running").otherwise("pending")
-        return self.events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("question"), F.col("value").alias("latency"), status.alias("status"), F.col("ts").cast("timestamp").alias("started_at"), "props")
+        status = (
+            F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done")
+            .when(F.col("event_type") == "click", "running")
+            .otherwise("pending")
+        )
+        return self.events.select(
+            F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("question"), F.col("value").alias("latency"),
+            status.alias("status"), F.col("ts").cast("timestamp").alias("started_at"), "props",
+        )
 
     @cached_property
     def index(self) -> bm25.Index:
@@ -90,13 +100,15 @@ def phrase_join(index: bm25.Index, docs: DataFrame, probes: DataFrame) -> DataFr
 
 #: The same tables for DuckDB, as common table expressions.
 SQL = {
-    "docs": """docs AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'internal_public' WHEN 1 THEN 'internal_group' WHEN 2 THEN 'internal_private' ELSE 'client_private' END AS visibility,
+    "docs": """docs AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'internal_public' WHEN 1 THEN 'internal_group' WHEN 2 THEN 'internal_private' ELSE
+  'client_private' END AS visibility,
   CASE WHEN doc_id % 4 >= 2 THEN doc_id % 10 END AS owner_id, CASE WHEN doc_id % 4 = 1 THEN doc_id % 5 END AS group_id FROM documents)""",
     "users": "users AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'client' ELSE 'internal' END AS kind, CASE WHEN c_custkey = 1 THEN 'admin' ELSE 'user' END AS role, c_name AS name FROM customer)",
     "memberships": "memberships AS (SELECT c_custkey AS user_id, c_custkey % 5 AS group_id FROM customer)",
     "messages": "messages AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text AS content FROM conversations)",
     "logs": """logs AS (SELECT event_id AS id, user_id, event_type AS question, value AS latency,
-  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'running' ELSE 'pending' END AS status, ts AS started_at, props FROM events)""",
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'running' ELSE 'pending' END AS status, ts AS
+  started_at, props FROM events)""",
     "questions": """questions AS (SELECT item_id AS qid, any_value(b.text) AS question, arg_min(d.source, d.doc_id) AS source_hint
   FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)""",
 }

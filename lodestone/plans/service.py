@@ -23,8 +23,10 @@ def domain_filter(t):
     return docs.filter(acl.in_domain(acl.visible("internal", 2, [1, 2]), "legal")).select("doc_id")
 
 
-_QUESTIONS = """WITH q AS (SELECT item_id AS id, text AS question, CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 40) END AS expected_answer, 'note ' || item_id AS notes,
-  CASE WHEN item_id % 2 = 0 THEN 'main' ELSE 'extra' END AS dataset, CASE WHEN item_id % 5 > 0 THEN ['t' || (item_id % 5), 'all'] END AS tags, item_id % 4 <> 0 AS is_active FROM benchmark)"""
+_QUESTIONS = """WITH q AS (SELECT item_id AS id, text AS question, CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 40) END AS expected_answer, 'note ' ||
+  item_id AS notes,
+  CASE WHEN item_id % 2 = 0 THEN 'main' ELSE 'extra' END AS dataset, CASE WHEN item_id % 5 > 0 THEN ['t' || (item_id % 5), 'all'] END AS
+  tags, item_id % 4 <> 0 AS is_active FROM benchmark)"""
 
 
 def _bank(t):
@@ -65,7 +67,8 @@ def filename_picker(t):
 # ---- keys, roles, configuration
 
 
-@query("docs", """ SELECT doc_id, CASE WHEN owner_id IS NOT NULL THEN 'uploads/users/' || owner_id WHEN group_id IS NOT NULL THEN 'uploads/groups/' || group_id ELSE 'uploads/public' END
+@query("docs", """ SELECT doc_id, CASE WHEN owner_id IS NOT NULL THEN 'uploads/users/' || owner_id WHEN group_id IS NOT NULL THEN 'uploads/groups/' || group_id
+  ELSE 'uploads/public' END
   || '/' || doc_id || '_' || source || '.txt' AS storage_key FROM docs""")
 def storage_keys(t):
     name = F.concat(F.lit("a/b/"), "source", F.lit(".txt"))
@@ -95,8 +98,10 @@ def api_key_hashes(t):
 
 @query(
     None,
-    """SELECT user_id, min(ts) FILTER (WHERE event_type = 'purchase') AS created_at, max(ts) FILTER (WHERE event_type = 'click') AS last_used_at, max(ts) FILTER (WHERE event_type = 'error') AS revoked_at,
-  count_if(event_type = 'purchase') > 0 AND coalesce(max(ts) FILTER (WHERE event_type = 'purchase') > max(ts) FILTER (WHERE event_type = 'error'), count_if(event_type = 'error') = 0) AS is_active FROM events GROUP BY user_id""",
+    """SELECT user_id, min(ts) FILTER (WHERE event_type = 'purchase') AS created_at, max(ts) FILTER (WHERE event_type = 'click') AS last_used_at,
+  max(ts) FILTER (WHERE event_type = 'error') AS revoked_at,
+  count_if(event_type = 'purchase') > 0 AND coalesce(max(ts) FILTER (WHERE event_type = 'purchase') > max(ts) FILTER (WHERE event_type =
+  'error'), count_if(event_type = 'error') = 0) AS is_active FROM events GROUP BY user_id""",
 )
 def api_key_lifecycle(t):
     kind = F.when(F.col("event_type") == "purchase", "create").when(F.col("event_type") == "click", "use").when(F.col("event_type") == "error", "revoke")
@@ -109,7 +114,8 @@ def api_key_lifecycle(t):
 @query(
     "docs",
     """, c AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
-SELECT doc_id, CASE WHEN q = 0 THEN 'flagged' ELSE source END AS source, CASE WHEN q = 1 THEN 'checked' ELSE lang END AS lang FROM docs LEFT JOIN c USING (doc_id)""",
+SELECT doc_id, CASE WHEN q = 0 THEN 'flagged' ELSE source END AS source, CASE WHEN q = 1 THEN 'checked' ELSE lang END AS lang FROM docs LEFT
+  JOIN c USING (doc_id)""",
 )
 def column_updates(t):
     """Labels set the source of bad documents and the language of good ones; what a change leaves null stays."""
@@ -154,15 +160,21 @@ def next_chunk_index(t):
 
 @query(None, """SELECT doc_id, source FROM documents UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")
 def append_missing(t):
-    return tables.append_new(t.documents.select("doc_id", "source"), t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("source")), "doc_id")
+    return tables.append_new(
+        t.documents.select("doc_id", "source"), t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit("vector").alias("source")),
+        "doc_id",
+    )
 
 
 # ---- retrieval with vectors
 
 
-_VECTOR = """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT q.vec_id AS qid, c.vec_id AS doc_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q JOIN e c
-  ON q.vec_id IN (SELECT item_id FROM benchmark) AND c.vec_id <> q.vec_id), vd AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM cs),
-vf AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.5 / (30 + rank) AS part FROM vd WHERE rank <= 25 UNION ALL SELECT qid, doc_id, 0.5 / (30 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL),
+_VECTOR = """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cs AS (SELECT q.vec_id AS qid, c.vec_id AS doc_id,
+  round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q JOIN e c
+  ON q.vec_id IN (SELECT item_id FROM benchmark) AND c.vec_id <> q.vec_id), vd AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid
+  ORDER BY score DESC, doc_id) AS rank FROM cs),
+vf AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, 1.5 / (30 + rank) AS part FROM vd WHERE rank <= 25 UNION
+  ALL SELECT qid, doc_id, 0.5 / (30 + rank) FROM sparse WHERE rank <= 25) GROUP BY ALL),
 vo AS (SELECT f.*, row_number() OVER (PARTITION BY qid, sha256(text)[:16] ORDER BY score DESC, doc_id) AS nth FROM vf f JOIN documents USING (doc_id))"""
 
 
@@ -195,7 +207,8 @@ def breadth_cut(t):
 
 @query(
     None,
-    f"""WITH {_FUSED} SELECT qid, source, list(doc_id ORDER BY rank) FILTER (WHERE rank <= 25) AS articles, bool_or(doc_id % 7 = 0) AS edited, max(doc_id) AS edited_at, max(score) AS max_score
+    f"""WITH {_FUSED} SELECT qid, source, list(doc_id ORDER BY rank) FILTER (WHERE rank <= 25) AS articles, bool_or(doc_id % 7 = 0) AS edited,
+  max(doc_id) AS edited_at, max(score) AS max_score
 FROM cand JOIN documents USING (doc_id) WHERE rank <= 25 GROUP BY qid, source""",
 )
 def source_flags(t):
@@ -222,11 +235,14 @@ def two_phase_sweep(t):
 
 @query(
     None,
-    _EVAL + """, pr AS (SELECT i::INTEGER AS param_id, * FROM (VALUES (0, 1, 0.0, 0.0), (1, 4, 0.0, 0.5), (2, 4, 0.02, 0.0), (3, 10, 0.0, 0.9)) v(i, top_k, lo, gap)),
-x AS (SELECT c.*, source, max(score) OVER (PARTITION BY qid) AS best FROM cand c JOIN documents USING (doc_id)), y AS (SELECT param_id, x.qid, source, row_number() OVER (PARTITION BY param_id, x.qid ORDER BY score DESC, doc_id) AS rank, top_k
+    _EVAL + """, pr AS (SELECT i::INTEGER AS param_id, * FROM (VALUES (0, 1, 0.0, 0.0), (1, 4, 0.0, 0.5), (2, 4, 0.02, 0.0), (3, 10, 0.0, 0.9)) v(i, top_k,
+  lo, gap)),
+x AS (SELECT c.*, source, max(score) OVER (PARTITION BY qid) AS best FROM cand c JOIN documents USING (doc_id)), y AS (SELECT param_id,
+  x.qid, source, row_number() OVER (PARTITION BY param_id, x.qid ORDER BY score DESC, doc_id) AS rank, top_k
   FROM x, pr WHERE score >= lo AND (best <= 0 OR score >= best * gap)), hh AS (SELECT * FROM h WHERE source_hint IS NOT NULL),
 f AS (SELECT param_id, qid, min(rank) AS first FROM y JOIN hh USING (qid) WHERE rank <= top_k AND contains(lower(source), lower(source_hint)) GROUP BY ALL)
-SELECT pr.param_id, round(count(first) / (SELECT count(*) FROM hh), 4) AS hit_rate, round(coalesce(sum(1.0 / first), 0) / (SELECT count(*) FROM hh), 4) AS mrr FROM pr LEFT JOIN f USING (param_id) GROUP BY pr.param_id""",
+SELECT pr.param_id, round(count(first) / (SELECT count(*) FROM hh), 4) AS hit_rate, round(coalesce(sum(1.0 / first), 0) / (SELECT count(*)
+  FROM hh), 4) AS mrr FROM pr LEFT JOIN f USING (param_id) GROUP BY pr.param_id""",
 )
 def rerank_search(t):
     settings = [(0, 1, 0.0, 0.0), (1, 4, 0.0, 0.5), (2, 4, 0.02, 0.0), (3, 10, 0.0, 0.9)]
@@ -254,12 +270,19 @@ _PAGES = "p AS (SELECT source, doc_id % 50 AS page, sum(length(text)) AS chars,
 @query(
     None,
     f"""WITH {_PAGES}, s AS (SELECT source, count(*) AS n, count_if(garbled) AS g, count_if(tab) AS t FROM p GROUP BY source)
-SELECT source, greatest(50 - n, 0)::BIGINT AS n_missing, greatest(g - t, 0)::BIGINT AS n_garbled, (greatest(50 - n, 0) + greatest(g - t, 0)) / 50.0::DOUBLE AS bad_ratio,
+SELECT source, greatest(50 - n, 0)::BIGINT AS n_missing, greatest(g - t, 0)::BIGINT AS n_garbled, (greatest(50 - n, 0) + greatest(g - t, 0))
+  / 50.0::DOUBLE AS bad_ratio,
   (greatest(50 - n, 0) + greatest(g - t, 0)) / 50.0 > 0.3 AS is_low FROM s""",
 )
 def extraction_quality(t):
     text_ = F.col("text")
-    pages = t.documents.groupBy("source", (F.col("doc_id") % 50).alias("page")).agg(F.bool_or(F.length(text_) < 40).alias("garbled"), F.bool_or(F.contains(text_, F.lit("|")) & F.contains(text_, F.lit("---"))).alias("tab"))
+    pages = (
+        t.documents.groupBy("source", (F.col("doc_id") % 50).alias("page"))
+        .agg(
+            F.bool_or(F.length(text_) < 40).alias("garbled"),
+            F.bool_or(F.contains(text_, F.lit("|")) & F.contains(text_, F.lit("---"))).alias("tab"),
+        )
+    )
     sums = pages.groupBy("source").agg(F.count("*").alias("n"), F.count_if("garbled").alias("g"), F.count_if("tab").alias("t"))
     return sums.select("source", policy.extraction_quality(F.lit(50).cast("long"), F.col("n"), F.col("g"), F.col("t")).alias("q")).select("source", "q.*")
 
@@ -268,10 +291,16 @@ def extraction_quality(t):
   SELECT count_if(scans = 0 AND bad = 0)::BIGINT AS ok, count_if(scans > 0)::BIGINT AS with_scans, count_if(bad > 0)::BIGINT AS garbled,
   count(*) AS files, sum(chars)::BIGINT AS chars FROM f""")
 def folder_summary(t):
-    pages = t.documents.groupBy("source", (F.col("doc_id") % 50).alias("page")).agg(F.sum(F.length("text")).alias("chars"), F.bool_or(F.length("text") < 40).alias("garbled"))
+    pages = (
+        t.documents.groupBy("source", (F.col("doc_id") % 50).alias("page"))
+        .agg(F.sum(F.length("text")).alias("chars"), F.bool_or(F.length("text") < 40).alias("garbled"))
+    )
     files = pages.groupBy("source").agg(F.count_if(F.col("chars") < 500).alias("scans"), F.count_if("garbled").alias("bad"), F.sum("chars").alias("chars"))
     ok = F.count_if((F.col("scans") == 0) & (F.col("bad") == 0))
-    return files.agg(ok.alias("ok"), F.count_if(F.col("scans") > 0).alias("with_scans"), F.count_if(F.col("bad") > 0).alias("garbled"), F.count("*").alias("files"), F.sum("chars").alias("chars"))
+    return files.agg(
+        ok.alias("ok"), F.count_if(F.col("scans") > 0).alias("with_scans"), F.count_if(F.col("bad") > 0).alias("garbled"),
+        F.count("*").alias("files"), F.sum("chars").alias("chars"),
+    )
 
 
 @query(None, """SELECT round(100.0 * count_if(length(text) >= 40) / count(*), 1) AS ok_percent, round(avg(length(text)), 1) AS mean_chars,
@@ -279,7 +308,10 @@ def folder_summary(t):
 def dry_run_summary(t):
     n, size = F.nullif(F.count("*"), F.lit(0)), F.length("text")
     share = lambda c: F.round(100.0 * F.count_if(c) / n, 1)
-    return t.documents.agg(share(size >= 40).alias("ok_percent"), F.round(F.avg(size), 1).alias("mean_chars"), F.sum(F.ceil(size / 1500.0)).alias("chunks"), share(size < 40).alias("bad_percent"))
+    return t.documents.agg(
+        share(size >= 40).alias("ok_percent"), F.round(F.avg(size), 1).alias("mean_chars"), F.sum(F.ceil(size / 1500.0)).alias("chunks"),
+        share(size < 40).alias("bad_percent"),
+    )
 
 
 _BLOCKS = "b AS (SELECT user_id AS path, event_id % 4 AS page, event_id % 7 AS x, value AS y, event_type || ' ' || event_id AS text FROM events)"
@@ -292,7 +324,10 @@ def page_texts(t):
 
 def _placed(t):
     i = F.col("event_id")
-    return t.events.select(F.col("user_id").alias("path"), (i % 4).alias("page"), (i % 7).alias("x"), F.col("value").alias("y"), F.concat("event_type", F.lit(" "), i.cast("string")).alias("text"))
+    return t.events.select(
+        F.col("user_id").alias("path"), (i % 4).alias("page"), (i % 7).alias("x"), F.col("value").alias("y"),
+        F.concat("event_type", F.lit(" "), i.cast("string")).alias("text"),
+    )
 
 
 @query(
@@ -320,7 +355,8 @@ def question_import(t):
 
 
 @query("messages", """, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS nth FROM messages)
-SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 200), chr(10) ORDER BY id) AS transcript FROM r WHERE nth > 4 GROUP BY conv_id""")
+SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(content, 1, 200), chr(10) ORDER BY id) AS transcript FROM r WHERE
+  nth > 4 GROUP BY conv_id""")
 def summary_input(t):
     """What a rolling summary is made from: the turns before the last four, for a model's port."""
     return context.transcript(context.older_turns(t.messages, "conv_id", "id", 4), "conv_id")
@@ -328,7 +364,8 @@ def summary_input(t):
 
 @query(
     None,
-    """WITH e AS (SELECT user_id, min(ts) AS written FROM events GROUP BY user_id), m AS (SELECT user_id, ts, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR AS late FROM events),
+    """WITH e AS (SELECT user_id, min(ts) AS written FROM events GROUP BY user_id), m AS (SELECT user_id, ts, ts >= lag(ts) OVER (PARTITION BY
+  user_id ORDER BY ts) + INTERVAL 12 HOUR AS late FROM events),
 d AS (SELECT *, max(coalesce(late, false)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS dead FROM m)
 SELECT user_id, count(*) AS hits, max(ts) + INTERVAL 12 HOUR AS expires_at FROM d WHERE dead = 0 GROUP BY user_id""",
 )
@@ -353,7 +390,8 @@ def condensed_questions(t):
     return t.messages.select("id", policy.condensed(F.col("content"), F.expr("left(content, turn)")).alias("question"))
 
 
-@query("messages", """, l AS (SELECT id, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM messages)
+@query("messages", """, l AS (SELECT id, content, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM
+  messages)
 SELECT id, CASE WHEN len(lines) < 2 THEN [content] ELSE lines[1:4] END AS parts FROM l""")
 def sub_questions(t):
     return t.messages.select("id", policy.sub_questions(F.col("content"), F.col("content")).alias("parts"))
@@ -380,7 +418,8 @@ def articles_and_dates(t):
 
 @query(
     "messages",
-    """ SELECT id, 'Answer.' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'At length.' ELSE 'In short.' END || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Cite articles.' ELSE chr(10) END AS prompt
+    """ SELECT id, 'Answer.' || chr(10) || CASE WHEN turn % 2 = 0 THEN 'At length.' ELSE 'In short.' END || CASE WHEN conv_id % 3 = 0 THEN chr(10)
+  || 'Cite articles.' ELSE chr(10) END AS prompt
 FROM messages""",
 )
 def system_prompts(t):

@@ -19,7 +19,12 @@ class Database:
         source = {"url": next(self._turn), **self.options}
         reader = self.spark.read.format("jdbc").options(**source).option("dbtable", table)
         if key is not None:
-            ends = self.spark.read.format("jdbc").options(**source).option("query", f'SELECT MIN("{key}") AS lo, MAX("{key}") AS hi FROM {table}').load().first()
+            ends = (
+                self.spark.read.format("jdbc").options(**source)
+                .option("query", f'SELECT MIN("{key}") AS lo, MAX("{key}") AS hi FROM {table}')
+                .load()
+                .first()
+            )
             if ends[0] is not None:
                 reader = reader.options(partitionColumn=key, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(parts))
         return reader.load()

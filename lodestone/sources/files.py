@@ -53,7 +53,11 @@ def not_indexed(files: DataFrame, known: DataFrame) -> DataFrame:
 def registry_entries(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """A registry row for each file of ``chunks(filename, content)``."""
     sums = chunks.groupBy("filename").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
-    return files.select("filename", F.col("fingerprint").alias("hash")).join(sums, "filename").withColumn("indexed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    return (
+        files.select("filename", F.col("fingerprint").alias("hash"))
+        .join(sums, "filename")
+        .withColumn("indexed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    )
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -183,7 +187,10 @@ def parse(files: DataFrame, ports: dict[str, Port] | None = None) -> DataFrame:
         return pd.DataFrame(rows, columns=["text", "error"])
 
     plain = F.col("extension").isin(".txt", ".md") & ~F.col("extension").isin(*readers)
-    parsed = files.withColumn("_p", F.when(plain, F.struct(F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(read("content", "extension")))
+    parsed = files.withColumn(
+        "_p",
+        F.when(plain, F.struct(F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(read("content", "extension")),
+    )
     text = F.when(F.col("extension") == ".md", strip_markdown(F.col("_p.text"))).otherwise(F.col("_p.text"))
     short = F.coalesce(F.length(strip(text)), F.lit(0)) < LEAST_CHARS
     error = F.coalesce(F.col("_p.error"), F.when(short, "too_short"))
@@ -206,4 +213,8 @@ def model_list(spark: SparkSession, body: str, part: str = "") -> DataFrame:
     schema = "data array<struct<id string, name string, pricing struct<prompt string, completion string>>>"
     rows = spark.createDataFrame([(body,)], "body string").select(F.explode(F.from_json("body", schema)["data"]).alias("m"))
     price = lambda f: F.round(F.col(f"m.pricing.{f}").try_cast("double") * 1e6, 6)
-    return rows.filter(F.contains(F.lower("m.id"), F.lit(part.lower()))).select("m.id", "m.name", price("prompt").alias("prompt_price"), price("completion").alias("completion_price")).orderBy(F.lower("name"))
+    return (
+        rows.filter(F.contains(F.lower("m.id"), F.lit(part.lower())))
+        .select("m.id", "m.name", price("prompt").alias("prompt_price"), price("completion").alias("completion_price"))
+        .orderBy(F.lower("name"))
+    )

@@ -27,7 +27,10 @@ def assembled(texts: DataFrame, tables: DataFrame, recognised: DataFrame | None
         seen = recognised.select("path", "page", F.col("text").alias("_seen"))
         both = texts.join(seen, ["path", "page"], "full_outer")
         short = F.length(F.trim(F.coalesce("text", F.lit("")))) < least_chars
-        texts = both.select("path", "page", F.when(short & F.col("_seen").isNotNull(), better_text(F.coalesce("text", F.lit("")), F.col("_seen"))).otherwise(F.col("text")).alias("text"))
+        texts = both.select(
+            "path", "page",
+            F.when(short & F.col("_seen").isNotNull(), better_text(F.coalesce("text", F.lit("")), F.col("_seen"))).otherwise(F.col("text")).alias("text"),
+        )
     plain = texts.join(tables.select("path", "page").distinct(), ["path", "page"], "left_anti").filter(F.length(F.trim("text")) > 0)
     grids = tables.filter(F.size("cells") > 0).select("path", "page", F.lit("table").alias("content_type"), markdown_table(F.col("cells")).alias("text"))
     return plain.select("path", "page", F.lit("text").alias("content_type"), "text").unionByName(grids)

@@ -66,7 +66,10 @@ class Collection:
     def upsert(self, chunks: DataFrame, embed: Column) -> None:
         """Adds ``chunks(document_id, content, doc_domain, visibility, ...)``; what is there is not read."""
         size = F.size("vector")
-        checked = F.when(size == self.dims(), F.col("vector")).otherwise(F.raise_error(F.lit("a vector has another length than the collection")).cast("array<float>"))
+        checked = (
+            F.when(size == self.dims(), F.col("vector"))
+            .otherwise(F.raise_error(F.lit("a vector has another length than the collection")).cast("array<float>"))
+        )
         out = chunks.withColumn("content_hash", content_hash(F.col("content"))).withColumn("vector", embed).withColumn("vector", checked)
         out.write.mode("append").partitionBy("doc_domain", "visibility").parquet(f"{self.path}/chunks")
 

@@ -55,7 +55,10 @@ def current_config(changes: DataFrame) -> DataFrame:
 def gauges(events: DataFrame, name: str, value: str, ts: str, seconds: int = 30, late: str | None = None) -> DataFrame:
     """``name, start, n, last, mean``: one sample of each gauge per window, its last value by time (the larger one of a tie)."""
     df = events.withWatermark(ts, late) if late else events
-    rows = df.groupBy(name, F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n"), F.max(F.struct(ts, value)).alias("last"), F.avg(value).alias("mean"))
+    rows = (
+        df.groupBy(name, F.window(ts, f"{seconds} seconds").alias("w"))
+        .agg(F.count("*").alias("n"), F.max(F.struct(ts, value)).alias("last"), F.avg(value).alias("mean"))
+    )
     return rows.select(name, F.col("w.start").alias("start"), "n", F.col(f"last.{value}").alias("last"), "mean")
 
 
@@ -188,7 +191,10 @@ def refetched(changes: DataFrame, table: DataFrame) -> DataFrame:
 
 def out_of_step(applied: DataFrame, table: DataFrame) -> DataFrame:
     """``key, value``: what a full resync has to apply, where the applied value is not the table's, as JSON; a null value takes the key away."""
-    both = applied.select("key", F.col("value").alias("_have"), F.lit(True).alias("_known")).join(table.select("key", "value", F.lit(True).alias("_there")), "key", "full_outer")
+    both = (
+        applied.select("key", F.col("value").alias("_have"), F.lit(True).alias("_known"))
+        .join(table.select("key", "value", F.lit(True).alias("_there")), "key", "full_outer")
+    )
     same = F.col("_known").isNotNull() & F.col("_there").isNotNull() & same_config(F.col("_have"), F.col("value"))
     return both.filter(~same).select("key", "value")
 
@@ -229,7 +235,10 @@ class LiveConfig:
 def sweep_progress(done: DataFrame, total: int) -> DataFrame:
     """``finished, percent, best, done`` of a sweep, a row that a listener reads until ``done``; works on a stream in complete mode as well."""
     n = F.count("*")
-    return done.agg(n.alias("finished"), F.round(100.0 * n / max(1, total), 1).alias("percent"), F.max("composite").alias("best")).withColumn("done", F.col("finished") >= total)
+    return (
+        done.agg(n.alias("finished"), F.round(100.0 * n / max(1, total), 1).alias("percent"), F.max("composite").alias("best"))
+        .withColumn("done", F.col("finished") >= total)
+    )
 
 
 def renewed(entries: DataFrame, hits: DataFrame, key: str, written: str, at: str, ttl_seconds: int) -> DataFrame:
