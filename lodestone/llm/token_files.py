@@ -79,7 +79,8 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
     if ids is not None:
         rows = rows.filter(F.col("doc_id").isin(ids))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    # a row of two numbers for each range that was written: their number is a parameter of the write, not of the data
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
