@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import extraction, licenses, mtree, quality
+from lodestone.llm import extraction, jaccard, licenses, mtree, quality
 
 
 def test_a_group_of_copies_leaves_one_text(spark, sf_dir):
@@ -85,6 +85,27 @@ def test_near_dedup_of_chains_and_threshold(spark):
     assert sorted(kept) == sorted(smallest_of_each(texts, pairs))
 
 
+@pytest.mark.parametrize("rare_sets", [1, 3, 16])
+def test_near_dedup_of_families_without_a_hub(spark, monkeypatch, rare_sets):
+    """Texts that differ from a common one, which is not there, in places of their own, and some that share such places: most pairs
+    share keys and few are similar, so the bounds on common shingles decide which are compared."""
+    monkeypatch.setattr(jaccard, "RARE_SETS", rare_sets)
+    rng = np.random.default_rng(rare_sets)
+    texts = {}
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(100)]
+        for k in range(30):
+            words = list(base)
+            for at in rng.choice(90, int(rng.integers(1, 6)), replace=False):
+                words[at] = f"f{family}odd{k if k % 3 else k // 9}at{at}"
+            texts[100 * family + k] = " ".join(words[: 100 - int(rng.integers(0, 12))])
+    pairs = brute_near(texts)
+    kept = smallest_of_each(texts, pairs)
+    assert 10 < len(kept) < len(texts) - 10
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == sorted(kept)
+
+
 def test_repeated_candidates_fill_one_place(spark):
     """The best candidates stand k times in the table; an id's two vectors of equal score are two candidates."""
     rng = np.random.default_rng(4)
