@@ -17,13 +17,13 @@ LEAST_RUSSIAN = 5
 
 
 def _without(token: Column, endings: list[str]) -> Column:
-    """The token without the longest of the endings that leaves ``LEAST_STEM`` letters; comparisons of bytes, no regular expression."""
-    out, length = None, F.length(token)
-    for e in sorted(endings, key=len, reverse=True):
-        fits = F.endswith(token, F.lit(e)) & (length >= len(e) + LEAST_STEM)
-        shorter = F.left(token, length - len(e))
-        out = F.when(fits, shorter) if out is None else out.when(fits, shorter)
-    return out.otherwise(token)
+    """The token without the longest of the endings that leaves ``LEAST_STEM`` letters.
+
+    The leftmost match is the longest ending; tokens whose last letters no ending has never meet the expression.
+    """
+    shortest = min(2, *map(len, endings))
+    last = sorted({e[-shortest:] for e in endings})
+    return F.when(F.right(token, F.lit(shortest)).isin(*last), F.regexp_replace(token, f"(?<=.{{{LEAST_STEM}}})(?:{'|'.join(endings)})$", "")).otherwise(token)
 
 
 def tokenize_raw(text: Column) -> Column:
