@@ -163,7 +163,8 @@ def score_band(share: Column) -> Column:
     return F.when(share >= 0.7, "good").when(share >= 0.4, "fair").otherwise("poor")
 
 
-KEY_PREFIX = "tks_"
+# fixed value: what API keys begin with
+KEY_PREFIX = "rg_sys_"
 
 
 def storage_key(owner: Column, group: Column, document_id: Column, filename: Column) -> Column:

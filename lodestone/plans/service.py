@@ -89,7 +89,7 @@ def chat_roles(t):
     return t.messages.select("id", policy.chat_role(F.col("role")).alias("role"), "content")
 
 
-@query(None, """SELECT o_orderkey AS key_id, sha256('tks_' || o_clerk || o_orderkey) AS key_hash, substr('tks_' || o_clerk || o_orderkey, 1, 10) AS shown
+@query(None, """SELECT o_orderkey AS key_id, sha256('rg_sys_' || o_clerk || o_orderkey) AS key_hash, substr('rg_sys_' || o_clerk || o_orderkey, 1, 13) AS shown
   FROM (SELECT o_orderkey, o_orderpriority AS o_clerk FROM orders)""")
 def api_key_hashes(t):
     raw = F.concat(F.lit(policy.KEY_PREFIX), "o_orderpriority", F.col("o_orderkey").cast("string"))
