@@ -1,11 +1,11 @@
-"""The queries of the ten operators over their whole tables, and SQL for the same rows where SQL can say it."""
+"""The queries of the operators over their whole tables, and SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import archives, extraction, licenses, line_dedup, mixing, mtree, packing, quality, simhash, token_files
+from lodestone.llm import archives, extraction, infilling, licenses, line_dedup, mixing, mtree, ngram_join, packing, quality, simhash, token_files, vector_codes
 from lodestone.llm._common import new_path
 
 
@@ -62,9 +62,91 @@ def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op5_quality, op6_warc, op7_licenses, op8_token_files, op9_mix, op10_extract)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", parts=8, entries=16, rounds=6, scale=4096)
+    found = vector_codes.with_label_error(codes, "label")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = infilling.fill_in_middle(_table(spark, sf_dir, "documents"), percent=90, spm_percent=20, seed=1)
+    again = infilling.restored(F.col("output"), F.col("form"))
+    return texts.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+_ALL = (
+    op1_top_k, op2_line_dedup, op3_simhash, op4_pack, op5_quality, op6_warc, op7_licenses, op8_token_files, op9_mix, op10_extract,
+    op11_vector_codes, op12_ngram_join, op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def _codebook_rounds(parts: int, width: int, entries: int, rounds: int) -> str:
+    """A chain of expressions for ``op11_``: codebooks and assignments, round by round."""
+    book = f"""
+b0 AS MATERIALIZED (
+  SELECT p.part, s.entry, p.x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}) s USING (vec_id)),"""
+    for k in range(rounds + 1):
+        book += f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best, any_value(x) AS x FROM (
+    SELECT p.vec_id, p.part, b.entry, p.x, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{k} b USING (part))
+  GROUP BY vec_id, part),"""
+        if k < rounds:
+            sums = ", ".join(f"sum(x[{j}])::BIGINT" for j in range(1, width + 1))
+            book += f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, CASE WHEN n IS NULL THEN b.x ELSE list_transform(s, lambda v: (v - (v % n + n) % n) // n) END AS x
+  FROM b{k} b LEFT JOIN (SELECT part, best.entry AS entry, count(*) AS n, [{sums}] AS s FROM a{k} GROUP BY ALL) USING (part, entry)),"""
+    return book
+
 
 ORACLES = {
+    "op11_vector_codes": f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[8 * part + 1 : 8 * part + 8] AS x FROM kept, range(8) t(part)),{_codebook_rounds(8, 8, 16, 6)}
+sha AS (
+  SELECT sha256(string_agg(x.v::VARCHAR, ',' ORDER BY part, entry, x.j)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(list_transform(b6.x, lambda v, j: struct_pack(v := v, j := j))) AS x FROM b6)),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a6 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), sha""",
+    "op12_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS g
+  FROM d),
+n AS MATERIALIZED (SELECT doc_id, len(g)::BIGINT AS n_shingles FROM grams),
+s AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM grams),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n_shingles + ny.n_shingles - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS to_id FROM n UNION SELECT r.doc_id, b.y FROM reach r JOIN ends b ON b.x = r.to_id)
+SELECT doc_id, n_shingles, component_id FROM n JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, substr(text, 1, least(c1, c2)) AS pre, substr(text, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid,
+    substr(text, greatest(c1, c2) + 1) AS suf
+  FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c""",
     "op1_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
