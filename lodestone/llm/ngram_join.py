@@ -16,8 +16,8 @@ How the order is found, without a row for each n-gram:
 3. Back in its slice each set drops the n-grams that no other set has: they come first in the order and are common to
    nothing. A set whose prefix is all such has no partner and goes.
 
-Groups of similar sets are no groups of pairs: under each token the smallest set is a hub, which every other one is compared
-with. Only under tokens that still hold several components do sets meet pair by pair, by classes of sizes, so that sets meet
+Groups of similar sets are no groups of pairs: under each token the set with the most company under all of its tokens and the
+smallest one are hubs, which every other one is compared with. Only under tokens that still hold several components do sets meet pair by pair, by classes of sizes, so that sets meet
 those alone whose sizes the filters admit.
 """
 
@@ -34,6 +34,7 @@ from lodestone.llm._common import Staged, shuffle_partitions, text_bytes, tidy,
 from lodestone.llm.simhash import _LAST, components
 
 SLICE_TOKENS = 2_000_000
+KNOWN_WORDS = 200_000  # about 200 bytes each
 CLASS = 1.05  # from a class of sizes to the next
 _DEPTH = 3  # of the suffix filter
 _SHORT, _LONG = np.uint64(32), np.uint64(56)
@@ -41,12 +42,12 @@ _FACTORS = np.random.default_rng(20_250_301).integers(0, 2**63, 64, np.uint64) *
 
 
 class _Words(dict):
-    """XXH64 (seed 42) of words, kept while the worker lives, a million at a time."""
+    """XXH64 (seed 42) of words, kept while the worker lives, up to ``KNOWN_WORDS`` at a time."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -254,15 +255,18 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     length = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
     mine = F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length - F.col("alone"), F.lit(0)).cast("int"))).alias("k", "token")
     prefix = Staged(sets.select("node", "size", "alone", mine).select("token", "node", "size", (F.col("alone") + F.col("k") + 1).alias("at")), "prefix-tokens")
-    held = prefix.df.groupBy("token").agg(F.min(F.struct("size", "node", "at")).alias("hub"), F.min("node").alias("least"), F.max("node").alias("other")).filter("hub.node != other or least != other")
-    held = Staged(held.select("token", "hub"), "hubs").df
-    stars = prefix.df.join(held, "token").filter((F.col("node") != F.col("hub.node")) & _enough(F.col("size"), F.col("at"), F.col("hub.size"), F.col("hub.at"), percent))
+    held = Staged(prefix.df.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("size", "node", "at")).alias("least")).filter("n > 1"), "held-tokens").df
+    shared = prefix.df.join(held.select("token", "n"), "token")
+    company = Staged(shared.groupBy("node").agg(F.sum("n").alias("company")), "company").df
+    known = shared.join(company, "node").groupBy("token").agg(F.max(F.struct("company", "node", "size", "at")).alias("most"))
+    hubs = held.join(known, "token").select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{h}.{c}") for c in ("node", "size", "at")]) for h in ("least", "most")]))).alias("hub"))
+    hubs = Staged(hubs, "hubs").df
+    stars = prefix.df.join(hubs, "token").filter((F.col("node") != F.col("hub.node")) & _enough(F.col("size"), F.col("at"), F.col("hub.size"), F.col("hub.at"), percent))
     both = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     pairs = Staged(stars.select(*both(F.col("node"), F.col("hub.node"))).distinct(), "star-pairs").df
     near = Staged(_similar_pairs(pairs, sets, percent), "star-links").df
     roots = components(near)
-    shared = prefix.df.join(held.select("token"), "token", "left_semi")
-    placed = Staged(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-tokens").df
+    placed = Staged(shared.drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-tokens").df
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
     open_ = Staged(placed.join(split, "token", "left_semi"), "open-tokens").df
     prefix.drop()
