@@ -101,9 +101,10 @@ class PieceEncoder:
 
         path = resolve(tokenizer)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # strings that are one id wherever they stand, whatever is beside them: texts that have one go to the library whole
+        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.ids = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
@@ -163,7 +164,7 @@ class PieceEncoder:
                 if q[0].isspace() or q[-1].isspace():
                     known[p] = None
                     continue
-            if len(p) > 1 and p[-1] in _MARKS and q[:-1].isalpha():
+            if len(p) > 1 and p[-1] in _MARKS and self._letters(q[:-1]):
                 stems[p] = s = p[:-1]
                 if s not in plain:
                     after.append(s) if q is not p else plain.add(s)
@@ -185,6 +186,12 @@ class PieceEncoder:
         """(offsets, ids): the ids of text k are ids[offsets[k]:offsets[k + 1]], with ``end_id`` behind them if there is one. Null is empty."""
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        whole = None
+        for token in self.special:
+            has = pc.match_substring(texts, token)
+            whole = has if whole is None else pc.or_(whole, has)
+        if whole is not None and pc.any(whole).as_py():
+            return self._with_whole(texts, whole, end_id)
         lengths, ids, at = [], [], 0
         while at < len(texts):
             n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")) - at)
@@ -198,6 +205,21 @@ class PieceEncoder:
         lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), np.concatenate(ids) if ids else np.zeros(0, self.ids)
 
+    def _with_whole(self, texts: pa.Array, whole: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` where the texts marked in ``whole`` go to the library as they are."""
+        offsets, ids = self.encode(pc.if_else(whole, "", texts), end_id)
+        parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            one = self._ids([texts[k].as_py()])[0]  # a call at a time, as above
+            parts[k] = np.concatenate([np.frombuffer(one, self.ids), parts[k]])
+        return self._joined(parts)
+
+    def _letters(self, stem: str) -> bool:
+        """Whether the library sees letters alone: normalising may turn a letter into one with a mark of its own."""
+        if stem.isascii() or self.library.normalizer is None:
+            return stem.isalpha()
+        return stem.isalpha() and self.library.normalizer.normalize_str(stem).isalpha()
+
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.cut == "none":
             return self._joined([np.frombuffer(x, self.ids) for x in self._ids(texts.to_pylist())])
