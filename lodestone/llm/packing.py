@@ -2,9 +2,10 @@
 
 Pieces are dealt into partitions of bounded size. Each partition runs best-fit decreasing and computes a lower bound on
 its own bins from dual-feasible functions. Where bins and bound agree, the partition is certified: its bins are final, but
-for one that is far from full only because the partition ends there. The others have a gap and keep only their full bins.
-The pieces of all other bins go into a common pool, which is dealt anew over half as many partitions, so that pieces of
-different partitions meet. This goes on until the pool's bins meet the bound over all of it, or one partition holds it.
+for the emptiest, which ends where the partition does. The others have a gap and keep only their full bins. The pieces of
+all other bins go into a common pool, which is dealt anew, so that pieces of different partitions meet. No partition is ever
+dealt more than its share. This goes on until the pool's bins meet the bound over all of it, or a turn saves no bin: then
+the bins from before that turn stay.
 """
 
 from __future__ import annotations
@@ -85,10 +86,10 @@ def _pack_part(capacity: int, turn: int):
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offsets, room = pack_sizes(sizes, capacity)
         bound = bin_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        part = int(key[0])
+        part, emptiest = int(key[0]), int(np.argmax(room))
         return pd.DataFrame({
             "uid": pdf["uid"], "length": sizes, "part": part, "sequence_id": (turn << 56) | (part << 28) | bins, "offset": offsets,
-            "open": room[bins] > (0 if len(room) > bound else capacity // 8), "head": offsets == 0, "gap": len(room) - bound,
+            "open": room[bins] > 0 if len(room) > bound else bins == emptiest, "head": offsets == 0, "gap": len(room) - bound,
         })
 
     return run
@@ -100,31 +101,36 @@ PLACED = "uid long, length long, part long, sequence_id long, offset long, open
 def place(items: DataFrame, capacity: int, part_pieces: int = PART_PIECES, rounds: int | None = None) -> DataFrame:
     """``uid, sequence_id, offset`` for each row of ``items(uid long, length long)``; uids differ, lengths are 0 to ``capacity``.
 
-    Partitions halve with every exchange, so there are few; ``rounds`` ends them earlier. The shuffles carry 16 bytes a piece. The uid decides the partition, so equal lengths and one hot source spread evenly.
+    Each turn saves bins, so there are few; ``rounds`` ends them earlier. The shuffles carry 16 bytes a piece. The uid decides the partition, so equal lengths and one hot source spread evenly.
     """
     spark, done = items.sparkSession, []
     n = items.count()
-    parts = -(-n // part_pieces)
-    pool = items
+    pool, held, bins_before = items, None, None
     for turn in itertools.count():
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(max(1, parts))))
+        parts = max(1, -(-n // part_pieces))
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(parts)))
         placed = Staged(dealt.groupBy("part").applyInPandas(_pack_part(capacity, turn), PLACED), f"packed{turn}").df
+        heads = placed.filter("head").groupBy("open").agg(F.countDistinct("sequence_id").alias("n"))
+        bins = {r["open"]: r["n"] for r in heads.collect()}  # two rows at most
+        if bins_before is not None and sum(bins.values()) >= bins_before:
+            done.append(held)
+            break
         lengths = placed.filter("open").groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity + 1 rows at most
         counts = np.zeros(capacity + 1, np.int64)
         for r in lengths:
             counts[r["length"]] = r["n"]
-        bins = placed.filter(F.col("open") & F.col("head")).select("sequence_id").distinct().count() if lengths else 0
+        n, bins_before = int(counts.sum()), bins.get(True, 0)
         # a pool in as few bins as its bound is certified, and one partition cannot exchange
-        if parts <= 1 or turn == rounds or bins <= bin_bound(counts, capacity):
+        if parts == 1 or turn == rounds or bins_before <= bin_bound(counts, capacity):
             done.append(placed)
             break
         done.append(placed.filter(~F.col("open")))
-        pool = placed.filter("open").select("uid", "length")
-        parts = min(max(1, parts // 2), -(-int(counts.sum()) // part_pieces))
+        held = placed.filter("open")
+        pool = held.select("uid", "length")
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out.select("uid", "sequence_id", "offset") if n else spark.createDataFrame([], "uid long, sequence_id long, offset long")
+    return out.select("uid", "sequence_id", "offset")
 
 
 def pack(df: DataFrame, capacity: int, length_col: str = "length", **how) -> DataFrame:
