@@ -13,6 +13,7 @@ fails, so no further correction is needed). The strictest certified level sets t
 from __future__ import annotations
 
 import functools
+import math
 import sys
 from collections.abc import Iterator
 from itertools import repeat
@@ -32,7 +33,8 @@ SAME_WORDS = 500  # the words of a window in which distinct ones are counted, as
 RISK = 0.02
 DELTA = 0.05
 LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005)  # the share of clean tuning documents that a rule's cutoff may reach
-GRID = 1000  # scores are whole thousandths
+UNIT = 1000  # scores are whole thousandths up to 1, and thousandths of the natural logarithm above
+GRID = 23_000  # beyond every score: a text has under 2**31 bytes, and ln(2**31) is 21.5
 HOLDOUT = 0.7
 MIN_CATCH = 0.01  # of a stratum's bad tuning documents; a rule that catches fewer is off
 BAD_TAIL = 0.05  # of the bad documents above a lower limit, those nearest to it that do not draw the cutoff
@@ -63,7 +65,12 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     alike = np.flatnonzero(hashes[1:] == hashes[:-1]).tolist()
     stutter = sum(words[k] == words[k + 1] for k in alike)
     shares = (n_symbols / n, upper / max(1, letters), solid.count(b"!") / n, n_repeat / n, max(stutter / n, same_words(words)))
-    return (n, len(points), n_symbols, n_dup, n_repeat, *(min(GRID, int(GRID * s)) for s in shares))
+    return (n, len(points), n_symbols, n_dup, n_repeat, *map(score, shares))
+
+
+def score(share: float) -> int:
+    """The share on the grid: scores of different shares above 1 differ too."""
+    return int(UNIT * share) if share <= 1 else UNIT + int(UNIT * math.log(share))
 
 
 @functools.cache
