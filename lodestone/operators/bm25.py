@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from lodestone.functions.text import content_hash
 from lodestone.functions.tokens import stem, tokenize_raw
 
 K1, B = 1.5, 0.75
+RANGE_DOCS = 1024
+CHUNK_QUESTIONS = 1024  # that meet a range at a time
+SEEDS = 8  # times k documents are looked at for the first threshold
+SLACK = 2e-6  # more than rounding to six digits can move a score
 
 
 def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -32,6 +38,10 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
+def tf_part(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def term_score(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Column) -> Column:
     return idf(n_docs, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -68,48 +78,193 @@ def search(texts: DataFrame, questions: DataFrame, k: int, key: str = "doc_id",
 
 
 class Index:
-    """Stored postings that searches read: ``postings`` in ranges of tokens, ``terms`` with document frequencies, ``stats``, and ``docs`` with each text's hash.
+    """Stored postings that searches read, packed into blocks.
 
-    A search reads one scan of the postings, pruned to its own tokens where files and row groups allow, and no text.
+    Documents are dealt into ranges of about ``RANGE_DOCS`` texts of like length. ``blocks`` has a row for each token and range:
+    the documents there with tf and dl, and ``top``, the largest part of a score that the token gives to one of them; in files
+    by token. ``terms`` has document frequencies, ``docs`` each text's hash, length and range, ``stats`` the totals.
+
+    A search of the k best skips what cannot be among them. A question's bound in a range is the sum of its tokens' tops there.
+    First the blocks with the largest parts name some likely documents, whose whole scores give a threshold; ranges whose
+    bound is below it are not read. In the others tokens are taken by their tops, largest first: once the tops that are left
+    sum to less than the threshold no further document is taken up, and those that can no longer reach it are dropped. What
+    is found is what scoring every document finds.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
         self.spark, self.path, self.key = spark, path, key
-        self.postings, self.terms, self.docs = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs"))
+        self.blocks, self.terms, self.docs = (spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "docs"))
         self.n_docs, self.avgdl = spark.read.parquet(f"{path}/stats").select("n_docs", "avgdl").first()
 
     @classmethod
     def build(cls, texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
         """Writes an index of ``texts``; the keys differ. ``stats`` comes last, so a path that has it is whole."""
         spark = texts.sparkSession
-        rows = postings(texts, key, text)
-        # a token that fills several ranges is split by key
-        rows.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-        texts.select(key, content_hash(F.col(text)).alias("hash")).write.mode("overwrite").parquet(f"{path}/docs")
-        total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-        n = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"))
-        mean = F.coalesce(F.nullif(F.col("total") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)), F.lit(1.0))
-        n.crossJoin(total).select("n_docs", mean.alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")  # one row by one row
+        size = F.size(tokenize_raw(F.coalesce(F.col(text), F.lit(""))))
+        texts.select(key, content_hash(F.col(text)).alias("hash"), size.alias("dl")).write.mode("overwrite").parquet(f"{path}/sizes")
+        sizes = spark.read.parquet(f"{path}/sizes")
+        by_class = sizes.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # at most 64 rows
+        n_docs, total = sum(r.n for r in by_class), sum(r.total for r in by_class)
+        avgdl = total / n_docs if total else 1.0
+        buckets = F.create_map(*[F.lit(x) for r in by_class for x in (r.c, -(-r.n // RANGE_DOCS))]) if by_class else F.create_map(F.lit(0), F.lit(1))
+        length = _length_class(F.col("dl"))
+        place = (length * (1 << 32) + F.pmod(F.xxhash64(key), F.coalesce(F.try_element_at(buckets, length), F.lit(1)).cast("long"))).alias("range")
+        sizes.select(key, "hash", "dl", place).write.mode("overwrite").parquet(f"{path}/docs")
+        part = tf_part(F.col("tf"), F.col("dl"), F.lit(avgdl))
+        # a token that fills several ranges is split by them; the range partitions are those that the aggregation needs
+        rows = postings(texts, key, text).select("token", place, key, "tf", "dl", part.alias("part")).repartitionByRange("token", "range")
+        doc = F.struct(F.col(key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+        blocks = rows.groupBy("token", "range").agg(F.max("part").alias("top"), F.count("*").alias("n"), F.array_sort(F.collect_list(doc)).alias("found"))
+        blocks.sortWithinPartitions("token", "range").write.mode("overwrite").parquet(f"{path}/blocks")
+        spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame([(n_docs, avgdl)], "n_docs long, avgdl double").write.mode("overwrite").parquet(f"{path}/stats")
         return cls(spark, path, key)
 
+    def holding(self, terms: DataFrame) -> DataFrame:
+        """``terms(token, ...)`` with ``key, tf, dl``, a row for each document that has the token: blocks are joined, then unpacked."""
+        cols = [c for c in terms.columns if c != "token"]
+        rows = self.blocks.select("token", "found").join(terms, "token").select("token", *cols, F.explode("found").alias("d"))
+        return rows.select("token", *cols, F.col("d.key").alias(self.key), "d.tf", "d.dl")
+
     def matches(self, questions: DataFrame, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """``qid, key, score, n, share``: every document with a token of the question; share is of its distinct tokens. ``allowed(key)`` narrows what is found, statistics stay those of the whole index."""
         terms = asked(questions)
         sizes = terms.groupBy("qid").agg(F.count("*").alias("size"))
-        found = self.postings if allowed is None else self.postings.join(allowed, self.key, "left_semi")
-        scores = matches(found, terms.join(self.terms, "token"), F.lit(self.n_docs), F.lit(self.avgdl), self.key, "qid", digits)
+        found = self.holding(terms.join(self.terms, "token"))
+        found = found if allowed is None else found.join(allowed, self.key, "left_semi")
+        one = F.col("times") * term_score(F.col("tf"), F.col("dl"), F.col("df"), F.lit(self.n_docs), F.lit(self.avgdl))
+        scores = found.groupBy("qid", self.key).agg(F.round(F.sum(one), digits).alias("score"), F.count("*").alias("n"))
         return scores.join(sizes, "qid").withColumn("share", F.round(F.col("n") / F.col("size"), digits)).drop("size")
 
+    def _weighed(self, questions: DataFrame, shares: bool) -> DataFrame:
+        """``qid, token, w``: what a token's part of a score is multiplied with; for shares 1."""
+        weight = F.lit(1.0) if shares else F.col("times") * idf(F.lit(self.n_docs), F.col("df"))
+        return asked(questions).join(self.terms, "token").select("qid", "token", weight.alias("w"))
+
+    def _scored(self, pairs: DataFrame, terms: DataFrame, k: int, chunks: int, shares: bool, allowed: DataFrame | None) -> DataFrame:
+        """``qid, key, score, opened, finished`` from ``pairs(qid, range, theta, only)``; a row without a key counts documents for a question and range.
+
+        Blocks and questions meet by range and chunk of questions, so a block is sent once for each chunk.
+        """
+        chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks))
+        right = pairs.join(terms, "qid").select(F.col("range").alias("in_range"), chunk.alias("in_chunk"), "qid", "token", "w", "theta", "only")
+        top = F.lit(1.0) if shares else F.col("top")
+        left = self.blocks.join(terms.select("token").distinct(), "token", "left_semi").join(pairs.select("range").distinct(), "range", "left_semi").select("range", "token", top.alias("top"), "found")
+        if allowed is not None:  # the documents that count, as a block without a token
+            visible = self.docs.select(self.key, "range", "dl").join(allowed, self.key, "left_semi")
+            doc = F.struct(F.col(self.key).alias("key"), F.lit(0).alias("tf"), F.col("dl").cast("int").alias("dl"))
+            seen = visible.groupBy("range").agg(F.collect_list(doc).alias("found"))
+            left = left.unionByName(seen.select("range", F.lit(None).cast("string").alias("token"), F.lit(0.0).alias("top"), "found"))
+        left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
+        types = dict(pairs.dtypes) | dict(self.docs.dtypes)
+        schema = f"qid {types['qid']}, key {types[self.key]}, score double, opened long, finished long"
+        kernel = _best_of_range(k, None if shares else self.avgdl, allowed is not None)
+        return left.groupBy("range", "chunk").cogroup(right.groupBy("in_range", "in_chunk")).applyInArrow(kernel, schema)
+
+    def _pruned(self, questions: DataFrame, k: int, allowed: DataFrame | None, shares: bool, counted: bool = False) -> DataFrame:
+        terms = self._weighed(questions, shares)
+        chunks = max(1, -(-questions.count() // CHUNK_QUESTIONS))
+        top = F.lit(1.0) if shares else F.col("top")
+        bounds = self.blocks.select("token", "range", "n", top.alias("top")).join(terms, "token").select("qid", "token", "range", "n", "w", (F.col("w") * F.col("top")).alias("most"))
+        whole = bounds.groupBy("qid", "range").agg(F.sum("most").alias("bound"))
+        # the likely documents: those of the blocks with the largest parts, about ``SEEDS`` times k of them
+        order = Window.partitionBy("qid").orderBy(F.desc("most"), "n", "token", "range")
+        largest = bounds.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SEEDS * k)  # limited before the shuffle
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        likely = largest.withColumn("before", before).filter(F.col("before") < SEEDS * k).select("token", "range", "qid", "w")
+        rows = self.blocks.select("token", "range", "found").join(likely, ["token", "range"]).select("qid", "range", "w", F.explode("found").alias("d"))
+        part = F.lit(1.0) if shares else tf_part(F.col("d.tf"), F.col("d.dl"), F.lit(self.avgdl))
+        if allowed is not None:
+            rows = rows.withColumn(self.key, F.col("d.key")).join(allowed, self.key, "left_semi")
+        partial = rows.groupBy("qid", "range", F.col("d.key").alias("key")).agg(F.sum(F.col("w") * part).alias("partial"))
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("partial"), "key"))
+        seeds = partial.withColumn("place", place).filter(F.col("place") <= 2 * k).groupBy("qid", "range").agg(F.collect_list("key").alias("only"))
+        first = self._scored(seeds.withColumn("theta", F.lit(0.0)), terms, k, chunks, shares, allowed)
+        scored = first.filter("key is not null")
+        kth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
+        theta = scored.withColumn("place", kth).filter(F.col("place") == k).select("qid", F.col("score").alias("theta"))
+        pairs = whole.join(theta, "qid", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0))).filter(F.col("bound") >= F.col("theta") - SLACK)
+        none = F.lit(None).cast(f"array<{dict(self.docs.dtypes)[self.key]}>")
+        last = self._scored(pairs.select("qid", "range", "theta", none.alias("only")), terms, k, chunks, shares, allowed)
+        return last.unionByName(first.filter("key is null")) if counted else last
+
     def search(self, questions: DataFrame, k: int, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
-        """``qid, key, score, rank``: the k best documents of each question."""
-        return best(self.matches(questions, allowed, digits), k, self.key)
+        """``qid, key, score, rank``: the k best documents of each question; the qids differ."""
+        found = self._pruned(questions, k, allowed, shares=False).filter("key is not null")
+        return best(found.select("qid", F.col("key").alias(self.key), F.round("score", digits).alias("score")), k, self.key)
 
-    def lists(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    def work(self, questions: DataFrame, k: int) -> DataFrame:
+        """One row: ``pairs`` of a question and a document, ``opened`` of them that were taken up, ``finished`` that were scored to the end."""
+        counts = self._pruned(questions, k, None, shares=False, counted=True).filter("key is null")
+        return counts.agg(F.lit(questions.count() * self.n_docs).alias("pairs"), F.sum("opened").alias("opened"), F.sum("finished").alias("finished"))
+
+    def lists(self, questions: DataFrame, k: int, allowed: DataFrame | None = None, digits: int = 6) -> DataFrame:
         """``qid, key, sparse, dense``: places in the BM25 list and in that of the shares, null beyond k; rows with a place in one of them."""
-        scores = self.matches(questions, allowed)
-        place = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), self.key))
-        placed = scores.withColumn("sparse", place("score")).withColumn("dense", place("share"))
-        cut = [F.when(F.col(c) <= k, F.col(c)).alias(c) for c in ("sparse", "dense")]
-        return placed.filter((F.col("sparse") <= k) | (F.col("dense") <= k)).select("qid", self.key, *cut)
+        sparse = self.search(questions, k, allowed, digits).select("qid", self.key, F.col("rank").alias("sparse"))
+        common = self._pruned(questions, k, allowed, shares=True).filter("key is not null")
+        # a question's shares have one divisor, so their order is that of the common tokens
+        dense = best(common.select("qid", F.col("key").alias(self.key), F.round("score").alias("score")), k, self.key)
+        return sparse.join(dense.select("qid", self.key, F.col("rank").alias("dense")), ["qid", self.key], "full_outer")
+
+
+def _length_class(dl: Column) -> Column:
+    """Half octaves of the length."""
+    return F.floor(2 * F.log2(F.greatest(dl, F.lit(1)).cast("double")) + 1e-9)
+
+
+def _best_of_range(k: int, avgdl: float | None, narrowed: bool):
+    """For each question its best documents of a range, and what it took: see ``Index``. Without ``avgdl`` a token counts 1."""
+
+    def part(found: pa.StructArray) -> np.ndarray:
+        if avgdl is None:
+            return np.ones(len(found))
+        tf, dl = (found.field(c).to_numpy().astype(np.float64) for c in ("tf", "dl"))
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    def run(blocks: pa.Table, terms: pa.Table) -> pa.Table:
+        none = pa.table([terms.column("qid").slice(0, 0)], names=["qid"])
+        names = ["qid", "key", "score", "opened", "finished"]
+        found = blocks.column("found").combine_chunks()
+        flat = found.flatten()
+        keys, at = np.unique(flat.field("key").to_numpy(zero_copy_only=False), return_inverse=True)
+        parts, offsets = part(flat), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
+        held = {t: (at[a:b], parts[a:b], top) for t, a, b, top in zip(blocks.column("token").to_pylist(), offsets[:-1], offsets[1:], blocks.column("top").to_pylist(), strict=True)}
+        visible = np.full(len(keys), not narrowed)
+        if narrowed and None in held:
+            visible[held[None][0]] = True
+        asked_: dict = {}
+        for qid, token, w, theta, only in zip(*(terms.column(c).to_pylist() for c in ("qid", "token", "w", "theta", "only")), strict=True):
+            if token in held:
+                asked_.setdefault(qid, (theta, only, []))[2].append((w * held[token][2], token, w))
+        rows: list[tuple] = []
+        for qid, (theta, only, ranked) in asked_.items():
+            ranked.sort(key=lambda x: (-x[0], x[1]))
+            taking = True
+            may = visible if only is None else visible & np.isin(keys, np.array(only, keys.dtype))
+            score, open_, rest, opened = np.zeros(len(keys)), np.zeros(len(keys), bool), sum(x[0] for x in ranked), 0
+            for most, token, w in ranked:
+                low = theta
+                if (n := int(open_.sum())) >= k:
+                    low = max(low, float(np.partition(score[open_], n - k)[n - k]))
+                taking, rest = taking and rest >= low - SLACK, rest - most
+                where, values, _ = held[token]
+                if taking:
+                    where, values = where[may[where]], values[may[where]]
+                    open_[where] = True
+                else:
+                    values, where = values[open_[where]], where[open_[where]]
+                score[where] += w * values
+                if taking:
+                    opened = max(opened, int(open_.sum()))
+                else:
+                    open_ &= score + rest >= low - SLACK
+            left = np.flatnonzero(open_)
+            rows.append((qid, None, None, opened, len(left)))
+            if len(left) > k:  # those that rounding may bring to the k-th place stay
+                left = left[score[left] >= np.partition(score[left], len(left) - k)[len(left) - k] - SLACK]
+            rows += [(qid, x, s, None, None) for x, s in zip(keys[left].tolist(), score[left].tolist(), strict=True)]
+        kinds = [none.schema.field("qid").type, flat.type.field("key").type, pa.float64(), pa.int64(), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return run

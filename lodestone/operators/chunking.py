@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ GENERAL = ["\n# ", "\n## ", "\n### ", "\n#### ", "\n\n", "\n", " ", ""]
 LEGAL = ["\nГлава ", "\nРаздел ", "\nЧасть ", "\nСтатья ", "\n§ ", "\nПункт ", "\n\n", "\n", " ", ""]
 SIZES = {"general": (550, 200), "legal": (1000, 250)}
 TABLE_LINE = r"^\|.+\|\s*$"
+CHUNK_ROWS = 512  # chunks that leave Python together
 
 
 def stride_chunks(df: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
@@ -80,25 +81,42 @@ def split_recursively(text: str, size: int, overlap: int, separators: list[str])
 
 
 def recursive_chunks(df: DataFrame, domain: str = "general", text: str = "text", size: int | None = None, overlap: int | None = None) -> DataFrame:
-    """``df`` with ``chunk_index, chunk``; rows whose ``content_type`` is table stay one chunk in the general domain.
+    """``df`` without its text, and with ``chunk_index, chunk``; rows whose ``content_type`` is table stay one chunk in the general domain.
 
     Splitting at the first separator that fits, and again inside what is still too long, is no built-in operation; texts go
-    through it in Arrow batches, and the other columns are repeated without passing through Python objects.
+    through it one at a time, and come out a few hundred chunks a batch. The other columns are repeated for each chunk, the
+    text is not: its copies would grow with the square of its length.
     """
     size, overlap = size or SIZES[domain][0], SIZES[domain][1] if overlap is None else overlap
     separators = LEGAL if domain == "legal" else GENERAL
-    names, whole = df.columns, domain != "legal" and "content_type" in df.columns
+    whole = domain != "legal" and "content_type" in df.columns
+    fields = [f for f in df.schema.fields if f.name != text]
+    names = [f.name for f in fields]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            kinds = batch.column("content_type").to_pylist() if whole else [None] * len(texts)
-            found = [[t] if k == "table" else split_recursively(t or "", size, overlap, separators) for t, k in zip(texts, kinds, strict=True)]
-            rows = batch.take(pa.array([k for k, parts in enumerate(found) for _ in parts], pa.int64()))
-            index, chunk = pa.array([i for parts in found for i in range(len(parts))], pa.int32()), pa.array([p for parts in found for p in parts], pa.string())
-            yield pa.RecordBatch.from_arrays([*rows.columns, index, chunk], names=[*names, "chunk_index", "chunk"])
-
-    return df.mapInArrow(split, T.StructType([*df.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+            others = batch.select(names)
+            kinds = batch.column("content_type").to_pylist() if whole else [None] * batch.num_rows
+            rows, index, chunks = [], [], []
+
+            def found(k: int) -> pa.RecordBatch:
+                out = [*others.take(pa.array(rows[:k], pa.int64())).columns, pa.array(index[:k], pa.int32()), pa.array(chunks[:k], pa.string())]
+                del rows[:k], index[:k], chunks[:k]
+                return pa.RecordBatch.from_arrays(out, names=[*names, "chunk_index", "chunk"])
+
+            for k, (t, kind) in enumerate(zip(batch.column(text), kinds, strict=True)):
+                parts = [t.as_py()] if kind == "table" else split_recursively(t.as_py() or "", size, overlap, separators)
+                for i in range(0, len(parts), CHUNK_ROWS):
+                    some = parts[i : i + CHUNK_ROWS]
+                    rows += [k] * len(some)
+                    index += range(i, i + len(some))
+                    chunks += some
+                    if len(rows) >= CHUNK_ROWS:
+                        yield found(CHUNK_ROWS)
+            if rows:
+                yield found(len(rows))
+
+    return df.mapInArrow(split, T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())]))
 
 
 def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
@@ -112,31 +130,38 @@ def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
     spark.udtf.register(name, ChunkText)
 
 
+def _runs(df: DataFrame, key: str, text: str, mark: Callable[[Column], Column], starts: Callable[[Column, Column], Column]) -> DataFrame:
+    """``key, runs``: the runs of lines of each text; one starts at the first line and where ``starts(mark, mark of the line before)``.
+
+    Inside the row and in one pass, so nothing is shuffled: a line that starts a run gets a line break in front, others a
+    space, so that joined lines have two line breaks together only where a run starts, and are split there.
+    """
+    rows = df.select(key, F.split(text, "\n").alias("_lines"))
+    rows = rows.withColumn("_marks", F.transform("_lines", mark))
+    led = lambda x, i: F.concat(F.when(F.coalesce(starts(F.get("_marks", i), F.get("_marks", i - 1)), F.lit(False)) & (i > 0), "\n").otherwise(" "), x)
+    joined = F.substring(F.array_join(F.transform("_lines", led), "\n"), F.lit(2), F.lit((1 << 31) - 1))
+    return rows.select(key, F.transform(F.split(joined, "\n\n"), lambda r: F.replace(r, F.lit("\n "), F.lit("\n"))).alias("runs"))
+
+
 def islands(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, segment, kind, content``: runs of table lines and of other lines, without blank segments, in order."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("is_table", F.col("line").rlike(TABLE_LINE))
-    w = Window.partitionBy(key).orderBy("pos")
-    change = (F.col("is_table") != F.lag("is_table").over(w)).cast("int")
-    lines = lines.withColumn("island", F.coalesce(F.sum(change).over(w), F.lit(0)))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    runs = (
-        lines.groupBy(key, "island")
-        .agg(F.when(F.first("is_table"), "table").otherwise("text").alias("kind"), strip(content).alias("content"))
-        .filter(F.length("content") > 0)
-    )
-    return runs.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1).alias("segment"), "kind", "content")
+    first = lambda r: F.substring_index(r, "\n", 1)
+    part = lambda r: F.struct(F.when(first(r).rlike(TABLE_LINE), "table").otherwise("text").alias("kind"), strip(r).alias("content"))
+    rows = _runs(df, key, text, lambda x: x.rlike(TABLE_LINE), lambda now, before: now != before)
+    parts = rows.select(key, F.filter(F.transform("runs", part), lambda x: F.length(x["content"]) > 0).alias("parts"))
+    # the outer form, as Spark would test the plain one's array first, with the whole expression put into the test for each line
+    return parts.select(key, F.posexplode_outer("parts").alias("segment", "part")).filter("part is not null").select(key, "segment", "part.kind", "part.content")
 
 
 def sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, section, heading, content``: the text between Markdown headings; what comes before the first has a null heading."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    heading = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), F.lit(""))
-    w = Window.partitionBy(key).orderBy("pos")
-    lines = lines.withColumn("heading", heading).withColumn("section", F.sum(F.col("heading").isNotNull().cast("int")).over(w))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    out = lines.groupBy(key, "section").agg(F.max("heading").alias("heading"), strip(body).alias("content"))
-    return out.filter((F.length("content") > 0) | F.col("heading").isNotNull())
+    heading = lambda x: F.nullif(F.regexp_extract(x, r"^#{1,6}\s+(.*)$", 1), F.lit(""))
+    rows = _runs(df, key, text, heading, lambda now, _: now.isNotNull())
+    runs = rows.select(key, F.posexplode_outer("runs").alias("nth", "run"), heading(F.substring_index(F.get("runs", F.lit(0)), "\n", 1)).isNotNull().cast("int").alias("led"))
+    first = F.substring_index("run", "\n", 1)
+    named = runs.filter("run is not null").select(key, (F.col("nth") + F.col("led")).alias("section"), heading(first).alias("heading"), "run", F.length(first).alias("skip"))
+    body = F.when(F.col("heading").isNull(), F.col("run")).otherwise(F.substring("run", F.col("skip") + 1, F.length("run")))
+    return named.select(key, "section", "heading", strip(body).alias("content")).filter((F.length("content") > 0) | F.col("heading").isNotNull())
 
 
 def merge_pages(df: DataFrame, by: str = "source", page: str = "page", text: str = "text") -> DataFrame:

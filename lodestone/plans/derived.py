@@ -91,7 +91,7 @@ def phrase_join(index: bm25.Index, docs: DataFrame, probes: DataFrame) -> DataFr
     )
     # a token that no document has rules its probe out
     keyed = weighed.filter((F.col("inner") > 0) & (F.col("known") == F.col("inner")))
-    pairs = index.postings.select("doc_id", "token").join(keyed.select("token", "qid", "probe"), "token").select("doc_id", "qid", "probe")
+    pairs = index.holding(keyed.select("token", "qid", "probe")).select("doc_id", "qid", "probe")
     hits = docs.join(pairs, "doc_id").filter(F.contains("text", F.col("probe")))
     rest = docs.join(weighed.filter("inner = 0").select("qid", "probe"), F.contains("text", F.col("probe")))
     cols = ["qid", "doc_id", "source"]

@@ -57,6 +57,42 @@ def test_sources_and_context(spark):
     assert head == "[1] report.pdf (таблица) (стр. 3)"
 
 
+def _corpus(spark, n, seed=0):
+    import random
+
+    draw = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda size: " ".join(words[min(299, int(draw.paretovariate(0.6)) - 1)] for _ in range(size))
+    texts = [(k, text(draw.randint(1, 120))) for k in range(n)] + [(n, ""), (n + 1, None), (n + 2, "w1 w2"), (n + 3, "w1 w2")]
+    asked = [(k, text(draw.randint(1, 12))) for k in range(25)] + [(90, "nothing known"), (91, ""), (92, "w1 w2"), (93, "w1 w1 w250")]
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, question string")
+
+
+def test_pruned_search_finds_what_scoring_all_finds(spark, tmp_path, monkeypatch):
+    """Ranges of documents and the k-th score decide what is read; the result is that of every score."""
+    monkeypatch.setattr(bm25, "RANGE_DOCS", 50)
+    monkeypatch.setattr(bm25, "CHUNK_QUESTIONS", 8)  # several chunks of questions
+    texts, asked = _corpus(spark, 700)
+    index = bm25.Index.build(texts, str(tmp_path / "index"))
+    rows = lambda df: sorted((r.qid, r["rank"], r.doc_id, r.score) for r in df.collect())
+    every = index.matches(asked).cache()
+    assert rows(index.search(asked, 5)) == rows(bm25.best(every, 5)) == rows(bm25.search(texts, asked, 5))
+    some = texts.filter("doc_id % 7 = 3").select("doc_id")
+    assert rows(index.search(asked, 5, some)) == rows(bm25.best(index.matches(asked, some), 5))
+    none = texts.filter("doc_id < 0").select("doc_id")
+    assert index.search(asked, 5, none).collect() == [] and index.search(asked.filter("qid = 91"), 5).collect() == []
+    shares = bm25.best(every.drop("score").withColumnRenamed("share", "score"), 5)
+    want = {(r.qid, r.doc_id): r["rank"] for r in shares.collect()}
+    assert {(r.qid, r.doc_id): r.dense for r in index.lists(asked, 5).filter("dense is not null").collect()} == want
+
+
+def test_pruned_search_scores_few_documents(spark, sf_dir, tmp_path):
+    docs, asked = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id as qid", "text as question")
+    index = bm25.Index.build(docs.select("doc_id", "text"), str(tmp_path / "index"))
+    work = index.work(asked, 1).first()
+    assert work.finished < 0.1 * work.pairs and work.opened < 0.5 * work.pairs
+
+
 def test_history(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", f"message {k}") for k in range(1, 20)] + [(2, 1, "user", "only")]
     got = context.recent_turns(spark.createDataFrame(rows, "c int, id int, role string, content string"), "c", "id", 8).orderBy("id").collect()
@@ -85,6 +121,29 @@ def test_recursive_split(spark):
     assert spark.sql("SELECT chunk FROM texts, LATERAL chunk_text(text, 100, 20)").count() > 10
 
 
+@pytest.mark.parametrize("letters", [1_000_000, 10_000_000])
+def test_recursive_chunks_of_a_long_text(spark, letters):
+    """The text is not repeated for its chunks: what leaves Python grows with the text, not with its square."""
+    text = ("one sentence with several words in it. " * 14 + "\n\n") * (letters // 550)
+    df = spark.createDataFrame([(1, text), (2, "short")], "id int, text string").withColumn("tag", F.lit("t"))
+    got = chunking.recursive_chunks(df).groupBy("id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk")).alias("all")).orderBy("id").collect()
+    assert (got[0].n, got[0].longest <= 550) == (got[0].last + 1, True) and 0.9 * len(text) < got[0]["all"] < 2 * len(text)
+    assert (got[1].n, got[1]["all"]) == (1, 5)
+    assert chunking.recursive_chunks(df).columns == ["id", "tag", "chunk_index", "chunk"]
+
+
+def test_islands_and_sections_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "# A\nx\n#  \n## B"), (5, "| t |"), (6, "\n".join("| r |" if k % 3 else f"line {k}" for k in range(20_000)))]
+    df = spark.createDataFrame(rows, "id int, text string")
+    assert [(r.id, r.kind) for r in chunking.islands(df.filter("id < 6"), "id").orderBy("id").collect()] == [(4, "text"), (5, "table")]
+    counts = {r.kind: r["count"] for r in chunking.islands(df.filter("id = 6"), "id").groupBy("kind").count().collect()}
+    assert counts == {"text": 6667, "table": 6667}
+    got = [(r.id, r.section, r.heading, r.content) for r in chunking.sections(df.filter("id < 6"), "id").orderBy("id", "section").collect()]
+    assert got == [(4, 1, "A", "x\n#"), (4, 2, "B", ""), (5, 0, None, "| t |")]
+    plan = chunking.islands(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_islands_sections_pages(spark):
     df = spark.createDataFrame([(1, "intro\n| a | b |\n| - | - |\nafter\n\n| c |\nend")], "doc_id int, text string")
     assert [r.kind for r in chunking.islands(df, "doc_id").orderBy("segment").collect()] == ["text", "table", "text", "table", "text"]
