@@ -10,6 +10,7 @@ from lodestone.plans import answer
 from lodestone.plans.catalogue import _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
 from lodestone.sources import pages, sinks
+from lodestone.sources.staging import new_path
 from lodestone.streaming import streams
 
 # ---- filters
@@ -434,11 +435,48 @@ _GRID = {"a": {"values": [1, 2, 5]}, "b": {"min": 0.1, "max": 0.5, "step": 0.2},
 
 @query(
     None,
-    """SELECT (a.i * 3 + b.i)::INTEGER AS config_id, a.v::DOUBLE AS a, b.v::DOUBLE AS b, 7.0::DOUBLE AS c FROM (VALUES (0, 1), (1, 2), (2, 5)) a(i, v),
-  (VALUES (0, 0.1), (1, 0.3), (2, 0.5)) b(i, v)""",
+    """WITH points AS (SELECT (a.i * 3 + b.i)::INTEGER AS config_id, a.v::DOUBLE AS a, b.v::DOUBLE AS b, 7.0::DOUBLE AS c
+  FROM (VALUES (0, 1), (1, 2), (2, 5)) a(i, v), (VALUES (0, 0.1), (1, 0.3), (2, 0.5)) b(i, v))
+SELECT config_id, a, b, c, count(value) AS above FROM points LEFT JOIN events ON value > 20 * a * b + c GROUP BY ALL""",
 )
 def grid_points(t):
-    return evaluation.grid(t.spark, _GRID)
+    """How many events each point of a grid would let through."""
+    points = F.broadcast(evaluation.grid(t.spark, _GRID))  # as many rows as the grid has points
+    above = t.events.select("value").join(points, F.col("value") > 20 * F.col("a") * F.col("b") + F.col("c")).groupBy("config_id").agg(F.count("*").alias("above"))
+    return points.join(above, "config_id", "left").select("config_id", "a", "b", "c", F.coalesce("above", F.lit(0)).cast("long").alias("above"))
+
+
+def _collection(t) -> sinks.Collection:
+    """All documents as chunks; those with labels put in again as private ones, toxic ones hidden, bad ones taken out."""
+    store = sinks.Collection(t.spark, new_path(t.spark, "collection"))
+    store.ensure(2)
+    chunks = t.docs.select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("lang").alias("doc_domain"), "visibility")
+    embed = F.array(F.length("content").cast("float"), F.lit(1.0).cast("float"))
+    store.upsert(chunks, embed)
+    labelled = chunks.join(t.labels.select(F.col("doc_id").alias("document_id")).distinct(), "document_id", "left_semi")
+    store.upsert(labelled.withColumn("visibility", F.lit("internal_private")), embed)
+    store.change(t.labels.filter("toxic = 1").select(F.col("doc_id").alias("document_id"), F.lit("hidden").alias("visibility")).distinct())
+    store.delete(t.labels.filter("quality = 0 AND toxic = 0").select(F.col("doc_id").alias("document_id")))
+    return store
+
+
+@query("docs", """, l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT doc_id AS document_id, sha256(coalesce(text, ''))[:16] AS content_hash, lang AS doc_domain,
+  CASE WHEN l.toxic = 1 THEN 'hidden' WHEN l.doc_id IS NOT NULL THEN 'internal_private' ELSE visibility END AS visibility
+FROM docs LEFT JOIN l USING (doc_id) WHERE NOT coalesce(quality = 0 AND toxic = 0, false)""")
+def collection_merge(t):
+    return _collection(t).read().select("document_id", "content_hash", "doc_domain", "visibility")
+
+
+@query("docs", """, l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT lang AS doc_domain, count(*) AS chunks, sum(length(coalesce(text, '')))::BIGINT AS chars FROM docs LEFT JOIN l USING (doc_id)
+WHERE NOT coalesce(quality = 0 AND toxic = 0, false) AND (l.doc_id IS NULL AND visibility = 'internal_private' OR l.toxic = 0) GROUP BY lang""")
+def collection_private_chunks(t):
+    """A filter on who may see a chunk after its visibility has changed; merged segments."""
+    store = _collection(t)
+    store.table.compact(everything=True)
+    private = store.read().filter("visibility = 'internal_private'")
+    return private.groupBy("doc_domain").agg(F.count("*").alias("chunks"), F.sum(F.element_at("vector", 1).cast("long")).alias("chars"))
 
 
 @query(None, _SWEEP + " SELECT config_id FROM (SELECT config_id, percent_rank() OVER (ORDER BY mrr DESC, config_id) AS place FROM m) WHERE place < 0.25")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_hash
 from lodestone.operators.bm25 import postings
-from lodestone.sources.staging import exists, remove, rename
+from lodestone.sources.staging import exists, remove
+from lodestone.sources.versioned import VersionedTable
 
 
 def write_chunks(chunks: DataFrame, path: str, embed: Column, append: bool = False) -> None:
@@ -45,10 +46,15 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 class Collection:
-    """A folder of chunks with vectors of one length, parted by domain and visibility so that filters on them skip folders."""
+    """Chunks with vectors of one length, by document and hash of the content; parted by domain and visibility so that filters on them skip folders.
+
+    ``table`` is a ``VersionedTable``: each call is one version, the last write of a chunk counts in every column, and a
+    crash leaves the version before or the new one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.table = VersionedTable(spark, f"{path}/chunks", ["document_id", "content_hash"], ["doc_domain", "visibility"])
 
     def ensure(self, dims: int, reset: bool = False) -> None:
         """Creates the collection; one that is there must have the same length of vectors, unless it is reset."""
@@ -63,31 +69,49 @@ class Collection:
     def dims(self) -> int | None:
         return self.spark.read.parquet(f"{self.path}/about").first().dims if exists(self.spark, f"{self.path}/about/_SUCCESS") else None
 
-    def upsert(self, chunks: DataFrame, embed: Column) -> None:
-        """Adds ``chunks(document_id, content, doc_domain, visibility, ...)``; what is there is not read."""
+    def _rows(self, chunks: DataFrame, embed: Column) -> DataFrame:
         size = F.size("vector")
         checked = (
             F.when(size == self.dims(), F.col("vector"))
             .otherwise(F.raise_error(F.lit("a vector has another length than the collection")).cast("array<float>"))
         )
-        out = chunks.withColumn("content_hash", content_hash(F.col("content"))).withColumn("vector", embed).withColumn("vector", checked)
-        out.write.mode("append").partitionBy("doc_domain", "visibility").parquet(f"{self.path}/chunks")
+        return chunks.withColumn("content_hash", content_hash(F.coalesce("content", F.lit("")))).withColumn("vector", embed).withColumn("vector", checked)
+
+    def upsert(self, chunks: DataFrame, embed: Column, order: list[str] | None = None) -> None:
+        """Puts ``chunks(document_id, content, doc_domain, visibility, ...)`` in the place of those of equal document and content.
+
+        Of such chunks within one call the last by ``order`` counts.
+        """
+        self.table.upsert(self._rows(chunks, embed), order)
+
+    def replace(self, chunks: DataFrame, embed: Column) -> None:
+        """The documents of ``chunks`` have these chunks and no others."""
+        rows = self._rows(chunks, embed).dropDuplicates(["document_id", "content_hash"])
+        self.table.replace(chunks.select("document_id").distinct(), rows)
+
+    def change(self, documents: DataFrame) -> None:
+        """Sets columns, such as who may see it, in all chunks of ``documents(document_id, ...)``; null is a value. No text is embedded again."""
+        found = self.table.places(documents.select("document_id"))
+        if found is not None:
+            names, new = [f for f in self.table.read().columns], [c for c in documents.columns if c != "document_id"]
+            rows = found.drop(*new).join(documents, "document_id").select(*names)
+            self.table.replace(documents.select("document_id"), rows)
 
     def read(self) -> DataFrame:
-        """Each hash once."""
-        rows = self.spark.read.parquet(f"{self.path}/chunks")
-        return rows.dropDuplicates(["document_id", "content_hash"])
+        return self.table.read()
 
     def document_ids(self) -> DataFrame:
         """All ids of documents, from that column alone."""
-        return self.spark.read.parquet(f"{self.path}/chunks").select("document_id").distinct()
+        return self.table.read().select("document_id").distinct()
 
     def delete(self, documents: DataFrame) -> None:
-        """Takes the chunks of ``documents(document_id)`` out: the rest is written beside and put in the place of the whole."""
-        rest = self.read().join(documents.select("document_id").distinct(), "document_id", "left_anti")
-        rest.write.mode("overwrite").partitionBy("doc_domain", "visibility").parquet(f"{self.path}/next")
-        remove(self.spark, f"{self.path}/chunks")
-        rename(self.spark, f"{self.path}/next", f"{self.path}/chunks")
+        """Takes the chunks of ``documents(document_id)`` out: their places are written, no file is written again."""
+        self.table.delete(documents.select("document_id"))
+
+    def tidy(self) -> None:
+        """Merges segments and lets go of what older versions alone need."""
+        self.table.compact()
+        self.table.vacuum()
 
 
 QUESTION = ["question", "expected_answer", "source_hint", "dataset", "tags", "notes", "is_active"]

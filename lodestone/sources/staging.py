@@ -48,6 +48,31 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     fs.rename(source, _path(spark, to)[1])
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    fs, source = _path(spark, path)
+    stream = fs.open(source)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file, there whole or not at all: it is written aside and renamed. False if ``path`` is taken."""
+    fs, target = _path(spark, path)
+    aside = _path(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")[1]
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    if fs.exists(target) or not fs.rename(aside, target):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex[:12]}-{name}"

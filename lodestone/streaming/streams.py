@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,9 +15,11 @@ from lodestone.functions.policy import same_config
 from lodestone.operators import bm25
 from lodestone.operators.tables import latest
 from lodestone.sources.staging import children, exists, remove
+from lodestone.sources.versioned import LEAST_BUCKETS, VersionedTable
 
 # fixed values: how many requests a user has in a minute
 LIMITS = {"chat": 20, "upload": 10, "ingest": 10}
+MERGED_COUNTS = 8  # tables of changes of frequencies that are added up into one
 
 
 def rate_windows(events: DataFrame, user: str, ts: str, limit: int, seconds: int = 60, late: str | None = None) -> DataFrame:
@@ -105,74 +108,69 @@ def ingest_files(spark: SparkSession, path: str, out: str, checkpoint: str, pars
 
 
 class LiveIndex:
-    """Postings and statistics under additions, replacements and removals, exact at every step.
+    """Postings and document frequencies under additions, replacements and removals, exact at every step.
 
     ``apply`` takes a batch of changes (``doc_id, text, deleted`` and an order, ``seq``): of a document's changes the last
-    counts, what it had is taken away and what it has now is put in its place. Documents are dealt into ``buckets``; a
-    version writes the buckets that its batch touches and names for every bucket the version that has it, so readers and
-    retries see whole versions, and a new instance goes on from the last one. Versions that none of the last two name go.
+    counts, what it had is taken away and what it has now is put in its place. Postings are segments of a
+    ``VersionedTable``: a batch writes the postings of its own documents, the places of those that they had, and how each of
+    these tokens' frequency changes; segments of like size are merged now and then, so their number grows with the
+    logarithm of the index. Readers and retries see whole versions, and a new instance goes on from the last one.
     """
 
-    SCHEMA = "doc_id long, token string, tf long, dl int"
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        done = [int(n.removeprefix("manifest-")) for n in children(spark, path) if n.startswith("manifest-")]
-        self.version = max([v for v in done if exists(spark, f"{path}/manifest-{v}/_SUCCESS")], default=0)
-
-    def _manifest(self, version: int) -> dict[int, int]:
-        """The version that has each bucket; at most ``buckets`` rows."""
-        if not version:
-            return {}
-        return {r.bucket: r.version for r in self.spark.read.parquet(f"{self.path}/manifest-{version}").collect()}
+    def __init__(self, spark: SparkSession, path: str, buckets: int = LEAST_BUCKETS):
+        self.spark, self.path = spark, path
+        self.table = VersionedTable(spark, path, ["doc_id", "token"], least_buckets=buckets)
 
-    def _rows(self, manifest: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(manifest.items())]
-        paths = [p for p in paths if exists(self.spark, p)]  # an empty bucket has no folder
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+    @property
+    def version(self) -> int:
+        return self.table.manifest()["version"]
 
     def postings(self) -> DataFrame:
-        return self._rows(self._manifest(self.version))
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
-
-    def apply(self, changes: DataFrame, epoch: int | None = None) -> None:
-        """One batch; with an ``epoch`` it is idempotent, as a stream's foreachBatch needs."""
-        if epoch is not None:  # a retried batch starts from the version before it
-            self.version = epoch
-        base, new = self._manifest(self.version), self.version + 1
-        last = latest(changes.select("doc_id", "text", "deleted", "seq"), ["doc_id"], ["seq"]).withColumn("bucket", self._bucket())
-        touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-        now = last.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("doc_id", "text")
-        old = self._rows({b: v for b, v in base.items() if b in touched}).join(last.select("doc_id"), "doc_id", "left_anti")
-        rows = old.select("doc_id", "token", "tf", "dl").unionByName(bm25.postings(now).select("doc_id", "token", "tf", "dl"))
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{new}")
-        self._commit(new, base | dict.fromkeys(touched, new))
+        rows = self.table.read()
+        return rows if rows.columns else self.spark.createDataFrame([], "doc_id long, token string, tf long, dl int")
+
+    def apply(self, changes: DataFrame, epoch: int | None = None, writer: str = "") -> None:
+        """One batch; with an ``epoch`` of its ``writer`` it is idempotent, as a stream's foreachBatch needs."""
+        mark = None if epoch is None else (writer, epoch)
+        m = self.table.manifest()
+        if self.table.applied(mark, m):
+            return
+        last = latest(changes.select("doc_id", "text", "deleted", "seq"), ["doc_id"], ["seq"])
+        now = bm25.postings(last.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("doc_id", "text")).select("doc_id", "token", "tf", "dl")
+        gone = self.table.places(last.select("doc_id"), m)
+        moved = now.select("token", F.lit(1).alias("by"))
+        if gone is not None:
+            moved = moved.unionByName(gone.select("token", F.lit(-1).alias("by")))
+        self.table.replace(last.select("doc_id"), now, mark, self._counted(m["side"], moved))
+        self.table.compact()
+        self.table.vacuum()
+
+    def _counted(self, before: list[str], moved: DataFrame) -> list[str]:
+        """Names of the tables of changes of frequencies with ``moved(token, by)``; several are added up into one now and then."""
+        name = uuid.uuid4().hex
+        if len(before) >= MERGED_COUNTS:
+            moved, before = moved.unionByName(self._counts(before)), []
+        moved.groupBy("token").agg(F.sum("by").alias("by")).filter("by != 0").write.parquet(f"{self.path}/side/{name}")
+        return [*before, name]
+
+    def _counts(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], "token string, by long")
+        return self.spark.read.schema("token string, by long").parquet(*[f"{self.path}/side/{n}" for n in names])
 
     def rebuild(self, texts: DataFrame) -> None:
         """A version from all of ``texts(doc_id, text)``, whatever was there."""
-        new = self.version + 1
-        rows = bm25.postings(texts).select("doc_id", "token", "tf", "dl").withColumn("bucket", self._bucket())
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{new}")
-        self._commit(new, dict.fromkeys(range(self.buckets), new))
-
-    def _commit(self, version: int, manifest: dict[int, int]) -> None:
-        before = self._manifest(self.version)
-        rows = [(int(b), int(v)) for b, v in manifest.items()]
-        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{version}")
-        self.version, used = version, {*manifest.values(), *before.values()}
-        for name in children(self.spark, self.path):
-            at = int(name.rpartition("-")[2].lstrip("v"))
-            if (name.startswith("v") and at < version and at not in used) or (name.startswith("manifest-") and at < version - 1):
-                remove(self.spark, f"{self.path}/{name}")
+        rows = bm25.postings(texts).select("doc_id", "token", "tf", "dl")
+        self.table.overwrite(rows, self._counted([], rows.select("token", F.lit(1).alias("by"))))
+        self.table.vacuum()
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
-        return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        go = lambda batch, epoch: self.apply(batch, epoch, checkpoint)
+        return changes.writeStream.foreachBatch(go).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def stats(self) -> DataFrame:
-        """``token, df``, exact."""
-        return self.postings().groupBy("token").agg(F.count("*").alias("df"))
+        """``token, df``, exact: the changes added up, without reading the postings."""
+        return self._counts(self.table.manifest()["side"]).groupBy("token").agg(F.sum("by").alias("df")).filter("df > 0")
 
 
 def rebuild_due(last_build: Column, now: Column, hour: int = 3) -> Column:
