@@ -2,8 +2,10 @@
 
 A tolerant scanner turns a page into blocks: text between block-level tags, with its length, the share of it that is link
 text, the share of its words that are function words, and what encloses it. Pass one decides. What stands in navigation,
-headers, footers, asides, forms, or in elements whose class, id or role name such parts, is boilerplate; so are blocks
-that are mostly links. Long blocks with enough function words are text. Short blocks, and long ones with almost no function
+headers, footers, asides, forms, hidden elements or reader comments is boilerplate; so are blocks that are mostly links.
+Class, id and role names are weighed: an element whose names speak of parts beside the article alone ("related-posts") hides
+its blocks, unless it encloses an article or has most of the page's function words; names with other words too
+("share-prices") count against open blocks only; names that deny or describe ("no-sidebar") count for nothing. Long blocks with enough function words are text. Short blocks, and long ones with almost no function
 words, stay open. In an article (article, main, or itemprop articleBody) fewer function words are enough.
 
 In pass two open blocks inherit from the nearest decided blocks before and after. Of two that differ the one counts that
@@ -47,6 +49,11 @@ FUNCTION_WORDS = {
     "es": frozenset("al algo como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()),
 }
 ANY_FUNCTION_WORD = frozenset().union(*FUNCTION_WORDS.values())
+#: of these, the words of reader comments
+COMMENTS = frozenset("comment comments commentlist respond replies reply disqus".split())
+#: words that say where or in what such a part stands, and words that deny it or tell that a page has one
+LAYOUT = frozenset("area bar block body bottom box button buttons col column container content group holder inner item items layout left link links list main module outer panel post posts primary right row secondary section site slot the top unit wrap wrapper zone".split())
+TELLING = frozenset("has hide is no not show with without".split())
 PARAGRAPH = HEADINGS | frozenset("p li dt dd pre blockquote td th figcaption caption summary".split())
 SHORT, LONG = 70, 200  # characters
 LINKED = 0.5  # link share from which a block is boilerplate
@@ -64,10 +71,11 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 
 class Block:
-    __slots__ = ("text", "label", "heading", "region", "words", "known", "sparse", "depth", "low", "paragraph")
+    __slots__ = ("text", "label", "heading", "region", "words", "known", "sparse", "depth", "low", "paragraph", "names", "doubtful")
 
-    def __init__(self, text: str, linked: int, beside: bool, article: int, heading: bool, depth: int, low: int, paragraph: bool):
-        """``depth``: of the enclosing block elements; ``low``: the least depth since the block before; ``paragraph``: whether the innermost is one."""
+    def __init__(self, text: str, linked: int, beside: bool, article: int, heading: bool, depth: int, low: int, paragraph: bool, names: tuple[int, ...] = (), doubtful: bool = False):
+        """``depth``: of the enclosing block elements; ``low``: the least depth since the block before; ``paragraph``: whether the innermost is one; ``names``: the enclosing elements that are named as beside the article; ``doubtful``: whether one is in part."""
+        self.names, self.doubtful = names, doubtful
         self.text, self.heading, self.region, self.sparse = text, heading, article, False
         self.depth, self.low, self.paragraph = depth, low, paragraph
         words = _WORDS.findall(text.lower())
@@ -89,34 +97,40 @@ class Block:
         return OPEN
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's names say that it stands beside the article, or is the article's body."""
-    beside = body = False
+NONE, PARTLY, NAMED, HIDDEN = range(4)
+
+
+def _named(word: str) -> int:
+    """What a name of an element says about its being beside the article."""
+    parts = [p.lower() for p in _PARTS.findall(word)]
+    if not parts or parts[0] in TELLING or not (parts[0] in BESIDE or parts[-1] in BESIDE):
+        return NONE
+    if parts[0] in COMMENTS or parts[-1] in COMMENTS:
+        return HIDDEN
+    return NAMED if all(p in BESIDE or p in LAYOUT for p in parts) else PARTLY
+
+
+def _marks(attributes: str) -> tuple[int, bool]:
+    """How far an element's names and attributes say that it stands beside the article, and whether it is the article's body."""
+    beside, body = NONE, False
     for name, *values in _NAMES.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "itemprop":
             body |= value.lower() == "articlebody"
-        elif name == "hidden":
-            beside = True
-        elif name == "aria-hidden":
-            beside |= value.lower() == "true"
-        elif name == "style":
-            beside |= "display:none" in value.replace(" ", "").lower()
-        else:
-            for word in value.split():
-                parts = [p.lower() for p in _PARTS.findall(word)]
-                if parts and (parts[0] in BESIDE or parts[-1] in BESIDE):
-                    beside = True
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            beside = HIDDEN
+        elif name in ("class", "id", "role"):
+            beside = max(beside, *map(_named, value.split()), NONE)
     return beside, body
 
 
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "beside", "article", "blocks")
+    __slots__ = ("tag", "beside", "article", "blocks", "level", "outer")
 
-    def __init__(self, tag: str, beside: bool, article: bool, blocks: int):
-        self.tag, self.beside, self.article, self.blocks = tag, beside, article, blocks
+    def __init__(self, tag: str, beside: bool, article: bool, blocks: int, level: int):
+        self.tag, self.beside, self.article, self.blocks, self.level, self.outer = tag, beside, article, blocks, level, 0
 
 
 class _Scanner:
@@ -128,6 +142,10 @@ class _Scanner:
         self.places: dict[str, list[int]] = {}
         self.forms: list[_Open] = []  # open forms that count as beside the article
         self.article = self.articles = self.beside = self.skipping = self.linked_in = self.depth = self.low = 0
+        self.names: list[int] = []  # numbers of the open elements that are named as beside the article
+        self.elements = self.doubtful = 0
+        self.around: set[int] = set()  # of those, the ones around an article
+        self.teasers: set[int] = set()  # articles in such elements
         self.buffer: list[str] = []
         self.linked, self.heading = 0, False
 
@@ -137,15 +155,17 @@ class _Scanner:
             if text:
                 inner = self.stack[-1].tag if self.stack else ""
                 paragraph = inner in PARAGRAPH or (inner not in BLOCK and any(self.places.get(t) for t in ("p", "li", "pre")))
-                self.out.append(Block(text, self.linked, self.beside > 0, self.article if self.beside == 0 else 0, self.heading, self.depth, min(self.low, self.depth), paragraph))
+                self.out.append(Block(text, self.linked, self.beside > 0, self.article if self.beside == 0 else 0, self.heading, self.depth, min(self.low, self.depth), paragraph, tuple(self.names), self.doubtful > 0))
                 self.low = self.depth
             self.buffer.clear()
         self.linked = 0
 
     def push(self, tag: str, attributes: str) -> None:
-        apart, body = _marks(attributes) if attributes.strip() else (False, False)
+        level, body = _marks(attributes) if attributes.strip() else (NONE, False)
         is_article = tag in ("article", "main") or body
-        apart = (apart and tag not in ("html", "body") and not is_article) or tag in BOILERPLATE or (tag == "header" and not self.article)
+        if is_article or tag in ("html", "body"):
+            level = NONE
+        apart = level == HIDDEN or tag in BOILERPLATE or (tag == "header" and not self.article)
         if is_article:
             for form in self.forms:  # a form around an article does not hide it
                 form.beside = False
@@ -153,10 +173,18 @@ class _Scanner:
             self.forms.clear()
         block = tag in BLOCK
         self.depth += block
-        element = _Open(tag, apart, is_article and not self.article, self.depth)
+        element = _Open(tag, apart, is_article and not self.article, self.depth, level)
         if element.article:
             self.articles += 1
             self.article = self.articles
+            element.outer, self.doubtful = self.doubtful, 0  # what stands around an article says nothing about its inside
+            if self.names:
+                self.around.update(self.names)
+                self.teasers.add(self.article)
+        if level == NAMED:
+            self.elements += 1
+            self.names.append(self.elements)
+        self.doubtful += level == PARTLY
         if apart and tag == "form":
             self.forms.append(element)
         self.places.setdefault(tag, []).append(len(self.stack))
@@ -170,10 +198,13 @@ class _Scanner:
         if self.places.get(element.tag):
             self.places[element.tag].pop()
         self.beside -= element.beside
+        self.doubtful -= element.level == PARTLY
+        if element.level == NAMED:
+            self.names.pop()
         if element.beside and self.forms and self.forms[-1] is element:
             self.forms.pop()
         if element.article:
-            self.article = 0
+            self.article, self.doubtful = 0, element.outer
         if element.tag in BLOCK:
             self.depth -= 1
             self.low = min(self.low, self.depth)
@@ -246,9 +277,26 @@ def blocks(page: str) -> list[Block]:
         elif tag != "wbr":
             scan.begin(tag, attributes)
     scan.flush()
+    _weigh(scan)
     return scan.out
 
 
+def _weigh(scan: _Scanner) -> None:
+    """The end of pass one: what names say, beside articles and function words."""
+    total, held = sum(b.known for b in scan.out if b.label != BAD), {}
+    for b in scan.out:
+        for name in b.names:
+            held[name] = held.get(name, 0) + (b.known if b.label != BAD else 0)
+    excused = scan.around | {name for name, known in held.items() if known and 2 * known >= total}
+    # an article in such an element is a teaser if there is one outside
+    whole = any(b.region and b.region not in scan.teasers and b.label == GOOD for b in scan.out)
+    for b in scan.out:
+        if any(name not in excused for name in b.names) or (whole and b.region in scan.teasers):
+            b.label, b.region, b.sparse = BAD, 0, False
+        elif b.doubtful and b.label == OPEN and not (b.heading and b.region):
+            b.label = BAD
+
+
 @functools.cache
 def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.I)
