@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text
-from lodestone.operators import chunking, context, evaluation, rank, tables, vector
+from lodestone.operators import chunking, context, evaluation, rank, tables, vector, vector_index
 from lodestone.plans import answer
-from lodestone.plans.catalogue import _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
+from lodestone.plans.catalogue import _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
 from lodestone.sources import pages, sinks
 from lodestone.sources.staging import new_path
@@ -489,3 +489,13 @@ def database_first(t):
     first = t.docs.agg(F.min("source").alias("source"))
     table = t.docs.join(F.broadcast(first), "source", "left_semi").select("doc_id", "source")  # one row
     return tables.first_non_empty(table, t.docs.select("doc_id", "source"))
+
+
+@query(None, _COSINE.format("AND c.label IN (1, 2, 3) AND c.vec_id % 7 <> 0") + " SELECT qid, vec_id, score, rank FROM r WHERE rank <= 10")
+def indexed_cosine(t):
+    """Nearest vectors under an access filter from a stored index: folders of other labels are not read; every seventh vector was taken out."""
+    vectors = t.embeddings.filter(F.col("label").isNotNull())
+    index = vector_index.VectorIndex.build(vectors.filter("vec_id % 3 <> 0"), new_path(t.spark, "vectors"), cells=16, parted_by=("label",))
+    index.add(vectors.filter("vec_id % 3 = 0"))  # without a rebuild
+    index.remove(vectors.filter("vec_id % 7 = 0"))
+    return index.search(t.embeddings.filter("vec_id % 20 = 0"), 10, folders=F.col("label").isin(1, 2, 3))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector
+from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector, vector_index
 from lodestone.sources import files, sinks, staging
 from lodestone.streaming import streams
 
@@ -192,6 +192,29 @@ def test_vectors(spark):
     assert spark.range(1).select(vector.lexical_rerank(F.lit("a big cat"), F.lit("the CAT sat"))).first()[0] == 0.5
 
 
+def test_vector_index(spark, tmp_path):
+    """Equal to comparing everything, after additions, replacements and removals; on clusters few cells are visited."""
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(20, 12))
+    rows = [(k, (centres[k % 20] + 0.05 * draw.normal(size=12)).tolist(), k % 3 if k % 11 else None, k % 2) for k in range(900)] + [(900, [0.0] * 12, 1, 0), (901, None, 1, 0), (902, [], 1, 0), (None, [1.0] * 12, 1, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, who int, odd int").repartition(3)
+    index = vector_index.VectorIndex.build(df.filter("vec_id < 600 OR vec_id IS NULL"), str(tmp_path / "i"), cells=20, parted_by=("who",), more=("odd",))
+    index.add(df.filter("vec_id >= 500"))
+    index.remove(df.filter("vec_id % 10 = 9"))
+    asked, left = df.filter("vec_id % 25 = 0"), df.filter("vec_id % 10 <> 9")
+    got = lambda x: sorted((r.qid, r["rank"], r.vec_id, r.score) for r in x.collect())
+    assert got(index.search(asked, 5)) == got(vector.cosine_top_k(asked, left, 5))
+    assert got(index.search(asked, 5, F.col("who").isin(0, 2), F.col("odd") == 1)) == got(vector.cosine_top_k(asked, left.filter("who IN (0, 2) AND odd = 1"), 5))
+    assert got(index.search(asked, 5, F.col("who").isNull())) == got(vector.cosine_top_k(asked, left.filter("who IS NULL"), 5))
+    work = index.visits(asked, 5).first()
+    assert work.visited < 0.3 * work.cells
+    assert got(vector_index.VectorIndex(spark, index.path, parted_by=("who",), more=("odd",)).search(asked, 5)) == got(index.search(asked, 5))
+    empty = vector_index.VectorIndex.build(df.limit(0), str(tmp_path / "e"), parted_by=("who",))
+    assert empty.search(asked, 5).collect() == []
+
+
 def docx(path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     para = lambda t, s="": f'<w:p><w:pPr>{f"<w:pStyle w:val=\"{s}\"/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
