@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.tokens import stem
-from lodestone.operators import bm25
+from lodestone.operators import bm25, substring
 from lodestone.sources.staging import exists, new_path
 
 _INDEXES: dict[tuple[str, str], str] = {}  # the path of the index of each session and folder of tables
@@ -82,7 +82,7 @@ def phrase_join(index: bm25.Index, docs: DataFrame, probes: DataFrame) -> DataFr
     """``qid, doc_id, source`` where a document has a probe verbatim.
 
     A probe's inner words are whole tokens of any text that has it, so its rarest one is looked up in the index, and the
-    phrase is tested only on documents with that token. Probes without an inner word are tested on all documents.
+    phrase is tested only on documents with that token. Probes without an inner word are found by their trigrams.
     """
     inner = F.regexp_extract_all(F.lower("probe"), F.lit("(?<=[^a-zа-яё0-9])[a-zа-яё0-9]{2,}(?=[^a-zа-яё0-9])"), F.lit(0))
     words = probes.select("qid", "probe", F.explode_outer(F.array_distinct(inner)).alias("word")).withColumn("token", stem(F.col("word")))
@@ -93,9 +93,16 @@ def phrase_join(index: bm25.Index, docs: DataFrame, probes: DataFrame) -> DataFr
     keyed = weighed.filter((F.col("inner") > 0) & (F.col("known") == F.col("inner")))
     pairs = index.holding(keyed.select("token", "qid", "probe")).select("doc_id", "qid", "probe")
     hits = docs.join(pairs, "doc_id").filter(F.contains("text", F.col("probe")))
-    rest = docs.join(weighed.filter("inner = 0").select("qid", "probe"), F.contains("text", F.col("probe")))
     cols = ["qid", "doc_id", "source"]
-    return hits.select(*cols).unionByName(rest.select(*cols))
+    found = hits.select(*cols)
+    others = weighed.filter("inner = 0").select("qid", "probe")
+    if others.isEmpty():
+        return found
+    # by trigrams, whatever the case, and then as they are; only probes of one or two characters meet every text
+    parts = others.filter(F.length("probe") >= substring.GRAM)
+    by_grams = substring.find(docs, parts.withColumnRenamed("probe", "part")).join(parts, "qid").join(docs, "doc_id").filter(F.contains("text", F.col("probe")))
+    tiny = docs.join(others.filter(F.length("probe") < substring.GRAM), F.contains("text", F.col("probe")))
+    return found.unionByName(by_grams.select(*cols)).unionByName(tiny.select(*cols))
 
 
 #: The same tables for DuckDB, as common table expressions.

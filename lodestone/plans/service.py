@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text
-from lodestone.operators import chunking, context, evaluation, rank, tables, vector, vector_index
+from lodestone.operators import chunking, context, evaluation, rank, substring, tables, vector, vector_index
 from lodestone.plans import answer
 from lodestone.plans.catalogue import _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
@@ -499,3 +499,14 @@ def indexed_cosine(t):
     index.add(vectors.filter("vec_id % 3 = 0"))  # without a rebuild
     index.remove(vectors.filter("vec_id % 7 = 0"))
     return index.search(t.embeddings.filter("vec_id % 20 = 0"), 10, folders=F.col("label").isin(1, 2, 3))
+
+
+@query(None, """SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 12, 14)))
+UNION ALL SELECT -1, doc_id FROM documents WHERE contains(lower(text), 'onthe')""")
+def indexed_substrings(t):
+    """Parts of every benchmark item, cut anywhere, and one more, in all documents, from a stored trigram index."""
+    docs = t.documents.select("doc_id", "text")
+    index = substring.SubstringIndex.build(docs, new_path(t.spark, "trigrams"))
+    parts = t.benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 12, 14).alias("part"))
+    one = parts.limit(1).select(F.lit(-1).cast(dict(parts.dtypes)["qid"]).alias("qid"), F.lit("onthe").alias("part"))
+    return index.search(docs, parts.unionByName(one))

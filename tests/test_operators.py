@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector, vector_index
+from lodestone.operators import bm25, chunking, context, evaluation, rank, substring, tables, vector, vector_index
 from lodestone.sources import files, sinks, staging
 from lodestone.streaming import streams
 
@@ -215,6 +215,22 @@ def test_vector_index(spark, tmp_path):
     assert empty.search(asked, 5).collect() == []
 
 
+def test_substring_index(spark, tmp_path):
+    rows = [(1, "The Quick brown fox"), (2, "quickbrown"), (3, "k b and brown and uic"), (4, None), (5, ""), (6, "ab"), (7, "ΟΔΟΣ straße 🙂🙂🙂 x"), (8, "aaaa%_aaaa"), (9, "abcabcabd" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [(1, "QUICK"), (2, "k brow"), (3, "🙂🙂"), (4, "🙂🙂🙂"), (5, "%_a"), (6, "abd"), (7, "zzz"), (8, "aaa"), (9, "bcabcabdabc"), (10, None), (11, "row")]
+    parts = spark.createDataFrame([a for a in asked if a[0] != 3], "qid long, part string")
+    want = sorted((q, d) for q, p in asked if p and q != 3 for d, t in rows if t and p.lower() in t.lower())
+    index = substring.SubstringIndex.build(df, str(tmp_path / "i"))
+    got = lambda x: sorted((r.qid, r.doc_id) for r in x.collect())
+    assert got(index.search(df, parts)) == got(substring.find(df, parts)) == want
+    # trigrams that stand elsewhere in a text do not make it a candidate
+    assert got(index.candidates(parts.filter("qid = 2"))) == [(2, 1)]
+    with pytest.raises(Exception, match="characters or more"):
+        index.search(df, spark.createDataFrame([(3, "🙂🙂")], "qid long, part string")).collect()
+    assert substring.SubstringIndex.build(df.limit(0), str(tmp_path / "e")).search(df, parts).collect() == []
+
+
 def docx(path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     para = lambda t, s="": f'<w:p><w:pPr>{f"<w:pStyle w:val=\"{s}\"/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
