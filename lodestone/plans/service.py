@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text
-from lodestone.operators import chunking, context, evaluation, rank, substring, tables, vector, vector_index
+from lodestone.operators import chunking, context, evaluation, rank, substring, tables, vector, vector_index, visibility
 from lodestone.plans import answer
-from lodestone.plans.catalogue import _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
+from lodestone.plans.catalogue import _BM25, _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
 from lodestone.sources import pages, sinks
 from lodestone.sources.staging import new_path
@@ -510,3 +510,24 @@ def indexed_substrings(t):
     parts = t.benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 12, 14).alias("part"))
     one = parts.limit(1).select(F.lit(-1).cast(dict(parts.dtypes)["qid"]).alias("qid"), F.lit("onthe").alias("part"))
     return index.search(docs, parts.unionByName(one))
+
+
+_MAY = """CASE visibility WHEN 'internal_public' THEN kind = 'internal' WHEN 'internal_group' THEN kind = 'internal' AND group_id = user_id % 5
+  WHEN 'internal_private' THEN kind = 'internal' AND owner_id = user_id ELSE owner_id = user_id AND {} END"""
+
+
+@query("docs users", f" SELECT user_id, count(*) AS n_visible FROM users JOIN docs ON {_MAY.format('true')} OR (visibility = 'client_private' AND kind = 'internal' AND role = 'admin') GROUP BY user_id")
+def bitmap_counts_by_user(t):
+    """How many documents each user sees, from bitmaps alone."""
+    index = visibility.VisibleIndex.build(t.docs, new_path(t.spark, "visible"))
+    return index.counts(visibility.holders(t.users, t.memberships))
+
+
+@query("docs users", f""", {_BM25}, w AS (SELECT c_custkey - 1 AS qid, c_custkey AS user_id FROM customer)
+SELECT qid, doc_id, rank FROM sparse JOIN w USING (qid) JOIN users USING (user_id) JOIN docs USING (doc_id) WHERE rank <= 25 AND {_MAY.format("kind = 'client'")}""")
+def bitmap_filtered_search(t):
+    """The best 25 documents of each question, asked by the user of the next number, less those that this user does not see."""
+    index = visibility.VisibleIndex.build(t.docs, new_path(t.spark, "visible"))
+    found = t.index.search(_asked(t), 25).withColumn("user_id", F.col("qid") + 1)
+    who = visibility.holders(t.users, t.memberships, for_list=False)
+    return index.allowed(found, who).select("qid", "doc_id", "rank")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import bm25, chunking, context, evaluation, rank, substring, tables, vector, vector_index
+from lodestone.functions import acl
+from lodestone.operators import bm25, chunking, context, evaluation, rank, substring, tables, vector, vector_index, visibility
 from lodestone.sources import files, sinks, staging
 from lodestone.streaming import streams
 
@@ -215,6 +216,28 @@ def test_vector_index(spark, tmp_path):
     assert empty.search(asked, 5).collect() == []
 
 
+@pytest.mark.parametrize("for_list", [True, False])
+def test_bitmaps_see_what_the_rules_see(spark, tmp_path, for_list):
+    kinds = ["internal_public", "internal_group", "internal_private", "client_private", None, "other"]
+    docs = spark.createDataFrame([(k * 9001, kinds[k % 6], k % 7 if k % 6 in (2, 3) else None, k % 3 if k % 6 == 1 else None) for k in range(60)] + [(None, "internal_public", None, None)], "doc_id long, visibility string, owner_id long, group_id long").repartition(3)
+    people = [(u, "client" if u % 3 == 0 else "internal", "admin" if u in (0, 1) else "user") for u in range(8)]
+    users = spark.createDataFrame(people, "user_id long, kind string, role string")
+    groups = {u: [u % 3, 2] for u in range(8)}
+    members = spark.createDataFrame([(u, g) for u, gs in groups.items() for g in gs] + [(1, None)], "user_id long, group_id long")
+    index = visibility.VisibleIndex.build(docs, str(tmp_path / "v"))
+    who = visibility.holders(users, members, for_list)
+    want = {u: {r.doc_id for r in docs.filter("doc_id IS NOT NULL").filter(acl.visible(kind, u, groups[u], for_list, role)).collect()} for u, kind, role in people}
+    if for_list:  # in lists what a user owns as a client counts for every kind of user
+        for u, *_ in people:
+            want[u] |= {k * 9001 for k in range(60) if k % 6 == 3 and k % 7 == u}
+    assert {r.user_id: r.n_visible for r in index.counts(who).collect()} == {u: len(d) for u, d in want.items() if d}
+    pairs = users.select("user_id").join(docs.select("doc_id").filter("doc_id IS NOT NULL"))
+    got = {}
+    for r in index.allowed(pairs.withColumn("bucket", F.lit(1)), who).collect():
+        got.setdefault(r.user_id, set()).add(r.doc_id)
+    assert got == {u: d for u, d in want.items() if d}
+
+
 def test_substring_index(spark, tmp_path):
     rows = [(1, "The Quick brown fox"), (2, "quickbrown"), (3, "k b and brown and uic"), (4, None), (5, ""), (6, "ab"), (7, "ΟΔΟΣ straße 🙂🙂🙂 x"), (8, "aaaa%_aaaa"), (9, "abcabcabd" * 2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
