@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text
-from lodestone.operators import chunking, context, evaluation, rank, substring, tables, vector, vector_index, visibility
+from lodestone.operators import chunking, context, evaluation, rank, sketches, substring, tables, vector, vector_index, visibility
 from lodestone.plans import answer
 from lodestone.plans.catalogue import _BM25, _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
@@ -531,3 +531,31 @@ def bitmap_filtered_search(t):
     found = t.index.search(_asked(t), 25).withColumn("user_id", F.col("qid") + 1)
     who = visibility.holders(t.users, t.memberships, for_list=False)
     return index.allowed(found, who).select("qid", "doc_id", "rank")
+
+
+_SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _daily(t):
+    return sketches.merged(sketches.windows(t.logs, ["question"], "latency", "user_id", "started_at"), ["question"], "day")
+
+
+@query()
+def daily_quantiles(t):
+    """Latencies and users of each kind of request by day, from hourly sketches; ``sketch_errors`` compares them with the rows."""
+    return sketches.read(_daily(t), _SHARES)
+
+
+@query("logs", """ SELECT question, date_trunc('day', started_at)::DATE AS start, count(*) AS n, true AS p50, true AS p95, true AS p99, true AS users
+  FROM logs GROUP BY ALL""")
+def sketch_errors(t):
+    """Whether each quantile's rank among the day's rows, and the distinct users, are within the stated errors."""
+    daily = sketches.read(_daily(t), _SHARES)
+    rows = t.logs.withColumn("start", F.date_trunc("day", "started_at")).join(daily, ["question", "start"])
+    below = {c: F.count_if(F.col("latency") < F.col(c)) / F.count("latency") for c in _SHARES}
+    upto = {c: F.count_if(F.col("latency") <= F.col(c)) / F.count("latency") for c in _SHARES}
+    error = F.lit(sketches.RANK_ERROR) + 1 / F.count("latency")
+    users = F.abs(F.first("distinct") / F.countDistinct("user_id") - 1) <= sketches.DISTINCT_ERROR
+    return rows.groupBy("question", "start").agg(
+        F.count("*").alias("n"), *[((below[c] <= p + error) & (upto[c] >= p - error)).alias(c) for c, p in _SHARES.items()], users.alias("users")
+    ).withColumn("start", F.to_date("start"))

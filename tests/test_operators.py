@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import acl
-from lodestone.operators import bm25, chunking, context, evaluation, rank, substring, tables, vector, vector_index, visibility
+from lodestone.operators import bm25, chunking, context, evaluation, rank, sketches, substring, tables, vector, vector_index, visibility
 from lodestone.sources import files, sinks, staging
 from lodestone.streaming import streams
 
@@ -238,6 +238,24 @@ def test_bitmaps_see_what_the_rules_see(spark, tmp_path, for_list):
     assert got == {u: d for u, d in want.items() if d}
 
 
+def test_sketches_merge_within_their_errors(spark):
+    """Hours merged into days and into one, against exact ranks and counts."""
+    events = spark.range(40_000).select((F.col("id") % 3).alias("kind"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) ** 2).cast("double").alias("v"), (F.col("id") % 7001).alias("u"), F.timestamp_seconds(F.col("id") * 9).alias("ts")).repartition(5)
+    hours = sketches.windows(events, ["kind"], "v", "u", "ts").cache()
+    assert hours.count() == 300
+    days = sketches.read(sketches.merged(hours, ["kind"], "day"), {"p50": 0.5, "p99": 0.99})
+    assert days.count() == 15 and days.agg(F.sum("n")).first()[0] == 40_000
+    one = sketches.read(sketches.merged(hours, []), {"p50": 0.5, "p99": 0.99}).first()
+    assert one.n == 40_000 and abs(one.distinct / 7001 - 1) <= sketches.DISTINCT_ERROR
+    for name, share in (("p50", 0.5), ("p99", 0.99)):
+        assert abs(events.filter(F.col("v") <= one[name]).count() / 40_000 - share) <= sketches.RANK_ERROR + 1e-4
+    assert abs(one["mean"] - events.agg(F.avg("v")).first()[0]) < 1e-3
+    blank = spark.createDataFrame([(None, None, None)], "v double, u long, ts timestamp")
+    got = sketches.read(sketches.merged(sketches.windows(blank, [], "v", "u", "ts"), []), {"p50": 0.5}).first()
+    assert (got.n, got["mean"], got.p50, got.distinct) == (1, None, None, 0)
+    assert sketches.read(sketches.windows(events.limit(0), ["kind"], "v", "u", "ts"), {"p50": 0.5}).collect() == []
+
+
 def test_substring_index(spark, tmp_path):
     rows = [(1, "The Quick brown fox"), (2, "quickbrown"), (3, "k b and brown and uic"), (4, None), (5, ""), (6, "ab"), (7, "ΟΔΟΣ straße 🙂🙂🙂 x"), (8, "aaaa%_aaaa"), (9, "abcabcabd" * 2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
