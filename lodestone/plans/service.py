@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy, text
-from lodestone.operators import chunking, context, evaluation, rank, sketches, substring, tables, vector, vector_index, visibility
+from lodestone.operators import chunking, context, digests, evaluation, rank, sketches, substring, tables, vector, vector_index, visibility
 from lodestone.plans import answer
 from lodestone.plans.catalogue import _BM25, _COSINE, _EVAL, _FUSED, _SWEEP, _VISIBLE, _asked, _swept
 from lodestone.plans.registry import query
@@ -559,3 +559,24 @@ def sketch_errors(t):
     return rows.groupBy("question", "start").agg(
         F.count("*").alias("n"), *[((below[c] <= p + error) & (upto[c] >= p - error)).alias(c) for c, p in _SHARES.items()], users.alias("users")
     ).withColumn("start", F.to_date("start"))
+
+
+# ---- tables compared by digests of ranges
+
+
+@query(None, """SELECT doc_id, 'right' AS difference FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'left' FROM
+  labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def reconcile_by_digests(t):
+    """Documents without labels and labels without documents; only ranges of ids that differ are joined."""
+    return digests.reconcile(t.documents, t.labels, "doc_id")
+
+
+@query(None, """WITH l AS (SELECT l_orderkey AS key, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS status FROM
+  lineitem GROUP BY ALL)
+SELECT coalesce(o_orderkey, key) AS key, CASE WHEN o_orderkey IS NULL THEN 'left' WHEN key IS NULL THEN 'right' ELSE 'changed' END AS difference
+FROM orders FULL JOIN l ON o_orderkey = key WHERE o_orderstatus IS DISTINCT FROM status""")
+def reconcile_status(t):
+    """The status that orders have against the one their lines make."""
+    lo, hi = F.min("l_linestatus"), F.max("l_linestatus")
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("key")).agg(F.when(lo == hi, lo).otherwise("P").alias("status"))
+    return digests.reconcile(t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), lines, "key", ["status"])
