@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.policy import judge_reason, judge_score
+from lodestone.sources.ledger import Ledger
 
 # fixed values: metrics that judges give out of ten, and the falls that fail a run
 OUT_OF_TEN = {"faithfulness", "relevancy", "correctness"}
@@ -188,6 +189,25 @@ def judged(answers: DataFrame, judge: Callable[[str, dict], str], retries: int =
     return raw.drop(*[f"_{m}" for m in metrics])
 
 
+def judged_once(answers: DataFrame, ledger: Ledger, model: Callable[[str, str], str], columns: list[str] | None = None, retries: int = 3) -> DataFrame:
+    """As ``judged``, by a journal: ``model(metric, prompt)`` sees ``columns`` (all that a judge needs) as JSON and is called once for each distinct prompt.
+
+    What earlier runs and lost tasks were told is taken from the journal.
+    """
+    metrics = [m for m in METRICS if m in OUT_OF_TEN]
+    columns = columns or [c for c in ("question", "answer", "expected_answer", "context") if c in answers.columns]
+    asked = answers.withColumn("_prompt", F.to_json(F.struct(*columns)))
+    expected = F.coalesce(F.col("expected_answer") != "", F.lit(False))
+    which = F.array_compact(F.array(*[F.when(expected, F.lit(m)) if m == "correctness" else F.lit(m) for m in metrics]))
+    replies = ledger.ask(asked.select(F.explode(which).alias("kind"), F.col("_prompt").alias("prompt")).distinct(), model, retries)
+    said = replies.groupBy(F.col("prompt").alias("_prompt")).agg(*[F.max(F.when(F.col("kind") == m, F.col("reply"))).alias(f"_{m}") for m in metrics])
+    raw = asked.join(said, "_prompt", "left")
+    for m in metrics:
+        reply = F.col(f"_{m}")
+        raw = raw.withColumn(m, F.when(reply.isNotNull(), judge_score(reply))).withColumn(f"{m}_reason", F.when(reply.isNotNull(), judge_reason(reply)))
+    return raw.drop("_prompt", *[f"_{m}" for m in metrics])
+
+
 def compare(current: DataFrame, baseline: DataFrame, spark: SparkSession, thresholds: dict[str, float] | None = None) -> DataFrame:
     """``metric, baseline, current, delta, threshold, failed`` for each threshold; a missing side is skipped and does not fail. Inputs: ``metric, value``."""
     limits = spark.createDataFrame(list((thresholds or THRESHOLDS).items()), "metric string, threshold double")
