@@ -11,7 +11,7 @@ from lodestone.plans.catalogue import _BM25, _COSINE, _EVAL, _FUSED, _SWEEP, _VI
 from lodestone.plans.registry import query
 from lodestone.sources import pages, sinks
 from lodestone.sources.staging import new_path
-from lodestone.streaming import streams
+from lodestone.streaming import stateful, streams
 
 # ---- filters
 
@@ -580,3 +580,22 @@ def reconcile_status(t):
     lo, hi = F.min("l_linestatus"), F.max("l_linestatus")
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("key")).agg(F.when(lo == hi, lo).otherwise("P").alias("status"))
     return digests.reconcile(t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), lines, "key", ["status"])
+
+
+# ---- state of streams
+
+_LAST = "TIMESTAMP'9999-01-01'"  # a row after all others, so that the watermark passes them
+
+
+@query(None, """SELECT user_id AS key, event_id AS seq, count(*) OVER w AS n, count(*) OVER w > 2 AS limited FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '21599999999 microseconds' PRECEDING AND CURRENT ROW)""")
+def sliding_rate_limits(t):
+    """A stream of the events: how many each user had in the six hours up to each of them; what the stream wrote is read back."""
+    out = new_path(t.spark, "limits")
+    t.spark.sql(f"SELECT CAST(-1 AS LONG) AS user_id, CAST(-1 AS LONG) AS event_id, {_LAST} AS ts").write.parquet(f"{out}/last")
+    events = t.spark.readStream.schema(t.events.schema).parquet(t.dir, pathGlobFilter="events.parquet")
+    last = t.spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(f"{out}/last")
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    counted = stateful.sliding_limits(rows.unionByName(last), "user_id", "ts", "event_id", 2, 6 * 3600)
+    stateful.run_stateful(t.spark, counted, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.schema("key long, seq long, n long, limited boolean").parquet(f"{out}/rows").filter("seq >= 0")
