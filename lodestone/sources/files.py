@@ -172,7 +172,7 @@ def parse(files: DataFrame, ports: dict[str, Port] | None = None) -> DataFrame:
     """``path, filename, extension, text, error`` of ``listing(..., content=True)``.
 
     Text and Markdown are decoded with replacement, DOCX and RTF by the parsers here; for other kinds ``ports`` has
-    a function of the bytes. A failure or a text of under ``LEAST_CHARS`` characters gives an error and no text.
+    a function of the bytes, and only these kinds' bytes go to Python. A failure or a text of under ``LEAST_CHARS`` characters gives an error and no text.
     """
     readers: dict[str, Port] = {".docx": docx_text, ".rtf": rtf_text} | (ports or {})
 
@@ -189,7 +189,7 @@ def parse(files: DataFrame, ports: dict[str, Port] | None = None) -> DataFrame:
     plain = F.col("extension").isin(".txt", ".md") & ~F.col("extension").isin(*readers)
     parsed = files.withColumn(
         "_p",
-        F.when(plain, F.struct(F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(read("content", "extension")),
+        F.when(plain, F.struct(F.col("content").cast("string").alias("text"), F.lit(None).cast("string").alias("error"))).otherwise(read(F.when(~plain, F.col("content")), "extension")),
     )
     text = F.when(F.col("extension") == ".md", strip_markdown(F.col("_p.text"))).otherwise(F.col("_p.text"))
     short = F.coalesce(F.length(strip(text)), F.lit(0)) < LEAST_CHARS
