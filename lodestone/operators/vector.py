@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK = 8192
+SLICE = 1 << 22  # scores at a time
 
 
 def _blocks(df: DataFrame, block: int) -> int:
     return max(1, -(-df.count() // block))
 
 
-def _packed(df: DataFrame, key: str, vector: str, name: str, blocks: int) -> DataFrame:
-    """A row of vectors for each block; a null or empty vector is left out."""
-    df = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0))
-    row = F.struct(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(row).alias(name))
+def _dealt(df: DataFrame, key: str, vector: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """``own, other, key, v``: a row for each block of the other side; a null or empty vector is left out."""
+    row = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return row.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<bigint>")).alias(other), "key", "v")
 
 
-def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    v = np.array([list(r["v"]) for r in rows], dtype=float)
+def _unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, vectors = (rows.column(c).combine_chunks() for c in ("key", "v"))
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.array([r["key"] for r in rows]), np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return keys.to_numpy(zero_copy_only=False), np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
 def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
@@ -34,26 +36,30 @@ def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "
 
     A query is no candidate of its own. Scores are rounded, ties go to the smaller key. Vectors have one length; zero vectors score 0.
     """
-    n = _blocks(candidates, block)
-    # every block of queries is sent to each block of candidates by its number; no side is broadcast for its growth
-    asked = (
-        _packed(queries, key, vector, "q", _blocks(queries, block))
-        .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    )
-    pairs = asked.join(_packed(candidates, key, vector, "c", n), "c_block")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_rows, c_rows in zip(batch["q"], batch["c"], strict=True):
-                (qi, q), (ci, c) = _unit(q_rows), _unit(c_rows)
-                scores = np.round(q @ c.T, digits) + 0.0
-                scores[qi[:, None] == ci[None, :]] = -np.inf
-                for i, row in zip(qi, scores, strict=True):
-                    order = np.lexsort((ci, -row))[:k]
-                    order = order[row[order] > -np.inf]
-                    yield pd.DataFrame({"qid": i, key: ci[order], "score": row[order]})
-
-    found = pairs.select("q", "c").mapInPandas(best, f"qid long, {key} long, score double")
+    n, m = _blocks(candidates, block), _blocks(queries, block)
+    # blocks meet in a shuffle by both numbers, whatever their sizes: nothing is broadcast, and a task holds two blocks
+    asked = _dealt(queries, key, vector, "q_block", m, "c_block", n)
+    met = _dealt(candidates, key, vector, "c_block", n, "q_block", m)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            (qi, q), (ci, c) = _unit(left), _unit(right)
+            order = np.argsort(ci, kind="stable")  # ties go to the smaller key, which stands first
+            ci, c = ci[order], c[order]
+            step = max(1, SLICE // len(ci))
+            for at in range(0, len(qi), step):
+                scores = np.round(q[at : at + step] @ c.T, digits) + 0.0
+                scores[qi[at : at + step, None] == ci[None, :]] = -np.inf
+                least = np.partition(scores, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(scores), -np.inf)
+                for i, row, low in zip(qi[at : at + step], scores, least, strict=True):
+                    found = np.flatnonzero((row >= low) & (row > -np.inf))
+                    found = found[np.argsort(-row[found], kind="stable")[:k]]
+                    rows.append((np.full(len(found), i), ci[found], row[found]))
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", key, "score"])
+
+    found = asked.groupBy("q_block", "c_block").cogroup(met.groupBy("q_block", "c_block")).applyInArrow(best, f"qid long, {key} long, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -193,6 +193,24 @@ def test_vectors(spark):
     assert spark.range(1).select(vector.lexical_rerank(F.lit("a big cat"), F.lit("the CAT sat"))).first()[0] == 0.5
 
 
+def test_cosine_blocks_are_not_broadcast(spark):
+    """Blocks meet in a shuffle even where Spark finds them small, in several blocks and slices the result is that of all pairs."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    v = np.round(draw.normal(size=(150, 4)), 1)
+    v[100:] = v[:50]  # ties
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = vector.cosine_top_k(df.filter("vec_id % 4 = 0"), df, 6, block=16)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 6) + 0.0
+    want = [(q, c, r + 1) for q in range(0, 150, 4) for r, c in enumerate(sorted(set(range(150)) - {q}, key=lambda c: (-scores[q, c], c))[:6])]
+    assert sorted((r.qid, r.vec_id, r["rank"]) for r in got.collect()) == sorted(want)
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in executed
+
+
 def test_vector_index(spark, tmp_path):
     """Equal to comparing everything, after additions, replacements and removals; on clusters few cells are visited."""
     import numpy as np
