@@ -57,8 +57,29 @@ class VisibleIndex:
         return self.bitmaps.join(who, "holder").groupBy("user_id", "bucket").agg(F.bitmap_or_agg("docs").alias("docs"))
 
     def counts(self, who: DataFrame) -> DataFrame:
-        """``user_id, n_visible``; users who see nothing are left out."""
-        return self.visible(who).groupBy("user_id").agg(F.sum(F.bitmap_count("docs")).alias("n_visible"))
+        """``user_id, n_visible``; users who see nothing are left out.
+
+        Holders of several users are or-ed once for each set of them that some user has. What a user alone has is then
+        looked at in its own buckets only, so bitmaps are opened for sets and for holders, not for users.
+        """
+        known = who.join(self.bitmaps.select("holder").distinct(), "holder", "left_semi")  # holders without documents count for nobody
+        several = known.groupBy("holder").agg((F.count("*") > 1).alias("several"))
+        parts = known.join(several, "holder").groupBy("user_id").agg(
+            F.array_sort(F.collect_set(F.when(F.col("several"), F.col("holder")))).alias("together"), F.array_sort(F.collect_set(F.when(~F.col("several"), F.col("holder")))).alias("alone")
+        )
+        sets = parts.select("together").distinct().select("together", F.explode("together").alias("holder"))
+        both = self.bitmaps.join(sets, "holder").groupBy("together", "bucket").agg(F.bitmap_or_agg("docs").alias("docs"))
+        shared = both.groupBy("together").agg(F.sum(F.bitmap_count("docs")).alias("n"))
+        alone = parts.filter(F.size("alone") > 0).select("user_id", "together", F.explode("alone").alias("holder"))
+        own = self.bitmaps.join(alone, "holder").groupBy("user_id", "together", "bucket").agg(F.bitmap_or_agg("docs").alias("own"))
+        # a bucket counts for what the own bitmaps add to the common ones
+        met = own.join(both.withColumnRenamed("docs", "common"), ["together", "bucket"], "left").select(
+            "user_id", "bucket", F.coalesce(F.bitmap_count("common"), F.lit(0)).alias("before"), F.explode(F.array_compact(F.array("own", "common"))).alias("docs")
+        )
+        united = met.groupBy("user_id", "bucket", "before").agg(F.bitmap_count(F.bitmap_or_agg("docs")).alias("after"))
+        more = united.groupBy("user_id").agg(F.sum(F.col("after") - F.col("before")).alias("more"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+        return parts.select("user_id", "together").join(shared, "together", "left").join(more, "user_id", "left").select("user_id", n.alias("n_visible")).filter("n_visible > 0")
 
     def allowed(self, found: DataFrame, who: DataFrame) -> DataFrame:
         """Those rows of ``found(user_id, doc_id, ...)`` whose document the user sees, by a bit each."""

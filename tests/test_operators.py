@@ -256,6 +256,27 @@ def test_bitmaps_see_what_the_rules_see(spark, tmp_path, for_list):
     assert got == {u: d for u, d in want.items() if d}
 
 
+def test_bitmaps_are_opened_for_sets_of_holders(spark, tmp_path):
+    """A thousand users of five kinds open as many bitmaps as five users; owners open those of their own buckets."""
+    docs = spark.range(40).select((F.col("id") * 32_768).alias("doc_id"), F.lit("internal_public").alias("visibility"), F.lit(None).cast("long").alias("owner_id"), F.lit(None).cast("long").alias("group_id"))
+    own = spark.createDataFrame([(32_768 * 7, "internal_private", 3, None), (32_768 * 7 + 1, "internal_private", 3, None), (32_768 * 99, "client_private", 4, None), (5, "internal_group", None, 1)], docs.schema)
+    users = spark.range(1000).select(F.col("id").alias("user_id"), F.lit("internal").alias("kind"), F.when(F.col("id") < 2, "admin").otherwise("user").alias("role"))
+    members = spark.range(1000).select(F.col("id").alias("user_id"), (F.col("id") % 5).alias("group_id"))
+    index = visibility.VisibleIndex.build(docs.unionByName(own), str(tmp_path / "v"))
+    counted = index.counts(visibility.holders(users, members))
+    got = {r.user_id: r.n_visible for r in counted.collect()}
+    # the first of the two documents of user 3 has the number of a public one
+    want = {u: 40 + (u % 5 == 1) + (u == 3) + (u == 4 or u < 2) for u in range(1000)}
+    assert got == want
+    walk, most = [counted._jdf.queryExecution().executedPlan()], 0
+    while walk:
+        node = walk.pop()
+        walk += [node.children().apply(k) for k in range(node.children().size())] + ([node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [])
+        if "bitmap_or_agg" in node.toString().splitlines()[0] and "numOutputRows" in str(node.metrics().keys()):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert 0 < most < 1000
+
+
 def test_sketches_merge_within_their_errors(spark):
     """Hours merged into days and into one, against exact ranks and counts."""
     events = spark.range(40_000).select((F.col("id") % 3).alias("kind"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) ** 2).cast("double").alias("v"), (F.col("id") % 7001).alias("u"), F.timestamp_seconds(F.col("id") * 9).alias("ts")).repartition(5)
