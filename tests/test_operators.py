@@ -87,6 +87,26 @@ def test_pruned_search_finds_what_scoring_all_finds(spark, tmp_path, monkeypatch
     assert {(r.qid, r.doc_id): r.dense for r in index.lists(asked, 5).filter("dense is not null").collect()} == want
 
 
+def test_tokens_in_tasks_are_those_of_the_columns(spark):
+    from lodestone.functions import tokens
+
+    texts = ["Nations mention moment ёлки Ёлками ОСТИ радость Ärger İstanbul K2 \u212aelvin ß ǅ ΟΔΟΣ naïveness x 12 ab1ый ый1 tion action ление", "", "a", "слово словами 🙂слова\tтекст-ий ость гость able table"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in df.select("text", tokens.tokenize_raw(F.col("text")).alias("raw"), tokens.tokenize(F.col("text")).alias("stems")).collect():
+        assert tokens.tokens_of(r.text) == r.raw and [tokens.stem_of(x) for x in r.raw] == r.stems
+
+
+def test_index_sends_each_text_once(spark, tmp_path, monkeypatch):
+    """Postings are packed: what a range has of a token is a few bytes a document, also for many repetitions and long texts."""
+    monkeypatch.setattr(bm25, "RANGE_TOKENS", 4000)
+    texts = spark.createDataFrame([(f"k{k}", "often " * (300 * k % 70_001) + f"rare{k} " * 2) for k in range(40)], "doc_id string, text string").repartition(4)
+    index = bm25.Index.build(texts, str(tmp_path / "index"))
+    rows = index.blocks.filter("token = 'often'")
+    assert rows.agg(F.sum("n")).first()[0] == 39 and rows.filter("length(at) > n OR length(tf) > 4 * n").count() == 0
+    held = index.holding(spark.createDataFrame([("often", 7), ("rare3", 8), ("none", 9)], "token string, mark int")).collect()
+    assert {(r.mark, r.doc_id, r.tf, r.dl) for r in held} == {(7, f"k{k}", 300 * k, 300 * k + 2) for k in range(1, 40)} | {(8, "k3", 2, 902)}
+
+
 def test_pruned_search_scores_few_documents(spark, sf_dir, tmp_path):
     docs, asked = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id as qid", "text as question")
     index = bm25.Index.build(docs.select("doc_id", "text"), str(tmp_path / "index"))
