@@ -331,6 +331,20 @@ def test_substring_index(spark, tmp_path):
     assert substring.SubstringIndex.build(df.limit(0), str(tmp_path / "e")).search(df, parts).collect() == []
 
 
+def test_substrings_are_indexed_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """A row for each trigram and segment, not for each document; several segments in a task give the same."""
+    texts = spark.createDataFrame([(f"k{k}", f"xabc{'abc' * (k % 5)} {k % 17:03d}y") for k in range(300)], "doc_id string, text string").repartition(2)
+    parts = spark.createDataFrame([(1, "cabc "), (2, "ABC 01"), (3, "abc 016y"), (4, "q00")], "qid long, part string")
+    want = sorted((q, r.doc_id) for q, p in [(1, "cabc "), (2, "abc 01"), (3, "abc 016y"), (4, "q00")] for r in texts.collect() if p in r.text)
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(substring, "SEGMENT", size)
+        index = substring.SubstringIndex.build(texts, str(tmp_path / str(size)))
+        assert sorted((r.qid, r.doc_id) for r in index.search(texts, parts).collect()) == want
+        assert index.counts.filter(F.col("gram") == (ord("a") << 42 | ord("b") << 21 | ord("c"))).first().df == 300
+        if size > 200:
+            assert index.grams.groupBy("gram").count().agg(F.max("count")).first()[0] <= 2
+
+
 def docx(path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     para = lambda t, s="": f'<w:p><w:pPr>{f"<w:pStyle w:val=\"{s}\"/>" if s else ""}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
