@@ -103,6 +103,7 @@ def sweep(places: DataFrame, lists: list[str], configs: DataFrame, questions: Da
     ``places``: ``qid, key`` and for each list a column with the key's place in it, null if it has none, up to the largest
     fetch_k; the weight of a list is the configuration's column ``<list>_weight``. The grid is small and is broadcast.
     """
+    sources = sources.join(places.select("key").distinct(), "key", "left_semi")  # before they meet the places under every configuration
     rows = places.crossJoin(F.broadcast(configs))
     taken = [F.when(F.col(n) <= F.col("fetch_k"), F.col(f"{n}_weight") / (F.col("rrf_k") + F.col(n))) for n in lists]
     score = F.round(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in taken]), 9)
