@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import acl, policy
 from lodestone.operators import bm25, chunking, context, evaluation, rank, tables, vector
-from lodestone.plans import answer
-from lodestone.plans.derived import phrase_join
+from lodestone.plans import answer, catalogue, service  # noqa: F401  both register their queries
+from lodestone.plans.derived import Tables, phrase_join
+from lodestone.plans.registry import QUERIES
 from lodestone.sources import database, files, pages, sinks, staging
 from lodestone.streaming import streams
 
@@ -40,6 +41,41 @@ def test_index_equals_a_search_without_one(spark, tmp_path):
     assert (empty.n_docs, empty.avgdl) == (0, 1.0) and empty.search(asked, 3).count() == 0
 
 
+def _met_by_shuffle(df, column):
+    """Whether a join by ``column`` shuffles its sides, in the plan that ran."""
+    df.collect()
+    return f"SortMergeJoin [{column}#" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # less than the documents of the smallest tables
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_phrases_go_to_the_texts(spark, sf_dir, small_broadcasts):
+    t = Tables(spark, sf_dir)
+    assert not _met_by_shuffle(t.questions, "doc_id")
+    hits = phrase_join(t.index, t.documents.select("doc_id", "text", "source"), t.benchmark.selectExpr("item_id AS qid", "text AS probe"))
+    assert hits.count() == t.documents.join(t.benchmark.select(F.col("text").alias("probe")), F.contains("text", F.col("probe"))).count() > 0
+
+
+@pytest.mark.parametrize("name", ["rerank_lexical", "answer_context", "source_flags", "context_budget", "rerank_search"])
+def test_candidates_go_to_the_documents(spark, sf_dir, small_broadcasts, name):
+    assert not _met_by_shuffle(QUERIES[name](spark, sf_dir), "doc_id")
+
+
+def test_a_sweep_takes_sources_of_listed_keys_only(spark):
+    places = spark.createDataFrame([(1, 5, 1, 2), (1, 6, None, 1)], "qid long, key long, dense int, sparse int")
+    configs = spark.createDataFrame([(0, 5.0, 5.0, 30.0, 1.0, 1.0)], "config_id int, fetch_k double, top_k double, rrf_k double, dense_weight double, sparse_weight double")
+    asked = spark.createDataFrame([(1, "b"), (2, None)], "qid long, source_hint string")
+    sources = spark.createDataFrame([(5, "a"), (6, "b"), (7, "b"), (6, "b2")], "key long, source string")
+    df = evaluation.sweep(places, ["dense", "sparse"], configs, asked, sources)
+    assert [tuple(r) for r in df.collect()] == [(0, 1.0, 0.5)]
+    assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scalars(spark):
     key = lambda owner, group: one(spark, policy.storage_key(F.lit(owner), F.lit(group), F.lit(7), F.lit("../x/a b.pdf")))
     assert [key(3, 4), key(None, 4), key(None, None)] == ["uploads/users/3/7_a b.pdf", "uploads/groups/4/7_a b.pdf", "uploads/public/7_a b.pdf"]
