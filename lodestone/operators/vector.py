@@ -9,18 +9,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-BLOCK = 8192
-SLICE = 1 << 22  # scores at a time
+BLOCK, SIDE = 8192, 16  # rows of a block, while a side has no more blocks than this
+ROOM = 1 << 22  # components of a block at most, where SIDE blocks would hold more
+ASKED, MET = 256, 4096  # queries and candidates whose scores are there at a time
 
 
-def _blocks(df: DataFrame, block: int) -> int:
-    return max(1, -(-df.count() // block))
+def _blocks(df: DataFrame, vector: str, block: int) -> int:
+    """Each row is sent to all blocks of the other side, so blocks of a large table are larger, as far as a task has room."""
+    rows, dims = df.agg(F.count("*"), F.max(F.size(vector))).first()
+    largest = max(block, ROOM // max(1, dims or 1))
+    return max(1, -(-rows // min(largest, max(block, -(-rows // SIDE)))))
 
 
 def _dealt(df: DataFrame, key: str, vector: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
     """``own, other, key, v``: a row for each block of the other side; a null or empty vector is left out."""
-    row = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if df.schema[vector].dataType.elementType == FloatType() else "array<double>"  # as narrow as it is
+    row = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("key"), F.col(vector).cast(kind).alias("v"))
     return row.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<bigint>")).alias(other), "key", "v")
 
 
@@ -28,15 +34,45 @@ def _unit(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, vectors = (rows.column(c).combine_chunks() for c in ("key", "v"))
     v = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return keys.to_numpy(zero_copy_only=False), np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return keys.to_numpy(zero_copy_only=False), np.divide(v, norm, out=np.zeros_like(v), where=(norm > 0) & (norm < np.inf))
+
+
+def _nearest(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``q``, the places in ``c`` and the scores of each query's k best; ``ci`` is sorted.
+
+    Candidates come in slices, and after the first only those that beat a query's k-th score so far are taken up.
+    """
+    row, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    own, end = np.searchsorted(ci, qi), np.searchsorted(ci, qi, "right")
+    low, step = np.full(len(q), -np.inf), 10.0**-digits
+    for at in range(0, len(c), MET):
+        scores = q @ c[at : at + MET].T
+        width = scores.shape[1]
+        for r in np.flatnonzero((own < end) & (own < at + MET) & (end > at)):
+            scores[r, max(own[r] - at, 0) : end[r] - at] = -np.inf
+        # a score that rounds to more than low is above this; in the first slice, one that rounds to its k-th best or more
+        least = low + 0.4 * step if at or width <= k else np.partition(scores, width - k, axis=1)[:, width - k] - step
+        r, p = np.divmod(np.flatnonzero(scores > least[:, None]), width)
+        found = np.round(scores[r, p], digits) + 0.0
+        more = found > low[r]
+        row, place, score = np.concatenate((row, r[more])), np.concatenate((place, p[more] + at)), np.concatenate((score, found[more]))
+        order = np.lexsort((place, -score, row))
+        row, place, score = row[order], place[order], score[order]
+        start = np.searchsorted(row, np.arange(len(q) + 1))
+        full = np.flatnonzero(np.diff(start) >= k)
+        low[full] = score[start[full] + k - 1]
+        first = np.arange(len(row)) - start[row] < k
+        row, place, score = row[first], place[first], score[first]
+    return row, place, score
 
 
 def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = BLOCK) -> DataFrame:
     """``qid, key, score, rank``: the k nearest by cosine, all rows against all queries, a block of one by a block of the other.
 
-    A query is no candidate of its own. Scores are rounded, ties go to the smaller key. Vectors have one length; zero vectors score 0.
+    A query is no candidate of its own. Scores are rounded, ties go to the smaller key. Vectors have one length; zero vectors score 0, as do those with a component
+    that is null or not finite.
     """
-    n, m = _blocks(candidates, block), _blocks(queries, block)
+    n, m = _blocks(candidates, vector, block), _blocks(queries, vector, block)
     # blocks meet in a shuffle by both numbers, whatever their sizes: nothing is broadcast, and a task holds two blocks
     asked = _dealt(queries, key, vector, "q_block", m, "c_block", n)
     met = _dealt(candidates, key, vector, "c_block", n, "q_block", m)
@@ -47,15 +83,9 @@ def cosine_top_k(queries: DataFrame, candidates: DataFrame, k: int, key: str = "
             (qi, q), (ci, c) = _unit(left), _unit(right)
             order = np.argsort(ci, kind="stable")  # ties go to the smaller key, which stands first
             ci, c = ci[order], c[order]
-            step = max(1, SLICE // len(ci))
-            for at in range(0, len(qi), step):
-                scores = np.round(q[at : at + step] @ c.T, digits) + 0.0
-                scores[qi[at : at + step, None] == ci[None, :]] = -np.inf
-                least = np.partition(scores, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(scores), -np.inf)
-                for i, row, low in zip(qi[at : at + step], scores, least, strict=True):
-                    found = np.flatnonzero((row >= low) & (row > -np.inf))
-                    found = found[np.argsort(-row[found], kind="stable")[:k]]
-                    rows.append((np.full(len(found), i), ci[found], row[found]))
+            for at in range(0, len(qi), ASKED):
+                row, place, score = _nearest(qi[at : at + ASKED], q[at : at + ASKED], ci, c, k, digits)
+                rows.append((qi[at : at + ASKED][row], ci[place], score))
         columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", key, "score"])
 

@@ -30,3 +30,16 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(names) == cols
     want = sorted(str([plain(r[names.index(c)]) for c in cols]) for r in cursor.fetchall())
     assert sorted(str([plain(r[c]) for c in cols]) for r in rows) == want
+
+
+def test_label_hit_rate_asks_every_vector(spark, tmp_path):
+    """Of these only 20 is divisible by 20, and it alone would give 1 and 1; the last has no label, so no hit rate."""
+    import duckdb
+
+    rows = [(20, [1.0, 0.0], 0), (21, [0.9, 0.1], 0), (22, [0.0, 1.0], 1), (23, [0.1, 0.9], 2), (24, [0.5, 0.5], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["label_hit_rate"](spark, str(tmp_path)).collect()] == [(0.5, 0.4)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert con.execute(catalogue.ORACLES["label_hit_rate"]).fetchall() == [(0.5, 0.4)]
+    assert all("q.vec_id % 20 = 0" in catalogue.ORACLES[name] for name in ("cosine_topk", "cosine_filtered", "indexed_cosine"))

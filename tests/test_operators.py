@@ -231,6 +231,27 @@ def test_cosine_blocks_are_not_broadcast(spark):
     assert "Broadcast" not in executed
 
 
+def test_cosine_slices(spark, monkeypatch):
+    """The best of all slices, with ties, repeated keys and own rows in any of them; blocks grow with the table, as far as there is room."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    c, q = (np.round(draw.normal(size=(n, 3)), 0) for n in (200, 40))
+    ci, qi = np.sort(draw.integers(0, 120, 200)), draw.integers(0, 150, 40)
+    for met, k in ((7, 5), (64, 5), (500, 5), (3, 8)):
+        monkeypatch.setattr(vector, "MET", met)
+        row, place, score = vector._nearest(qi, q, ci, c, k, 2)
+        scores = np.round(q @ c.T, 2) + 0.0
+        want = [(r, p, scores[r, p]) for r in range(40) for p in sorted((p for p in range(200) if ci[p] != qi[r]), key=lambda p: (-scores[r, p], p))[:k]]  # noqa: B023
+        assert list(zip(row.tolist(), place.tolist(), score.tolist(), strict=True)) == want
+    df = spark.range(150).selectExpr("id AS vec_id", "array(1.0F, 2.0F) AS embedding")
+    assert [vector._blocks(df, "embedding", b) for b in (50, 16, 4)] == [3, 10, 15] and vector._blocks(df.limit(0), "embedding", 4) == 1
+    monkeypatch.setattr(vector, "ROOM", 12)
+    assert vector._blocks(df, "embedding", 4) == 25
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [float("nan"), 1.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in vector.cosine_top_k(odd.filter("vec_id = 1"), odd, 2).orderBy("rank").collect()] == [(4, 0.707107), (2, 0.0)]
+
+
 def test_vector_index(spark, tmp_path):
     """Equal to comparing everything, after additions, replacements and removals; on clusters few cells are visited."""
     import numpy as np
